@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import exact_dedup, html_extract, lm_score, mixing, packing, quality, topk, toxicity, url_filter
+from kinfold.llm import exact_dedup, html_extract, lm_score, mixing, ngram_join, packing, quality, topk, toxicity, url_filter
 from kinfold.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -58,6 +58,11 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.groups(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies", "n_texts")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -71,4 +76,4 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_exact_dedup, op4_packing, op5_quality, op6_html_extract, op8_url_filter, op9_toxicity, op10_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_exact_dedup, op4_packing, op5_quality, op6_html_extract, op7_ngram_join, op8_url_filter, op9_toxicity, op10_topk)}
