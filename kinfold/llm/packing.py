@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -23,9 +24,9 @@ from kinfold.llm.common import slices
 
 CAPACITY = 4096
 #: A pool is packed when it holds so many tokens; more make fuller windows and larger workers.
-POOL_TOKENS = 4_000_000
-#: Words whose ids a worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 200_000, 48
+POOL_TOKENS = 2_000_000
+#: Words whose ids a worker remembers (twice so many at most), and the longest such word.
+CACHE_WORDS, CACHE_CHARS = 400_000, 48
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
@@ -34,25 +35,40 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizers file whose pre-tokenizer never joins across a space.
 
     Texts are split at spaces, each different part is encoded once, and the ids are strung together.
+    Ids of words are kept as bytes in two generations: when the young one is full it becomes the old
+    one, and words that are met again move back, so that frequent words stay.
     """
 
     def __init__(self, file: str, end: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(file), end, {"": np.empty(0, np.int32).tolist()}
+        self.tokenizer, self.end = Tokenizer.from_file(file), np.array([end], np.int32).tobytes()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, and the end id."""
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": []}
-        new = list(set(chain.from_iterable(parts)).difference(self.known))
-        short, extra = self.known, {}
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        known, old, new, extra = self.young, self.old, [], {}
+        for word in set(chain.from_iterable(parts)).difference(known):
+            if word in old:
+                known[word] = old[word]
+            else:
+                new.append(word)
         for at in range(0, len(new), 20_000):
-            for word, code in zip(new[at : at + 20_000], self.tokenizer.encode_batch(new[at : at + 20_000], add_special_tokens=False), strict=True):
-                (short if len(word) <= CACHE_CHARS else extra)[word] = code.ids
-        look = short.__getitem__ if not extra else lambda w: short[w] if w in short else extra[w]
-        return [np.fromiter(chain(chain.from_iterable(map(look, p)), (self.end,)), np.int32) for p in parts]
+            some = new[at : at + 20_000]
+            for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                (known if len(word) <= CACHE_CHARS else extra)[word] = np.array(code.ids, np.int32).tobytes()
+        look = known.__getitem__ if not extra else lambda w: known[w] if w in known else extra[w]
+        return [np.frombuffer(b"".join(chain(map(look, p), (self.end,))), np.int32) for p in parts]
+
+
+@cache
+def tokenizer_of(file: str, end: int) -> WordTokenizer:
+    """One for each worker process, so that its memory lasts from task to task."""
+    return WordTokenizer(file, end)
 
 
 def best_pattern(lengths: dict[int, int], capacity: int) -> dict[int, int]:
@@ -116,7 +132,7 @@ class Packer:
             if not exact and not last:
                 break
             for _ in range(min(len(self.pool[n]) // c for n, c in pattern.items())):
-                items = [self.pool[n].pop(0) for n, c in sorted(pattern.items(), reverse=True) for _ in range(c)]
+                items = [self.pool[n].pop() for n, c in sorted(pattern.items(), reverse=True) for _ in range(c)]
                 self.held -= sum(len(x[3]) for x in items)
                 yield from self.place(items) if exact else self.cut(items)
             self.pool = defaultdict(list, {n: x for n, x in self.pool.items() if x})
@@ -143,52 +159,49 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (doc_id, start, length, doc_tokens, number, at)), lists], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = CAPACITY, pool_tokens: int = POOL_TOKENS) -> DataFrame:
+def with_crc(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Pieces with ids_crc32, the CRC-32 of the ids as little-endian unsigned 32-bit numbers, instead of ids."""
+    lists = batch["ids"]
+    flat, at = lists.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(int)
+    sums = pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
+    names = [c for c in batch.schema.names if c != "ids"]
+    return pa.RecordBatch.from_arrays([*(batch[c] for c in names), sums], [*names, "ids_crc32"])
+
+
+#: The columns that with_crc returns.
+CRC_PIECES = PIECES.replace("ids array<int>", "ids_crc32 long")
+
+
+def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = CAPACITY, pool_tokens: int = POOL_TOKENS, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = PIECES) -> DataFrame:
     """Rows of PIECES: every id of every document, with its end id, lies in exactly one piece.
 
     Needs doc_id and text.  A null or empty text is the end id alone; a null doc_id stays null; rows
     that repeat are packed each; long texts are cut every ``capacity`` ids; other columns are not
     read; an empty table gives no pieces.  Sequences hold ``capacity`` ids or a power of two.  Nothing
-    is shuffled, and a task that is run again gives the same rows.
+    is shuffled, and a task that is run again gives the same rows.  ``finish`` turns batches of pieces
+    into others, of ``schema``, before they leave the worker.
     """
-    kept: dict[str, WordTokenizer] = {}
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = kept.setdefault(tokenizer, WordTokenizer(tokenizer, end)) if tokenizer not in kept else kept[tokenizer]
-        packer, rows, held = Packer(TaskContext.get().partitionId() << 40, capacity, pool_tokens), [], 0
-        for batch in slices(batches, "text"):
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), coder.ids(texts), strict=True):
-                for piece in packer.add(doc_id, ids):
-                    rows.append(piece)
-                    held += piece[2]
-                    if held > 1_000_000:
-                        yield _batch(rows)
-                        rows, held = [], 0
-        for piece in packer.pack(True):
+        coder, packer = tokenizer_of(tokenizer, end), Packer(TaskContext.get().partitionId() << 40, capacity, pool_tokens)
+
+        def pieces() -> Iterator[tuple]:
+            for batch in slices(batches, "text"):
+                texts = [t or "" for t in batch["text"].to_pylist()]
+                for doc_id, ids in zip(batch["doc_id"].to_pylist(), coder.ids(texts), strict=True):
+                    yield from packer.add(doc_id, ids)
+            yield from packer.pack(True)
+
+        rows, held = [], 0
+        for piece in pieces():
             rows.append(piece)
             held += piece[2]
             if held > 1_000_000:
-                yield _batch(rows)
+                yield finish(_batch(rows)) if finish else _batch(rows)
                 rows, held = [], 0
         if rows:
-            yield _batch(rows)
-
-    return docs.select("doc_id", "text").mapInArrow(packed, PIECES)
-
-
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """pieces with ids_crc32, the CRC-32 of the ids as little-endian unsigned 32-bit numbers, instead of ids."""
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch["ids"]
-            flat, at = lists.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(int)
-            sums = pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), sums], [*names, "ids_crc32"])
+            yield finish(_batch(rows)) if finish else _batch(rows)
 
-    names = [c for c in pieces.columns if c != "ids"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "ids")
-    return pieces.mapInArrow(crc, f"{kinds}, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(packed, schema)

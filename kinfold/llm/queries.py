@@ -47,7 +47,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.with_crc(packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file()))
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file(), finish=packing.with_crc, schema=packing.CRC_PIECES)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
