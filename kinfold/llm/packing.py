@@ -16,6 +16,7 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -28,41 +29,97 @@ POOL_TOKENS = 2_000_000
 #: Words whose ids a worker remembers (twice so many at most), and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 400_000, 48
 
+END = "\ud800"  # stands for the end id among the parts of a text: no text has this
+#: Letters below this one, U+0250, stand alone in NFC, and lower-case without regard to their neighbours.
+LATIN = "\u0250"
+#: What byte-level vocabularies write for bytes that do not print: the characters from U+0100 on, in turn.
+BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))}
+#: A tokenizer is tried out on these words.
+PROBE = "The Mañana, straße. ÉTÉ naïveté, x don't e-mail 3.5 A, ÿ. Łódź ęàÀÞþ ?! antidisestablishmentarianism. b b"
+
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizers file whose pre-tokenizer never joins across a space.
-
-    Texts are split at spaces, each different part is encoded once, and the ids are strung together.
-    Ids of words are kept as bytes in two generations: when the young one is full it becomes the old
-    one, and words that are met again move back, so that frequent words stay.
+    """Ids of whole texts by a tokenizers file.
+
+    Where the file's pre-tokenizer never joins across a space, texts are split at spaces, each
+    different part is encoded once, and the ids are strung together.  Where it also lower-cases, and
+    turns words of letters into the model's characters for bytes, such words skip its regular
+    expressions, apart from a full stop or comma at their end.  Both are tried out on PROBE first.
+    Ids of parts are kept as bytes in two generations: when the young one is full it becomes the old
+    one, and parts that are met again move back, so that frequent words stay.
     """
 
     def __init__(self, file: str, end: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(file), np.array([end], np.int32).tobytes()
-        self.young: dict[str, bytes] = {}
+        self.full, self.end = Tokenizer.from_file(file), np.array([end], np.int32).tobytes()
+        self.plain = Tokenizer(self.full.model)
+        self.young: dict[str, bytes] = {END: self.end}
         self.old: dict[str, bytes] = {}
+        exact = lambda text: self.full.encode(text, add_special_tokens=False).ids
+        self.apart = exact(PROBE) == [i for w in PROBE.split(" ") for i in exact(w)]
+        self.tails = {c: np.array(exact(c), np.int32).tobytes() for c in ".,"}
+        words = PROBE.split(" ")
+        ready = self.apart and [np.frombuffer(x, np.int32).tolist() for x in self.encoded(np.array(words, object))] == [exact(w) for w in words]
+        if not ready:
+            self.tails = {}
+            self.young = {END: self.end}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, and the end id."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = [t.replace("\n", " ").split(" ") if self.apart else [t] for t in texts]
+        for p in parts:
+            p.append(END)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        flat = np.empty(int(sizes.sum()), dtype=object)
+        flat[:] = list(chain.from_iterable(parts))
+        codes, words = pd.factorize(flat)
+        blobs = self.encoded(words)
+        pool, length = np.frombuffer(b"".join(blobs), np.int32), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        first, own = np.cumsum(length) - length, length[codes]
+        ends = np.cumsum(own)
+        out = pool[np.repeat(first[codes] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = ends[np.cumsum(sizes) - 1]
+        return [out[a:b] for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True)]
+
+    def encoded(self, words: np.ndarray) -> list[bytes]:
+        """The ids of each of these different parts, as bytes."""
         if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        known, old, new, extra = self.young, self.old, [], {}
-        for word in set(chain.from_iterable(parts)).difference(known):
-            if word in old:
-                known[word] = old[word]
-            else:
-                new.append(word)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (known if len(word) <= CACHE_CHARS else extra)[word] = np.array(code.ids, np.int32).tobytes()
-        look = known.__getitem__ if not extra else lambda w: known[w] if w in known else extra[w]
-        return [np.frombuffer(b"".join(chain(map(look, p), (self.end,))), np.int32) for p in parts]
+            self.old, self.young = self.young, {END: self.end}
+        known, old = self.young, self.old
+        blobs = [known.get(w) for w in words]
+        missing = [i for i, blob in enumerate(blobs) if blob is None]
+        letters: dict[str, list[tuple[int, bytes]]] = {}  # words of letters, and the places that take their ids and a tail
+        others = []
+        for i in missing:
+            word = words[i]
+            blob = blobs[i] = old.get(word)
+            if blob is None:
+                tail = self.tails.get(word[-1:], b"")
+                core = (word[:-1] if tail else word).lower()
+                if self.tails and core.isalpha() and (core.isascii() or max(core) < LATIN):
+                    letters.setdefault(core, []).append((i, tail))
+                else:
+                    others.append(i)
+        for i, ids in zip(others, self._batch(self.full, [words[i] for i in others]), strict=True):
+            blobs[i] = ids
+        as_bytes = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTES) for w in letters]
+        for places, ids in zip(letters.values(), self._batch(self.plain, as_bytes), strict=True):
+            for i, tail in places:
+                blobs[i] = ids + tail
+        known.update((words[i], blobs[i]) for i in missing if len(words[i]) <= CACHE_CHARS)
+        return blobs
+
+    def _batch(self, tokenizer: object, words: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(words), 5_000):
+            some = words[at : at + 5_000]
+            code = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids, start = np.array(code.ids, np.int32).tobytes(), 0
+            for end in (4 * np.cumsum(np.bincount(np.array(code.word_ids, np.int64), minlength=len(some)))).tolist():
+                yield ids[start:end]
+                start = end
 
 
 @cache
@@ -71,13 +128,13 @@ def tokenizer_of(file: str, end: int) -> WordTokenizer:
     return WordTokenizer(file, end)
 
 
-def best_pattern(lengths: dict[int, int], capacity: int) -> dict[int, int]:
+def best_pattern(lengths: dict[int, int], capacity: int, order: list[int]) -> dict[int, int]:
     """The multiset of the available lengths (length: count) that holds the longest one and fills the capacity most.
 
-    Bit s of ``reach`` says that a sum of s can be made; after each step its bitset is kept, and the
-    counts are read back from the last step to the first.  The search stops at an exact fill.
+    ``order`` has the lengths in descending order.  Bit s of ``reach`` says that a sum of s can be
+    made; after each step its bitset is kept, and the counts are read back from the last step to the
+    first.  The search stops at an exact fill.
     """
-    order = sorted(lengths, reverse=True)
     first = order[0]
     room, mask = capacity - first, (1 << (capacity - first + 1)) - 1
     reach, steps = 1, []
@@ -126,16 +183,22 @@ class Packer:
 
     def pack(self, last: bool) -> Iterator[tuple]:
         """Fill windows from the pool; without ``last``, inexact fills wait for more documents."""
-        while self.pool:
-            pattern = best_pattern({n: len(x) for n, x in self.pool.items()}, self.capacity)
+        counts = {n: len(x) for n, x in self.pool.items() if x}
+        order = sorted(counts, reverse=True)
+        while order:
+            pattern = best_pattern(counts, self.capacity, order)
             exact = sum(n * c for n, c in pattern.items()) == self.capacity
             if not exact and not last:
                 break
-            for _ in range(min(len(self.pool[n]) // c for n, c in pattern.items())):
+            for _ in range(min(counts[n] // c for n, c in pattern.items())):
                 items = [self.pool[n].pop() for n, c in sorted(pattern.items(), reverse=True) for _ in range(c)]
                 self.held -= sum(len(x[3]) for x in items)
+                for n, c in pattern.items():
+                    counts[n] -= c
                 yield from self.place(items) if exact else self.cut(items)
-            self.pool = defaultdict(list, {n: x for n, x in self.pool.items() if x})
+            for n in pattern:
+                if not counts[n]:
+                    order.remove(n)
 
     def cut(self, items: list[tuple]) -> Iterator[tuple]:
         """Sequences of descending powers of two that together hold the items: no padding."""
