@@ -16,7 +16,6 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -27,9 +26,8 @@ CAPACITY = 4096
 #: A pool is packed when it holds so many tokens; more make fuller windows and larger workers.
 POOL_TOKENS = 2_000_000
 #: Words whose ids a worker remembers (twice so many at most), and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 600_000, 48
 
-END = "\ud800"  # stands for the end id among the parts of a text: no text has this
 #: Letters below this one, U+0250, stand alone in NFC, and lower-case without regard to their neighbours.
 LATIN = "\u0250"
 #: What byte-level vocabularies write for bytes that do not print: the characters from U+0100 on, in turn.
@@ -56,59 +54,62 @@ class WordTokenizer:
 
         self.full, self.end = Tokenizer.from_file(file), np.array([end], np.int32).tobytes()
         self.plain = Tokenizer(self.full.model)
-        self.young: dict[str, bytes] = {END: self.end}
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         exact = lambda text: self.full.encode(text, add_special_tokens=False).ids
         self.apart = exact(PROBE) == [i for w in PROBE.split(" ") for i in exact(w)]
         self.tails = {c: np.array(exact(c), np.int32).tobytes() for c in ".,"}
         words = PROBE.split(" ")
-        ready = self.apart and [np.frombuffer(x, np.int32).tolist() for x in self.encoded(np.array(words, object))] == [exact(w) for w in words]
+        ready = self.apart and [np.frombuffer(x, np.int32).tolist() for x in self.encoded(words)] == [exact(w) for w in words]
         if not ready:
             self.tails = {}
-            self.young = {END: self.end}
+            self.young = {}
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, and the end id."""
-        parts = [t.replace("\n", " ").split(" ") if self.apart else [t] for t in texts]
-        for p in parts:
-            p.append(END)
-        sizes = np.array([len(p) for p in parts], np.int64)
-        flat = np.empty(int(sizes.sum()), dtype=object)
-        flat[:] = list(chain.from_iterable(parts))
-        codes, words = pd.factorize(flat)
-        blobs = self.encoded(words)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ") if self.apart else pa.ListArray.from_arrays(pa.array(range(len(texts) + 1), pa.int32()), texts)
+        coded = lists.flatten().dictionary_encode()
+        blobs = [*self.encoded(coded.dictionary.to_pylist()), self.end]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
+        codes = np.insert(coded.indices.to_numpy(), ends, len(blobs) - 1)
         pool, length = np.frombuffer(b"".join(blobs), np.int32), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         first, own = np.cumsum(length) - length, length[codes]
-        ends = np.cumsum(own)
-        out = pool[np.repeat(first[codes] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = ends[np.cumsum(sizes) - 1]
-        return [out[a:b] for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True)]
+        stop = np.cumsum(own)
+        out = pool[np.repeat(first[codes] - (stop - own), own) + np.arange(stop[-1] if len(stop) else 0)]
+        cuts = stop[ends + np.arange(len(ends))]
+        return [out[a:b] for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True)] if len(cuts) else []
 
-    def encoded(self, words: np.ndarray) -> list[bytes]:
+    def encoded(self, words: list[str]) -> list[bytes]:
         """The ids of each of these different parts, as bytes."""
         if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {END: self.end}
-        known, old = self.young, self.old
+            self.old, self.young = self.young, {}
+        known, old, tails = self.young, self.old, self.tails
         blobs = [known.get(w) for w in words]
         missing = [i for i, blob in enumerate(blobs) if blob is None]
-        letters: dict[str, list[tuple[int, bytes]]] = {}  # words of letters, and the places that take their ids and a tail
+        letters: dict[str, int] = {}  # words of letters
+        places: list[tuple[int, int, bytes]] = []  # those that take the ids of such a word, and a tail
         others = []
         for i in missing:
             word = words[i]
-            blob = blobs[i] = old.get(word)
+            blob = old.get(word)
             if blob is None:
-                tail = self.tails.get(word[-1:], b"")
+                tail = tails.get(word[-1:], b"")
                 core = (word[:-1] if tail else word).lower()
-                if self.tails and core.isalpha() and (core.isascii() or max(core) < LATIN):
-                    letters.setdefault(core, []).append((i, tail))
-                else:
+                if not (tails and core.isalpha() and (core.isascii() or max(core) < LATIN)):
                     others.append(i)
+                    continue
+                done = known.get(core)
+                if done is None:
+                    places.append((i, letters.setdefault(core, len(letters)), tail))
+                    continue
+                blob = done + tail
+            blobs[i] = blob
         for i, ids in zip(others, self._batch(self.full, [words[i] for i in others]), strict=True):
             blobs[i] = ids
         as_bytes = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTES) for w in letters]
-        for places, ids in zip(letters.values(), self._batch(self.plain, as_bytes), strict=True):
-            for i, tail in places:
-                blobs[i] = ids + tail
+        coded = list(self._batch(self.plain, as_bytes))
+        for i, at, tail in places:
+            blobs[i] = coded[at] + tail
         known.update((words[i], blobs[i]) for i in missing if len(words[i]) <= CACHE_CHARS)
         return blobs
 
@@ -252,7 +253,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = CAPACITY
 
         def pieces() -> Iterator[tuple]:
             for batch in slices(batches, "text"):
-                texts = [t or "" for t in batch["text"].to_pylist()]
+                texts = batch["text"].fill_null("")
                 for doc_id, ids in zip(batch["doc_id"].to_pylist(), coder.ids(texts), strict=True):
                     yield from packer.add(doc_id, ids)
             yield from packer.pack(True)
