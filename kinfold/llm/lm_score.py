@@ -14,8 +14,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +25,16 @@ from kinfold.scratch import Scratch
 
 #: Counts from BASE^(q-1) below BASE^q have the quantised count q.
 BASE = 1.5
-#: Bits of the filter for each insertion, and probes for each membership.
-BITS, PROBES = 8, 5
+#: Bits of the filter for each insertion, and bits (of one 64-bit word) that a membership is probed by.
+BITS, PROBES = 10, 5
 PRIOR = 2000.0
 #: N-grams of a segment, about; n-gram hashes that a task holds before it sends them on.
 SEGMENT, HELD = 1_000_000, 3_000_000
 #: Bytes of filter and vocabulary that are broadcast at once; more are scored in several passes.
-SHARD_BYTES = 192 << 20
-END = b""  # the token at a text's end, and the context of its first word
+SHARD_BYTES = 96 << 20
+#: Words are dealt into so many groups by hash; whole groups make up a shard.
+GROUPS = 64
+END = ""  # the token at a text's end, and the context of its first word
 
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -59,21 +61,19 @@ def single_keys(word: np.ndarray) -> np.ndarray:
     return mixed(word ^ C)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words, A-Z lower-cased, and the end; bytes.split() splits at space and U+0009 to U+000D, no others."""
-    words = text.encode().lower().split() if text else []
-    words.append(END)
-    return words
+def coded(texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """The place of each token in the different tokens, numbers of tokens of the texts, the different tokens' hashes, and they.
 
-
-def coded(texts: list[str | None], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """The place of each token in the different tokens, numbers of tokens of the texts, the different tokens' hashes, and they."""
-    lists = [tokens(t) for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.empty(int(sizes.sum()), dtype=object)
-    flat[:] = [w for x in lists for w in x]
-    codes, words = pd.factorize(flat)
-    return codes, sizes, np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)), list(words)
+    Tokens are words, A-Z lower-cased, and the end.  Arrow's ASCII white space is space and U+0009 to U+000D.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null(""))))
+    flat = lists.flatten()
+    filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    sizes = np.diff(np.concatenate([[0], np.cumsum(filled)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)])
+    found = flat.filter(pa.array(filled)).dictionary_encode()
+    words = [*found.dictionary.to_pylist(), END]
+    codes = np.insert(found.indices.to_numpy().astype(np.int64), np.cumsum(sizes), len(words) - 1)
+    return codes, sizes + 1, np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)), words
 
 
 def contexts(word: np.ndarray, sizes: np.ndarray, end: object) -> np.ndarray:
@@ -92,72 +92,70 @@ def quantised(count: np.ndarray) -> np.ndarray:
 VALUES = np.array([0.0, 1.0] + [(BASE ** (q - 1) + BASE**q) / 2 for q in range(2, 130)])
 
 
-def positions(key: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
-    """PROBES places, one array after the other, of the keys marked with a level, in segments of so many bits."""
-    first = mixed(key + np.uint64(int(A) * level & LOW))
-    step = mixed(first) | np.uint64(1)
+def probes(key: np.ndarray, level: int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word, of so many in a segment, and its bits that stand for each key marked with a level."""
+    h = mixed(key + np.uint64(int(A) * level & LOW))
+    mask = np.zeros(len(h), np.uint64)
     for i in range(PROBES):
-        yield (first + np.uint64(i) * step) % np.asarray(bits, np.uint64)
+        mask |= np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63))
+    return ((h >> np.uint64(32)) * np.asarray(words, np.uint64)) >> np.uint64(32), mask
 
 
 def build_segment(key: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The bytes of the segment that holds these n-grams (each once) with their quantised counts."""
+    """The 64-bit words of the segment that holds these n-grams (each once) with their quantised counts."""
     level = quantised(count)
-    bits = max(64, -(-int(level.sum()) * BITS // 64) * 64)
-    out = np.zeros(bits, bool)
+    out = np.zeros(max(1, -(-int(level.sum()) * BITS // 64)), np.uint64)
     for q in range(1, int(level.max(initial=0)) + 1):
-        for at in positions(key[level >= q], q, bits):
-            out[at.astype(np.int64)] = True
-    return np.packbits(out, bitorder="little")
+        at, mask = probes(key[level >= q], q, len(out))
+        order = np.argsort(at)
+        at, mask = at[order], mask[order]
+        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        out[at[new].astype(np.int64)] |= np.bitwise_or.reduceat(mask, new)
+    return out
 
 
 class Filter:
-    """Segments of a shard, side by side; counts() probes them."""
-
-    def __init__(self, segments: list[np.ndarray]):
-        self.sizes = np.array([8 * len(s) for s in segments], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.bytes = np.concatenate(segments) if segments else np.zeros(0, np.uint8)
-
-    def counts(self, key: np.ndarray) -> np.ndarray:
+    """Segments side by side, by place; counts() probes them."""
+
+    def __init__(self, places: int, segments: dict[int, np.ndarray]):
+        self.sizes = np.ones(places, np.uint64)
+        for place, words in segments.items():
+            self.sizes[place] = len(words)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int64)
+        self.words = np.zeros(int(self.sizes.sum()), np.uint64)
+        for place, words in segments.items():
+            self.words[self.starts[place] : self.starts[place] + len(words)] = words
+
+    def counts(self, key: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The quantised counts of n-grams (0: unseen)."""
-        found = np.zeros(len(key), np.int64)
-        alive = np.arange(len(key)) if len(self.sizes) else np.empty(0, np.int64)
-        level = 0
+        found, alive, level = np.zeros(len(key), np.int64), np.arange(len(key)), 0
+        start, size = self.starts[place], self.sizes[place]
         while len(alive):
             level += 1
-            own = key[alive]
-            segment = (own % np.uint64(len(self.sizes))).astype(np.int64)
-            start, bits = self.starts[segment], self.sizes[segment]
-            first = mixed(own + np.uint64(int(A) * level & LOW))
-            step = mixed(first) | np.uint64(1)
-            for i in range(PROBES):
-                at = start + ((first + np.uint64(i) * step) % bits.astype(np.uint64)).astype(np.int64)
-                hit = (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                alive, start, bits, first, step = (x[hit] for x in (alive, start, bits, first, step))
-                if not len(alive):
-                    break
+            at, mask = probes(key, level, size)
+            hit = (self.words[start + at.astype(np.int64)] & mask) == mask
+            alive, key, start, size = alive[hit], key[hit], start[hit], size[hit]
             found[alive] = level
         return found
 
 
 class Model:
-    """What was learnt: number of training tokens and words, and tables of segments and words by shard."""
-
-    def __init__(self, n: int, v: int, seed: int, shards: int, segments: int, filters: DataFrame, words: DataFrame):
-        self.n, self.v, self.seed, self.shards, self.segments, self.filters, self.words = n, v, seed, shards, segments, filters, words
-
-    def shard(self, i: int) -> tuple[Filter, np.ndarray, np.ndarray]:
-        """Filter, sorted hashes of words and their counts of one shard; both are of bounded size."""
-        table = self.filters.filter(F.col("shard") == i).select("segment", "bits").toArrow().sort_by("segment")
-        segments = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["bits"]]
-        if len(segments) != self.segments:  # a segment without n-grams
-            own = dict(zip(table["segment"].to_pylist(), segments, strict=True))
-            segments = [own.get(k, np.zeros(8, np.uint8)) for k in range(self.segments)]
-        words = self.words.filter(F.col("shard") == i).select("hash", "count").toArrow()
+    """What was learnt: number of training tokens and words; tables of segments and words by group; groups by shard."""
+
+    def __init__(self, n: int, v: int, seed: int, per_group: int, shards: list[range], filters: DataFrame, words: DataFrame):
+        self.n, self.v, self.seed, self.per_group, self.shards, self.filters, self.words = n, v, seed, per_group, shards, filters, words
+
+    def shard(self, i: int) -> tuple[range, Filter, np.ndarray, np.ndarray]:
+        """Groups, filter, sorted hashes of words and their counts of one shard; all of bounded size."""
+        own = self.shards[i]
+        inside = F.col("group").between(own.start, own.stop - 1)
+        table = self.filters.filter(inside).select("group", "segment", "words").toArrow()
+        places = [g * self.per_group + s for g, s in zip(table["group"].to_pylist(), table["segment"].to_pylist(), strict=True)]
+        segments = {p: np.frombuffer(x.as_buffer(), np.uint64) for p, x in zip(places, table["words"], strict=True)}
+        words = self.words.filter(inside).select("hash", "count").toArrow()
         hashes, counts = words["hash"].to_numpy().view(np.uint64), words["count"].to_numpy()
         order = np.argsort(hashes)
-        return Filter(segments), hashes[order], counts[order]
+        return own, Filter(GROUPS * self.per_group, segments), hashes[order], counts[order].astype(np.uint32 if self.n < 1 << 32 else np.int64)
 
 
 def _word_counts(train: DataFrame, seed: int) -> DataFrame:
@@ -166,23 +164,30 @@ def _word_counts(train: DataFrame, seed: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(seen: Counter) -> pa.RecordBatch:
             hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in seen), np.uint64, len(seen)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["hash", "word", "count"])
+            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["hash", "word", "count"])
 
         seen: Counter = Counter()
         for batch in slices(batches, "text"):
-            for text in batch["text"].to_pylist():
-                seen.update(tokens(text))
+            codes, _, _, words = coded(batch["text"], seed)
+            for word, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
+                if n:
+                    seen[word] += n
             if len(seen) > 400_000:
                 yield rows(seen)
                 seen = Counter()
         if seen:
             yield rows(seen)
 
-    return train.mapInArrow(count, "hash long, word binary, count long").groupBy("hash", "word").agg(F.sum("count").alias("count"))
+    return train.mapInArrow(count, "hash long, word string, count long").groupBy("hash", "word").agg(F.sum("count").alias("count"))
+
+
+def places_of(word: np.ndarray, key: np.ndarray, per_group: int) -> np.ndarray:
+    """The segments of n-grams: in the group of the last word, by the n-gram's own hash."""
+    return ((word % np.uint64(GROUPS)) * np.uint64(per_group) + (key >> np.uint64(20)) % np.uint64(per_group)).astype(np.int64)
 
 
-def _segments(train: DataFrame, seed: int, shards: int, segments: int) -> DataFrame:
-    """shard, segment, bits: the parts of the filter, each built by one task from the hashes sent to it."""
+def _segments(train: DataFrame, seed: int, per_group: int) -> DataFrame:
+    """group, segment, words: the parts of the filter, each built by one task from the hashes sent to it."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -201,11 +206,10 @@ def _segments(train: DataFrame, seed: int, shards: int, segments: int) -> DataFr
         held, n = [], 0
         end = np.uint64(xxhash.xxh64_intdigest(END, seed))
         for batch in slices(batches, "text"):
-            codes, sizes, hashes, _ = coded(batch["text"].to_pylist(), seed)
+            codes, sizes, hashes, _ = coded(batch["text"], seed)
             word = hashes[codes]
             pair, single = pair_keys(contexts(word, sizes, end), word), single_keys(word)
-            shard = (word % np.uint64(shards)).astype(np.int64) * segments
-            held += [(k, shard + (k % np.uint64(segments)).astype(np.int64)) for k in (pair, single)]
+            held += [(k, places_of(word, k, per_group)) for k in (pair, single)]
             n += 2 * len(word)
             if n >= HELD:
                 yield sent(held)
@@ -224,11 +228,11 @@ def _segments(train: DataFrame, seed: int, shards: int, segments: int) -> DataFr
         all_keys, all_counts = all_keys[order], all_counts[order]
         new = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]]))
         place = key[0].as_py()
-        bits = build_segment(all_keys[new], np.add.reduceat(all_counts, new))
-        yield pa.RecordBatch.from_arrays([pa.array([place // segments], pa.int64()), pa.array([place % segments], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["shard", "segment", "bits"])
+        words = build_segment(all_keys[new], np.add.reduceat(all_counts, new))
+        yield pa.RecordBatch.from_arrays([pa.array([place // per_group], pa.int64()), pa.array([place % per_group], pa.int64()), pa.array([words.tobytes()], pa.binary())], ["group", "segment", "words"])
 
     sent_on = train.mapInArrow(gather, "place long, keys binary, counts binary")
-    return sent_on.groupBy("place").applyInArrow(build, "shard long, segment long, bits binary")
+    return sent_on.groupBy("place").applyInArrow(build, "group long, segment long, words binary")
 
 
 def fit(train: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> Model:
@@ -236,57 +240,62 @@ def fit(train: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> M
     texts = train.select("text")
     for seed in range(8):
         words = scratch.save(_word_counts(texts, seed), f"words-{seed}")
-        n, v, hashes, most = words.agg(F.sum("count"), F.count("*"), F.count_distinct("hash"), F.max(F.length("word"))).first()
+        n, v, hashes = words.agg(F.sum("count"), F.count("*"), F.count_distinct("hash")).first()
         if hashes == v:
             break
-    n = n or 0
-    shards = max(1, math.ceil((16 * v + 1.6 * BITS / 8 * n) / shard_bytes))
-    segments = max(1, math.ceil(n / SEGMENT / shards))
-    filters = scratch.save(_segments(texts, seed, shards, segments), "filter")
-    return Model(n, v, seed, shards, segments, filters, words.withColumn("shard", F.expr(f"cast(pmod(cast(conv(hex(hash), 16, 10) as decimal(20, 0)), {shards}) as long)")))
+    n, group = n or 0, F.expr(f"pmod(pmod(hash, {GROUPS}) + {GROUPS}, {GROUPS})")  # 2^64 is a multiple of GROUPS
+    per_group = max(1, math.ceil(n / SEGMENT / GROUPS))
+    filters = scratch.save(_segments(texts, seed, per_group), "filter")
+    total = 12 * v + (filters.agg(F.sum(F.length("words"))).first()[0] or 0)
+    shards = min(GROUPS, max(1, math.ceil(total / shard_bytes)))
+    edges = [GROUPS * i // shards for i in range(shards + 1)]
+    return Model(n, v, seed, per_group, [range(a, b) for a, b in zip(edges, edges[1:], strict=False)], filters, words.withColumn("group", group))
 
 
-def _scorer(model: Model, i: int, docs: DataFrame, rest: list[str]) -> DataFrame:
-    """Shard i's part of the sums of each row of docs."""
+def _scorer(model: Model, i: int, docs: DataFrame, rest: list[str]) -> tuple[DataFrame, object]:
+    """Shard i's part of the sums of each row of docs, and the broadcast that it needs."""
     loaded = docs.sparkSession.sparkContext.broadcast(model.shard(i))
-    n, v, seed, shards = model.n, model.v, model.seed, model.shards
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    n, v, seed, per_group = model.n, model.v, model.seed, model.per_group
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, counts = loaded.value
+        groups, table, known, counts = loaded.value
         end = np.uint64(xxhash.xxh64_intdigest(END, seed))
         for batch in slices(batches, "text"):
-            codes, sizes, hashes, _ = coded(batch["text"].to_pylist(), seed)
-            mine = hashes % np.uint64(shards) == i
+            codes, sizes, hashes, _ = coded(batch["text"], seed)
+            group = hashes % np.uint64(GROUPS)
+            mine = (group >= groups.start) & (group < groups.stop)
             at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-            count = np.where(known[at] == hashes, counts[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
-            single = VALUES[np.where(mine, table.counts(single_keys(hashes)), 0)]
+            count = np.where(known[at] == hashes, counts[at].astype(np.int64), 0) if len(known) else np.zeros(len(hashes), np.int64)
+            key = single_keys(hashes)
+            single = VALUES[np.where(mine, table.counts(key, places_of(hashes, key, per_group)), 0)]
             base = np.where(mine, np.log10((count + 1) / (n + v + 1)), 0)
             prior = PRIOR * (single + 1) / (n + v + 1)
             context = np.where(mine, np.log10(single + PRIOR), 0)
             owned = mine[codes]
-            pair = np.zeros(len(codes), np.int64)
             word = hashes[codes]
-            pair[owned] = table.counts(pair_keys(contexts(word, sizes, end), word)[owned])
+            key = pair_keys(contexts(word, sizes, end), word)[owned]
             gained = np.zeros(len(codes))
-            gained[owned] = np.log10(VALUES[pair[owned]] + prior[codes[owned]])
+            gained[owned] = np.log10(VALUES[table.counts(key, places_of(word[owned], key, per_group))] + prior[codes[owned]])
             before = contexts(context[codes], sizes, context[hashes == end][0] if (hashes == end).any() else 0.0)
             starts = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for x in (base[codes], gained - before)]
             seen = np.add.reduceat(((count > 0) & mine)[codes].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(sizes), pa.array(seen), pa.array(sums[0]), pa.array(sums[1])], [*rest, "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select(*rest, "text").mapInArrow(scored, f"{schema}, n_tokens long, n_known long, base_score double, score double")
+    return docs.select(*rest, "text").mapInArrow(scored, f"{schema}, n_tokens long, n_known long, base_score double, score double"), loaded
 
 
 def score_texts(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of each row of docs, in as many passes as the model has shards."""
-    if model.shards == 1:
-        return _scorer(model, 0, docs.select("doc_id", "text"), ["doc_id"])
+    if len(model.shards) == 1:
+        return _scorer(model, 0, docs.select("doc_id", "text"), ["doc_id"])[0]
     keyed = with_key(docs.select("doc_id", "text"), scratch).select("doc_id", F.to_json(KEY).alias(KEY), "text")
     parts = None
-    for i in range(model.shards):
-        part = _scorer(model, i, keyed, ["doc_id", KEY])
+    for i in range(len(model.shards)):  # one shard is on its way at a time
+        part, loaded = _scorer(model, i, keyed, ["doc_id", KEY])
+        part = scratch.save(part, f"part-{i}")
+        loaded.destroy()
         parts = part if parts is None else parts.unionByName(part)
     return parts.groupBy("doc_id", KEY).agg(F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")).drop(KEY)
 
