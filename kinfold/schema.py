@@ -29,7 +29,26 @@ FIELDS = {
     "provenance": f"array<{PROVENANCE}>",
     "overall_confidence": "double",
 }
-PROFILE: T.StructType = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in FIELDS.items()))
+_PLAIN = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType()}
+
+
+def _parsed(kind: str) -> T.DataType:
+    """The type that a type string of this module means; needs no session, unlike Spark's own parser."""
+    if kind.startswith("array<"):
+        return T.ArrayType(_parsed(kind[6:-1]))
+    if kind.startswith("struct<"):
+        parts, depth = [""], 0
+        for ch in kind[7:-1]:
+            depth += (ch == "<") - (ch == ">")
+            if ch == "," and not depth:
+                parts.append("")
+            else:
+                parts[-1] += ch
+        return T.StructType([T.StructField(n, _parsed(t)) for n, _, t in (p.partition(":") for p in parts)])
+    return _PLAIN[kind]
+
+
+PROFILE = T.StructType([T.StructField(n, _parsed(t)) for n, t in FIELDS.items()])
 #: Profiles with the global position that all order-dependent rules refer to.
 ORDERED_PROFILE = T.StructType([*PROFILE.fields, T.StructField("ord", T.LongType())])
 
