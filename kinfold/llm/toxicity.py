@@ -78,9 +78,13 @@ def select_terms(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Sorted terms of enough rows whose presence and label depend on each other (chi-square), the strongest at most MAX_TERMS."""
     if not rows or not sum(map(len, rows)):
         return np.empty(0, np.uint64)
-    flat, label = np.concatenate(rows), np.repeat(y, [len(r) for r in rows])
-    terms, inverse = np.unique(flat, return_inverse=True)
-    seen, pos = np.bincount(inverse), np.bincount(inverse, label)
+    flat = np.concatenate(rows)
+    order = np.argsort(flat, kind="stable")
+    label = np.repeat(y.astype(np.int8), [len(r) for r in rows])[order]
+    flat = flat[order]
+    del order
+    new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    terms, seen, pos = flat[new], np.diff(np.append(new, len(flat))), np.add.reduceat(label.astype(np.int64), new)
     n, p = len(y), max(y.sum(), 1)
     expected = seen * p / n
     chi = (pos - expected) ** 2 / np.maximum(expected * (1 - p / n) * (1 - seen / n), 1e-9)
@@ -133,12 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"].cast(pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "label", "terms"])
 
     table = sample(docs, labels, "toxic", rows).select("doc_id", "text", "label").mapInArrow(terms, "doc_id long, label int, terms array<long>").toArrow()
+    lists, y = table["terms"].combine_chunks(), table["label"].to_numpy()
+    flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
     unique: dict[tuple[bytes, int], np.ndarray] = {}
-    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
-    lists, y = table["terms"].to_pylist(), table["label"].to_pylist()
-    for i in order:
-        row = np.array(lists[i], np.int64).view(np.uint64)
-        unique.setdefault((row.tobytes(), y[i]), row)
+    for i in np.argsort(table["doc_id"].to_numpy(), kind="stable"):
+        row = flat[at[i] : at[i + 1]]
+        unique.setdefault((xxhash.xxh3_128_digest(row.tobytes()), int(y[i])), row)
     return train(list(unique.values()), np.array([label for _, label in unique], float))
 
 
