@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,13 +42,10 @@ def with_key(docs: DataFrame, scratch: Scratch, name: str = "keyed") -> DataFram
     A Parquet scan knows file and position of each row; any other DataFrame is written first.
     """
 
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias(KEY))
-
     try:
-        return keyed(docs)
+        return docs.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias(KEY))
     except AnalysisException:
-        return keyed(scratch.save(docs, name))
+        return scratch.save(docs.withColumn(KEY, F.struct(F.monotonically_increasing_id().alias("r"))), name)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -79,7 +79,33 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 4_000_00
         for i, n in enumerate(pc.binary_length(text).to_pylist()):
             if size and size + (n or 0) > chars:
                 yield batch.slice(start, i - start)
+                release()
                 start, size = i, 0
             size += n or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+            release()
+
+
+def release() -> None:
+    """Give freed memory back to the machine: Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def gives_back(function: Callable) -> Callable:
+    """Decorates what workers run on batches (mapInArrow): at the end of a task, freed memory goes back.
+
+    Workers stay alive between stages; without this an idle one keeps what its largest task needed.
+    """
+
+    @functools.wraps(function)
+    def wrapped(*given: object) -> Iterator:
+        try:
+            yield from function(*given)
+        finally:
+            gc.collect()
+            release()
+
+    return wrapped

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import KEY, slices, with_key
+from kinfold.llm.common import KEY, gives_back, slices, with_key
 from kinfold.scratch import Scratch
 
 #: Counts from BASE^(q-1) below BASE^q have the quantised count q.
@@ -161,6 +161,7 @@ class Model:
 def _word_counts(train: DataFrame, seed: int) -> DataFrame:
     """hash, word, count of the training tokens."""
 
+    @gives_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(seen: Counter) -> pa.RecordBatch:
             hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in seen), np.uint64, len(seen)).view(np.int64)
@@ -189,6 +190,7 @@ def places_of(word: np.ndarray, key: np.ndarray, per_group: int) -> np.ndarray:
 def _segments(train: DataFrame, seed: int, per_group: int) -> DataFrame:
     """group, segment, words: the parts of the filter, each built by one task from the hashes sent to it."""
 
+    @gives_back
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             key = np.concatenate([k for k, _ in held])
@@ -258,6 +260,7 @@ def _scorer(model: Model, i: int, docs: DataFrame, rest: list[str]) -> tuple[Dat
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     n, v, seed, per_group = model.n, model.v, model.seed, model.per_group
 
+    @gives_back
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, table, known, counts = loaded.value
         end = np.uint64(xxhash.xxh64_intdigest(END, seed))

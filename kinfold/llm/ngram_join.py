@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import KEY, slices, small_side, with_key
+from kinfold.llm.common import KEY, gives_back, slices, small_side, with_key
 from kinfold.operators.components import connected_components
 from kinfold.scratch import Scratch
 
@@ -119,8 +119,9 @@ def roots(hits: np.ndarray) -> np.ndarray:
 
 
 def _sketches(keyed: DataFrame, width: int, length: int, trees: int) -> DataFrame:
+    @gives_back
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2_000_000):
             sets = shingle_sets(batch["text"].to_pylist(), width)
             digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             lists = pa.array([prefixes(s, length, trees) for s in sets], pa.list_(pa.int64()))
@@ -133,6 +134,7 @@ def _sketches(keyed: DataFrame, width: int, length: int, trees: int) -> DataFram
 def _tiles(wanted: DataFrame, width: int) -> DataFrame:
     """label, tile, side, node, copies, shingles: each text once for each tile that its block takes part in."""
 
+    @gives_back
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
             rows = []

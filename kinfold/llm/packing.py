@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from kinfold.llm.common import slices
+from kinfold.llm.common import gives_back, slices
 
 CAPACITY = 4096
 #: A pool is packed when it holds so many tokens; more make fuller windows and larger workers.
@@ -246,6 +246,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = CAPACITY
     into others, of ``schema``, before they leave the worker.
     """
 
+    @gives_back
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import TO_SPACE, slices
+from kinfold.llm.common import TO_SPACE, gives_back, slices
 from kinfold.llm.labelled import SAMPLE, held_out, sample
 
 #: Hashed words, length of vectors, non-zero numbers of an index vector, rows of a piece of the table.
@@ -76,6 +76,7 @@ class Reader:
 def context_table(docs: DataFrame) -> np.ndarray:
     """Word vectors (WORDS x WIDTH, unit length) from all neighbours in all texts; the pieces of tasks are summed by Spark."""
 
+    @gives_back
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, total = Reader(), np.zeros(WORDS * WIDTH)
         at, sign = index_vectors(np.arange(WORDS))
@@ -178,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, table: np.ndarray, rows: int = SAMPL
     """A network from at most ``rows`` labelled documents; only their pools reach the driver."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
+    @gives_back
     def pools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in slices(batches, "text", 2_000_000):
@@ -200,6 +202,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: in
     table = context_table(docs)
     sent = docs.sparkSession.sparkContext.broadcast((table, fit(docs, labels, table, rows)))
 
+    @gives_back
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, (vectors, net) = Reader(), sent.value
         for batch in slices(batches, "text", 2_000_000):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm.common import TO_SPACE, slices
+from kinfold.llm.common import TO_SPACE, gives_back, slices
 from kinfold.llm.labelled import SAMPLE, held_out, sample
 
 EDGES = ".,;:!?()[]{}\"'«»“”…-*#&$%|<>/\\"
@@ -93,9 +93,9 @@ def select_terms(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, positive: float = 3.0) -> Machine:
-    """Adam on the logistic loss; label 1 counts ``positive`` times.  Without both labels the score is 0.5 throughout."""
+    """Adam on the logistic loss; label 1 counts ``positive`` times.  With labels of one kind the score is that label, without any 0."""
     if len(set(y.tolist())) < 2:
-        return Machine(np.empty(0, np.uint64), 0.0, np.empty(0), np.empty((0, FACTORS)))
+        return Machine(np.empty(0, np.uint64), 40.0 if len(y) and y[0] else -40.0, np.empty(0), np.empty((0, FACTORS)))
     rng = np.random.default_rng(7)
     machine = Machine(select_terms(rows, y), 0.0, np.empty(0), np.empty(0))
     found = [machine.find(r) for r in rows]
@@ -130,6 +130,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float =
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Machine:
     """A machine from at most ``rows`` labelled documents; equal texts with equal labels count once."""
 
+    @gives_back
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Terms()
         for batch in slices(batches, "text"):
@@ -153,6 +154,7 @@ def score(docs: DataFrame, machine: Machine, name: str = "toxicity") -> DataFram
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
+    @gives_back
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, fm = Terms(), sent.value
         for batch in slices(batches, "text"):
@@ -168,8 +170,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: i
     """doc_id, held_out, score and predicted (1 from ``threshold``) of each row of docs.
 
     Needs doc_id and text of docs, doc_id and toxic of labels; other columns are not read.  Null and
-    empty texts have no terms and get the machine's bias alone.  Without labels of both kinds every
-    score is 0.5.  An empty docs gives no rows; repeated rows are scored each.
+    empty texts have no terms and get the machine's bias alone.  With labels of one kind only every
+    score is that label, without any 0.  An empty docs gives no rows; repeated rows are scored each.
     """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels, rows))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))
