@@ -13,7 +13,7 @@ from kinfold.plans.config import PRESETS
 from kinfold.plans.driver_sql import PROFILES, RAW
 from kinfold.schema import EDUCATION, EXPERIENCE, FIELDS, LINKS, LOCATION, PROVENANCE, SKILL, as_list, empty
 from kinfold.scratch import Scratch
-from kinfold.sources import ats_json, github, resume
+from kinfold.sources import ats_json, csv, github, resume
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +80,27 @@ def names_of(column: str) -> Column:
     return F.array_join(F.transform(column, lambda x: x["name"]), "/")
 
 
+def header_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two headers that mean the title, the first often blank."""
+    first, second = F.when(F.col("c_custkey") % 2 == 0, "  ").otherwise(F.col("c_mktsegment")), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name"))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", first.alias("Job Title"), second.alias("ROLE"))
+    return rows.select(F.col("c_custkey").alias("id"), text.text_or_null(F.col("Job Title")).alias("first_title"), csv.mapped(["Job Title", "ROLE"])["title"].alias("title"))
+
+
+def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's first line as the header block, then the document under a section header."""
+    body = F.concat_ws("\n", F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(" Work  Experience : "), "text")
+    split = _table(spark, sf_dir, "documents").select("doc_id", resume.sections(body).alias("s"))
+    return split.select("doc_id", *(resume.section(F.col("s"), n).alias(n) for n in ("header", "experience")))
+
+
+INDEXED = {"fields": [{"path": "second_email", "from": "emails[1]", "type": "string"}, {"path": "top_skill", "from": "skills[0].name"}]}
+
+
+def project_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.project(merged(spark, sf_dir), INDEXED)
+
+
 def project_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.project(merged(spark, sf_dir), PRESETS["custom"]).select("ord", "full_name", "primary_email", "phone")
 
@@ -143,6 +164,9 @@ QUERIES: dict[str, Query] = {
     "merge_skills": _merged(lambda: [names_of("skills").alias("skills")]),
     "merge_experience": _merged(lambda: [F.array_join(F.transform("experience", lambda e: F.concat(e["company"], F.lit("@"), F.coalesce(e["start"], F.lit("")))), "/").alias("experience")]),
     "merge_confidence": _merged(lambda: ["overall_confidence"]),
+    "header_alias": header_alias,
+    "section_split": section_split,
+    "project_index": project_index,
     "project_custom": project_custom,
     "project_default": project_default,
 }

@@ -133,4 +133,13 @@ ORACLE_SQL: dict[str, str] = {
       e AS (SELECT label, first(email ORDER BY ord) FILTER (WHERE email IS NOT NULL) AS primary_email, first(phone ORDER BY ord) FILTER (WHERE phone IS NOT NULL) AS phone FROM m GROUP BY label),
       w AS (SELECT label, first(full_name {_BEST}) AS full_name FROM m GROUP BY label)
       SELECT e.label AS ord, full_name, primary_email, phone FROM e JOIN w ON e.label = w.label WHERE primary_email IS NOT NULL AND full_name <> ''""",
+    "header_alias": """
+      SELECT c_custkey AS id, nullif(trim(coalesce(CASE WHEN c_custkey % 2 = 0 THEN '  ' ELSE c_mktsegment END, '')), '') AS first_title,
+        coalesce(nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN '  ' ELSE c_mktsegment END), ''), CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END) AS title FROM customer""",
+    "section_split": """
+      SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '^\\s+|\\s+$', '', 'g') AS header, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS experience FROM documents""",
+    "project_index": f"""{_WITH},
+      e AS (SELECT label, list(email ORDER BY o) AS l FROM (SELECT label, email, min(ord) AS o FROM m WHERE email IS NOT NULL GROUP BY ALL) GROUP BY label),
+      n AS (SELECT label, skill, max(skill_confidence) AS c FROM m GROUP BY ALL)
+      SELECT n.label AS ord, any_value(l[2]) AS second_email, first(skill ORDER BY c DESC, skill) AS top_skill FROM n LEFT JOIN e ON n.label = e.label GROUP BY n.label""",
 }

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from kinfold.operators import matching, project, survivorship
 from kinfold.plans.config import checked
-from kinfold.schema import PROFILE
 from kinfold.scratch import Scratch
 from kinfold.sources.inputs import Extracted, Input, read_all
 
@@ -79,4 +78,8 @@ def to_json(records: DataFrame, config: dict) -> str:
     return json.dumps(to_dicts(records.orderBy("ord").collect(), config), indent=2, ensure_ascii=False)
 
 
-__all__ = ["PROFILE", "canonical", "run", "to_dicts", "to_json"]
+def envelope(records: DataFrame, extracted: Extracted, config: dict, config_name: str) -> dict:
+    """The records with their number, the inputs that were skipped and the configuration's name, as a service replies."""
+    found = to_dicts(records.orderBy("ord").collect(), config)
+    skipped = [{"file": path, "reason": reason} for path, reason in extracted.skipped]
+    return {"candidates": found, "count": len(found), "skipped_files": skipped, "config_used": config_name}

@@ -3,7 +3,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from kinfold.operators.project import compile_config, project
 from kinfold.plans import config as configs
@@ -69,4 +68,5 @@ def test_end_to_end(spark, tmp_path):
     got = pipeline.to_dicts(records.orderBy("ord").collect(), configs.PRESETS["default"])
     assert [r["full_name"] for r in got] == ["Ann Lee", "Bo", "Cy"] and got[0]["skills"] == ["JavaScript", "AWS"] and got[0]["headline"] == "dev"
     assert [p for p, _ in extracted.skipped] == ["x.txt"]
-    assert "PushedFilters" in records._jdf.queryExecution().toString() or records.filter(F.lit(True)).count() == 3
+    reply = pipeline.envelope(records, extracted, configs.PRESETS["default"], "default")
+    assert (reply["count"], reply["config_used"], reply["skipped_files"][0]["file"]) == (3, "default", "x.txt")
