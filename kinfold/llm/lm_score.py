@@ -71,7 +71,7 @@ def coded(texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     sizes = np.diff(np.concatenate([[0], np.cumsum(filled)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)])
     found = flat.filter(pa.array(filled)).dictionary_encode()
-    words = [*found.dictionary.to_pylist(), END]
+    words = [*found.dictionary.to_numpy(zero_copy_only=False).tolist(), END]
     codes = np.insert(found.indices.to_numpy().astype(np.int64), np.cumsum(sizes), len(words) - 1)
     return codes, sizes + 1, np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)), words
 

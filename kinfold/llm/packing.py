@@ -69,7 +69,7 @@ class WordTokenizer:
         """The ids of each text, and the end id."""
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ") if self.apart else pa.ListArray.from_arrays(pa.array(range(len(texts) + 1), pa.int32()), texts)
         coded = lists.flatten().dictionary_encode()
-        blobs = [*self.encoded(coded.dictionary.to_pylist()), self.end]
+        blobs = [*self.encoded(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), self.end]
         ends = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
         codes = np.insert(coded.indices.to_numpy(), ends, len(blobs) - 1)
         pool, length = np.frombuffer(b"".join(blobs), np.int32), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
@@ -84,17 +84,16 @@ class WordTokenizer:
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
         known, old, tails = self.young, self.old, self.tails
-        blobs = [known.get(w) for w in words]
+        blobs = list(map(known.get, words))
         missing = [i for i, blob in enumerate(blobs) if blob is None]
         letters: dict[str, int] = {}  # words of letters
-        places: list[tuple[int, int, bytes]] = []  # those that take the ids of such a word, and a tail
+        places: list[tuple[int, int, bytes | None]] = []  # those that take the ids of such a word, and a tail
         others = []
-        for i in missing:
-            word = words[i]
-            blob = old.get(word)
+        fresh = [words[i] for i in missing]
+        for i, word, blob in zip(missing, fresh, map(old.get, fresh), strict=True):
             if blob is None:
-                tail = tails.get(word[-1:], b"")
-                core = (word[:-1] if tail else word).lower()
+                tail = tails.get(word[-1:])
+                core = word.lower() if tail is None else word[:-1].lower()
                 if not (tails and core.isalpha() and (core.isascii() or max(core) < LATIN)):
                     others.append(i)
                     continue
@@ -102,15 +101,17 @@ class WordTokenizer:
                 if done is None:
                     places.append((i, letters.setdefault(core, len(letters)), tail))
                     continue
-                blob = done + tail
+                blob = done if tail is None else done + tail
             blobs[i] = blob
         for i, ids in zip(others, self._batch(self.full, [words[i] for i in others]), strict=True):
             blobs[i] = ids
         as_bytes = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTES) for w in letters]
         coded = list(self._batch(self.plain, as_bytes))
         for i, at, tail in places:
-            blobs[i] = coded[at] + tail
-        known.update((words[i], blobs[i]) for i in missing if len(words[i]) <= CACHE_CHARS)
+            blobs[i] = coded[at] if tail is None else coded[at] + tail
+        known.update(zip(fresh, [blobs[i] for i in missing], strict=True))
+        for word in [w for w in fresh if len(w) > CACHE_CHARS]:
+            del known[word]
         return blobs
 
     def _batch(self, tokenizer: object, words: list[str]) -> Iterator[bytes]:
