@@ -155,6 +155,7 @@ def extract(own: list[Line], others: list[list[Line]]) -> str:
 
     A neighbour that shares all lines outside menus and the like is a copy and says nothing; the next
     one is taken.  Shared lines go, unless an article element holds them; then so do marked lines.
+    Lines that no element tells about are left to the alignment, beside an article element too.
     """
     gone = [False] * len(own)
     for other in others:
@@ -162,9 +163,7 @@ def extract(own: list[Line], others: list[list[Line]]) -> str:
         if not all(m or x.kind == "not" for m, x in zip(marks, own, strict=True)):
             gone = marks
             break
-    if any(x.kind == "main" for x in own):
-        return "\n".join(x.text for x in own if x.kind == "main")
-    return "\n".join(x.text for x, out in zip(own, gone, strict=True) if x.kind == "open" and not out)
+    return "\n".join(x.text for x, out in zip(own, gone, strict=True) if x.kind == "main" or (x.kind == "open" and not out))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

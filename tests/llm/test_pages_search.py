@@ -46,6 +46,12 @@ def test_shared_lines_go_where_no_element_tells():
     assert extract([Line("x", "not")], []) == ""
 
 
+def test_alignment_decides_unmarked_lines_beside_an_article():
+    page = lambda body, card: lines_of(f"<p>Menu</p><div><p>{body}</p></div><article>{card}</article><nav>x</nav><p>Imprint</p>")
+    a, b = page("body of a", "card"), page("body of b", "card")
+    assert extract(a, [b]) == "body of a\ncard" and extract(b, [a]) == "body of b\ncard"
+
+
 def test_pages(spark):
     rows = [(1, "http://a.b/x/1", PAGE), (2, "http://a.b/x/2", PAGE), (3, None, None), (4, "no scheme", ""), (5, "http://a.b/y", "<p>" + "long " * 200_000), (1, "http://a.b/x/1", PAGE), (None, "http://c/", "<!-- never closed <p>x")]
     df = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, text string, host int")
