@@ -31,18 +31,28 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# A name and its value: quoted values are read whole, so that names inside them do not count.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 
 # Elements that begin and end a block, those that have no content, and those that hold the article.
 BLOCKS = frozenset("address article aside blockquote body br center caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset("article main".split())
-# Elements, and words of class, id and role, that mark what is not the article.
+# Elements, and whole names of class, id and role ("_" as "-"), that mark what is not the article.
 NOT_TEXT = frozenset("nav footer aside form head menu dialog select button svg canvas object audio video template noscript".split())
-NOT_TEXT_WORDS = frozenset(
-    "ad ads adsense advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+NOT_TEXT_NAMES = frozenset(
+    "ad ads adsense advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget "
+    "ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper adsbygoogle banner-ad google-ad sponsored-content breadcrumb-nav breadcrumb-list comment-form comment-list comment-respond comment-section comments-area comments-list comments-section disqus-thread "
+    "consent-banner cookie-banner cookie-bar cookie-consent cookie-law cookie-message cookie-notice cookie-popup gdpr-banner gdpr-notice main-menu main-nav main-navigation mobile-menu mobile-nav nav-bar nav-links nav-menu nav-menus navbar-nav post-navigation posts-navigation primary-menu primary-nav primary-navigation secondary-nav side-bar side-nav site-nav site-navigation sub-menu top-menu top-nav "
+    "global-footer global-header main-footer main-header page-footer site-footer site-header login-form newsletter-form newsletter-signup search-box search-form searchform signup-form subscribe-form related-articles related-links related-posts recommended-posts "
+    "share-bar share-buttons share-links sharing-buttons social-buttons social-icons social-links social-share sidebar-widget widget-area".split()
 )
+# Of these, what an article has as its own: its head, a warning in its text.
+IN_ARTICLE = frozenset("header main-header alert notice discussion".split())
+# An element that holds all of a page's article and main elements is never marked; one that holds some is, by these alone.
+NEVER_MAIN = frozenset("nav footer aside menu dialog template".split())
+LISTS = frozenset("comment comments comment-list comment-section comments-area comments-list comments-section disqus-thread replies related related-articles related-posts recommended recommended-posts promoted sponsored-content".split())
 # A paragraph or list item that is left open ends where its like begins.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -52,68 +62,79 @@ class Line(NamedTuple):
     kind: str  # "main": in an article element; "not": in a menu, advert ...; "open": neither
 
 
-def _marks_not_text(tag: str, attrs: str, in_main: bool) -> bool:
-    if tag in NOT_TEXT or (tag == "header" and not in_main):
+def _marks_not_text(tag: str, attrs: str, in_main: bool, holds_some: bool) -> bool:
+    """Whether an element is none of the article, and so all inside it."""
+    if tag in NEVER_MAIN or (not holds_some and (tag in NOT_TEXT or (tag == "header" and not in_main))):
         return True
     if not attrs or tag in MAIN or tag in ("html", "body"):
         return False
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-        if name in ("class", "id", "role") and not NOT_TEXT_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if not holds_some and (name == "hidden" or (name == "style" and "display:none" in value.replace(" ", ""))):
             return True
+        if name in ("class", "id", "role"):
+            names = (LISTS if holds_some else NOT_TEXT_NAMES).intersection(value.replace("_", "-").split())
+            if names - IN_ARTICLE if in_main else names:
+                return True
     return False
 
 
 def lines_of(page: str) -> list[Line]:
     """The blocks of a page in order, with white space collapsed and character references decoded."""
-    found: list[Line] = []
-    parts: list[str] = []
-    stack: list[tuple[str, str]] = []  # open elements and the kind of text before each
-    kind, at = "open", 0
-
-    def flush() -> None:
-        if parts:
-            text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            parts.clear()
-            if text:
-                found.append(Line(text, kind))
+    elements: list[tuple[str, str, int]] = [("", "", 0)]  # name, attributes and parent of each; the first is the page
+    holds: dict[int, int] = {0: 0}  # elements that hold article or main elements, and how many
+    pieces: list[tuple[str, int]] = []  # texts and their elements; an empty text ends a line
+    stack, at = [0], 0
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            pieces.append((page[at : m.start()], stack[-1]))
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
         if tag in BLOCKS:
-            flush()
+            pieces.append(("", 0))
         elif tag in ("td", "th"):
-            parts.append(" ")
+            pieces.append((" ", stack[-1]))
         if m["close"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]][0] == tag), None)
             if depth is not None:
-                if stack[depth][1] != kind:
-                    flush()
-                kind = stack[depth][1]
                 del stack[depth:]
             continue
-        if tag in SELF_CLOSING and stack and stack[-1][0] in SELF_CLOSING[tag]:
-            kind = stack.pop()[1]
-        now = kind
-        if kind != "not":
-            if _marks_not_text(tag, m["attrs"], kind == "main"):
+        if tag in SELF_CLOSING and elements[stack[-1]][0] in SELF_CLOSING[tag]:
+            stack.pop()
+        if tag not in VOID and not m["attrs"].endswith("/"):
+            if tag in MAIN:
+                holds.update((i, holds.get(i, 0) + 1) for i in stack)
+            elements.append((tag, m["attrs"], stack[-1]))
+            stack.append(len(elements) - 1)
+    if at < len(page):
+        pieces.append((page[at:], stack[-1]))
+
+    kinds = ["open"]
+    for i, (tag, attrs, parent) in enumerate(elements[1:], 1):
+        now = kinds[parent]
+        if now != "not":
+            held = holds.get(i, 0)
+            if (not held or held < holds[0]) and _marks_not_text(tag, attrs, now == "main", held > 0):
                 now = "not"
             elif tag in MAIN:
                 now = "main"
-        if tag not in VOID and not m["attrs"].endswith("/"):
-            if now != kind:
-                flush()
-            stack.append((tag, kind))
-            kind = now
-    parts.append(page[at:])
-    flush()
+        kinds.append(now)
+
+    found: list[Line] = []
+    parts: list[str] = []
+    kind = "open"
+    for text, element in [*pieces, ("", 0)]:
+        if parts and (not text or kinds[element] != kind):
+            line = SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            parts.clear()
+            if line:
+                found.append(Line(line, kind))
+        if text:
+            parts.append(text)
+            kind = kinds[element]
     return found
 
 

@@ -52,6 +52,14 @@ def test_alignment_decides_unmarked_lines_beside_an_article():
     assert extract(a, [b]) == "body of a\ncard" and extract(b, [a]) == "body of b\ncard"
 
 
+def test_only_whole_names_mark_and_never_what_holds_the_article():
+    for before, after in (("<div class='layout has-sidebar'>", "</div>"), ("<div class=with-related>", "</div>"), ("<div class='comments-open'>", "</div>"), ("<div id='sidebar'>", "</div>"), ("<form action=x>", "</form>"), ("<header><main>", "</main></header>"), ("<div hidden>", "</div>")):
+        assert extract(lines_of(f"<nav>Home</nav>{before}<article><h1>Title</h1><p>text</article>{after}<div class='site_footer'>us</div>"), []) == "Title\ntext"
+    assert extract(lines_of('<article><div class="entry-header"><h1>T</h1></div><div class=header>H</div><p title="the hidden gem">gem<p data-x=\'a class="ad"\'>x<p hidden>no<p class="big ad">no</article>'), []) == "T\nH\ngem\nx"
+    others = "<aside><article>card</article></aside><div class='comments'><article>first!</article></div>"
+    assert extract(lines_of(f"<div class=sidebar><article>one</article></div><article>two</article>{others}"), []) == "one\ntwo"
+
+
 def test_pages(spark):
     rows = [(1, "http://a.b/x/1", PAGE), (2, "http://a.b/x/2", PAGE), (3, None, None), (4, "no scheme", ""), (5, "http://a.b/y", "<p>" + "long " * 200_000), (1, "http://a.b/x/1", PAGE), (None, "http://c/", "<!-- never closed <p>x")]
     df = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, text string, host int")
