@@ -1,8 +1,9 @@
-"""Main text of web pages by differencing each page with the page of the nearest URL.
+"""Main text of web pages by differencing each page with the pages of the nearest URLs.
 
 Pages are range sorted by host and path, so that the nearest URLs of a host are neighbours.  Each
-page is read into text lines (its blocks), aligned with its neighbour's lines by a longest common
-subsequence, and lines that both share are deleted as the site's furniture.  What the pages' markup
+page is read into text lines (its blocks), aligned with the lines of its nearest neighbours of other
+content by longest common subsequences, and lines that most of them share are deleted as the site's
+furniture.  What the pages' markup
 says is checked afterwards: lines of an article element stay although a copied page shares them, and
 lines of menus, adverts and the like go although no neighbour happens to share them.
 """
@@ -10,18 +11,24 @@ lines of menus, adverts and the like go although no neighbour happens to share t
 from __future__ import annotations
 
 import html
-import os
 import re
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold.llm.common import gives_back, slices
 from kinfold.llm.url_filter import url_host, url_path
+from kinfold.scratch import Scratch
+
+#: Other contents before and after a page that it is aligned with, and characters of pages in a range.
+NEAR, RANGE_CHARS = 8, 64_000_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -172,19 +179,104 @@ def shared(own: list[str], other: list[str]) -> list[bool]:
 
 
 def extract(own: list[Line], others: list[list[Line]]) -> str:
-    """Main text of a page, given its lines and those of neighbouring pages, the nearest first.
+    """Main text of a page, given its lines and those of neighbouring pages.
 
-    A neighbour that shares all lines outside menus and the like is a copy and says nothing; the next
-    one is taken.  Shared lines go, unless an article element holds them; then so do marked lines.
-    Lines that no element tells about are left to the alignment, beside an article element too.
+    Copies of the page say nothing.  A line goes if more than half of the others share it, so that
+    an article that one or few of them repeat stays; where there are fewer than three others, one that
+    shares all lines is taken for a copy too.  An article element keeps its lines, and marked lines go
+    in any case; lines that no element tells about are left to the alignment.
     """
-    gone = [False] * len(own)
-    for other in others:
-        marks = shared([x.text for x in own], [x.text for x in other])
-        if not all(m or x.kind == "not" for m, x in zip(marks, own, strict=True)):
-            gone = marks
-            break
-    return "\n".join(x.text for x, out in zip(own, gone, strict=True) if x.kind == "main" or (x.kind == "open" and not out))
+    read = [x for x in own if x.kind != "not"]
+    gone = [False] * len(read)
+    if any(x.kind == "open" for x in read):
+        mine = [x.text for x in read]
+        lists = [[x.text for x in other if x.kind != "not"] for other in others]
+        marks = [shared(mine, x) for x in lists if x != mine]
+        if len(marks) < 3:
+            marks = [m for m in marks if not all(m)]
+        if marks:
+            gone = [2 * sum(column) > len(marks) for column in zip(*marks, strict=True)]
+    return "\n".join(x.text for x, out in zip(read, gone, strict=True) if x.kind == "main" or not out)
+
+
+def digest(lines: list[Line]) -> bytes:
+    """Equal for pages of equal lines outside menus and the like."""
+    return xxhash.xxh3_128_digest("\n".join(x.kind + x.text for x in lines if x.kind != "not"))
+
+
+class Group(NamedTuple):
+    """Successive pages of a host with equal lines, and the nearest other contents before and after."""
+
+    place: int
+    digest: bytes
+    lines: list[Line]
+    before: list[list[Line]]
+    after: list[list[Line]]
+    rows: list[tuple]
+
+
+class Neighbours:
+    """Takes the pages of a host in order; gives them back in groups as soon as NEAR other contents follow."""
+
+    def __init__(self) -> None:
+        self.latest: OrderedDict[bytes, list[Line]] = OrderedDict()  # the last NEAR + 1 contents
+        self.waiting: deque[Group] = deque()
+        self.last: dict[bytes, int] = {}  # the last waiting group of each content
+        self.place = 0
+
+    def add(self, lines: list[Line], row: tuple | None) -> None:
+        key = digest(lines)
+        if not self.waiting or self.waiting[-1].digest != key:
+            lines = self.latest.setdefault(key, lines)
+            before = [x for k, x in reversed(self.latest.items()) if k != key][:NEAR]
+            seen = self.last.get(key, -1)
+            for group in reversed(self.waiting):
+                if group.place <= seen:
+                    break
+                if len(group.after) < NEAR:
+                    group.after.append(lines)
+            self.place += 1
+            self.waiting.append(Group(self.place, key, lines, before, [], []))
+            self.last[key] = self.place
+            self.latest.move_to_end(key)
+            if len(self.latest) > NEAR + 1:
+                self.latest.popitem(last=False)
+        if row is not None:
+            self.waiting[-1].rows.append(row)
+
+    def ready(self, end: bool = False) -> Iterator[tuple[tuple, str]]:
+        while self.waiting and (end or len(self.waiting[0].after) == NEAR):
+            group = self.waiting.popleft()
+            if self.last[group.digest] == group.place:
+                del self.last[group.digest]
+            if group.rows:
+                text = extract(group.lines, group.before + group.after)
+                for row in group.rows:
+                    yield row, text
+
+
+def halo(edges: list[Row]) -> list[tuple[Row, int]]:
+    """Which pages at the edges of ranges other ranges need, given each range's first and last contents of its outer hosts."""
+    ranges: dict[int, dict[str, list[Row]]] = {}
+    for e in sorted(edges, key=lambda e: (e["range"], e["nth"])):
+        ranges.setdefault(e["range"], {"start": [], "first": [], "last": []})[e["side"]].append(e)
+    order, out = sorted(ranges), []
+    for own in range(len(order)):
+        for step, near, far in ((-1, "first", "last"), (1, "last", "first")):
+            host, seen = ranges[order[own]][near][0]["host"], set()
+            at = own + step
+            while 0 <= at < len(order) and len(seen) <= NEAR:
+                there = ranges[order[at]]
+                if there[far][0]["host"] != host:
+                    break
+                for e in there[far]:
+                    if e["digest"] not in seen and len(seen) <= NEAR:
+                        seen.add(e["digest"])
+                        out.append((e, own))
+                if there[near][0]["host"] != host:
+                    break
+                at += step
+    return out
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -193,40 +285,79 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Needs page_id, url and html; other columns are not read.  Null html counts as empty; a null url
     has no host, so such pages are neighbours of each other.  Pages of one URL are neighbours in the
     order of page_id, repeated rows too.  Whole pages are read; an empty table gives no rows.  The
-    nearest URL is sought within the sorted range that a task holds, so a page at its edge has its
-    one neighbour inside.
+    neighbours are the NEAR other contents before and after a page on its host; those beyond the
+    edge of a task's range are sent to it, so that texts do not depend on the number of ranges.
     """
-    kinds = pages.schema
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    scratch, order = Scratch(pages.sparkSession, "pages"), ["host", "path", "url", "page_id"]
     ranged = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    order = ["host", "path", "url", "page_id"]
+    kinds = ranged.schema
+    keys = [T.StructField(c, kinds[c].dataType) for c in order]
+    light = T.StructType([*keys, T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType())])
+    edge = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("side", T.StringType()), T.StructField("nth", T.IntegerType()), *light])
+    result = T.StructType([T.StructField("page_id", kinds["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    light_arrow, edge_arrow, result_arrow = (to_arrow_schema(x) for x in (light, edge, result))
 
     @gives_back
-    def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: list[dict] = []  # the page before, the page, the page after
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            texts = batch["html"].to_pylist()
+            more = [pa.array([digest(lines_of(x)) for x in texts], pa.binary()), pa.array([len(x) for x in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in order), *more], schema=light_arrow)
 
-        def done() -> dict:
-            here, near = window[1], [w for w in (window[0], window[2]) if w and w["host"] == window[1]["host"]]
-            near.sort(key=lambda w: -len(os.path.commonprefix([w["path"], here["path"]])))
-            text = extract(here["lines"], [w["lines"] for w in near])
-            return {"page_id": here["page_id"], "url": here["url"], "text": text, "n_chars": len(text)}
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, host, first, last = None, None, {}, OrderedDict()
+        for batch in batches:
+            for row in batch.to_pylist():
+                start = start or row
+                if host != (row["host"],):
+                    host = (row["host"],)
+                    last.clear()
+                if row["host"] == start["host"] and len(first) <= NEAR:
+                    first.setdefault(row["digest"], row)
+                last[row["digest"]] = row
+                last.move_to_end(row["digest"])
+                if len(last) > NEAR + 1:
+                    last.popitem(last=False)
+        number = TaskContext.get().partitionId()
+        sides = (("start", [start] if start else []), ("first", first.values()), ("last", reversed(last.values())))
+        yield pa.RecordBatch.from_pylist([{"range": number, "side": side, "nth": i, **row} for side, rows in sides for i, row in enumerate(rows)], schema=edge_arrow)
 
+    @gives_back
+    def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(found: Iterator[tuple[tuple, str]]) -> list[dict]:
+            return [{"page_id": i, "url": url, "text": text, "n_chars": len(text)} for (i, url), text in found]
+
+        near, where = Neighbours(), None
         for batch in slices(batches, "html"):
             out = []
             for row in batch.to_pylist():
-                row["lines"] = lines_of(row.pop("html"))
-                window = [*(window or [None]), row]
-                if len(window) == 3:
-                    out.append(done())
-                    window.pop(0)
+                if where != (row["range"], row["host"]):
+                    out += batch_of(near.ready(end=True))
+                    near, where = Neighbours(), (row["range"], row["host"])
+                near.add(lines_of(row["html"]), (row["page_id"], row["url"]) if row["own"] else None)
+                out += batch_of(near.ready())
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=kind)
-        if window:
-            window.append(None)
-            yield pa.RecordBatch.from_pylist([done()], schema=kind)
-
-    fields = [T.StructField("page_id", kinds["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    from pyspark.sql.pandas.types import to_arrow_schema
+                yield pa.RecordBatch.from_pylist(out, schema=result_arrow)
+        if out := batch_of(near.ready(end=True)):
+            yield pa.RecordBatch.from_pylist(out, schema=result_arrow)
 
-    kind = to_arrow_schema(T.StructType(fields))
-    sorted_pages = ranged.repartitionByRange(*order).sortWithinPartitions(*order)
-    return sorted_pages.mapInArrow(extracted, T.StructType(fields))
+    spark = pages.sparkSession
+    known = scratch.save(ranged.mapInArrow(read, light), "contents")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (known.agg(F.sum("size")).first()[0] or 0) // RANGE_CHARS + 1)
+    edges = known.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(outer, edge).collect()
+    scratch.drop("contents")
+    starts = [tuple(e[c] for c in order) for e in sorted((e for e in edges if e["side"] == "start"), key=lambda e: e["range"])]
+    key_type = T.StructType(keys)
+    bounds = spark.createDataFrame([(starts,)], T.StructType([T.StructField("bounds", T.ArrayType(key_type))]))
+    place = F.greatest(F.lit(0), F.size(F.filter("bounds", lambda b: b <= F.struct(*order))) - 1)
+    copies: dict[tuple, set[int]] = {}
+    for e, target in halo(edges):
+        copies.setdefault((e["page_id"], e["url"]), set()).add(target)
+    sent = spark.createDataFrame([(*k, sorted(v)) for k, v in copies.items()], T.StructType([T.StructField("i", kinds["page_id"].dataType), T.StructField("u", T.StringType()), T.StructField("targets", T.ArrayType(T.IntegerType()))]))
+    placed = ranged.crossJoin(F.broadcast(bounds)).withColumn("home", place).drop("bounds")
+    placed = placed.join(F.broadcast(sent), F.col("page_id").eqNullSafe(F.col("i")) & F.col("url").eqNullSafe(F.col("u")), "left")
+    ways = F.concat(F.array("home"), F.coalesce(F.array_except("targets", F.array("home")), F.array().cast("array<int>")))
+    placed = placed.withColumn("range", F.explode(ways)).select(*order, "html", "range", (F.col("range") == F.col("home")).alias("own"))
+    return placed.repartitionById(max(len(starts), 1), F.col("range")).sortWithinPartitions("range", *order).mapInArrow(extracted, result)

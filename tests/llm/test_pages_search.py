@@ -60,6 +60,20 @@ def test_only_whole_names_mark_and_never_what_holds_the_article():
     assert extract(lines_of(f"<div class=sidebar><article>one</article></div><article>two</article>{others}"), []) == "one\ntwo"
 
 
+def test_neighbours_lie_beyond_copies_and_range_edges(spark):
+    page = lambda *body: "".join(f"<p>{x}</p>" for x in ("Menu", *body, "Imprint"))
+    bodies = [("same",)] * 12 + [("copied", "today"), ("copied", "yesterday"), ("z",), ("same",), ("y",), ("x",)]
+    rows = [(i, f"http://a.b/{i:02}", page(*x)) for i, x in enumerate(bodies)] + [(90, "http://c.d/", page("alone"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 3, 19):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert got == {i: "\n".join(x) for i, x in enumerate(bodies)} | {90: "Menu\nalone\nImprint"}
+
+
 def test_pages(spark):
     rows = [(1, "http://a.b/x/1", PAGE), (2, "http://a.b/x/2", PAGE), (3, None, None), (4, "no scheme", ""), (5, "http://a.b/y", "<p>" + "long " * 200_000), (1, "http://a.b/x/1", PAGE), (None, "http://c/", "<!-- never closed <p>x")]
     df = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, text string, host int")
