@@ -1,10 +1,9 @@
-"""Similarity join of documents on word n-grams: MinHash LSH forest, then exact verification.
+"""Similarity join of documents on word n-grams: MinHash banding, then exact verification.
 
-Texts of one shingle set are one class.  The signatures of the classes' representatives form a
-forest: in each tree, texts are sorted by a sequence of minimum hashes, and texts that share a prefix
-share a node of its trie.  The prefix is shortened from the full depth until the trees together find
-a pair at the threshold with the wanted recall.  Texts of shared nodes form components, and within
-each all pairs are verified exactly, in tiles of bounded size, as sums of products of shingle
+Texts of one shingle set are one class.  Of each class's representative every tree (band) takes a
+fixed number of minimum hashes, and texts with equal ones share a cell.  The number is the largest by
+which all trees together find a pair at the threshold with the wanted recall: the level of an LSH
+forest at which such a join would end.  Texts of shared cells form components, and within each all pairs are verified exactly, in tiles of bounded size, as sums of products of shingle
 matrices; a tile returns counts of links and a spanning forest, never the pairs.
 """
 
@@ -26,7 +25,7 @@ from kinfold.operators.components import connected_components
 from kinfold.scratch import Scratch
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Trees of the forest, their depth, and the share of pairs at the threshold that it has to find.
+#: Trees, the most minimum hashes that one takes, and the share of pairs at the threshold that it has to find.
 TREES, DEPTH, RECALL = 20, 8, 0.999
 #: A component beyond WHOLE texts, or so many shingles, is verified in tiles of two blocks.
 WHOLE, BLOCK, BLOCK_SHINGLES = 256, 128, 1_000_000
