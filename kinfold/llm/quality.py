@@ -50,8 +50,8 @@ class Reader:
     def __init__(self) -> None:
         self.known: dict[str, tuple[int, int]] = {}
 
-    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word, shape and repetition mark (1: like the word before) at each place of all texts; the texts' numbers of words."""
+    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word, shape, repetition mark (1: like the word before) and the word's number among these texts at each place; the texts' numbers of words."""
         lists = [[w for w in (t or "").translate(TO_SPACE).split(" ") if w] for t in texts]
         sizes = np.array([len(x) for x in lists], np.int64)
         ids, words = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
@@ -70,7 +70,7 @@ class Reader:
         starts = np.cumsum(sizes) - sizes
         again[starts[sizes > 0]] = False
         both = table[ids] if len(ids) else np.empty((0, 2), np.int64)
-        return both[:, 0], both[:, 1], again, sizes
+        return both[:, 0], both[:, 1], again, ids, sizes
 
 
 def context_table(docs: DataFrame) -> np.ndarray:
@@ -81,7 +81,7 @@ def context_table(docs: DataFrame) -> np.ndarray:
         reader, total = Reader(), np.zeros(WORDS * WIDTH)
         at, sign = index_vectors(np.arange(WORDS))
         for batch in slices(batches, "text", 2_000_000):
-            word, _, _, sizes = reader.codes(batch["text"].to_pylist())
+            word, _, _, _, sizes = reader.codes(batch["text"].to_pylist())
             ends = np.cumsum(sizes)
             joined = np.ones(max(len(word) - 1, 0), bool)
             inner = ends[(ends > 0) & (ends < len(word))] - 1
@@ -108,7 +108,7 @@ def context_table(docs: DataFrame) -> np.ndarray:
 
 def pooled(reader: Reader, table: np.ndarray, texts: list[str | None]) -> np.ndarray:
     """A row for each text: means of its word vectors and of its shapes' index vectors, repetition marks, and size."""
-    word, form, again, sizes = reader.codes(texts)
+    word, form, again, ids, sizes = reader.codes(texts)
     out = np.zeros((len(texts), 2 * WIDTH + 4), np.float32)
     shapes, place = np.unique(form, return_inverse=True)
     at, sign = index_vectors(shapes)
@@ -122,7 +122,7 @@ def pooled(reader: Reader, table: np.ndarray, texts: list[str | None]) -> np.nda
             count = np.bincount(place[here])
             out[i, WIDTH : 2 * WIDTH] = count.astype(np.float32) @ vectors[: len(count)] / n
             lines = [x for x in texts[i].split("\n") if x.strip()]
-            out[i, 2 * WIDTH :] = again[here].mean(), 1 - len(set(lines)) / max(len(lines), 1), 1 - (np.bincount(word[here]) > 0).sum() / min(n, WORDS), np.log1p(n)
+            out[i, 2 * WIDTH :] = again[here].mean(), 1 - len(set(lines)) / max(len(lines), 1), 1 - len(pd.unique(ids[here])) / n, np.log1p(n)
         start += n
     return out
 

@@ -133,3 +133,10 @@ def test_temperature_is_fitted():
     for low in (0.1, 0.4, 0.7):
         part = (p >= low) & (p < low + 0.2)
         assert abs(p[part].mean() - y[part].mean()) < 0.1
+
+
+def test_repetition_counts_all_different_words():
+    table = np.zeros((quality.WORDS, quality.WIDTH), np.float32)
+    once, twice = [f"w{i}" for i in range(6000)], [f"w{i % 3000}" for i in range(6000)]
+    x = quality.pooled(quality.Reader(), table, [" ".join(once), " ".join(twice), None, ""])
+    assert x[:2, 2 * quality.WIDTH + 2].tolist() == [0.0, 0.5] and not x[2:].any()
