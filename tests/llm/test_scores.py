@@ -102,15 +102,32 @@ def test_classifiers_without_labels_or_rows(make, judged, fn, score):
     assert fn(make([]).filter("doc_id < 0"), labels).count() == 0
 
 
-def test_machine_learns_a_pair_that_single_terms_miss():
+def test_machine_learns_a_pair_whose_members_tell_nothing():
     rng = np.random.default_rng(1)
     a, b = rng.random(3000) < 0.5, rng.random(3000) < 0.5
-    y = (a & b).astype(float)
-    rows = [np.sort(np.array([x for x, there in ((11, p), (22, q), (33, not p), (44, not q)) if there], np.uint64)) for p, q in zip(a, b, strict=True)]
-    fm = toxicity.train(rows, y)
-    assert all((fm.score(r) > 0.5) == bool(t) for r, t in zip(rows, y, strict=True))
-    linear = fm.weights[fm.find(np.array([11, 22], np.uint64))]
-    assert len(linear) == 2 and np.abs(fm.vectors).max() > 0.1
+    y = (a ^ b).astype(float)  # each alone is independent of the label
+    noise = [rng.choice(200, 30, replace=False) + 100 for _ in y]
+    rows = [np.sort(np.concatenate([np.array([x for x, there in ((11, p), (22, q)) if there], np.int64), n])) for p, q, n in zip(a, b, noise, strict=True)]
+    fm = toxicity.train([toxicity.packed(r) for r in rows[:2500]], y[:2500])
+    assert np.mean([(fm.score(r) > 0.5) == bool(t) for r, t in zip(rows[2500:], y[2500:], strict=True)]) > 0.98
+    assert set(np.flatnonzero(fm.vectors.any(1))) == {11, 22}  # what tells nothing is left out by learning
+
+
+def test_machine_equals_a_double_loop():
+    rng = np.random.default_rng(4)
+    fm = toxicity.Machine(0.3, rng.normal(size=toxicity.SLOTS), rng.normal(size=(toxicity.SLOTS, toxicity.FACTORS)))
+    for n in (0, 1, 2, 40):
+        slots = np.sort(rng.choice(toxicity.SLOTS, n, replace=False))
+        pairs = sum(float(fm.vectors[i] @ fm.vectors[j]) for k, i in enumerate(slots) for j in slots[:k])
+        assert fm.logit(slots) == pytest.approx(0.3 + sum(fm.weights[i] for i in slots) + pairs)
+
+
+def test_sets_of_slots_are_bounded_and_survive_packing():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 8191, 8192, 200_000):
+        slots = np.sort(rng.choice(toxicity.SLOTS, n, replace=False))
+        blob = toxicity.packed(slots)
+        assert len(blob) <= toxicity.SLOTS // 8 and (toxicity.unpacked(blob) == slots).all()
 
 
 def test_sample_is_bounded_and_leaves_held_out_rows_alone(make, judged):
