@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,6 +24,8 @@ TO_SPACE = {ord(c): " " for c in BLANKS}
 BROADCAST_ROWS = 200_000
 #: Name of the row identity that with_key adds.
 KEY = "__row_key"
+#: Rows that a bitmap of marked() tells about, and the most bytes of bitmaps that are broadcast at once.
+BITS, BITMAP_BYTES = 1 << 15, 64 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -37,15 +40,49 @@ def n_words(text: Column) -> Column:
 
 
 def with_key(docs: DataFrame, scratch: Scratch, name: str = "keyed") -> DataFrame:
-    """docs with one more column KEY that tells apart all rows, repeated ones too.
+    """docs with one more column KEY, struct(f, r), that tells apart all rows, repeated ones too.
 
-    A Parquet scan knows file and position of each row; any other DataFrame is written first.
+    It is the file and the position in it that a Parquet scan knows; any other DataFrame is written first.
+    A column of docs by that name is not read.
     """
-
+    plain = docs.drop(KEY)
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias(KEY)
     try:
-        return docs.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias(KEY))
+        return plain.select("*", place)
     except AnalysisException:
-        return scratch.save(docs.withColumn(KEY, F.struct(F.monotonically_increasing_id().alias("r"))), name)
+        return scratch.save(plain, name).select("*", place)
+
+
+def marked(keyed: DataFrame, keys: DataFrame, scratch: Scratch, name: str, keep: bool) -> DataFrame:
+    """Rows of keyed whose KEY is among keys (keep), or those whose KEY is not; no row of keyed is shuffled.
+
+    The keys become bitmaps, one for each file and BITS successive rows, that are broadcast.  Should
+    they take more than BITMAP_BYTES, the files are dealt into slices, each with its own broadcast;
+    every file is still read once.
+    """
+    own, m = F.col(KEY), free("__marks", keyed)
+    bucket, bit = F.shiftright(own["r"], 15), own["r"].bitwiseAND(BITS - 1)
+    bits = keys.groupBy(own["f"].alias("file"), bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    bits = scratch.save(bits, name)
+    slices = max(1, math.ceil(bits.count() * (BITS // 8) / BITMAP_BYTES))
+    byte = F.conv(F.hex(F.substring(F.col(f"{m}.bits"), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, bit.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    out = None
+    for i in range(slices):
+        mine = lambda file: F.pmod(F.xxhash64(file), F.lit(slices)) == i if slices > 1 else F.lit(True)  # noqa: E731, B023
+        side = F.broadcast(bits.filter(mine(F.col("file"))).select(F.struct("file", "bucket", "bits").alias(m)))
+        part = keyed.filter(mine(own["f"]))
+        part = part.join(side, (own["f"] == F.col(f"{m}.file")) & (bucket == F.col(f"{m}.bucket")), "left").filter(hit if keep else ~hit).drop(m)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def free(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:

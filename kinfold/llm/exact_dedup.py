@@ -11,12 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import KEY, small_side, with_key
+from kinfold.llm.common import KEY, marked, with_key
 from kinfold.scratch import Scratch
 
-#: A chunk ends after a vowel, a blank and a consonant-like character, from LEAST to MOST characters.
+# Letters that about every second word of an alphabet ends with.
+VOWELS = "aeiouyàáâäèéêëìíïòóôöùúüαεηιουωаеёиоуыэюяאהוית" + "ايهةوی"
+#: In scripts that may have no blanks, the first quarter of each row of 32 (India to Georgia) or 1024 (East Asia) code points.
+QUARTERS = "".join(rf"\x{{{b:X}}}-\x{{{b + step // 4 - 1:X}}}" for low, high, step in ((0x0900, 0x1100, 32), (0x2C00, 0xD800, 1024)) for b in range(low, high, step))
+#: A chunk has LEAST to MOST characters and ends where its text says so: after a vowel and a blank before none, or at the end of a quarter.
 LEAST, MOST = 512, 2048
-CHUNK = rf"(?s).{{{LEAST - 3},{MOST - 3}}}?[aeiou][ \n\t][^aeiou \n\t]|.{{1,{MOST}}}"
+CHUNK = rf"(?s).{{{LEAST - 3},{MOST - 3}}}?(?:[{VOWELS}][ \n\t][^{VOWELS} \n\t]|(?=[\x{{900}}-\x{{FFFF}}])[{QUARTERS}][^{QUARTERS}])|.{{1,{MOST}}}"
 
 
 def chunks(text: Column) -> Column:
@@ -55,15 +59,18 @@ def recipes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(listed.withColumn("ordinals", F.coalesce("ordinals", F.lit(""))), "recipes")
 
 
-def groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: KEY, doc_id, keep_id, group_size, kept, text_sha256.
 
     Needs doc_id and text; other columns, of whatever name, are not read.  Null text counts as
     empty.  Of equal texts the row with the largest doc_id stays (null is below all others); of rows
     that repeat the same doc_id and text, the last in the input's files.  An empty table gives none.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "exact")
-    keyed = docs if KEY in docs.columns else with_key(docs.select("doc_id", "text"), scratch)
+    scratch = Scratch(docs.sparkSession, "exact")
+    return _groups(with_key(docs.select("doc_id", "text"), scratch), scratch)
+
+
+def _groups(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     listed = recipes(keyed, scratch)
     same = listed.groupBy("recipe", "ordinals").agg(F.max(F.struct("doc_id", KEY)).alias("best"), F.count("*").alias("n")).filter("n > 1")
     same = scratch.save(same, "groups").select(F.col("recipe").alias("__r"), F.col("ordinals").alias("__o"), "best", "n")
@@ -80,10 +87,14 @@ def groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all columns of docs; ties and nulls as in groups()."""
+    """The rows of docs that stay, with all columns of docs; ties and nulls as in groups().
+
+    A column by the name of KEY is kept as it is.  Texts are not shuffled: rows go by bitmaps of their places.
+    """
     scratch = Scratch(docs.sparkSession, "exact")
-    keyed = with_key(docs, scratch)
-    gone = scratch.save(groups(keyed, scratch).filter(~F.col("kept")).select(KEY), "gone")
+    own = docs.withColumnRenamed(KEY, f"{KEY}_given")
+    keyed = with_key(own, scratch)
+    gone = _groups(keyed.select(KEY, "doc_id", "text"), scratch).filter(~F.col("kept")).select(KEY)
+    kept = marked(keyed, gone, scratch, "gone", keep=False).drop(KEY).withColumnRenamed(f"{KEY}_given", KEY)
     scratch.drop("recipes", "groups", "clashes", "ordinals")
-    side = small_side(gone, gone.count())
-    return keyed.join(side, KEY, "left_anti").select(*docs.columns)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -10,8 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import exact_dedup, mixing, packing, queries
-from kinfold.scratch import Scratch
+from kinfold.llm import common, exact_dedup, mixing, packing, queries
 
 
 def words(n, seed=0):
@@ -88,10 +87,40 @@ def test_chunks_rebuild_texts_and_survive_insertions(make, spark):
     assert len(a & b) > 0.8 * len(a) and max(map(len, a)) <= exact_dedup.MOST
 
 
+def test_chunks_survive_insertions_in_other_scripts(make, spark):
+    rng = random.Random(3)
+    letters = {"два слова ": "абвгдежзийклмнопрст", "δύο λέξεις ": "αβγδεζηθικλμνξοπρστυ", "文字": "".join(map(chr, range(0x4E00, 0x9000))), "คำ": "".join(map(chr, range(0x0E01, 0x0E2F)))}
+    rows = []
+    for i, (start, chars) in enumerate(letters.items()):
+        blanks = " " * 4 if chars[0] in "аα" else ""
+        text = "".join(rng.choice(chars + blanks) for _ in range(30_000))
+        rows += [(2 * i, text), (2 * i + 1, start + text)]
+    got = {r.doc_id: set(r.c) for r in make(rows).select("doc_id", exact_dedup.chunks(F.col("text")).alias("c")).collect()}
+    for i in range(len(letters)):
+        assert len(got[2 * i] & got[2 * i + 1]) > 0.8 * len(got[2 * i])
+
+
+def test_dedup_by_bitmaps_in_slices_and_with_clashing_names(make, monkeypatch):
+    rows = texts()
+    docs = make(rows, size=common.KEY, digest="__file")
+    wanted = sorted((r.doc_id or -1, r.text or "") for r in exact_dedup.dedup(docs).collect())
+    assert len(wanted) == len({t or "" for _, t in rows})
+    monkeypatch.setattr(common, "BITMAP_BYTES", 4096)  # a broadcast for each file or so
+    kept = exact_dedup.dedup(docs)
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == wanted
+    assert kept.columns == docs.columns and {r[common.KEY] for r in kept.collect()} == {7}
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().toString()
+
+
+def test_mixing_keeps_columns_whose_names_clash(make):
+    docs = make([(i, words(9, i), "a") for i in range(40)], size="mix_size", digest="__copy", kept="__mix_plan", lang="__s")
+    out = mixing.emit(docs)
+    assert out.columns == docs.columns and {(r.mix_size, r["__copy"], r["__mix_plan"], r["__s"]) for r in out.collect()} == {(7, "x", True, "en")}
+
+
 def test_colliding_chunks_are_told_apart(make, spark, monkeypatch):
     monkeypatch.setattr(F, "xxhash64", lambda *c: F.length(c[0]).cast("long"))
-    scratch = Scratch(spark, "t")
-    got = exact_dedup.groups(make([(1, "ab"), (2, "cd"), (3, "ab"), (4, "ef"), (5, "ef")]), scratch).collect()
+    got = exact_dedup.groups(make([(1, "ab"), (2, "cd"), (3, "ab"), (4, "ef"), (5, "ef")])).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 5, 2), (5, 5, 2)]
 
 
