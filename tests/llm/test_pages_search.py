@@ -169,8 +169,8 @@ def near(seed):
     return [(i if i % 97 else None, t) for i, t in enumerate(rows)] + [(3, rows[3]), (3, rows[3])]
 
 
-def test_ngram_join_equals_brute_force(make):
-    rows = near(4)
+def joined_by_hand(rows):
+    """(doc_id, class_id, n_links) of every row, and the number of classes, by comparing all pairs."""
     sets = []
     for _, t in rows:
         w = (t or "").encode().split()
@@ -195,16 +195,54 @@ def test_ngram_join_equals_brute_force(make):
     for i in range(n):
         members.setdefault(find(i), []).append(rows[i][0])
     smallest = {k: min((x for x in v if x is not None), default=None) for k, v in members.items()}
-    key = lambda r: (r[0] is None, r[0] or 0, repr(r[1:]))
-    wanted = sorted(((rows[i][0], smallest[find(i)], links[i]) for i in range(n)), key=key)
+    return sorted(((rows[i][0], smallest[find(i)], links[i]) for i in range(n)), key=by_id), len(members)
+
+
+def by_id(r):
+    return r[0] is None, r[0] or 0, repr(r[1:])
+
+
+@pytest.mark.parametrize("limits", [{}, {"FULL": 6, "WHOLE": 20, "BLOCK": 16}])
+def test_ngram_join_equals_brute_force(make, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = near(4)
+    wanted, classes = joined_by_hand(rows)
     found = ngram_join.groups(make(rows)).collect()
-    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in found), key=key)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in found), key=by_id)
     missed = sum(a != b for a, b in zip(got, wanted, strict=True))
-    assert missed <= 0.01 * n  # the forest's recall is 0.999 at the threshold
-    assert sum(r.stays for r in found) == pytest.approx(len(members), abs=2)
+    assert missed <= 0.01 * len(rows)  # the forest's recall is 0.999 at the threshold
+    assert sum(r.stays for r in found) == pytest.approx(classes, abs=2)
     assert all(r.doc_id == r.class_id for r in found if r.stays)
 
 
+def chain(n):
+    """Texts that share half of their words with the next ones: a chain of candidates, with close copies here and there."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(40 * n + 200)]
+    rows = [(i, " ".join(words[40 * i : 40 * i + 160])) for i in range(n)]
+    return rows + [(n + i, rows[7 * i][1] + " more") for i in range(n // 8)]
+
+
+def test_a_chain_of_candidates_is_verified_by_nodes(make, spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "WHOLE", 20)
+    rows = chain(200)
+    seen = []
+    real = ngram_join._tiles
+    monkeypatch.setattr(ngram_join, "_tiles", lambda wanted, width: seen.append(real(wanted, width)) or seen[-1])
+    found = ngram_join.groups(make(rows)).collect()
+    wanted, _ = joined_by_hand(rows)
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in found), key=by_id) == wanted
+    wide = ngram_join.groups(make(rows), recall=0.999999).collect()  # shorter prefixes, more candidates, the same links
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in wide), key=by_id) == wanted
+
+
+def test_full_nodes_are_deepened_only_while_the_recall_holds():
+    assert ngram_join.prefix_length(0.8, 20, 8, 0.999) == 5 and ngram_join.spare_trees(0.8, 20, 5, 8, 0.999) == 4
+    assert ngram_join.recall_of(0.8, [8] * 4 + [5] * 16) >= 0.999 > ngram_join.recall_of(0.8, [8] * 5 + [5] * 15)
+    assert ngram_join.spare_trees(0.8, 3, 5, 8, 0.999) == 0
+
+
 def test_ngram_join_edges(make):
     assert ngram_join.groups(make([]).filter("doc_id < 0")).count() == 0
     docs = make([(9, "p q r s t u"), (4, "p q r s t u"), (5, None)])
@@ -212,7 +250,7 @@ def test_ngram_join_edges(make):
     assert sorted(r.doc_id for r in kept.collect()) == [4, 5] and kept.columns == docs.columns
     assert ngram_join.prefix_length(0.8, 20, 8, 0.999) == 5
     for length in (1, 5, 8):
-        assert len(ngram_join.prefixes(np.arange(1, 50, dtype=np.uint64), length)) == ngram_join.TREES
+        assert {len(x) for x in ngram_join.signatures(np.arange(1, 50, dtype=np.uint64), length)} == {ngram_join.TREES}
 
 
 def test_tiles_equal_one_block(make, monkeypatch):
