@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import global_rank, n_words, small_side
+from kinfold.llm.common import free, global_rank, n_words, small_side
 from kinfold.scratch import Scratch
 
 #: Draws of each document that a source may choose from, so that it comes nearest to its target.
@@ -26,15 +26,19 @@ def _draws(doc_id: Column, size: Column) -> list[Column]:
     return [F.pmod(a + k * b, F.lit(1 << 32)) for k in range(SEEDS)]
 
 
-def source_plan(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
-    """One row per source: source, source_size, weight, target, rate, seed.
+def sizes_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """source, doc_id and size (words) of each row of docs, saved."""
+    return scratch.save(docs.select("source", "doc_id", n_words(F.col("text")).alias("size")), "sizes")
+
+
+def source_plan(slim: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
+    """One row per source: source, source_size, weight, target, rate, seed; from what sizes_of() gives.
 
     Sources in code point order, null last, get the weights in turn.  Targets share all words by
     weight and stop at ``most`` times a source's size; the excess is shared again by weight.  A
     source without words has target and rate 0.  The seed is the draw (the lowest, in a tie) whose
     sum comes nearest to the target.
     """
-    slim = scratch.save(docs.select("source", "doc_id", n_words(F.col("text")).alias("size")), "sizes")
     stats = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = global_rank(stats, [F.col("source").asc_nulls_last()], "rank", scratch, "ranked")
     cycle = F.array(*map(F.lit, weights))
@@ -57,10 +61,22 @@ def source_plan(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (1
     sums = sums.withColumnRenamed("source", "__s")
     best = plan.join(sums, F.col("source").eqNullSafe(F.col("__s")))
     out = scratch.save(best.select(*plan.columns, F.array_min(F.array(*off))["k"].alias("seed")), "plan")
-    scratch.drop("sizes", "ranked", "weighed", "rates")
+    scratch.drop("ranked", "weighed", "rates")
     return out
 
 
+def _taken(docs: DataFrame, size: Column, plan: DataFrame, most: int) -> DataFrame:
+    """docs with mix_size, mix_copies, mix_source_size and mix_target; columns by those names are replaced."""
+    p = free("__mix_plan", docs)
+    side = plan.select(F.struct("source", "source_size", "target", "rate", "seed").alias(p))
+    chosen = F.element_at(F.array(*_draws(F.col("doc_id"), F.col("mix_size"))), F.col(f"{p}.seed") + 1)
+    rate = F.col(f"{p}.rate")
+    copies = F.least(F.floor(rate) + (chosen < (rate - F.floor(rate)) * float(1 << 32)).cast("long"), F.lit(most))
+    joined = docs.join(small_side(side, plan.count()), F.col("source").eqNullSafe(F.col(f"{p}.source"))).withColumn("mix_size", size)
+    joined = joined.withColumn("mix_copies", copies.cast("int"))
+    return joined.withColumn("mix_source_size", F.col(f"{p}.source_size")).withColumn("mix_target", F.col(f"{p}.target")).drop(p)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
     """docs with columns mix_size, mix_source_size, mix_target, mix_copies: how often each is taken.
 
@@ -70,18 +86,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST)
     replaced.  Reruns agree: draws depend on doc_id and size alone.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    plan = source_plan(docs, scratch, weights, most)
-    side = plan.select(F.col("source").alias("__s"), *(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "rate", "seed")))
-    size = n_words(F.col("text"))
-    chosen = F.element_at(F.array(*_draws(F.col("doc_id"), F.col("mix_size"))), F.col("__seed") + 1)
-    copies = F.least(F.floor("__rate") + (chosen < (F.col("__rate") - F.floor("__rate")) * float(1 << 32)).cast("long"), F.lit(most))
-    joined = docs.join(small_side(side, plan.count()), F.col("source").eqNullSafe(F.col("__s")))
-    joined = joined.withColumn("mix_size", size).withColumn("mix_copies", copies.cast("int"))
-    joined = joined.withColumn("mix_source_size", F.col("__source_size")).withColumn("mix_target", F.col("__target"))
-    return joined.drop("__s", "__source_size", "__target", "__rate", "__seed")
+    return _taken(docs, n_words(F.col("text")), source_plan(sizes_of(docs, scratch), scratch, weights, most), most)
+
+
+def shares(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
+    """As mix(), without the texts, which are read once: doc_id, source and the columns that mix() adds."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    slim = sizes_of(docs, scratch)
+    return _taken(slim, F.col("size"), source_plan(slim, scratch, weights, most), most).drop("size")
 
 
 def emit(docs: DataFrame, **how: object) -> DataFrame:
-    """The mixed collection: each document as often as it is taken, with the columns of docs."""
-    mixed = mix(docs, **how)
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(*docs.columns)
+    """The mixed collection: each document as often as it is taken, with the columns of docs.
+
+    Columns of docs by the names that mix() adds are kept as they are.
+    """
+    own = {c: free(f"{c}_given", docs) for c in docs.columns if c.lower() in ("mix_size", "mix_copies", "mix_source_size", "mix_target")}
+    mixed = mix(docs.withColumnsRenamed(own), **how)
+    copy = free("__mix_copy", mixed)
+    out = mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col("mix_copies"))))
+    return out.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
