@@ -46,7 +46,7 @@ class Digests:
         self.file.write(keys or b"\0" * 8)
         self.file.flush()
         self.keys = np.memmap(self.file, np.uint64, "r", shape=(len(self.rules),)) if self.rules else np.empty(0, np.uint64)
-        self.lengths = sorted({len(p) for _, _, p in self.rules})
+        self.hosts, self.paths = (sorted({len(x[i]) for x in self.rules}) for i in (1, 2))
 
     @staticmethod
     def pack(rules: Sequence[Rule]) -> tuple[bytes, list[tuple[str, str, str]]]:
@@ -66,10 +66,9 @@ class Digests:
         """The longest fitting rule (host and path together; then the longer host) and its verdict."""
         texts: list[tuple[int, str, str]] = []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            tails = [host]
-            while "." in tails[-1]:
-                tails.append(tails[-1].partition(".")[2])
-            texts += [(i, t, path[:n]) for t in tails for n in self.lengths if n <= len(path)]
+            # only parts as long as a rule's are looked up, however long the URL is
+            tails = [host[len(host) - n :] for n in self.hosts if n == len(host) or (n < len(host) and host[len(host) - n - 1] == ".")]
+            texts += [(i, t, path[:n]) for t in tails for n in self.paths if n <= len(path)]
         best: list[tuple[int, int, str, str] | None] = [None] * len(hosts)
         if texts and len(self.keys):
             wanted = np.fromiter((xxhash.xxh64_intdigest(f"{h}\n{p}") for _, h, p in texts), np.uint64, len(texts))
