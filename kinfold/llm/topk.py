@@ -1,7 +1,8 @@
 """Exact search of the k highest inner products.
 
-Queries go to the workers in blocks of bounded size; each task multiplies a block with tiles of its
-shard, selects k per query and tile, and keeps the best k.  The tasks' lists are merged in a tree.
+Queries go to the workers in blocks of bounded size, one after the other; each task multiplies a
+block with tiles of its shard, selects k per query and tile, and keeps the best k.  A block's lists
+are saved and its broadcast ends before the next block starts.  The lists are merged in a tree.
 """
 
 from __future__ import annotations
@@ -17,34 +18,36 @@ from pyspark.sql import functions as F
 
 from kinfold.scratch import Scratch
 
-#: Numbers in a block of queries that is broadcast, and rows of a tile.
-BLOCK_NUMBERS, TILE_ROWS = 1 << 20, 1024
+#: Numbers in a block of queries that is broadcast, and rows of a tile of candidates and of queries.
+BLOCK_NUMBERS, TILE_ROWS, TILE_QUERIES = 1 << 22, 1024, 4096
 LARGEST = 2**63 - 1
 
 
-def scaled_vectors(df: DataFrame, embedding: str = "embedding", scale: int = 64) -> DataFrame:
-    """vec_id and v, the array of scale * x (matrix() rounds it down); without rows whose vector is null or holds a null or non-finite x."""
+def valid_vectors(df: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """vec_id and v, the vector as doubles; without rows whose vector is null or holds a null or non-finite component."""
     x = F.transform(F.col(embedding), lambda e: e.cast("double"))
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    return df.filter(F.col(embedding).isNotNull() & fine).select("vec_id", F.transform(x, lambda e: scale * e).alias("v"))
+    return df.filter(F.col(embedding).isNotNull() & fine).select("vec_id", x.alias("v"))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of a list column, shorter ones padded with zeros."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    lengths, flat = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64), np.floor(column.flatten().to_numpy(zero_copy_only=False))
+    lengths, flat = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
     out = np.zeros((len(column), width))
     out[np.repeat(np.arange(len(column)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return out
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer products: in floating point while all partial sums stay below 2^53, else in Python's integers, held to 64 bits."""
-    bound = (np.abs(q).max(initial=0.0)) * (np.abs(x).max(initial=0.0)) * max(1, q.shape[1])
+def products(q: np.ndarray, x: np.ndarray, scale: int = 64) -> np.ndarray:
+    """Exact inner products of floor(scale * component): in floating point while all partial sums stay below 2^53, else in Python's integers, held to 64 bits."""
+    with np.errstate(over="ignore"):
+        a, b = np.floor(scale * q), np.floor(scale * x)
+        bound = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * max(1, q.shape[1])
     if bound < 2.0**53:
-        return (q @ x.T).astype(np.int64)
-    whole = np.vectorize(int, otypes=[object])
+        return (a @ b.T).astype(np.int64)
+    whole = np.vectorize(lambda e: math.floor(scale * e) if abs(e) < 2.0**53 else scale * int(e), otypes=[object])
     exact = whole(q) @ whole(x).T
     return np.vectorize(lambda s: max(-LARGEST, min(LARGEST, s)), otypes=[np.int64])(exact)
 
@@ -53,7 +56,7 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     """Per row the k highest scores, ties to smaller ids; both arrays have a row for each query."""
     order = np.argsort(ids, axis=1, kind="stable")
     score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    order = np.argsort(~score, axis=1, kind="stable")[:, :k]  # ~ does not overflow
     return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
@@ -82,7 +85,7 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, embedding: str = "embeddi
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "topk")
-    rows = scratch.save(scaled_vectors(df, embedding, scale).withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    rows = scratch.save(valid_vectors(df, embedding).withColumn("uid", F.monotonically_increasing_id()), "vectors")
     asked = rows.filter(F.col("vec_id") % every == 0)
     n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     width = max(width or 0, rows.agg(F.max(F.size("v"))).first()[0] or 0, 1)
@@ -94,16 +97,20 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, embedding: str = "embeddi
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, names, q = sent.value
-            best = np.full((len(q), 0), NONE), np.full((len(q), 0), 0)
+            best = np.full((len(q), k), NONE), np.full((len(q), k), LARGEST)
             for batch in batches:
                 for start in range(0, batch.num_rows, TILE_ROWS):
                     tile = batch.slice(start, TILE_ROWS)
-                    ids = tile["vec_id"].fill_null(LARGEST).to_numpy()
-                    order = np.lexsort((tile["uid"].to_numpy(), ids))
-                    s = products(q, matrix(tile["v"], q.shape[1])[order])
-                    s[own[:, None] == tile["uid"].to_numpy()[order]] = NONE
-                    s, ids = tile_best(s, ids[order], k)
-                    best = best_of(np.hstack([best[0], s]), np.hstack([best[1], ids]), k)
+                    ids, uids = tile["vec_id"].fill_null(LARGEST).to_numpy(), tile["uid"].to_numpy()
+                    order = np.lexsort((uids, ids))
+                    ids, uids, x = ids[order], uids[order], matrix(tile["v"], q.shape[1])[order]
+                    for at in range(0, len(q), TILE_QUERIES):
+                        these = slice(at, at + TILE_QUERIES)
+                        s = products(q[these], x, scale)
+                        s[own[these, None] == uids] = NONE
+                        s, found = tile_best(s, ids, k)
+                        merged = best_of(np.hstack([best[0][these], s]), np.hstack([best[1][these], found]), k)
+                        best[0][these], best[1][these] = merged
             real = best[0] != NONE
             keep = real.any(axis=1)
             counts = real[keep].sum(axis=1)
@@ -112,8 +119,10 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, embedding: str = "embeddi
             yield pa.RecordBatch.from_arrays([pa.array(own[keep], pa.int64()), pa.array(names[keep], pa.int64()), *hits], ["uid", "query_id", "ids", "scores"])
 
         found = rows.select("uid", "vec_id", "v").mapInArrow(score, "uid long, query_id long, ids array<long>, scores array<long>")
+        found = scratch.save(found.withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(64))), f"lists-{b}")
+        sent.destroy()
         lists = found if lists is None else lists.unionByName(found)
-    each = lists.withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(64))).select("uid", "query_id", "shard", F.explode(F.arrays_zip("ids", "scores")).alias("hit"))
+    each = lists.select("uid", "query_id", "shard", F.explode(F.arrays_zip("ids", "scores")).alias("hit"))
     each = each.select("uid", "query_id", "shard", F.col("hit.ids").alias("vec_id"), F.col("hit.scores").alias("score"))
     order = [F.col("score").desc(), F.col("vec_id")]
     for keys in (["uid", "shard"], ["uid"]):  # the merge tree: shards of tasks first, then queries

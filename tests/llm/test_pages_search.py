@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from fractions import Fraction
 
@@ -107,6 +108,21 @@ def test_url_rules_equal_brute_force(spark):
     assert {r.verdict for r in url_filter.filter_urls(df, [], default="block").collect()} == {"block"}
 
 
+def test_long_hosts_cost_no_more_than_rules_do(spark):
+    table = url_filter.Digests(url_filter.Digests.pack(queries.RULES))
+    import pandas as pd
+
+    host = "a." * 200_000 + "example.com"
+    looked_up = []
+    real = url_filter.xxhash.xxh64_intdigest
+    url_filter.xxhash.xxh64_intdigest = lambda s: looked_up.append(len(s)) or real(s)
+    try:
+        assert table.judge(pd.Series([host]), pd.Series(["/en/" + "x" * 100_000])) == (["example.com/en/"], ["block"])
+    finally:
+        url_filter.xxhash.xxh64_intdigest = real
+    assert len(looked_up) <= 12 and max(looked_up) < 40
+
+
 def test_url_digest_collisions_are_confirmed(spark, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: 5)
     table = url_filter.Digests(url_filter.Digests.pack(queries.RULES))
@@ -120,11 +136,11 @@ def test_url_digest_collisions_are_confirmed(spark, monkeypatch):
 
 
 def neighbours(rows, k):
-    valid = [(n, i, np.floor(64 * np.array(v))) for n, (i, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    valid = [(n, i, [math.floor(64 * Fraction(x)) for x in v]) for n, (i, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for n, i, v in valid:
         if i is not None and i % 20 == 0:
-            scores = sorted((-int(sum(Fraction(a) * Fraction(b) for a, b in zip(v, w, strict=False))), j is None, j or 0) for m, j, w in valid if m != n)
+            scores = sorted((-max(-topk.LARGEST, min(topk.LARGEST, sum(a * b for a, b in zip(v, w, strict=False)))), j is None, j or 0) for m, j, w in valid if m != n)
             out += [(i, rank, None if none else j, -s) for rank, (s, none, j) in enumerate(scores[:k], 1)]
     return sorted(out, key=repr)
 
@@ -132,6 +148,7 @@ def neighbours(rows, k):
 def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(150)] + [(200 + i, [1.0] * 8) for i in range(60)]
+    rows += [(310, [1e307] * 8), (311, [-1e307] + [0.5] * 7), (320, [1e-3] * 8)]
     rows += [(300, None), (301, [1.0, None] * 4), (302, [float("nan")] * 8), (303, [float("inf")] + [0.0] * 7), (20, [1.0] * 8), (20, [1.0] * 8), (None, [2.0] * 8), (304, [])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int").repartition(5)
     monkeypatch.setattr(topk, "TILE_ROWS", 32)
@@ -144,8 +161,9 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
 
 
 def test_products_beyond_floating_point():
-    q, x = np.array([[2.0**30, 3.0]]), np.array([[2.0**30, 5.0], [2.0**70, 0.0]])
-    assert topk.products(q, x).tolist() == [[2**60 + 15, topk.LARGEST]]
+    q, x = np.array([[2.0**30, 3.0]]), np.array([[2.0**30, 5.0], [2.0**70, 0.0], [0.0, 1.5e308]])
+    assert topk.products(q, x, 1).tolist() == [[2**60 + 15, topk.LARGEST, topk.LARGEST]]
+    assert topk.products(np.array([[1e307, 0.25]]), np.array([[0.0, 0.5]])).tolist() == [[16 * 32]]
 
 
 def near(seed):
