@@ -55,6 +55,9 @@ NOT_TEXT_NAMES = frozenset(
     "global-footer global-header main-footer main-header page-footer site-footer site-header login-form newsletter-form newsletter-signup search-box search-form searchform signup-form subscribe-form related-articles related-links related-posts recommended-posts "
     "share-bar share-buttons share-links sharing-buttons social-buttons social-icons social-links social-share sidebar-widget widget-area".split()
 )
+# Parts of an article that get their id from their heading: inside an article it tells nothing; headings are never marked there.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMED_BY_HEADING = HEADINGS | frozenset("section p figure table blockquote li dt dd".split())
 # Of these, what an article has as its own: its head, a warning in its text.
 IN_ARTICLE = frozenset("header main-header alert notice discussion".split())
 # An element that holds all of a page's article and main elements is never marked; one that holds some is, by these alone.
@@ -73,13 +76,13 @@ def _marks_not_text(tag: str, attrs: str, in_main: bool, holds_some: bool) -> bo
     """Whether an element is none of the article, and so all inside it."""
     if tag in NEVER_MAIN or (not holds_some and (tag in NOT_TEXT or (tag == "header" and not in_main))):
         return True
-    if not attrs or tag in MAIN or tag in ("html", "body"):
+    if not attrs or tag in MAIN or tag in ("html", "body") or (in_main and tag in HEADINGS):
         return False
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if not holds_some and (name == "hidden" or (name == "style" and "display:none" in value.replace(" ", ""))):
             return True
-        if name in ("class", "id", "role"):
+        if name in ("class", "id", "role") and not (name == "id" and in_main and tag in NAMED_BY_HEADING):
             names = (LISTS if holds_some else NOT_TEXT_NAMES).intersection(value.replace("_", "-").split())
             if names - IN_ARTICLE if in_main else names:
                 return True

@@ -75,6 +75,73 @@ def test_neighbours_lie_beyond_copies_and_range_edges(spark):
         assert got == {i: "\n".join(x) for i, x in enumerate(bodies)} | {90: "Menu\nalone\nImprint"}
 
 
+def test_ids_of_headings_do_not_mark_inside_an_article():
+    page = '<article><h2 id="menu" class="related">The menu</h2><section id="related-work"><p id="notice">Work</p></section><section id="related"><h3 class="ad">Kin</h3></section><div class="related">No</div></article>'
+    assert extract(lines_of(page), []) == "The menu\nWork\nKin"
+
+
+def by_hand(rows):
+    """Texts by a plain statement of the rule: LCS by a full table with the NEAR other contents on each side."""
+    from urllib.parse import urlsplit
+
+    def marks(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+        out, i, j = [False] * len(a), 0, 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out[i] = True
+                i, j = i + 1, j + 1
+            elif t[i + 1][j] >= t[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    hosts = {}
+    for i, url, page in rows:
+        hosts.setdefault(urlsplit(url).netloc, []).append((urlsplit(url).path, url, i, [x for x in lines_of(page) if x.kind != "not"]))
+    found = {}
+    for pages in hosts.values():
+        pages.sort(key=lambda p: p[:3])
+        for at, (_, _, i, own) in enumerate(pages):
+            others = []
+            for side in (pages[:at][::-1], pages[at + 1 :]):
+                near = []
+                for *_, lines in side:
+                    if lines != own and lines not in near and len(near) < html_extract.NEAR:
+                        near.append(lines)
+                others += near
+            mine = [x.text for x in own]
+            shares = [m for m in (marks(mine, [x.text for x in o]) for o in others if [x.text for x in o] != mine)]
+            if len(shares) < 3:
+                shares = [m for m in shares if not all(m)]
+            keep = [x.kind == "main" or 2 * sum(m[k] for m in shares) <= len(shares) or not shares for k, x in enumerate(own)]
+            found[i] = "\n".join(x.text for x, k in zip(own, keep, strict=True) if k)
+    return found
+
+
+def test_pages_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        host = rng.choice(["a.b", "c.d", "e.f", "alone.x" if i == 7 else "a.b"])
+        body = [f"<p>{host} menu</p>", f"<div>{host} top {rng.randrange(2)}</div>"] + [f"<p>body {rng.randrange(40)} of page</p>" for _ in range(rng.randint(0, 5))] + [f"<p>{host} imprint</p>"]
+        if rng.random() < 0.5:
+            body.insert(2, f"<article><h1>t {rng.randrange(30)}</h1><p>{host} imprint</p></article>")
+        rows.append((i, f"http://{host}/{rng.randrange(60):03}", "".join(body)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert got == by_hand(rows)
+
+
 def test_pages(spark):
     rows = [(1, "http://a.b/x/1", PAGE), (2, "http://a.b/x/2", PAGE), (3, None, None), (4, "no scheme", ""), (5, "http://a.b/y", "<p>" + "long " * 200_000), (1, "http://a.b/x/1", PAGE), (None, "http://c/", "<!-- never closed <p>x")]
     df = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, text string, host int")
