@@ -9,101 +9,99 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.text import collapse, strip, title
 
-# Skill aliases, one canonical name a line with the spellings that mean it.
-SKILLS = """
-AWS: aws, amazon web services
-Anaconda: anaconda
-Android Studio: android studio
-Angular: angularjs
-Azure: azure, microsoft azure
-Bitbucket: bitbucket
-Bootstrap: bootstrap
-C#: c#, csharp
-C++: c++, cplusplus
-CI/CD: ci/cd, cicd
-CSS: css
-CSS3: css3
-Computer Vision: computer vision, cv
-Deep Learning: deep learning, dl
-Django: django
-Docker: docker
-Firebase: firebase
-Flutter: flutter
-GCP: gcp, google cloud, google cloud platform
-Git: git
-GitHub: github
-GitLab: gitlab
-Go: golang, go lang
-HTML: html
-HTML5: html5
-JavaScript: javascript, js, es6, ecmascript
-Keras: keras
-Kotlin: kotlin
-Kubernetes: kubernetes, k8s
-Machine Learning: machine learning, ml
-MongoDB: mongo, mongodb
-MySQL: mysql
-NLP: nlp, natural language processing
-Node.js: node, nodejs, node.js
-NumPy: numpy
-Pandas: pandas
-PostgreSQL: postgres, postgresql
-PyTorch: pytorch, torch
-Python: python3, py, python 3
-React: reactjs, react.js
-React Native: react native
-Ruby on Rails: ruby on rails, ror
-SQL Server: mssql, ms sql
-Swift: swift
-TensorFlow: tensorflow, tf
-TypeScript: typescript, ts
-Vue.js: vuejs, vue
-scikit-learn: scikit-learn, sklearn
-"""
-# Country names, one ISO 3166 code a line.
-COUNTRIES = """
-AE: uae, united arab emirates
-AT: austria
-AU: australia
-BR: brazil
-CA: canada
-CH: switzerland
-CN: china
-DE: germany, deutschland
-DK: denmark
-ES: spain
-FI: finland
-FR: france
-GB: united kingdom, uk, great britain, england
-IE: ireland
-IL: israel
-IN: india
-IT: italy
-JP: japan
-KR: south korea, korea
-MX: mexico
-NL: netherlands, holland
-NO: norway
-NZ: new zealand
-PT: portugal
-SE: sweden
-SG: singapore
-US: united states, usa, us, u.s., u.s.a., america
-"""
+# Skills, with the spellings that mean each.
+SKILLS = {
+    "AWS": ["aws", "amazon web services"],
+    "Anaconda": ["anaconda"],
+    "Android Studio": ["android studio"],
+    "Angular": ["angularjs"],
+    "Azure": ["azure", "microsoft azure"],
+    "Bitbucket": ["bitbucket"],
+    "Bootstrap": ["bootstrap"],
+    "C#": ["c#", "csharp"],
+    "C++": ["c++", "cplusplus"],
+    "CI/CD": ["ci/cd", "cicd"],
+    "CSS": ["css"],
+    "CSS3": ["css3"],
+    "Computer Vision": ["computer vision", "cv"],
+    "Deep Learning": ["deep learning", "dl"],
+    "Django": ["django"],
+    "Docker": ["docker"],
+    "Firebase": ["firebase"],
+    "Flutter": ["flutter"],
+    "GCP": ["gcp", "google cloud", "google cloud platform"],
+    "Git": ["git"],
+    "GitHub": ["github"],
+    "GitLab": ["gitlab"],
+    "Go": ["golang", "go lang"],
+    "HTML": ["html"],
+    "HTML5": ["html5"],
+    "JavaScript": ["javascript", "js", "es6", "ecmascript"],
+    "Keras": ["keras"],
+    "Kotlin": ["kotlin"],
+    "Kubernetes": ["kubernetes", "k8s"],
+    "Machine Learning": ["machine learning", "ml"],
+    "MongoDB": ["mongo", "mongodb"],
+    "MySQL": ["mysql"],
+    "NLP": ["nlp", "natural language processing"],
+    "Node.js": ["node", "nodejs", "node.js"],
+    "NumPy": ["numpy"],
+    "Pandas": ["pandas"],
+    "PostgreSQL": ["postgres", "postgresql"],
+    "PyTorch": ["pytorch", "torch"],
+    "Python": ["python3", "py", "python 3"],
+    "React": ["reactjs", "react.js"],
+    "React Native": ["react native"],
+    "Ruby on Rails": ["ruby on rails", "ror"],
+    "SQL Server": ["mssql", "ms sql"],
+    "Swift": ["swift"],
+    "TensorFlow": ["tensorflow", "tf"],
+    "TypeScript": ["typescript", "ts"],
+    "Vue.js": ["vuejs", "vue"],
+    "scikit-learn": ["scikit-learn", "sklearn"],
+}
+# ISO 3166 codes, with the names that mean each.
+COUNTRIES = {
+    "AE": ["uae", "united arab emirates"],
+    "AT": ["austria"],
+    "AU": ["australia"],
+    "BR": ["brazil"],
+    "CA": ["canada"],
+    "CH": ["switzerland"],
+    "CN": ["china"],
+    "DE": ["germany", "deutschland"],
+    "DK": ["denmark"],
+    "ES": ["spain"],
+    "FI": ["finland"],
+    "FR": ["france"],
+    "GB": ["united kingdom", "uk", "great britain", "england"],
+    "IE": ["ireland"],
+    "IL": ["israel"],
+    "IN": ["india"],
+    "IT": ["italy"],
+    "JP": ["japan"],
+    "KR": ["south korea", "korea"],
+    "MX": ["mexico"],
+    "NL": ["netherlands", "holland"],
+    "NO": ["norway"],
+    "NZ": ["new zealand"],
+    "PT": ["portugal"],
+    "SE": ["sweden"],
+    "SG": ["singapore"],
+    "US": ["united states", "usa", "us", "u.s.", "u.s.a.", "america"],
+}
 # Months, and words for a date that is open.
-MONTHS = "january february march april may june july august september october november december"
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 OPEN_DATES = ("present", "current", "now", "ongoing", "—", "-", "")
 
 
-def table(text: str) -> dict[str, str]:
-    """alias -> canonical name of a table above."""
-    lines = (line.split(": ", 1) for line in text.strip().splitlines())
-    return {alias.strip(): name for name, aliases in lines for alias in aliases.split(",")}
+def meanings(spellings: dict[str, list[str]]) -> dict[str, str]:
+    """What each spelling means."""
+    return {spelling: name for name, all_of_it in spellings.items() for spelling in all_of_it}
 
 
 def month_numbers() -> dict[str, str]:
-    names = MONTHS.split()
-    return {key: f"{i:02d}" for i, name in enumerate(names, 1) for key in (name, name[:3])}
+    return {key: f"{i:02d}" for i, name in enumerate(MONTHS, 1) for key in (name, name[:3])}
 
 
 def literal_map(entries: dict[str, str]) -> Column:
@@ -149,7 +147,7 @@ def date(raw: Column) -> Column:
 def skill(raw: Column) -> Column:
     """The canonical name, or the text in title case; null gives an empty string."""
     s = strip(raw)
-    return F.coalesce(F.try_element_at(literal_map(table(SKILLS)), F.lower(s)), title(s), F.lit(""))
+    return F.coalesce(F.try_element_at(literal_map(meanings(SKILLS)), F.lower(s)), title(s), F.lit(""))
 
 
 def skills(raw: Column) -> Column:
@@ -160,7 +158,7 @@ def skills(raw: Column) -> Column:
 def country(raw: Column) -> Column:
     """ISO 3166 alpha-2 of a known name, or any two letters in capitals; "remote" is no country."""
     s = strip(raw)
-    return F.coalesce(F.try_element_at(literal_map(table(COUNTRIES)), F.lower(s)), F.when(s.rlike(r"^[A-Za-z]{2}$"), F.upper(s)))
+    return F.coalesce(F.try_element_at(literal_map(meanings(COUNTRIES)), F.lower(s)), F.when(s.rlike(r"^[A-Za-z]{2}$"), F.upper(s)))
 
 
 def email(raw: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.functions.normalize import COUNTRIES, OPEN_DATES, SKILLS, month_numbers, table
+from kinfold.functions.normalize import COUNTRIES, OPEN_DATES, SKILLS, meanings, month_numbers
 
 #: Raw values by table: query -> (table, key, expression).
 RAW = {
@@ -79,9 +79,9 @@ ORACLE_SQL: dict[str, str] = {
     "norm_name": f"""
       SELECT id, raw, CASE WHEN length(n) >= 2 THEN {_title("n")} END AS name FROM (SELECT id, raw, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS n FROM {_raw("norm_name")})""",
     "norm_skill": f"""
-      SELECT id, raw, coalesce({_case("lower(trim(raw))", table(SKILLS))}, {_title("trim(raw)")}) AS skill FROM {_raw("norm_skill")}""",
+      SELECT id, raw, coalesce({_case("lower(trim(raw))", meanings(SKILLS))}, {_title("trim(raw)")}) AS skill FROM {_raw("norm_skill")}""",
     "norm_country": f"""
-      SELECT id, raw, coalesce({_case("lower(trim(raw))", table(COUNTRIES))}, CASE WHEN regexp_full_match(trim(raw), '[A-Za-z]{{2}}') THEN upper(trim(raw)) END) AS country FROM {_raw("norm_country")}""",
+      SELECT id, raw, coalesce({_case("lower(trim(raw))", meanings(COUNTRIES))}, CASE WHEN regexp_full_match(trim(raw), '[A-Za-z]{{2}}') THEN upper(trim(raw)) END) AS country FROM {_raw("norm_country")}""",
     "norm_date": f"""
       WITH s AS (SELECT id, raw, trim(raw) AS s FROM {_raw("norm_date")}),
       g AS (SELECT *, regexp_extract(s, '^(\\d{{4}})[/.-](\\d{{1,2}})$', ['y', 'm']) AS a, regexp_extract(s, '^(\\d{{1,2}})[/.-](\\d{{4}})$', ['m', 'y']) AS b,

@@ -12,46 +12,42 @@ from kinfold.functions import normalize, text
 from kinfold.schema import EDUCATION, EXPERIENCE, FIELDS, LINKS, LOCATION, empty, filled, provenance, share
 
 # Paths of each value, tried in order; "firstName+lastName" joins the two.
-PATHS = """
-full_name: applicant.fullName, applicant.name, candidate.fullName, candidate.name, person.displayName, person.name, firstName+lastName, name, full_name, fullName, displayName
-email: applicant.email, applicant.emailAddress, candidate.email, candidate.emailAddress, contact.email, person.email, email, emailAddress, email_address
-phone: applicant.phone, applicant.phoneNumber, candidate.phone, candidate.phoneNumber, contact.phone, person.phone, phone, phoneNumber, phone_number, mobile, mobilePhone
-linkedin: applicant.linkedinUrl, candidate.linkedinUrl, social.linkedin, links.linkedin, linkedinUrl, linkedin_url, linkedin
-github: applicant.githubUrl, candidate.githubUrl, social.github, links.github, githubUrl, github_url, github
-headline: applicant.headline, candidate.headline, applicant.summary, candidate.summary, applicant.bio, profile.summary, headline, summary, bio, about
-years_experience: applicant.yearsOfExperience, candidate.yearsOfExperience, yearsOfExperience, years_of_experience, experience_years, totalExperience, total_experience
-skills: applicant.skills, candidate.skills, profile.skills, skills, skillSet, skill_set, technologies, techStack
-experience: applicant.workHistory, candidate.workHistory, applicant.experience, candidate.experience, workHistory, work_history, employmentHistory, employment_history, experience, positions
-education: applicant.education, candidate.education, education, educationHistory, education_history, schoolHistory
-city: applicant.location.city, candidate.location.city, location.city, address.city, city
-country: applicant.location.country, candidate.location.country, location.country, address.country, country
-region: applicant.location.state, candidate.location.state, location.state, location.region, address.state, state, region
-id: applicant.id, candidate.id, applicantId, candidateId, id, _id
-first_name: applicant.firstName, candidate.firstName, firstName, first_name
-last_name: applicant.lastName, candidate.lastName, lastName, last_name
-"""
+PATHS = {
+    "full_name": ["applicant.fullName", "applicant.name", "candidate.fullName", "candidate.name", "person.displayName", "person.name", "firstName+lastName", "name", "full_name", "fullName", "displayName"],
+    "email": ["applicant.email", "applicant.emailAddress", "candidate.email", "candidate.emailAddress", "contact.email", "person.email", "email", "emailAddress", "email_address"],
+    "phone": ["applicant.phone", "applicant.phoneNumber", "candidate.phone", "candidate.phoneNumber", "contact.phone", "person.phone", "phone", "phoneNumber", "phone_number", "mobile", "mobilePhone"],
+    "linkedin": ["applicant.linkedinUrl", "candidate.linkedinUrl", "social.linkedin", "links.linkedin", "linkedinUrl", "linkedin_url", "linkedin"],
+    "github": ["applicant.githubUrl", "candidate.githubUrl", "social.github", "links.github", "githubUrl", "github_url", "github"],
+    "headline": ["applicant.headline", "candidate.headline", "applicant.summary", "candidate.summary", "applicant.bio", "profile.summary", "headline", "summary", "bio", "about"],
+    "years_experience": ["applicant.yearsOfExperience", "candidate.yearsOfExperience", "yearsOfExperience", "years_of_experience", "experience_years", "totalExperience", "total_experience"],
+    "skills": ["applicant.skills", "candidate.skills", "profile.skills", "skills", "skillSet", "skill_set", "technologies", "techStack"],
+    "experience": ["applicant.workHistory", "candidate.workHistory", "applicant.experience", "candidate.experience", "workHistory", "work_history", "employmentHistory", "employment_history", "experience", "positions"],
+    "education": ["applicant.education", "candidate.education", "education", "educationHistory", "education_history", "schoolHistory"],
+    "city": ["applicant.location.city", "candidate.location.city", "location.city", "address.city", "city"],
+    "country": ["applicant.location.country", "candidate.location.country", "location.country", "address.country", "country"],
+    "region": ["applicant.location.state", "candidate.location.state", "location.state", "location.region", "address.state", "state", "region"],
+    "id": ["applicant.id", "candidate.id", "applicantId", "candidateId", "id", "_id"],
+    "first_name": ["applicant.firstName", "candidate.firstName", "firstName", "first_name"],
+    "last_name": ["applicant.lastName", "candidate.lastName", "lastName", "last_name"],
+}
 # Keys under which an export wraps its list, and the names of the parts of list items.
 WRAPPERS = ("candidates", "applicants", "results", "data", "records")
-ITEM_KEYS = """
-company: company, employer, organization, companyName
-title: title, jobTitle, position, role
-start: startDate, start_date, from, startYear
-end: endDate, end_date, to, endYear
-summary: description, summary, responsibilities
-institution: institution, school, university, college, name
-degree: degree, qualification
-field: field, fieldOfStudy, major
-end_year: endYear, graduationYear, end_year
-skill: name, skill, label
-"""
+ITEM_KEYS = {
+    "company": ["company", "employer", "organization", "companyName"],
+    "title": ["title", "jobTitle", "position", "role"],
+    "start": ["startDate", "start_date", "from", "startYear"],
+    "end": ["endDate", "end_date", "to", "endYear"],
+    "summary": ["description", "summary", "responsibilities"],
+    "institution": ["institution", "school", "university", "college", "name"],
+    "degree": ["degree", "qualification"],
+    "field": ["field", "fieldOfStudy", "major"],
+    "end_year": ["endYear", "graduationYear", "end_year"],
+    "skill": ["name", "skill", "label"],
+}
 SOURCE = "ats_json"
 SKILL_CONFIDENCE = 0.85
 
 
-def _lists(block: str) -> dict[str, list[str]]:
-    return {k: [x.strip() for x in v.split(",")] for k, v in (line.split(": ", 1) for line in block.strip().splitlines())}
-
-
 def at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, "$" + "".join(f"['{p}']" for p in path.split(".")), "variant")
 
@@ -64,7 +60,7 @@ def json_of(v: Column) -> Column:
 def probe(v: Column, field: str) -> Column:
     """The first value along the field's paths that is not null, "" or []; no other is tried should it prove unusable."""
     found = []
-    for path in _lists(PATHS)[field]:
+    for path in PATHS[field]:
         if "+" in path:
             first, last = (F.coalesce(as_text(probe(v, n)), F.lit("")) for n in ("first_name", "last_name"))
             joined = F.struct(text.text_or_null(F.concat_ws(" ", first, last)).alias("n"))
@@ -76,7 +72,7 @@ def probe(v: Column, field: str) -> Column:
 
 def either(v: Column, part: str) -> Column:
     """The first truthy value under an item's names of a part, as text."""
-    values = F.array(*(at(v, key) for key in _lists(ITEM_KEYS)[part]))
+    values = F.array(*(at(v, key) for key in ITEM_KEYS[part]))
     truthy = F.filter(values, lambda x: ~json_of(x).isin("null", '""', "[]", "{}", "0", "0.0", "false"))
     return F.get(F.transform(F.slice(truthy, 1, 1), as_text), F.lit(0))
 
@@ -122,7 +118,7 @@ def skill_texts(v: Column) -> Column:
 def profiles(records: DataFrame, stem: str) -> DataFrame:
     """One profile per object of records (v variant, pos its index in the export)."""
     got = records.filter(is_object(F.col("v")))
-    got = got.select("pos", *(probe(F.col("v"), f).alias(f) for f in _lists(PATHS) if f not in ("first_name", "last_name")))
+    got = got.select("pos", *(probe(F.col("v"), f).alias(f) for f in PATHS if f not in ("first_name", "last_name")))
     v = {c: F.col(c) for c in got.columns}
     job = lambda x: F.struct(*(F.coalesce(either(x, p), F.lit("")).alias(p) for p in ("company", "title")), *(normalize.date(either(x, p)).alias(p) for p in ("start", "end")), either(x, "summary").alias("summary"))
     year = lambda x: F.when(F.substring(either(x, "end_year"), 1, 4).rlike(r"^\s*[+-]?\d+\s*$"), F.trim(F.substring(either(x, "end_year"), 1, 4)).try_cast("int"))

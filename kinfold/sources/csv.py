@@ -10,28 +10,28 @@ from pyspark.sql import functions as F
 from kinfold.functions import normalize, text
 from kinfold.schema import FIELDS, LINKS, LOCATION, as_list, empty, filled, provenance, share
 
-# Header spellings, one canonical column a line.
-HEADERS = """
-full_name: name, full_name, candidate_name, fullname, candidate
-email: email, email_address
-phone: phone, phone_number, mobile, tel
-current_company: current_company, company, employer, organization
-title: title, job_title, current_title, position, role
-location: location
-city: city
-country: country
-region: region, state
-linkedin: linkedin, linkedin_url, linkedin_profile
-github: github, github_url, github_profile
-skills: skills, skill_set, technologies, tech_stack, expertise
-years_experience: years_experience, years, experience_years
-education: education
-degree: degree
-school: school, university, institution
-headline: headline, summary, bio
-notes: notes
-id: id, candidate_id
-"""
+# Columns, with the header spellings that mean each.
+HEADERS = {
+    "full_name": ["name", "full_name", "candidate_name", "fullname", "candidate"],
+    "email": ["email", "email_address"],
+    "phone": ["phone", "phone_number", "mobile", "tel"],
+    "current_company": ["current_company", "company", "employer", "organization"],
+    "title": ["title", "job_title", "current_title", "position", "role"],
+    "location": ["location"],
+    "city": ["city"],
+    "country": ["country"],
+    "region": ["region", "state"],
+    "linkedin": ["linkedin", "linkedin_url", "linkedin_profile"],
+    "github": ["github", "github_url", "github_profile"],
+    "skills": ["skills", "skill_set", "technologies", "tech_stack", "expertise"],
+    "years_experience": ["years_experience", "years", "experience_years"],
+    "education": ["education"],
+    "degree": ["degree"],
+    "school": ["school", "university", "institution"],
+    "headline": ["headline", "summary", "bio"],
+    "notes": ["notes"],
+    "id": ["id", "candidate_id"],
+}
 SOURCE = "csv"
 SKILL_CONFIDENCE = 0.9
 NOTES_CHARS = 200
@@ -43,7 +43,7 @@ def header_name(raw: str) -> str:
 
 def mapped(columns: list[str]) -> dict[str, Column]:
     """For each canonical column the first non-empty value, in the header's order; null where no header means it."""
-    known, values = normalize.table(HEADERS), {}
+    known, values = normalize.meanings(HEADERS), {}
     for column in columns:
         if (canonical := known.get(header_name(column))) is not None:
             values.setdefault(canonical, []).append(text.text_or_null(F.col(f"`{column}`")))
