@@ -1,15 +1,16 @@
-"""kinfold INPUT[:kind]... --config NAME_OR_FILE [--output FILE]"""
+"""kinfold INPUT[:kind]... --config NAME_OR_FILE [--output FILE | --output-folder FOLDER]"""
 
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
 
 from pyspark.sql import SparkSession
 
 from kinfold.plans import config as configs
 from kinfold.plans import pipeline
-from kinfold.sources.inputs import Input
+from kinfold.sources.inputs import Input, read_all
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -18,6 +19,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("inputs", nargs="+", help="path or URL, with :kind where it does not tell")
     parser.add_argument("--config", default="default", help="default, custom or a JSON file")
     parser.add_argument("--output", help="file for the JSON array; standard output otherwise")
+    parser.add_argument("--output-folder", help="folder for JSON lines, written by the workers")
     parser.add_argument("--as-of-year", type=int, help="year up to which resumes' experience counts")
     args = parser.parse_args(argv)
     try:
@@ -26,15 +28,17 @@ def main(argv: list[str] | None = None) -> int:
         print(error, file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("kinfold").getOrCreate()
-    records, extracted = pipeline.run(spark, [Input.parse(x) for x in args.inputs], config, args.as_of_year)
+    extracted = read_all(spark, [Input.parse(x) for x in args.inputs], args.as_of_year)
+    records = pipeline.canonical(extracted.profiles)
     for path, reason in extracted.skipped:
         print(f"skipped {path}: {reason}", file=sys.stderr)
-    text = pipeline.to_json(records, config)
-    if args.output:
-        with open(args.output, "w", encoding="utf-8") as file:
-            file.write(text + "\n")
-    else:
-        print(text)
+    if args.output_folder:
+        pipeline.write_json(records, config, args.output_folder)
+        return 0
+    with open(args.output, "w", encoding="utf-8") if args.output else contextlib.nullcontext(sys.stdout) as file:
+        for piece in pipeline.json_array(records, config):
+            file.write(piece)
+        file.write("\n")
     return 0
 
 

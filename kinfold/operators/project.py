@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -13,6 +14,7 @@ from kinfold.functions.normalize import NORMALIZERS
 from kinfold.plans.config import ConfigError, checked
 from kinfold.schema import PROFILE
 
+# Fixed value: the grammar of an indexed path segment.
 INDEXED = re.compile(r"^([A-Za-z_][A-Za-z0-9_]*)\[(\d*)\]$")
 Typed = tuple[Column, T.DataType] | None  # None: the path leads nowhere in the schema
 
@@ -78,7 +80,8 @@ def coerced(value: Column, kind: T.DataType, to: str) -> tuple[Column, T.DataTyp
         value, kind = F.get(value, F.lit(0)), kind.elementType
     nested = isinstance(kind, T.StructType | T.ArrayType)
     if to == "string":
-        return (value, kind) if isinstance(kind, T.StringType) or nested else (value.cast("string"), T.StringType())
+        text = F.to_json(value, {"ignoreNullFields": "false"}) if nested else value.cast("string")
+        return (value, kind) if isinstance(kind, T.StringType) else (text, T.StringType())
     if to == "number":
         if nested:
             return F.lit(None).cast("double"), T.DoubleType()
@@ -112,10 +115,11 @@ def _columns(tree: dict) -> list[Column]:
     return [(F.struct(*_columns(v)) if isinstance(v, dict) else v).alias(k) for k, v in tree.items()]
 
 
-def compile_config(config: dict, schema: T.StructType = PROFILE) -> tuple[list[Column], Column]:
-    """Output columns, and the condition under which a record has all that it must have."""
+def _tree(config: dict, schema: T.StructType) -> tuple[dict, Column, set[str]]:
+    """Output values by nested name, the condition under which a record has all that it must have, and the paths of numbers."""
     checked(config)
     tree: dict = {}
+    numbers = {e["path"] for e in config["fields"] if e.get("type") == "number"}
     keep = F.lit(True)
     for entry in config["fields"]:
         found = resolve(entry.get("from", entry["path"]), schema)
@@ -129,9 +133,42 @@ def compile_config(config: dict, schema: T.StructType = PROFILE) -> tuple[list[C
         tree["overall_confidence"] = F.col("overall_confidence")
     if config.get("include_provenance"):
         tree["provenance"] = F.col("provenance")
+    return tree, keep, numbers
+
+
+def compile_config(config: dict, schema: T.StructType = PROFILE) -> tuple[list[Column], Column]:
+    """Output columns, and the condition under which a record has all that it must have."""
+    tree, keep, _ = _tree(config, schema)
     return _columns(tree), keep
 
 
+def _json(value: Column, whole: bool) -> Column:
+    """The JSON text of a value, null where it is null; whole numbers without a fraction if asked for."""
+    text = F.regexp_extract(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)
+    if whole:
+        text = F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("long").cast("string")).otherwise(text)
+    return F.when(value.isNotNull(), text)
+
+
+def json_rows(canonical: DataFrame, config: dict) -> DataFrame:
+    """ord and json, the text of each record in the shape of the configuration; keys of missing values are left out under "omit"."""
+    tree, keep, numbers = _tree(config, PROFILE)
+    omit = config.get("on_missing") == "omit"
+    configured = {e["path"] for e in config["fields"]}
+
+    def rendered(part: dict, path: str) -> Column:
+        members = []
+        for name, value in part.items():
+            here = f"{path}.{name}" if path else name
+            text = rendered(value, here) if isinstance(value, dict) else _json(value, here in numbers)
+            always = not omit or not (isinstance(value, dict) or here in configured)
+            members.append(F.concat(F.lit(json.dumps(name) + ": "), F.coalesce(text, F.lit("null")) if always else text))
+        inner = F.concat_ws(", ", *members)
+        return F.when((inner != "") | F.lit(not omit or not path), F.concat(F.lit("{"), inner, F.lit("}")))
+
+    return canonical.filter(keep).select("ord", rendered(tree, "").alias("json"))
+
+
 def project(canonical: DataFrame, config: dict) -> DataFrame:
     """Records in the shape of the configuration; those without a required field are left out.
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.operators.components import counted_side
 from kinfold.schema import EDUCATION, EXPERIENCE, FIELDS, LINKS, LOCATION, PROVENANCE, SKILL, empty, filled, source_tag
+from kinfold.scratch import Scratch
 
 # Sources by priority among equal confidences, and those whose ids are preferred.
 PRIORITY = ("ats_json", "csv", "github")
@@ -124,10 +126,13 @@ def merged_education(members: DataFrame) -> DataFrame:
     """Schools in the order in which they first occur, the entries of each folded."""
     one = members.select("label", "ord", "src", F.posexplode("education").alias("pos", "e"))
     one = one.withColumn("school", F.lower(F.trim(F.coalesce("e.institution", F.lit(""))))).filter("school <> ''")
-    once = one.groupBy("label", "school", "e").agg(F.min(F.struct("ord", "pos", "src")).alias("at"))  # a repeated entry changes nothing
     level = F.lower(F.get(F.split(F.trim(F.coalesce("e.degree", F.lit(""))), r"\s+"), F.lit(0)))
     rich = text_there(F.col("e.degree")).cast("int") + text_there(F.col("e.field")).cast("int") + F.coalesce(F.col("e.end_year") != 0, F.lit(False)).cast("int")
-    items = once.withColumns({"level": level, "rich": rich}).groupBy("label", "school").agg(F.array_sort(F.collect_list(F.struct("at", "level", "rich", "e"))).alias("items"))
+    one = one.withColumns({"level": level, "rich": rich, "at": F.struct("ord", "pos", "src")})
+    # Between the first entries of each richness a repeated entry changes nothing: slots change hands there only.
+    marks = one.groupBy("label", "school").agg(*(F.min(F.when(F.col("rich") >= k, F.col("at"))).alias(f"from{k}") for k in (1, 2, 3)))
+    epoch = sum(F.coalesce(F.col("at") >= F.col(f"from{k}"), F.lit(False)).cast("int") for k in (1, 2, 3))
+    items = one.join(marks, ["label", "school"]).groupBy("label", "school", "level", "rich", "e", epoch.alias("epoch")).agg(F.min("at").alias("at")).groupBy("label", "school").agg(F.array_sort(F.collect_list(F.struct("at", "level", "rich", "e"))).alias("items"))
     folded = items.select("label", F.get("items", F.lit(0))["at"].alias("first"), fold_school(F.col("items")).alias("kept"))
     listed = folded.groupBy("label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "kept"))), lambda s: s["kept"])).alias("l"))
     return listed.select("label", F.transform("l", lambda i: i["e"]).cast(f"array<{EDUCATION}>").alias("education"), entries("education", F.transform("l", lambda i: i["at"]["src"]), "merged").alias("p_education"))
@@ -141,14 +146,18 @@ def confidence(mean: Column, n: Column) -> Column:
     return F.when(count == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), blend), 3))
 
 
-def merge(clustered: DataFrame) -> DataFrame:
-    """One canonical record per label (kept as ord), from profiles with label."""
+def merge(clustered: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """One canonical record per label (kept as ord), from profiles with label.
+
+    Only records that share a label are saved again, once for all that is gathered from them.
+    """
+    scratch = scratch or Scratch(clustered.sparkSession, "merge")
     members = clustered.withColumn("src", source_tag())
-    sizes = members.groupBy("label").agg(F.count("*").alias("size"))
-    members = members.join(sizes, "label")
-    single = members.filter("size = 1")
+    shared = members.filter(F.col("label") != F.col("ord")).select("label").distinct()
+    side = counted_side(scratch.save(shared, "shared-labels"))
+    many = scratch.save(members.join(side, "label", "left_semi"), "members")
+    single = members.join(side, "label", "left_anti")
     single = single.withColumn("overall_confidence", confidence(F.col("overall_confidence"), F.lit(1))).select(F.col("label").alias("ord"), *FIELDS)
-    many = members.filter("size > 1").drop("size")
     parts = [union_of(many, "emails", "direct"), union_of(many, "phones", "normalized"), other_links(many), merged_skills(many), merged_experience(many), merged_education(many)]
     wide = winners(many)
     for part in parts:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import normalize, text
 from kinfold.operators import matching, project, survivorship
+from kinfold.plans import merge_queries, reader_queries
 from kinfold.plans.config import PRESETS
 from kinfold.plans.driver_sql import PROFILES, RAW
 from kinfold.schema import EDUCATION, EXPERIENCE, FIELDS, LINKS, LOCATION, PROVENANCE, SKILL, as_list, empty
@@ -121,7 +122,8 @@ def doc_top_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resume_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document read as a resume."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stem"), "text", F.col("doc_id").alias("rec_idx"))
+    at = F.struct(F.lit("documents").alias("file"), F.lit(0).alias("start"), F.col("doc_id").alias("pos"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stem"), "text", at.alias("at"))
     return resume.profiles(docs, 2024).select("candidate_id", "full_name", "headline", "emails", "phones", "overall_confidence")
 
 
@@ -132,11 +134,10 @@ def json_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types as languages of a user's repositories ("view" marks forks)."""
-    events = _table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").cast("int").alias("n"))
-    repos = events.groupBy("user_id").agg(F.flatten(F.collect_list(F.array_repeat(F.struct((F.col("event_type") == "view").alias("fork"), F.col("event_type").alias("language")), F.col("n")))).alias("repos"))
-    found = github.language_skills(repos, "user_id").select("user_id", F.explode("langs").alias("s")).select("user_id", "s.name")
-    kept = events.filter("event_type <> 'view'").select("user_id", normalize.skill(F.col("event_type")).alias("name"), F.col("n").cast("long").alias("n"))
-    return found.join(kept, ["user_id", "name"])
+    own = _table(spark, sf_dir, "events").filter("event_type <> 'view'")
+    counted = own.groupBy("user_id", F.col("event_type").alias("lang")).agg(F.count("*").alias("n"), F.min("event_id").alias("pos"))
+    found = github.counted_skills(counted, "user_id")
+    return found.select("user_id", F.posexplode("langs").alias("place", "s")).select("user_id", "place", "s.name", F.format_number("s.confidence", 2).alias("confidence"))
 
 
 QUERIES: dict[str, Query] = {
@@ -172,6 +173,9 @@ QUERIES: dict[str, Query] = {
 }
 
 
+QUERIES |= reader_queries.QUERIES | merge_queries.QUERIES
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole derived pipeline with the custom configuration."""
     return project.project(merged(spark, sf_dir), PRESETS["custom"])

@@ -28,7 +28,7 @@ def _case(value: str, entries: dict[str, str]) -> str:
 
 
 #: Title case of a DuckDB expression: runs of letters, and what lies between them.
-def _title(value: str) -> str:
+def title_sql(value: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all(lower({value}), '[[:alpha:]]+|[^[:alpha:]]+'), lambda r: upper(r[1]) || r[2:]), '')"
 
 
@@ -54,7 +54,8 @@ SELECT s_suppkey * 2 + 1, 'ats_json', 'supplier_ats_' || cast(s_suppkey AS strin
 FROM supplier
 """
 
-_WITH = f"""
+#: Clusters in SQL: p (profiles), labels, m (profiles with label, size and rank of the source).
+CLUSTERED = f"""
 WITH RECURSIVE p AS ({PROFILES}), keys AS (
   SELECT ord, 'email:' || email AS key FROM p WHERE email IS NOT NULL UNION SELECT ord, 'phone:' || phone FROM p WHERE phone IS NOT NULL
 ), edges AS (
@@ -67,7 +68,7 @@ WITH RECURSIVE p AS ({PROFILES}), keys AS (
   SELECT p.*, label, count(*) OVER (PARTITION BY label) AS size, CASE source WHEN 'ats_json' THEN 0 ELSE 1 END AS rank FROM p JOIN labels ON p.ord = labels.ord
 )
 """
-_BEST = "ORDER BY confidence DESC, rank, m.ord"
+WINNER_ORDER = "ORDER BY confidence DESC, rank, m.ord"
 
 ORACLE_SQL: dict[str, str] = {
     "norm_phone": f"""
@@ -77,9 +78,9 @@ ORACLE_SQL: dict[str, str] = {
     "norm_email": f"""
       SELECT id, raw, CASE WHEN contains(raw, '@') AND contains(string_split(raw, '@')[-1], '.') THEN lower(trim(raw)) END AS email FROM {_raw("norm_email")}""",
     "norm_name": f"""
-      SELECT id, raw, CASE WHEN length(n) >= 2 THEN {_title("n")} END AS name FROM (SELECT id, raw, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS n FROM {_raw("norm_name")})""",
+      SELECT id, raw, CASE WHEN length(n) >= 2 THEN {title_sql("n")} END AS name FROM (SELECT id, raw, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS n FROM {_raw("norm_name")})""",
     "norm_skill": f"""
-      SELECT id, raw, coalesce({_case("lower(trim(raw))", meanings(SKILLS))}, {_title("trim(raw)")}) AS skill FROM {_raw("norm_skill")}""",
+      SELECT id, raw, coalesce({_case("lower(trim(raw))", meanings(SKILLS))}, {title_sql("trim(raw)")}) AS skill FROM {_raw("norm_skill")}""",
     "norm_country": f"""
       SELECT id, raw, coalesce({_case("lower(trim(raw))", meanings(COUNTRIES))}, CASE WHEN regexp_full_match(trim(raw), '[A-Za-z]{{2}}') THEN upper(trim(raw)) END) AS country FROM {_raw("norm_country")}""",
     "norm_date": f"""
@@ -101,44 +102,45 @@ ORACLE_SQL: dict[str, str] = {
     "json_probe": """
       SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events""",
     "language_skills": """
-      WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY ALL)
-      SELECT user_id, upper(event_type[1]) || event_type[2:] AS name, n FROM n""",
+      WITH n AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS pos FROM events WHERE event_type <> 'view' GROUP BY ALL),
+      c AS (SELECT *, least(0.95::DOUBLE, 0.5::DOUBLE + 0.45::DOUBLE * (n / sum(n) OVER (PARTITION BY user_id))) AS c FROM n)
+      SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY n DESC, pos) - 1)::INT AS place, upper(event_type[1]) || event_type[2:] AS name, format('{:.2f}', c) AS confidence FROM c""",
     "union_sources": f"SELECT ord, source, candidate_id FROM ({PROFILES})",
-    "match_keys": f"{_WITH} SELECT ord, key FROM keys",
-    "key_hubs": f"{_WITH} SELECT DISTINCT ord AS u, min(ord) OVER (PARTITION BY key) AS v FROM keys QUALIFY u <> v",
-    "clusters": f"{_WITH} SELECT ord, label FROM labels",
-    "merge_scalars": f"""{_WITH}
-      SELECT label AS ord, coalesce(first(candidate_id ORDER BY m.ord)) AS candidate_id, first(full_name {_BEST}) AS full_name, first(headline {_BEST}) FILTER (WHERE headline <> '') AS headline,
-        CASE WHEN any_value(size) = 1 THEN any_value(years_experience) ELSE first(years_experience {_BEST}) FILTER (WHERE years_experience <> 0) END AS years_experience
+    "match_keys": f"{CLUSTERED} SELECT ord, key FROM keys",
+    "key_hubs": f"{CLUSTERED} SELECT DISTINCT ord AS u, min(ord) OVER (PARTITION BY key) AS v FROM keys QUALIFY u <> v",
+    "clusters": f"{CLUSTERED} SELECT ord, label FROM labels",
+    "merge_scalars": f"""{CLUSTERED}
+      SELECT label AS ord, coalesce(first(candidate_id ORDER BY m.ord)) AS candidate_id, first(full_name {WINNER_ORDER}) AS full_name, first(headline {WINNER_ORDER}) FILTER (WHERE headline <> '') AS headline,
+        CASE WHEN any_value(size) = 1 THEN any_value(years_experience) ELSE first(years_experience {WINNER_ORDER}) FILTER (WHERE years_experience <> 0) END AS years_experience
       FROM m GROUP BY label""",
-    "merge_contacts": f"""{_WITH},
+    "merge_contacts": f"""{CLUSTERED},
       e AS (SELECT label, string_agg(email, '/' ORDER BY o) AS emails FROM (SELECT label, email, min(ord) AS o FROM m WHERE email IS NOT NULL GROUP BY ALL) GROUP BY label),
       t AS (SELECT label, string_agg(phone, '/' ORDER BY o) AS phones FROM (SELECT label, phone, min(ord) AS o FROM m WHERE phone IS NOT NULL GROUP BY ALL) GROUP BY label)
       SELECT l.label AS ord, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones FROM (SELECT DISTINCT label FROM m) l LEFT JOIN e ON l.label = e.label LEFT JOIN t ON l.label = t.label""",
-    "merge_location": f"""{_WITH}
-      SELECT label AS ord, coalesce(first(city {_BEST}), first(city ORDER BY m.ord) FILTER (WHERE city IS NOT NULL)) AS city, coalesce(first(region {_BEST}), first(region ORDER BY m.ord) FILTER (WHERE region IS NOT NULL)) AS region,
-        coalesce(first(country {_BEST}), first(country ORDER BY m.ord) FILTER (WHERE country IS NOT NULL)) AS country FROM m GROUP BY label""",
-    "merge_links": f"""{_WITH}
+    "merge_location": f"""{CLUSTERED}
+      SELECT label AS ord, coalesce(first(city {WINNER_ORDER}), first(city ORDER BY m.ord) FILTER (WHERE city IS NOT NULL)) AS city, coalesce(first(region {WINNER_ORDER}), first(region ORDER BY m.ord) FILTER (WHERE region IS NOT NULL)) AS region,
+        coalesce(first(country {WINNER_ORDER}), first(country ORDER BY m.ord) FILTER (WHERE country IS NOT NULL)) AS country FROM m GROUP BY label""",
+    "merge_links": f"""{CLUSTERED}
       SELECT label AS ord, first(linkedin ORDER BY m.ord) FILTER (WHERE linkedin IS NOT NULL) AS linkedin, first(github ORDER BY m.ord) FILTER (WHERE github IS NOT NULL) AS github FROM m GROUP BY label""",
-    "merge_skills": f"""{_WITH},
+    "merge_skills": f"""{CLUSTERED},
       n AS (SELECT label, skill, max(skill_confidence) AS c FROM m GROUP BY ALL)
       SELECT label AS ord, string_agg(skill, '/' ORDER BY c DESC, skill) AS skills FROM n GROUP BY label""",
-    "merge_experience": f"""{_WITH},
+    "merge_experience": f"""{CLUSTERED},
       r AS (SELECT label, lower(trim(company)) AS k1, lower(trim(title)) AS k2, first(company || '@' || coalesce(start, '') ORDER BY start IS NULL, m.ord) AS e, min(m.ord) AS o FROM m GROUP BY ALL)
       SELECT label AS ord, string_agg(e, '/' ORDER BY o) AS experience FROM r GROUP BY label""",
-    "merge_confidence": f"""{_WITH},
+    "merge_confidence": f"""{CLUSTERED},
       a AS (SELECT label, count(*) AS n, avg(confidence) AS mean, 1 + 1 + 1 + 1 + max((email IS NOT NULL)::INT) + max((phone IS NOT NULL)::INT) + max((headline IS NOT NULL)::INT) + max((linkedin IS NOT NULL OR github IS NOT NULL)::INT) AS filled FROM m GROUP BY label)
       SELECT label AS ord, round(least(1.0, 0.6::DOUBLE * mean + 0.4::DOUBLE * (filled / 9.0::DOUBLE) + least(0.1::DOUBLE, 0.02::DOUBLE * (n - 1))), 3) AS overall_confidence FROM a""",
-    "project_custom": f"""{_WITH},
+    "project_custom": f"""{CLUSTERED},
       e AS (SELECT label, first(email ORDER BY ord) FILTER (WHERE email IS NOT NULL) AS primary_email, first(phone ORDER BY ord) FILTER (WHERE phone IS NOT NULL) AS phone FROM m GROUP BY label),
-      w AS (SELECT label, first(full_name {_BEST}) AS full_name FROM m GROUP BY label)
+      w AS (SELECT label, first(full_name {WINNER_ORDER}) AS full_name FROM m GROUP BY label)
       SELECT e.label AS ord, full_name, primary_email, phone FROM e JOIN w ON e.label = w.label WHERE primary_email IS NOT NULL AND full_name <> ''""",
     "header_alias": """
       SELECT c_custkey AS id, nullif(trim(coalesce(CASE WHEN c_custkey % 2 = 0 THEN '  ' ELSE c_mktsegment END, '')), '') AS first_title,
         coalesce(nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN '  ' ELSE c_mktsegment END), ''), CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END) AS title FROM customer""",
     "section_split": """
       SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '^\\s+|\\s+$', '', 'g') AS header, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS experience FROM documents""",
-    "project_index": f"""{_WITH},
+    "project_index": f"""{CLUSTERED},
       e AS (SELECT label, list(email ORDER BY o) AS l FROM (SELECT label, email, min(ord) AS o FROM m WHERE email IS NOT NULL GROUP BY ALL) GROUP BY label),
       n AS (SELECT label, skill, max(skill_confidence) AS c FROM m GROUP BY ALL)
       SELECT n.label AS ord, any_value(l[2]) AS second_email, first(skill ORDER BY c DESC, skill) AS top_skill FROM n LEFT JOIN e ON n.label = e.label GROUP BY n.label""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -16,7 +17,9 @@ def canonical(profiles: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One record per person, with ord: the position of the person's first record."""
     scratch = scratch or Scratch(profiles.sparkSession, "profiles")
     saved = scratch.save(profiles, "profiles")
-    return survivorship.merge(scratch.save(matching.clusters(saved, scratch), "clustered"))
+    merged = survivorship.merge(scratch.save(matching.clusters(saved, scratch), "clustered"), scratch)
+    scratch.drop("profiles", "keys")
+    return merged
 
 
 def run(spark: SparkSession, items: list[Input], config: dict, as_of_year: int | None = None) -> tuple[DataFrame, Extracted]:
@@ -73,8 +76,23 @@ def _prune(record: dict, path: str) -> None:
         parts.pop()
 
 
+def write_json(canonical: DataFrame, config: dict, folder: str) -> None:
+    """Records in the shape of the configuration as JSON lines, in order, written by the workers to a folder."""
+    lines = project.json_rows(canonical, config)
+    lines.repartitionByRange("ord").sortWithinPartitions("ord").select("json").write.mode("errorifexists").text(folder)
+
+
+def json_array(canonical: DataFrame, config: dict) -> Iterator[str]:
+    """The pieces of one JSON array of all records, in order; one partition at a time reaches the driver."""
+    before = "[\n  "
+    for row in project.json_rows(canonical, config).orderBy("ord").toLocalIterator():
+        yield before + row["json"]
+        before = ",\n  "
+    yield "[]" if before.startswith("[") else "\n]"
+
+
 def to_json(records: DataFrame, config: dict) -> str:
-    """All records, in order, as one JSON array: for the command line; at scale write the DataFrame itself."""
+    """All projected records, in order, as one JSON array in memory: for few records; see json_array and write_json."""
     return json.dumps(to_dicts(records.orderBy("ord").collect(), config), indent=2, ensure_ascii=False)
 
 

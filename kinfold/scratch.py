@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that all machines of a cluster share.
 
 Operators cut long lineages by writing a table and reading it back.  The place is
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a folder below the
-working directory is used and the setting is filled in.
+``spark.checkpoint.dir``; only where that is unset on one machine (tests, a laptop) a folder below
+the working directory is used and the setting is filled in.  What is left of a session's tables
+is deleted when it ends.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, set to a local default where none is named."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
         place = "file://" + os.path.abspath(os.path.join("spark-warehouse", "shared"))
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -28,6 +31,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kinfold-{label}-{uuid.uuid4().hex}"
+        path, files = self._opened(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return a DataFrame that reads it back (a short lineage, exact sizes)."""
@@ -37,9 +43,10 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            self._delete(f"{self.root}/{name}")
+            path, files = self._opened(f"{self.root}/{name}")
+            files.delete(path, True)
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    def _opened(self, place: str) -> tuple:
+        """The JVM's path and file system of a place."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import normalize, text
+from kinfold.operators.positions import AT
 from kinfold.schema import EDUCATION, EXPERIENCE, FIELDS, LINKS, LOCATION, empty, filled, provenance, share
+from kinfold.sources import files
 
 # Paths of each value, tried in order; "firstName+lastName" joins the two.
 PATHS = {
@@ -115,10 +116,10 @@ def skill_texts(v: Column) -> Column:
     return F.coalesce(listed, one, empty("string"))
 
 
-def profiles(records: DataFrame, stem: str) -> DataFrame:
-    """One profile per object of records (v variant, pos its index in the export)."""
+def profiles(records: DataFrame) -> DataFrame:
+    """One profile, with at, per object of records (v variant, pos its index in the export, FILE that export)."""
     got = records.filter(is_object(F.col("v")))
-    got = got.select("pos", *(probe(F.col("v"), f).alias(f) for f in PATHS if f not in ("first_name", "last_name")))
+    got = got.select("pos", files.FILE, *(probe(F.col("v"), f).alias(f) for f in PATHS if f not in ("first_name", "last_name")))
     v = {c: F.col(c) for c in got.columns}
     job = lambda x: F.struct(*(F.coalesce(either(x, p), F.lit("")).alias(p) for p in ("company", "title")), *(normalize.date(either(x, p)).alias(p) for p in ("start", "end")), either(x, "summary").alias("summary"))
     year = lambda x: F.when(F.substring(either(x, "end_year"), 1, 4).rlike(r"^\s*[+-]?\d+\s*$"), F.trim(F.substring(either(x, "end_year"), 1, 4)).try_cast("int"))
@@ -129,7 +130,7 @@ def profiles(records: DataFrame, stem: str) -> DataFrame:
     city, region, given = as_text(v["city"]), as_text(v["region"]), as_text(v["country"])
     names = F.filter(F.transform(skill_texts(v["skills"]), normalize.skill), lambda s: s != "")
     out = got.select(
-        F.coalesce(as_text(v["id"]), F.concat(F.lit(f"{stem}_ats_"), F.col("pos"))).alias("candidate_id"),
+        F.coalesce(as_text(v["id"]), F.concat(files.stem(F.col(files.FILE)), F.lit("_ats_"), F.col("pos"))).alias("candidate_id"),
         normalize.name(as_text(v["full_name"])).alias("full_name"),
         scalars(v["email"], normalize.email).alias("emails"),
         scalars(v["phone"], normalize.phone).alias("phones"),
@@ -140,24 +141,25 @@ def profiles(records: DataFrame, stem: str) -> DataFrame:
         F.transform(names, lambda s: F.struct(s.alias("name"), F.lit(SKILL_CONFIDENCE).alias("confidence"), F.array(F.lit(SOURCE)).alias("sources"))).alias("skills"),
         F.coalesce(jobs, empty(EXPERIENCE)).cast(f"array<{EXPERIENCE}>").alias("experience"),
         F.coalesce(schools, empty(EDUCATION)).cast(f"array<{EDUCATION}>").alias("education"),
-        F.col("pos").cast("long").alias("rec_idx"),
+        F.struct(F.col(files.FILE).alias("file"), F.lit(0).alias("start"), "pos").cast(AT).alias("at"),
     )
     has = {c: F.col(c).isNotNull() for c in ("full_name", "location", "links", "headline", "years_experience")} | {c: filled(F.col(c)) for c in ("emails", "phones", "skills", "experience", "education")}
     entries = [("full_name", "direct"), ("emails", "direct"), ("phones", "normalized"), ("links", "direct"), ("headline", "direct"), ("years_experience", "direct"), ("skills", "normalized"), ("experience", "normalized"), ("education", "normalized"), ("location", "normalized")]
     out = out.withColumn("provenance", provenance(SOURCE, *((f, has[f], how) for f, how in entries)))
     out = out.withColumn("overall_confidence", share([has[c] for c in ("full_name", "emails", "phones", "location", "skills", "experience")]))
-    return out.select(*FIELDS, "rec_idx")
+    return out.select(*FIELDS, "at")
 
 
 def records(texts: DataFrame, column: str = "value") -> DataFrame:
-    """v and pos of each record of whole exports: a list, an object that wraps a list, or one object; other texts give none."""
+    """FILE, v and pos of each record of whole exports: a list, an object that wraps a list, or one object; other texts give none."""
     doc = F.try_parse_json(F.regexp_replace(F.col(column), "^﻿", ""))
-    parsed = texts.select(doc.alias("doc"))
+    parsed = texts.select(files.FILE, doc.alias("doc"))
     wrapped = F.coalesce(*(items(at(F.col("doc"), key)) for key in WRAPPERS))
     listed = F.coalesce(items(F.col("doc")), F.when(is_object(F.col("doc")), F.coalesce(wrapped, F.array("doc"))))
-    return parsed.select(F.posexplode(listed).alias("pos", "v"))
+    return parsed.select(files.FILE, F.posexplode(listed).alias("pos", "v"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    stem = os.path.splitext(os.path.basename(path.rstrip("/")))[0]
-    return profiles(records(spark.read.text(path, wholetext=True)), stem)
+    """Profiles of an export, or of all exports in a folder."""
+    texts = spark.read.options(wholetext=True, recursiveFileLookup=True).text(path)
+    return profiles(records(texts.select("value", F.col("_metadata.file_path").alias(files.FILE))))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import normalize, text
+from kinfold.operators.positions import AT
 from kinfold.schema import FIELDS, LINKS, LOCATION, as_list, empty, filled, provenance, share
+from kinfold.scratch import Scratch
+from kinfold.sources import files
 
 # Columns, with the header spellings that mean each.
 HEADERS = {
@@ -50,9 +51,9 @@ def mapped(columns: list[str]) -> dict[str, Column]:
     return {c: F.coalesce(*values[c]) if c in values else F.lit(None).cast("string") for c in dict.fromkeys(known.values())}
 
 
-def profiles(rows: DataFrame, stem: str, index: str) -> DataFrame:
-    """One profile per row that has any known value; ``index`` names the column with the row's number."""
-    m = mapped([c for c in rows.columns if c != index])
+def profiles(rows: DataFrame, index: str) -> DataFrame:
+    """One profile per row that has any known value, with at; ``index`` names the column with the row's number in its file (FILE)."""
+    m = mapped([c for c in rows.columns if c not in (index, files.FILE)])
     parts = F.transform(F.split(m["location"], ","), text.strip)
     code = lambda c: F.coalesce(normalize.country(c), c)
     city = F.coalesce(m["city"], F.get(parts, F.lit(0)))
@@ -65,7 +66,7 @@ def profiles(rows: DataFrame, stem: str, index: str) -> DataFrame:
     null = F.lit(None).cast("string")
     blank = lambda c: F.coalesce(c, F.lit(""))
     out = rows.filter(F.coalesce(*m.values()).isNotNull()).select(
-        F.coalesce(m["id"], F.concat(F.lit(f"{stem}_row"), F.col(index))).alias("candidate_id"),
+        F.coalesce(m["id"], F.concat(files.stem(F.col(files.FILE)), F.lit("_row"), F.col(index))).alias("candidate_id"),
         normalize.name(m["full_name"]).alias("full_name"),
         as_list(normalize.email(m["email"]), "string").alias("emails"),
         as_list(normalize.phone(m["phone"]), "string").alias("phones"),
@@ -77,27 +78,28 @@ def profiles(rows: DataFrame, stem: str, index: str) -> DataFrame:
         as_list(F.struct(blank(m["current_company"]).alias("company"), blank(m["title"]).alias("title"), null.alias("start"), null.alias("end"), null.alias("summary")), FIELDS["experience"][6:-1], worked).alias("experience"),
         as_list(F.struct(blank(m["school"]).alias("institution"), m["degree"].alias("degree"), null.alias("field"), F.lit(None).cast("int").alias("end_year")), FIELDS["education"][6:-1], learnt).alias("education"),
         m["headline"].isNotNull().alias("__stated"),
-        F.col(index).cast("long").alias("rec_idx"),
+        F.struct(F.col(files.FILE).alias("file"), F.lit(0).alias("start"), F.col(index).alias("pos")).cast(AT).alias("at"),
     )
     has = {c: F.col(c).isNotNull() for c in ("full_name", "location", "links", "headline", "years_experience")} | {c: filled(F.col(c)) for c in ("emails", "phones", "skills", "experience", "education")}
     method = F.when(F.col("__stated"), "direct").otherwise("inferred")
     entries = [("full_name", "direct"), ("emails", "direct"), ("phones", "normalized"), ("location", "normalized"), ("links", "direct"), ("headline", method), ("years_experience", "normalized"), ("skills", "normalized"), ("experience", "direct"), ("education", "direct")]
     out = out.withColumn("provenance", provenance(SOURCE, *((f, has[f], how) for f, how in entries)))
     out = out.withColumn("overall_confidence", share([has[c] for c in ("full_name", "emails", "phones", "location", "skills", "experience")]))
-    return out.select(*FIELDS, "rec_idx")
+    return out.select(*FIELDS, "at")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Profiles of a file.  Rows with more cells than the header are left out, short rows are filled with nulls.
+    """Profiles of a file, or of all files in a folder, whose headers have to agree.
 
-    A quoted cell may hold line breaks, so one task reads one file; many files are read in parallel.
+    Rows with more cells than the header are left out, short rows are filled with nulls.  A quoted
+    cell may hold line breaks, so one task reads one file; many files are read in parallel.
     """
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "recursiveFileLookup": True}
     head = spark.read.options(**options).csv(path)
     raw = "__raw"
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in head.columns) + f", {raw} string"
-    rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=raw, enforceSchema=True).schema(schema).csv(path)
-    cells = F.size(F.split(F.col(raw), r',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    numbered = rows.withColumn("__index", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    fitting = numbered.filter(F.col(raw).isNull() | (cells <= len(head.columns))).drop(raw)
-    return profiles(fitting, os.path.splitext(os.path.basename(path.rstrip("/")))[0], "__index")
+    rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=raw, enforceSchema=False).schema(schema).csv(path)
+    unquoted = F.regexp_replace(raw, r'"[^"]*+"', "")
+    cells = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","))) + 1
+    numbered = files.numbered(rows.select("*", F.col("_metadata.file_path").alias(files.FILE)), Scratch(spark, "csv"))
+    return profiles(numbered.filter(F.col(raw).isNull() | (cells <= len(head.columns))).drop(raw), "__index")

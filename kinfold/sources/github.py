@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import normalize, text
+from kinfold.operators.positions import AT
 from kinfold.schema import EDUCATION, EXPERIENCE, FIELDS, LINKS, LOCATION, SKILL, as_list, empty, filled, provenance, share
 
 SOURCE = "github"
@@ -57,7 +58,11 @@ def language_skills(users: DataFrame, key: str) -> DataFrame:
     """
     repos = users.select(key, F.posexplode("repos").alias("pos", "repo")).filter(~F.coalesce(F.col("repo.fork"), F.lit(False)))
     named = repos.select(key, "pos", text.text_or_null(F.col("repo.language")).alias("lang")).filter("lang IS NOT NULL")
-    counted = named.groupBy(key, "lang").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    return counted_skills(named.groupBy(key, "lang").agg(F.count("*").alias("n"), F.min("pos").alias("pos")), key)
+
+
+def counted_skills(counted: DataFrame, key: str) -> DataFrame:
+    """As language_skills(), from key, lang, n (its repositories that are no forks) and pos (the first of them)."""
     total = F.sum("n").over(Window.partitionBy(key))
     places = F.pandas_udf(lambda s: s.map(lambda x: round(x, 2)), "double")
     scored = counted.withColumn("confidence", places(F.least(F.lit(0.95), F.lit(0.5) + F.lit(0.45) * (F.col("n") / total))))
@@ -68,10 +73,10 @@ def language_skills(users: DataFrame, key: str) -> DataFrame:
     return best.groupBy(key).agg(listed.cast(f"array<{SKILL}>").alias("langs"))
 
 
-def profiles(payloads: DataFrame, index: str) -> DataFrame:
-    """One profile per captured user; a payload without a user gives none."""
+def profiles(payloads: DataFrame) -> DataFrame:
+    """One profile per captured user, from rows with at; a payload without a user gives none."""
     users = payloads.filter(F.col("user").isNotNull() & F.col("username").isNotNull())
-    users = users.join(language_skills(users, index), index, "left")
+    users = users.join(language_skills(users, "at"), "at", "left")
     u = {f: text.text_or_null(F.col(f"user.{f}")) for f in ("name", "email", "bio", "blog", "location", "company")}
     portfolio = F.when(u["blog"].rlike("^https?://"), u["blog"]).otherwise(F.concat(F.lit("https://"), u["blog"]))
     social = F.filter(F.transform(F.coalesce("social_accounts", F.array().cast("array<struct<provider:string,url:string>>")), lambda a: F.struct(a["provider"].alias("provider"), text.text_or_null(a["url"]).alias("url"))), lambda a: a["url"].isNotNull() & ((F.coalesce(a["provider"], F.lit("")) == "linkedin") | F.contains(F.lower(a["url"]), F.lit("linkedin.com"))))
@@ -94,7 +99,7 @@ def profiles(payloads: DataFrame, index: str) -> DataFrame:
         F.concat(langs, told).alias("skills"),
         as_list(F.struct(company.alias("company"), F.lit("").alias("title"), null.alias("start"), null.alias("end"), null.alias("summary")), EXPERIENCE, company.isNotNull()).alias("experience"),
         empty(EDUCATION).alias("education"),
-        F.col(index).cast("long").alias("rec_idx"),
+        F.col("at").cast(AT).alias("at"),
         linkedin.isNotNull().alias("__social"),
         filled(langs).alias("__langs"),
         filled(told).alias("__told"),
@@ -105,12 +110,14 @@ def profiles(payloads: DataFrame, index: str) -> DataFrame:
     base = share([has[c] for c in ("full_name", "emails", "headline", "location", "skills", "experience")])
     weak = F.coalesce(F.col("__repos"), F.lit(False)) & has["skills"] & (F.round(base * 6) <= 2)
     out = out.withColumn("provenance", prov).withColumn("overall_confidence", F.when(weak, F.least(base, F.lit(0.6))).otherwise(base))
-    return out.select(*FIELDS, "rec_idx")
+    return out.select(*FIELDS, "at")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(PAYLOAD).json(path)
-    return profiles(rows.withColumn("__index", F.monotonically_increasing_id()), "__index")
+    """Profiles of files of captured payloads; a large file is read by several tasks."""
+    rows = spark.read.schema(PAYLOAD).option("recursiveFileLookup", True).json(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("pos"))
+    return profiles(rows.withColumn("at", place))
 
 
 def http_get(url: str) -> str | None:

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import datetime
 import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.operators.positions import AT, with_ord
 from kinfold.schema import FIELDS, ORDERED_PROFILE
+from kinfold.scratch import Scratch
 from kinfold.sources import ats_json, csv, github, resume
 
 KINDS = ("csv", "ats_json", "github", "resume")
 SUFFIXES = {".csv": "csv", ".json": "ats_json", ".pdf": "resume", ".docx": "resume"}
-#: Positions of one input lie in a range of so many.
-SPAN = 1 << 44
 
 
 def detect(path: str) -> str | None:
@@ -52,26 +53,33 @@ def read_one(spark: SparkSession, item: Input, as_of_year: int | None = None) ->
         return ats_json.read(spark, item.path)
     if item.kind == "resume":
         return resume.read(spark, item.path, as_of_year or datetime.date.today().year)
-    if item.path.lower().endswith((".json", ".jsonl")) and "github.com" not in item.path.lower():
-        return github.read(spark, item.path)
+    if "github.com" not in item.path.lower() and not re.fullmatch(r"[A-Za-z0-9-]+", item.path.strip()):
+        return github.read(spark, item.path)  # captured payloads
     names = spark.createDataFrame([(item.path,)], "username string")
-    return github.profiles(github.fetch(names).withColumn("__index", F.lit(0)), "__index")
+    place = F.struct(F.lit(item.path).alias("file"), F.lit(0).alias("start"), F.lit(0).alias("pos")).cast(AT)
+    return github.profiles(github.fetch(names).withColumn("at", place))
 
 
 def read_all(spark: SparkSession, items: list[Input], as_of_year: int | None = None) -> Extracted:
-    """All profiles, with ord: the inputs in the caller's order, records in each input's.
+    """All profiles, with ord: the inputs in the caller's order, a folder's files by name, records in each file's.
 
-    An input of unknown kind, or that can't be opened, adds no rows and is named in ``skipped``.
+    Every input is read and saved before the next.  One of unknown kind, or that can't be opened or
+    read to its end, adds no rows and is named in ``skipped``.
     """
-    out, skipped = spark.createDataFrame([], ORDERED_PROFILE), []
+    scratch = Scratch(spark, "inputs")
+    out, skipped = None, []
     for i, item in enumerate(items):
         if item.kind not in KINDS:
             skipped.append((item.path, "unknown kind"))
             continue
         try:
-            found = read_one(spark, item, as_of_year)
+            found = read_one(spark, item, as_of_year).withColumn("input", F.lit(i))
+            found = scratch.save(found.select(*FIELDS, "input", "at"), f"input-{i}")
         except Exception as error:  # noqa: BLE001  one bad input does not stop the others
-            skipped.append((item.path, str(error).splitlines()[0]))
+            scratch.drop(f"input-{i}")
+            skipped.append((item.path, str(error).strip().splitlines()[0]))
             continue
-        out = out.unionByName(found.withColumn("ord", F.lit(i * SPAN) + F.col("rec_idx")).select(*FIELDS, "ord"))
-    return Extracted(out, skipped)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return Extracted(spark.createDataFrame([], ORDERED_PROFILE), skipped)
+    return Extracted(with_ord(out, scratch).select(*ORDERED_PROFILE.names), skipped)

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import normalize, text
+from kinfold.operators.positions import AT
 from kinfold.schema import EDUCATION, EXPERIENCE, FIELDS, LINKS, LOCATION, as_list, empty, filled, provenance, share
+from kinfold.sources import files
 
 # Patterns of contact data, section headers, dates and separators.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -36,7 +38,7 @@ TOP_LINES, HEADLINE_CHARS = 15, 300
 
 
 def lines(s: Column) -> Column:
-    return F.split(s, r"\r\n|[\n\r\x0b\x0c]")
+    return F.split(s, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
 
 
 def full_lines(s: Column) -> Column:
@@ -53,14 +55,11 @@ def sections(body: Column) -> Column:
             found = F.when(text.strip(line).rlike(rf"(?i)^\s*({pattern})\s*:?\s*$"), F.lit(name)).otherwise(found)
         return found
 
-    start = F.struct(F.lit("header").alias("now"), empty("struct<section:string,line:string>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        new = section_of(line)
-        added = F.concat(acc["out"], F.array(F.struct(acc["now"].alias("section"), line.alias("line"))))
-        return F.struct(F.coalesce(new, acc["now"]).alias("now"), F.when(new.isNotNull(), acc["out"]).otherwise(added).alias("out"))
-
-    return F.aggregate(lines(body), start, step, lambda acc: acc["out"])
+    each = lines(body)
+    found = F.filter(F.transform(each, lambda line, i: F.struct((i + 1).alias("at"), section_of(line).alias("name"))), lambda x: x["name"].isNotNull())
+    heads = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit("header").alias("name"))), found)
+    ends = F.concat(F.transform(found, lambda h: h["at"]), F.array(F.size(each) + 1))
+    return F.flatten(F.zip_with(heads, ends, lambda h, end: F.transform(F.slice(each, h["at"] + 1, end - h["at"] - 1), lambda line: F.struct(h["name"].alias("section"), line.alias("line")))))
 
 
 def section(split: Column, name: str) -> Column:
@@ -154,14 +153,14 @@ def skills(block: Column) -> Column:
 
 
 def profiles(docs: DataFrame, as_of_year: int) -> DataFrame:
-    """One profile per row of docs (stem, text, rec_idx); texts with nothing usable give none.
+    """One profile per row of docs (stem, text, at); texts with nothing usable give none.
 
     Years of experience are counted from the earliest start to ``as_of_year``.
     """
     split = docs.filter(text.strip(F.col("text")) != "").withColumn("__s", sections(F.col("text")))
-    parts = split.select("stem", "text", "rec_idx", *(section(F.col("__s"), n).alias(f"__{n}") for n in ("header", *HEADERS)))
+    parts = split.select("stem", "text", "at", *(section(F.col("__s"), n).alias(f"__{n}") for n in ("header", *HEADERS)))
     found = contacts(F.col("text"))
-    read = parts.select("stem", "rec_idx", name_line(F.col("__header")).alias("__name"), "__header", "__summary", *(c.alias(f"c_{n}") for n, c in found.items()), experience(F.col("__experience")).alias("experience"), education(F.col("__education")).alias("education"), skills(F.col("__skills")).alias("__raw"))
+    read = parts.select("stem", "at", name_line(F.col("__header")).alias("__name"), "__header", "__summary", *(c.alias(f"c_{n}") for n, c in found.items()), experience(F.col("__experience")).alias("experience"), education(F.col("__education")).alias("education"), skills(F.col("__skills")).alias("__raw"))
     names = F.filter(F.transform("__raw", normalize.skill), lambda s: s != "")
     starts = F.filter(F.transform("experience", lambda e: F.substring(e["start"], 1, 4).try_cast("int")), lambda y: y.isNotNull())
     linked = F.coalesce("c_linkedin", "c_github", "c_portfolio").isNotNull()
@@ -177,21 +176,20 @@ def profiles(docs: DataFrame, as_of_year: int) -> DataFrame:
         F.transform(names, lambda s: F.struct(s.alias("name"), F.lit(SKILL_CONFIDENCE).alias("confidence"), F.array(F.lit(SOURCE)).alias("sources"))).alias("skills"),
         "experience",
         "education",
-        "rec_idx",
+        F.col("at").cast(AT).alias("at"),
     )
     has = {c: F.col(c).isNotNull() for c in ("full_name", "links", "headline", "years_experience")} | {c: filled(F.col(c)) for c in ("emails", "phones", "skills", "experience", "education")}
     usable = [has[c] for c in ("full_name", "emails", "phones", "headline", "experience", "education", "skills")]
     entries = [("full_name", "direct"), ("emails", "direct"), ("phones", "normalized"), ("links", "direct"), ("headline", "direct"), ("experience", "normalized"), ("education", "normalized"), ("skills", "normalized"), ("years_experience", "inferred")]
     out = out.withColumn("provenance", provenance(SOURCE, *((f, has[f], how) for f, how in entries))).withColumn("overall_confidence", share(usable))
-    return out.filter(F.col("overall_confidence") > 0).select(*FIELDS, "rec_idx")
+    return out.filter(F.col("overall_confidence") > 0).select(*FIELDS, "at")
 
 
 def docx_text(content: bytes) -> str | None:
     """Paragraphs of the body, then the non-blank cells of its tables, a line each."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    try:
-        body = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{w}body")
-    except (zipfile.BadZipFile, KeyError, ET.ParseError):
+    body = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{w}body")
+    if body is None:
         return None
     marks = {f"{w}tab": "\t", f"{w}br": "\n", f"{w}cr": "\n"}
     run = lambda p: "".join((t.text or "") if t.tag == f"{w}t" else marks.get(t.tag, "") for t in p.iter())
@@ -212,18 +210,26 @@ def pdf_text(content: bytes) -> str | None:
         return "\n".join(t for t in (page.extract_text() for page in pdf.pages) if t) or None
 
 
+READERS = {".docx": docx_text, ".pdf": pdf_text}
+
+
+def text_of(path: str, content: bytes) -> str | None:
+    """The text of a document; null if it is of another kind, or damaged, encrypted or empty in whatever way."""
+    reader = READERS.get(os.path.splitext(path)[1].lower())
+    try:
+        return reader(content) if reader and content else None
+    except Exception:  # noqa: BLE001  one bad document does not stop the others
+        return None
+
+
+def texts(documents: DataFrame) -> DataFrame:
+    """path and text (null where there is none) of each row of documents (path, content)."""
+    to_text = F.pandas_udf(lambda paths, contents: pd.Series([text_of(p, c) for p, c in zip(paths, contents, strict=True)], dtype=object), "string")
+    return documents.select("path", to_text("path", "content").alias("text"))
+
+
 def read(spark: SparkSession, path: str, as_of_year: int) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-
-    def convert(paths: pd.Series, contents: pd.Series) -> pd.Series:
-        readers = {".docx": docx_text, ".pdf": pdf_text}
-        out = []
-        for p, c in zip(paths, contents, strict=True):
-            reader = readers.get(os.path.splitext(p)[1].lower())
-            out.append(reader(c) if reader else None)
-        return pd.Series(out, dtype=object)
-
-    to_text = F.pandas_udf(convert, "string")
-    stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
-    docs = files.select(F.url_decode(stem).alias("stem"), to_text("path", "content").alias("text"), F.monotonically_increasing_id().alias("rec_idx"))
-    return profiles(docs.filter("text IS NOT NULL"), as_of_year)
+    """Profiles of a document, or of all in a folder; those without text give none."""
+    found = texts(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+    place = F.struct(F.col("path").alias("file"), F.lit(0).alias("start"), F.lit(0).alias("pos"))
+    return profiles(found.filter("text IS NOT NULL").select(files.stem(F.col("path")).alias("stem"), "text", place.alias("at")), as_of_year)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from kinfold.plans import driver_queries, driver_sql
+from kinfold.plans import driver_queries, driver_sql, merge_queries, reader_queries
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,11 +26,14 @@ def rows_of(columns, rows):
     return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
 
 
+ORACLE = driver_sql.ORACLE_SQL | reader_queries.ORACLE_SQL | merge_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", list(ORACLE))
 @needs_data
-@pytest.mark.parametrize("name", list(driver_sql.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     df = driver_queries.QUERIES[name](spark, SMALL)
-    wanted = duck.execute(driver_sql.ORACLE_SQL[name])
+    wanted = duck.execute(ORACLE[name])
     columns = [d[0] for d in wanted.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, wanted.fetchall())
@@ -39,5 +42,5 @@ def test_query_equals_sql(spark, duck, name):
 @needs_data
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
-    assert set(driver_sql.ORACLE_SQL) <= set(__spark_entry__.queries())
+    assert set(ORACLE) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -7,6 +7,10 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from kinfold.operators.project import project
+from kinfold.plans import config as configs
+from kinfold.plans import pipeline
+from kinfold.plans.pipeline import canonical
 from kinfold.sources import ats_json, csv, github, resume
 from kinfold.sources.inputs import Input, detect, read_all
 
@@ -47,8 +51,8 @@ def test_csv(spark, tmp_path):
 
 
 def records_of(spark, data, stem="x"):
-    texts = spark.createDataFrame([(data if isinstance(data, str) else json.dumps(data),)], "value string")
-    return ats_json.profiles(ats_json.records(texts), stem).collect()
+    texts = spark.createDataFrame([(data if isinstance(data, str) else json.dumps(data), f"/in/{stem}.json")], "value string, __file string")
+    return ats_json.profiles(ats_json.records(texts)).collect()
 
 
 def test_ats_shapes(spark):
@@ -127,7 +131,7 @@ Skills
 
 
 def test_resume(spark):
-    docs = spark.createDataFrame([("r", RESUME, 0), ("blank", " \n", 1), ("none", "123 456", 2)], "stem string, text string, rec_idx long")
+    docs = spark.createDataFrame([(n, t, (n, 0, 0)) for n, t in (("r", RESUME), ("blank", " \n"), ("none", "123 456"))], "stem string, text string, at struct<file:string,start:long,pos:long>")
     (got,) = resume.profiles(docs, 2024).collect()
     assert (got.candidate_id, got.full_name, got.headline, got.emails, got.phones) == ("resume_r", "Rohan Mehta", "Senior Backend Engineer", ["rohan@example.org"], ["+919811023456"])
     assert got.links.github == "https://github.com/rohanm" and got.years_experience == 8.0
@@ -149,9 +153,65 @@ def docx(lines):
 
 
 def test_docx_and_inputs(spark, tmp_path):
-    assert resume.docx_text(docx(["a", "b"])) == "a\nb\ncell" and resume.docx_text(b"junk") is None
+    assert resume.docx_text(docx(["a", "b"])) == "a\nb\ncell" and resume.text_of("x.docx", b"junk") is None
     (tmp_path / "cv one.docx").write_bytes(docx(RESUME.splitlines()))
     (tmp_path / "t.csv").write_text("name,email\nZed Zed,z@z.org\n")
     found = read_all(spark, [Input(str(tmp_path / "cv one.docx")), Input("notes.txt"), Input(str(tmp_path / "missing.csv")), Input(str(tmp_path / "t.csv"))], 2024)
     rows = found.profiles.orderBy("ord").collect()
     assert [r.candidate_id for r in rows] == ["resume_cv one", "t_row0"] and [p for p, _ in found.skipped] == ["notes.txt", str(tmp_path / "missing.csv")]
+
+
+def test_folders_keep_people_apart(spark, tmp_path):
+    for kind in ("csv", "json"):
+        (tmp_path / kind).mkdir()
+    for i in range(4):
+        (tmp_path / "csv" / f"t{i}.csv").write_text(f"name,email\nAnn {'abcd'[i]},a{i}@x.org\n,\nBo {'abcd'[i]},b{i}@x.org\n")
+        (tmp_path / "json" / f"e{i}.json").write_text(json.dumps([{"name": f"Cy {'abcd'[i]}", "email": f"c{i}@x.org"}, "x", {"name": f"Di {'abcd'[i]}", "email": f"a{i}@x.org"}]))
+    (tmp_path / "p.jsonl").write_text("".join(json.dumps({"username": f"u{i}", "user": {"name": f"Ed {'abcd'[i]}"}}) + "\n" for i in range(4)))
+    found = read_all(spark, [Input(str(tmp_path / "json"), "ats_json"), Input(str(tmp_path / "csv"), "csv"), Input(str(tmp_path / "p.jsonl"), "github")])
+    rows = found.profiles.orderBy("ord").collect()
+    assert len({r.ord for r in rows}) == len(rows) == 20 and not found.skipped
+    assert [r.candidate_id for r in rows] == [f"e{i}_ats_{j}" for i in range(4) for j in (0, 2)] + [f"t{i}_row{j}" for i in range(4) for j in (0, 2)] + [f"github_u{i}" for i in range(4)]
+    merged = canonical(found.profiles).orderBy("ord").collect()
+    assert [r.emails for r in merged] == [[e] for i in range(4) for e in (f"c{i}@x.org", f"a{i}@x.org")] + [[f"b{i}@x.org"] for i in range(4)] + [[]] * 4
+
+
+def test_headers_that_differ_in_a_folder_are_named(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "a.csv").write_text("name,email\nAnn Lee,a@x.org\n")
+    (tmp_path / "csv" / "b.csv").write_text("email,name\nb@x.org,Bo Li\n")
+    (tmp_path / "ok.csv").write_text("name\nCy Lo\n")
+    found = read_all(spark, [Input(str(tmp_path / "csv"), "csv"), Input(str(tmp_path / "ok.csv"))])
+    assert [r.full_name for r in found.profiles.collect()] == ["Cy Lo"] and [p for p, _ in found.skipped] == [str(tmp_path / "csv")]
+
+
+def test_bad_documents_add_nothing(spark, tmp_path):
+    good = docx(RESUME.splitlines())
+    bodiless = io.BytesIO()
+    with zipfile.ZipFile(bodiless, "w") as z:
+        z.writestr("word/document.xml", "<w:document xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'/>")
+    locked = bytearray(good)
+    locked[locked.index(b"PK\x01\x02") + 8] |= 1  # says it is encrypted
+    for name, content in {"good.docx": good, "cut.docx": good[:200], "bodiless.docx": bodiless.getvalue(), "locked.docx": bytes(locked), "junk.pdf": b"%PDF-1.4 junk", "empty.docx": b""}.items():
+        (tmp_path / name).write_bytes(content)
+    found = read_all(spark, [Input(str(tmp_path), "resume")], 2024)
+    assert [r.candidate_id for r in found.profiles.collect()] == ["resume_good"]
+
+
+def test_lines_end_as_in_python(spark):
+    text = "a\x1cb\x1dc\x1ed\x85e\u2028f\u2029g\r\nh\ri\x0bj\x0ck\nl m"
+    (got,) = spark.createDataFrame([(text,)], "t string").select(resume.lines(F.col("t"))).first()
+    assert got == text.splitlines()
+
+
+def test_json_of_the_sink(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,email,years,location\n"Ann ""A"" Lee",a@x.org,3,"Oslo, Norway"\nbo li,,2.5,\n')
+    found = read_all(spark, [Input(str(tmp_path / "a.csv"))])
+    people = canonical(found.profiles)
+    for policy in ("null", "omit"):
+        config = configs.PRESETS["default"] | {"on_missing": policy}
+        wanted = pipeline.to_dicts(project(people, config).orderBy("ord").collect(), config)
+        assert json.loads("".join(pipeline.json_array(people, config))) == wanted
+        pipeline.write_json(people, config, f"file://{tmp_path}/{policy}")
+        assert [json.loads(r.value) for r in spark.read.text(f"file://{tmp_path}/{policy}").collect()] == wanted
+    assert "".join(pipeline.json_array(people.filter("false"), config)) == "[]"
