@@ -1,14 +1,17 @@
 """Quality by random-indexing word vectors and a small network.
 
-Every word has a sparse random index vector, drawn from its hash; a word's vector is the sum of its
-neighbours' index vectors over the whole collection, in a table of a fixed number of hashed words.
-A document pools the vectors of its words and the index vectors of their shapes and of repetition
-marks.  A two-layer network, whose probabilities are calibrated by a temperature, reads the pool.
+A word that makes up at least FREQUENCY of all words of the collection has a vector of its own, so
+there are 1 / FREQUENCY of them at most, however large the collection; rarer words share the vector
+of their shape.  A word like the one before it, and words of a line that the text had before, count as
+words of two further kinds.  Every vector is the sum of the sparse random index vectors of its
+neighbours over the whole collection.  A document pools the vectors of its words; a two-layer
+network, whose probabilities are calibrated by a temperature, reads the pool and nothing else.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,19 +21,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import TO_SPACE, gives_back, slices
+from kinfold.llm.common import gives_back, slices, words_of
 from kinfold.llm.labelled import SAMPLE, held_out, sample
-
-#: Hashed words, length of vectors, non-zero numbers of an index vector, rows of a piece of the table.
-WORDS, WIDTH, ONES, PIECE = 2048, 64, 4, 32
-CACHE_WORDS = 200_000
+from kinfold.scratch import Scratch
+
+#: The least share of all words that gives a word its own vector; shapes of other words, by hash.
+FREQUENCY, SHAPES = 1e-4, 2048
+#: Length of vectors, non-zero numbers of an index vector, rows of a piece of the table.
+WIDTH, ONES, PIECE = 64, 4, 64
+#: Different words that a task counts before it sends them on; words whose kind a worker remembers.
+HELD, CACHE_WORDS = 400_000, 200_000
 HIDDEN = 32
 RUNS = [(re.compile(p), to) for p, to in ((r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a"), (r"\d+", "0"))]
 
 
-def index_vectors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and signs of the ONES non-zero numbers of each key's index vector."""
-    mixed = np.asarray(keys, np.uint64)[:, None] + np.arange(1, ONES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def index_vectors(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and signs of the ONES non-zero numbers of each kind's index vector."""
+    mixed = np.asarray(kinds, np.uint64)[:, None] + np.arange(1, ONES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
     mixed ^= mixed >> np.uint64(31)
@@ -38,58 +45,104 @@ def index_vectors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shape(word: str) -> str:
-    """Letters by their case, digits as 0, everything else as it is, to 12 characters."""
+    """Runs of letters by their case, runs of digits as 0, everything else as it is."""
     for pattern, to in RUNS:
         word = pattern.sub(to, word)
-    return word[:12]
+    return word
+
+
+def frequent(docs: DataFrame, scratch: Scratch) -> np.ndarray:
+    """Sorted 64-bit hashes of the words that make up FREQUENCY of all words or more; all words are counted."""
+
+    @gives_back
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(seen: Counter) -> pa.RecordBatch:
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(seen.values()), pa.int64())], ["hash", "count"])
+
+        seen: Counter = Counter()
+        for batch in slices(batches, "text", 2_000_000):
+            for text in batch["text"].to_pylist():
+                seen.update(words_of(text))
+                if len(seen) > HELD:
+                    yield rows(seen)
+                    seen = Counter()
+        if seen:
+            yield rows(seen)
+
+    counts = docs.select("text").mapInArrow(count, "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
+    counts = scratch.save(counts, "words")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    found = counts.filter(F.col("count") >= F.lit(FREQUENCY * total)).select("hash").toArrow()
+    scratch.drop("words")
+    return np.sort(found["hash"].to_numpy().view(np.uint64))
 
 
 class Reader:
-    """Hashed words and shapes of texts; words seen lately are remembered."""
+    """Kinds of the words of texts: a frequent word's own, or its shape's, then repeated words, then words of repeated lines."""
+
+    def __init__(self, words: np.ndarray):
+        self.own = {int(h): i for i, h in enumerate(words)}
+        self.again = len(words) + SHAPES
+        self.kinds = self.again + 2
+        self.known: dict[str, int] = {}
 
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
+    def kind(self, word: str) -> int:
+        own = self.own.get(xxhash.xxh64_intdigest(word))
+        return own if own is not None else len(self.own) + xxhash.xxh32_intdigest(shape(word), 1) % SHAPES
 
-    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word, shape, repetition mark (1: like the word before) and the word's number among these texts at each place; the texts' numbers of words."""
-        lists = [[w for w in (t or "").translate(TO_SPACE).split(" ") if w] for t in texts]
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The kinds of all words of the texts, one text after the other, and the texts' numbers of words."""
+        lists = [words_of(t) for t in texts]
         sizes = np.array([len(x) for x in lists], np.int64)
         ids, words = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        table = np.empty((len(words), 2), np.int64)
+        table = np.empty(len(words), np.int64)
         for i, w in enumerate(words):
-            codes = self.known.get(w)
-            if codes is None:
-                codes = (xxhash.xxh32_intdigest(w) % WORDS, xxhash.xxh32_intdigest(shape(w), 1))
+            kind = self.known.get(w)
+            if kind is None:
+                kind = self.kind(w)
                 if len(w) <= 40:
-                    self.known[w] = codes
-            table[i] = codes
-        again = np.zeros(len(ids), bool)
-        again[1:] = ids[1:] == ids[:-1]
+                    self.known[w] = kind
+            table[i] = kind
+        kinds = table[ids] if len(ids) else np.empty(0, np.int64)
         starts = np.cumsum(sizes) - sizes
-        again[starts[sizes > 0]] = False
-        both = table[ids] if len(ids) else np.empty((0, 2), np.int64)
-        return both[:, 0], both[:, 1], again, ids, sizes
-
-
-def context_table(docs: DataFrame) -> np.ndarray:
-    """Word vectors (WORDS x WIDTH, unit length) from all neighbours in all texts; the pieces of tasks are summed by Spark."""
+        same = np.zeros(len(ids), bool)
+        same[1:] = ids[1:] == ids[:-1]
+        same[starts[sizes > 0]] = False
+        kinds[same] = self.again
+        for text, start in zip(texts, starts.tolist(), strict=True):
+            lines = (text or "").split("\n")
+            if len(set(lines)) < len(lines):
+                seen, at = set(), start
+                for line in lines:
+                    n = len(words_of(line))
+                    if line in seen:
+                        kinds[at : at + n] = self.again + 1
+                    seen.add(line)
+                    at += n
+        return kinds, sizes
+
+
+def context_table(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """Vectors of all kinds (unit length, zero if never seen) from all neighbours in all texts; the pieces of tasks are summed by Spark."""
+    rows = Reader(words).kinds
+    rows += -rows % PIECE
 
     @gives_back
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, total = Reader(), np.zeros(WORDS * WIDTH)
-        at, sign = index_vectors(np.arange(WORDS))
+        reader, total = Reader(words), np.zeros(rows * WIDTH)
+        at, sign = index_vectors(np.arange(rows))
         for batch in slices(batches, "text", 2_000_000):
-            word, _, _, _, sizes = reader.codes(batch["text"].to_pylist())
+            kind, sizes = reader.read(batch["text"].to_pylist())
             ends = np.cumsum(sizes)
-            joined = np.ones(max(len(word) - 1, 0), bool)
-            inner = ends[(ends > 0) & (ends < len(word))] - 1
-            joined[inner] = False
-            left, right = word[:-1][joined], word[1:][joined]
+            joined = np.ones(max(len(kind) - 1, 0), bool)
+            joined[ends[(ends > 0) & (ends < len(kind))] - 1] = False
+            left, right = kind[:-1][joined], kind[1:][joined]
             for a, b in ((left, right), (right, left)):
                 for j in range(ONES):
-                    total += np.bincount(a * WIDTH + at[b, j], sign[b, j], WORDS * WIDTH)
+                    total += np.bincount(a * WIDTH + at[b, j], sign[b, j], rows * WIDTH)
         pieces = total.astype(np.int32).reshape(-1, PIECE * WIDTH)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "sums"])
 
@@ -100,29 +153,21 @@ def context_table(docs: DataFrame) -> np.ndarray:
                 total += np.frombuffer(x, np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "sums"])
 
-    table = np.zeros((WORDS, WIDTH))
+    table = np.zeros((rows, WIDTH))
     for row in docs.select("text").mapInArrow(partial, "piece int, sums binary").groupBy("piece").applyInArrow(summed, "piece int, sums binary").collect():
         table[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(bytes(row["sums"]), np.int64).reshape(PIECE, WIDTH)
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def pooled(reader: Reader, table: np.ndarray, texts: list[str | None]) -> np.ndarray:
-    """A row for each text: means of its word vectors and of its shapes' index vectors, repetition marks, and size."""
-    word, form, again, ids, sizes = reader.codes(texts)
-    out = np.zeros((len(texts), 2 * WIDTH + 4), np.float32)
-    shapes, place = np.unique(form, return_inverse=True)
-    at, sign = index_vectors(shapes)
-    vectors = np.zeros((len(shapes), WIDTH), np.float32)
-    np.add.at(vectors, (np.arange(len(shapes))[:, None], at), sign)
+    """The mean of the vectors of each text's words; zeros for a text without words."""
+    kinds, sizes = reader.read(texts)
+    out = np.zeros((len(texts), WIDTH), np.float32)
     start = 0
     for i, n in enumerate(sizes):
         if n:
-            here = slice(start, start + n)
-            out[i, :WIDTH] = np.bincount(word[here], minlength=WORDS).astype(np.float32) @ table / n
-            count = np.bincount(place[here])
-            out[i, WIDTH : 2 * WIDTH] = count.astype(np.float32) @ vectors[: len(count)] / n
-            lines = [x for x in texts[i].split("\n") if x.strip()]
-            out[i, 2 * WIDTH :] = again[here].mean(), 1 - len(set(lines)) / max(len(lines), 1), 1 - len(pd.unique(ids[here])) / n, np.log1p(n)
+            found, count = np.unique(kinds[start : start + n], return_counts=True)
+            out[i] = count.astype(np.float32) @ table[found] / n
         start += n
     return out
 
@@ -144,7 +189,7 @@ class Network:
 def train(x: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 0.003, decay: float = 1e-3) -> Network:
     """Adam on four fifths of the rows, the temperature on the rest.  Without both labels every score is their share (0.5 without any)."""
     x = x.astype(np.float64)
-    mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(2 * WIDTH + 4), np.ones(2 * WIDTH + 4))
+    mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(WIDTH), np.ones(WIDTH))
     rng = np.random.default_rng(5)
     layers = [rng.normal(0, 1 / np.sqrt(len(mean)), (len(mean), HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, 1)), np.zeros(1)]
     net = Network(mean, scale, layers, 1.0)
@@ -175,21 +220,21 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 0.003, d
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, table: np.ndarray, rows: int = SAMPLE) -> Network:
-    """A network from at most ``rows`` labelled documents; only their pools reach the driver."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+def fit(docs: DataFrame, labels: DataFrame, words: np.ndarray, table: np.ndarray, rows: int = SAMPLE) -> Network:
+    """A network from at most ``rows`` labelled documents; only their pools, of WIDTH numbers each, reach the driver."""
+    sent = docs.sparkSession.sparkContext.broadcast((words, table))
 
     @gives_back
     def pools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader, vectors = Reader(sent.value[0]), sent.value[1]
         for batch in slices(batches, "text", 2_000_000):
-            x = pooled(reader, sent.value, batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"].cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "pool"])
+            x = pooled(reader, vectors, batch["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([batch["label"].cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "pool"])
 
-    rows_in = sample(docs, labels, "quality", rows).select("doc_id", "text", "label").mapInArrow(pools, "doc_id long, label int, pool binary").toArrow()
-    order = np.argsort(rows_in["doc_id"].to_numpy(), kind="stable")
-    x = np.frombuffer(b"".join(rows_in["pool"].to_pylist()), np.float32).reshape(-1, 2 * WIDTH + 4)
-    return train(x[order], rows_in["label"].to_numpy().astype(float)[order])
+    found = sample(docs, labels, "quality", rows).select("text", "label").mapInArrow(pools, "label int, pool binary").toArrow()
+    order = sorted(zip(found["pool"].to_pylist(), found["label"].to_pylist(), strict=True))
+    x = np.frombuffer(b"".join(p for p, _ in order), np.float32).reshape(-1, WIDTH)
+    return train(x, np.array([y for _, y in order], float))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = SAMPLE) -> DataFrame:
@@ -199,12 +244,14 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: in
     and empty texts have a pool of zeros and are scored like any other.  Without labels of both
     kinds every score is near their share (0.5 without any).  An empty docs gives no rows; repeated rows are scored each.
     """
-    table = context_table(docs)
-    sent = docs.sparkSession.sparkContext.broadcast((table, fit(docs, labels, table, rows)))
+    words = frequent(docs, Scratch(docs.sparkSession, "quality"))
+    table = context_table(docs, words)
+    sent = docs.sparkSession.sparkContext.broadcast((words, table, fit(docs, labels, words, table, rows)))
 
     @gives_back
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, (vectors, net) = Reader(), sent.value
+        words, vectors, net = sent.value
+        reader = Reader(words)
         for batch in slices(batches, "text", 2_000_000):
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(net.score(pooled(reader, vectors, batch["text"].to_pylist())), pa.float64())], ["doc_id", "score"])
 

@@ -140,7 +140,7 @@ def test_temperature_is_fitted():
     rng = np.random.default_rng(2)
 
     def drawn(n):
-        x = rng.normal(size=(n, 2 * quality.WIDTH + 4))
+        x = rng.normal(size=(n, quality.WIDTH))
         return x, (rng.random(n) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
 
     net = quality.train(*drawn(4000))
@@ -152,8 +152,35 @@ def test_temperature_is_fitted():
         assert abs(p[part].mean() - y[part].mean()) < 0.1
 
 
-def test_repetition_counts_all_different_words():
-    table = np.zeros((quality.WORDS, quality.WIDTH), np.float32)
-    once, twice = [f"w{i}" for i in range(6000)], [f"w{i % 3000}" for i in range(6000)]
-    x = quality.pooled(quality.Reader(), table, [" ".join(once), " ".join(twice), None, ""])
-    assert x[:2, 2 * quality.WIDTH + 2].tolist() == [0.0, 0.5] and not x[2:].any()
+def test_kinds_of_words():
+    words = np.sort(np.array([quality.xxhash.xxh64_intdigest(w) for w in ("the", "sea")], np.uint64))
+    reader = quality.Reader(words)
+    own = {w: reader.own[quality.xxhash.xxh64_intdigest(w)] for w in ("the", "sea")}
+    kinds, sizes = reader.read(["the sea the the\nXy1 Ab2\nthe sea the the", None, "", "the"])
+    assert sizes.tolist() == [10, 0, 0, 1] and kinds[[0, 1, 2, 3, 10]].tolist() == [own["the"], own["sea"], own["the"], reader.again, own["the"]]
+    assert kinds[4] == kinds[5] == reader.kind("Zz9") and 2 <= kinds[4] < reader.again  # rare words of one shape
+    assert set(kinds[6:10].tolist()) == {reader.again + 1}  # a line that was there before
+
+
+def test_vectors_and_pools_equal_brute_force(make, spark, monkeypatch):
+    monkeypatch.setattr(quality, "FREQUENCY", 0.03)
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(1, 60)) + rng.choice(["", "\nA b\nA b", " so so so"]) for _ in range(80)] + [None, "", "one"]
+    docs = make(list(enumerate(texts)))
+    words = quality.frequent(docs, quality.Scratch(spark, "t"))
+    counts = Counter(w for t in texts for w in (t or "").split())
+    assert words.tolist() == sorted(quality.xxhash.xxh64_intdigest(w) for w, n in counts.items() if n >= 0.03 * sum(counts.values()))
+    table = quality.context_table(docs, words)
+    reader = quality.Reader(words)
+    at, sign = quality.index_vectors(np.arange(reader.kinds))
+    sums = np.zeros((reader.kinds, quality.WIDTH))
+    lists = [reader.read([t])[0].tolist() for t in texts]
+    for kinds in lists:
+        for i, k in enumerate(kinds):
+            for near in kinds[max(i - 1, 0) : i] + kinds[i + 1 : i + 2]:
+                for place, s in zip(at[near], sign[near], strict=True):
+                    sums[k, place] += s
+    wanted = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(table[: reader.kinds], wanted, atol=1e-6)
+    pools = quality.pooled(reader, table, texts)
+    assert np.allclose(pools, [np.mean(table[k], axis=0) if k else np.zeros(quality.WIDTH) for k in lists], atol=1e-5)
