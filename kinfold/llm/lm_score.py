@@ -1,10 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds the quantised counts of all words and word pairs of the training texts: an n-gram
-with quantised count q is inserted q times, marked 1 to q, and its count is read back by probing one
-mark after the other until one is missing.  The filter is built in segments, each by one task from
-the hashes that belong to it, and sent to the workers in shards of bounded size.  The probability of
-a word is its pair count smoothed with its own frequency (a Dirichlet prior of weight PRIOR).
+The filter holds the quantised counts of all word pairs of the training texts: a pair with quantised
+count q is inserted q times, marked 1 to q, and its count is read back by probing one mark after the
+other until one is missing.  The first mark takes several independent blocks of bits, so many that
+fewer pairs are taken for seen by mistake than one in the vocabulary's size.  The filter is built in
+segments, each by one task from the hashes that belong to it, and sent to the workers in shards of
+bounded size.  The probability of a word is its pair's count, smoothed with the word's own frequency
+(a Dirichlet prior of weight PRIOR), over the exact count of the word before; a quantised count
+stands for the mean of the counts that it was given, so that a context's probabilities sum to about 1.
 """
 
 from __future__ import annotations
@@ -25,14 +28,17 @@ from kinfold.scratch import Scratch
 
 #: Counts from BASE^(q-1) below BASE^q have the quantised count q.
 BASE = 1.5
-#: Bits of the filter for each insertion, and bits (of one 64-bit word) that a membership is probed by.
+#: Bits of the filter for each insertion of marks beyond the first, and bits (of one 64-bit word) that it is probed by.
 BITS, PROBES = 10, 5
-PRIOR = 2000.0
+#: The same for each block of the first mark, and the share of unseen pairs that a block lets pass (0.0042 measured).
+FIRST_BITS, FIRST_PROBES, BLOCK_ERROR = 16, 8, 0.0045
+#: Of 5 to 2000, 200 and 500 are the best on held-out texts of sf0.1.
+PRIOR = 300.0
 #: N-grams of a segment, about; n-gram hashes that a task holds before it sends them on.
 SEGMENT, HELD = 1_000_000, 3_000_000
 #: Bytes of filter and vocabulary that are broadcast at once; more are scored in several passes.
 SHARD_BYTES = 96 << 20
-#: Words are dealt into so many groups by hash; whole groups make up a shard.
+#: Words are dealt into so many groups by hash at least, a power of two; whole groups make up a shard.
 GROUPS = 64
 END = ""  # the token at a text's end, and the context of its first word
 
@@ -57,10 +63,6 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(mixed(before + A) ^ word)
 
 
-def single_keys(word: np.ndarray) -> np.ndarray:
-    return mixed(word ^ C)
-
-
 def coded(texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """The place of each token in the different tokens, numbers of tokens of the texts, the different tokens' hashes, and they.
 
@@ -88,37 +90,49 @@ def quantised(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(count) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-#: The count that a quantised count stands for.
+#: The middle of each quantised count's range, where none was seen.
 VALUES = np.array([0.0, 1.0] + [(BASE ** (q - 1) + BASE**q) / 2 for q in range(2, 130)])
 
 
-def probes(key: np.ndarray, level: int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit word, of so many in a segment, and its bits that stand for each key marked with a level."""
-    h = mixed(key + np.uint64(int(A) * level & LOW))
-    mask = np.zeros(len(h), np.uint64)
-    for i in range(PROBES):
-        mask |= np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63))
+def blocks_for(words: int) -> int:
+    """Blocks of the first mark by which an unseen pair passes with a chance below 1 / words."""
+    return max(2, math.ceil(math.log(max(words, 2)) / -math.log(BLOCK_ERROR)))
+
+
+def probes(key: np.ndarray, mark: int, bits: int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word, of so many in a segment, and its bits that stand for each key with a mark."""
+    h = mixed(key + np.uint64(int(A) * mark & LOW))
+    mask, more = np.zeros(len(h), np.uint64), mixed(h ^ B)
+    for i in range(bits):
+        mask |= np.uint64(1) << ((more >> np.uint64(6 * i)) & np.uint64(63))
     return ((h >> np.uint64(32)) * np.asarray(words, np.uint64)) >> np.uint64(32), mask
 
 
-def build_segment(key: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The 64-bit words of the segment that holds these n-grams (each once) with their quantised counts."""
+def marks(level: int, blocks: int) -> list[tuple[int, int]]:
+    """What a level is probed by: marks, and bits of each."""
+    return [(-1 - i, FIRST_PROBES) for i in range(blocks)] if level == 1 else [(level, PROBES)]
+
+
+def build_segment(key: np.ndarray, count: np.ndarray, blocks: int) -> np.ndarray:
+    """The 64-bit words of the segment that holds these pairs (each once) with their quantised counts."""
     level = quantised(count)
-    out = np.zeros(max(1, -(-int(level.sum()) * BITS // 64)), np.uint64)
+    bits = len(key) * FIRST_BITS * blocks + int((level - 1).sum()) * BITS
+    out = np.zeros(max(1, -(-bits // 64)), np.uint64)
     for q in range(1, int(level.max(initial=0)) + 1):
-        at, mask = probes(key[level >= q], q, len(out))
-        order = np.argsort(at)
-        at, mask = at[order], mask[order]
-        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        out[at[new].astype(np.int64)] |= np.bitwise_or.reduceat(mask, new)
+        for mark, n in marks(q, blocks):
+            at, mask = probes(key[level >= q], mark, n, len(out))
+            order = np.argsort(at)
+            at, mask = at[order], mask[order]
+            new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            out[at[new].astype(np.int64)] |= np.bitwise_or.reduceat(mask, new)
     return out
 
 
 class Filter:
     """Segments side by side, by place; counts() probes them."""
 
-    def __init__(self, places: int, segments: dict[int, np.ndarray]):
-        self.sizes = np.ones(places, np.uint64)
+    def __init__(self, places: int, segments: dict[int, np.ndarray], blocks: int):
+        self.blocks, self.sizes = blocks, np.ones(places, np.uint64)
         for place, words in segments.items():
             self.sizes[place] = len(words)
         self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int64)
@@ -127,23 +141,25 @@ class Filter:
             self.words[self.starts[place] : self.starts[place] + len(words)] = words
 
     def counts(self, key: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The quantised counts of n-grams (0: unseen)."""
+        """The quantised counts of pairs (0: unseen)."""
         found, alive, level = np.zeros(len(key), np.int64), np.arange(len(key)), 0
         start, size = self.starts[place], self.sizes[place]
         while len(alive):
             level += 1
-            at, mask = probes(key, level, size)
-            hit = (self.words[start + at.astype(np.int64)] & mask) == mask
-            alive, key, start, size = alive[hit], key[hit], start[hit], size[hit]
+            for mark, n in marks(level, self.blocks):
+                at, mask = probes(key, mark, n, size)
+                hit = (self.words[start + at.astype(np.int64)] & mask) == mask
+                alive, key, start, size = alive[hit], key[hit], start[hit], size[hit]
             found[alive] = level
         return found
 
 
 class Model:
-    """What was learnt: number of training tokens and words; tables of segments and words by group; groups by shard."""
+    """What was learnt: number of training tokens and words; tables of segments and words by group; groups by shard; what levels stand for."""
 
-    def __init__(self, n: int, v: int, seed: int, per_group: int, shards: list[range], filters: DataFrame, words: DataFrame):
-        self.n, self.v, self.seed, self.per_group, self.shards, self.filters, self.words = n, v, seed, per_group, shards, filters, words
+    def __init__(self, n: int, v: int, seed: int, layout: tuple[int, int, int], shards: list[range], filters: DataFrame, words: DataFrame, values: np.ndarray):
+        self.n, self.v, self.seed, self.shards, self.filters, self.words, self.values = n, v, seed, shards, filters, words, values
+        self.groups, self.per_group, self.blocks = layout
 
     def shard(self, i: int) -> tuple[range, Filter, np.ndarray, np.ndarray]:
         """Groups, filter, sorted hashes of words and their counts of one shard; all of bounded size."""
@@ -155,7 +171,7 @@ class Model:
         words = self.words.filter(inside).select("hash", "count").toArrow()
         hashes, counts = words["hash"].to_numpy().view(np.uint64), words["count"].to_numpy()
         order = np.argsort(hashes)
-        return own, Filter(GROUPS * self.per_group, segments), hashes[order], counts[order].astype(np.uint32 if self.n < 1 << 32 else np.int64)
+        return own, Filter(self.groups * self.per_group, segments, self.blocks), hashes[order], counts[order].astype(np.uint32 if self.n < 1 << 32 else np.int64)
 
 
 def _word_counts(train: DataFrame, seed: int) -> DataFrame:
@@ -182,13 +198,14 @@ def _word_counts(train: DataFrame, seed: int) -> DataFrame:
     return train.mapInArrow(count, "hash long, word string, count long").groupBy("hash", "word").agg(F.sum("count").alias("count"))
 
 
-def places_of(word: np.ndarray, key: np.ndarray, per_group: int) -> np.ndarray:
-    """The segments of n-grams: in the group of the last word, by the n-gram's own hash."""
-    return ((word % np.uint64(GROUPS)) * np.uint64(per_group) + (key >> np.uint64(20)) % np.uint64(per_group)).astype(np.int64)
+def places_of(word: np.ndarray, key: np.ndarray, groups: int, per_group: int) -> np.ndarray:
+    """The segments of pairs: in the group of the last word, by the pair's own hash."""
+    return ((word % np.uint64(groups)) * np.uint64(per_group) + (key >> np.uint64(20)) % np.uint64(per_group)).astype(np.int64)
 
 
-def _segments(train: DataFrame, seed: int, per_group: int) -> DataFrame:
-    """group, segment, words: the parts of the filter, each built by one task from the hashes sent to it."""
+def _segments(train: DataFrame, seed: int, layout: tuple[int, int, int]) -> DataFrame:
+    """group, segment, words: the parts of the filter, each built by one task from the hashes sent to it; levels: pairs and sum of counts by level."""
+    groups, per_group, blocks = layout
 
     @gives_back
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +227,9 @@ def _segments(train: DataFrame, seed: int, per_group: int) -> DataFrame:
         for batch in slices(batches, "text"):
             codes, sizes, hashes, _ = coded(batch["text"], seed)
             word = hashes[codes]
-            pair, single = pair_keys(contexts(word, sizes, end), word), single_keys(word)
-            held += [(k, places_of(word, k, per_group)) for k in (pair, single)]
-            n += 2 * len(word)
+            pair = pair_keys(contexts(word, sizes, end), word)
+            held.append((pair, places_of(word, pair, groups, per_group)))
+            n += len(word)
             if n >= HELD:
                 yield sent(held)
                 held, n = [], 0
@@ -230,11 +247,14 @@ def _segments(train: DataFrame, seed: int, per_group: int) -> DataFrame:
         all_keys, all_counts = all_keys[order], all_counts[order]
         new = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]]))
         place = key[0].as_py()
-        words = build_segment(all_keys[new], np.add.reduceat(all_counts, new))
-        yield pa.RecordBatch.from_arrays([pa.array([place // per_group], pa.int64()), pa.array([place % per_group], pa.int64()), pa.array([words.tobytes()], pa.binary())], ["group", "segment", "words"])
+        count = np.add.reduceat(all_counts, new)
+        words, level = build_segment(all_keys[new], count, blocks), quantised(count)
+        levels = [np.bincount(level, w, len(VALUES)).astype(np.int64) for w in (None, count)]
+        arrays = [pa.array([place // per_group], pa.int64()), pa.array([place % per_group], pa.int64()), pa.array([words.tobytes()], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in levels)]
+        yield pa.RecordBatch.from_arrays(arrays, ["group", "segment", "words", "pairs", "total"])
 
     sent_on = train.mapInArrow(gather, "place long, keys binary, counts binary")
-    return sent_on.groupBy("place").applyInArrow(build, "group long, segment long, words binary")
+    return sent_on.groupBy("place").applyInArrow(build, "group long, segment long, words binary, pairs array<long>, total array<long>")
 
 
 def fit(train: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> Model:
@@ -245,20 +265,30 @@ def fit(train: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> M
         n, v, hashes = words.agg(F.sum("count"), F.count("*"), F.count_distinct("hash")).first()
         if hashes == v:
             break
-    n, group = n or 0, F.expr(f"pmod(pmod(hash, {GROUPS}) + {GROUPS}, {GROUPS})")  # 2^64 is a multiple of GROUPS
-    per_group = max(1, math.ceil(n / SEGMENT / GROUPS))
-    filters = scratch.save(_segments(texts, seed, per_group), "filter")
+        scratch.drop(f"words-{seed}")
+    else:
+        raise ValueError("eight seeds each gave two words the same hash")
+    n, blocks = n or 0, blocks_for(v)
+    most = 12 * v + n * (FIRST_BITS * blocks + 2 * BITS) // 8  # bytes, should no pair repeat
+    groups = max(GROUPS, 1 << math.ceil(math.log2(max(1, 4 * most / SHARD_BYTES))))
+    layout = groups, max(1, math.ceil(n / SEGMENT / groups)), blocks
+    filters = scratch.save(_segments(texts, seed, layout), "filter")
     total = 12 * v + (filters.agg(F.sum(F.length("words"))).first()[0] or 0)
-    shards = min(GROUPS, max(1, math.ceil(total / shard_bytes)))
-    edges = [GROUPS * i // shards for i in range(shards + 1)]
-    return Model(n, v, seed, per_group, [range(a, b) for a, b in zip(edges, edges[1:], strict=False)], filters, words.withColumn("group", group))
+    shards = min(groups, max(1, math.ceil(total / shard_bytes)))
+    edges = [groups * i // shards for i in range(shards + 1)]
+    values = VALUES.copy()
+    for level, pairs, counted in filters.select(F.posexplode(F.arrays_zip("pairs", "total")).alias("level", "z")).groupBy("level").agg(F.sum("z.pairs"), F.sum("z.total")).collect():
+        if pairs:
+            values[level] = counted / pairs
+    group = F.expr(f"pmod(pmod(hash, {groups}) + {groups}, {groups})")  # 2^64 is a multiple of groups
+    return Model(n, v, seed, layout, [range(a, b) for a, b in zip(edges, edges[1:], strict=False)], filters, words.withColumn("group", group), values)
 
 
 def _scorer(model: Model, i: int, docs: DataFrame, rest: list[str]) -> tuple[DataFrame, object]:
     """Shard i's part of the sums of each row of docs, and the broadcast that it needs."""
     loaded = docs.sparkSession.sparkContext.broadcast(model.shard(i))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    n, v, seed, per_group = model.n, model.v, model.seed, model.per_group
+    n, v, seed, all_groups, per_group, values = model.n, model.v, model.seed, model.groups, model.per_group, model.values
 
     @gives_back
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,20 +296,18 @@ def _scorer(model: Model, i: int, docs: DataFrame, rest: list[str]) -> tuple[Dat
         end = np.uint64(xxhash.xxh64_intdigest(END, seed))
         for batch in slices(batches, "text"):
             codes, sizes, hashes, _ = coded(batch["text"], seed)
-            group = hashes % np.uint64(GROUPS)
+            group = hashes % np.uint64(all_groups)
             mine = (group >= groups.start) & (group < groups.stop)
             at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
             count = np.where(known[at] == hashes, counts[at].astype(np.int64), 0) if len(known) else np.zeros(len(hashes), np.int64)
-            key = single_keys(hashes)
-            single = VALUES[np.where(mine, table.counts(key, places_of(hashes, key, per_group)), 0)]
             base = np.where(mine, np.log10((count + 1) / (n + v + 1)), 0)
-            prior = PRIOR * (single + 1) / (n + v + 1)
-            context = np.where(mine, np.log10(single + PRIOR), 0)
+            prior = PRIOR * (count + 1) / (n + v + 1)
+            context = np.where(mine, np.log10(count + PRIOR), 0)
             owned = mine[codes]
             word = hashes[codes]
             key = pair_keys(contexts(word, sizes, end), word)[owned]
             gained = np.zeros(len(codes))
-            gained[owned] = np.log10(VALUES[table.counts(key, places_of(word[owned], key, per_group))] + prior[codes[owned]])
+            gained[owned] = np.log10(values[table.counts(key, places_of(word[owned], key, all_groups, per_group))] + prior[codes[owned]])
             before = contexts(context[codes], sizes, context[hashes == end][0] if (hashes == end).any() else 0.0)
             starts = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for x in (base[codes], gained - before)]
