@@ -25,7 +25,7 @@ EDGES = ".,;:!?()[]{}\"'«»“”…-*#&$%|<>/\\"
 PREFIX = 4
 #: Slots that terms are hashed to, and the vectors' length.
 SLOTS, FACTORS = 1 << 18, 8
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 class Terms:
