@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from kinfold.llm.common import free
 from kinfold.llm.queries import tokenizer_file
 from kinfold.scratch import Scratch
 
@@ -21,7 +22,8 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below TOXIC; those without text get the model's bias and stay."""
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, machine, "__toxicity").filter(F.col("__toxicity") < TOXIC).drop("__toxicity")
+    name = free("__toxicity", docs)
+    return toxicity.score(docs, machine, name).filter(F.col(name) < TOXIC).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
