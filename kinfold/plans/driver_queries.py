@@ -124,7 +124,8 @@ def resume_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document read as a resume."""
     at = F.struct(F.lit("documents").alias("file"), F.lit(0).alias("start"), F.col("doc_id").alias("pos"))
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stem"), "text", at.alias("at"))
-    return resume.profiles(docs, 2024).select("candidate_id", "full_name", "headline", "emails", "phones", "overall_confidence")
+    found = resume.profiles(docs, 2024)
+    return found.select("candidate_id", "full_name", "headline", *(F.array_join(c, "/").alias(c) for c in ("emails", "phones")), F.round("overall_confidence", 6).alias("overall_confidence"))
 
 
 def json_probe(spark: SparkSession, sf_dir: str) -> DataFrame:

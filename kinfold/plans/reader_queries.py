@@ -342,8 +342,32 @@ SELECT token, length(token) BETWEEN 2 AND 30 AND NOT (starts_with(lower(token),
 FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[!-~]+')) AS token FROM documents)
 """
 
+# A text without section headers is one header block: name line, the line after it as headline, contacts.
+_MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+_CALL = r"\+?\d[\d\s\-().]{7,}\d"
+RESUME_PROFILES_EXPECTED = rf"""
+WITH d AS (
+  SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM documents WHERE regexp_matches(text, '\S')
+), n AS (
+  SELECT *, list_filter(lines, lambda x: NOT regexp_matches(x, '{_MAIL}|(?i:linkedin\.com/in/[A-Za-z0-9\-_%]+|github\.com/[A-Za-z0-9\-]+)') AND NOT regexp_matches(x, '\p{{Nd}}')
+    AND regexp_full_match(regexp_replace(x, '[.,]', '', 'g'), '\p{{L}}+(\s+\p{{L}}+){{0,4}}'))[1] AS name FROM d
+), h AS (
+  SELECT *, lines[list_position(lines, name) + 1] AS after,
+    lower(nullif(regexp_extract(text, '{_MAIL}'), '')) AS email, coalesce(nullif(regexp_extract(array_to_string(string_split(text, chr(10))[1:15], chr(10)), '{_CALL}'), ''), nullif(regexp_extract(text, '{_CALL}'), '')) AS call FROM n
+), k AS (
+  SELECT *, trim(regexp_replace(name, '\s+', ' ', 'g')) AS plain, CASE WHEN NOT regexp_matches(after, '{_MAIL}') AND NOT regexp_matches(after, '{_CALL}') THEN after END AS headline, regexp_replace(call, '[^0-9+]', '', 'g') AS digits FROM h
+), f AS (
+  SELECT *, CASE WHEN length(plain) >= 2 THEN {title_sql("plain")} END AS full_name, CASE WHEN starts_with(digits, '+') THEN digits WHEN length(digits) = 10 THEN '+91' || digits WHEN length(digits) > 7 THEN '+' || digits END AS number FROM k
+), p AS (
+  SELECT *, CASE WHEN length(ltrim(number, '+')) BETWEEN 7 AND 15 THEN number END AS phone FROM f
+)
+SELECT 'resume_' || doc_id AS candidate_id, full_name, headline, coalesce(email, '') AS emails, coalesce(phone, '') AS phones,
+  {_share("(full_name IS NOT NULL)::INT + (email IS NOT NULL)::INT + (phone IS NOT NULL)::INT + (headline IS NOT NULL)::INT", 7)}
+FROM p WHERE full_name IS NOT NULL OR email IS NOT NULL OR phone IS NOT NULL OR headline IS NOT NULL
+"""
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (csv_profiles, ats_profiles, github_profiles, resume_read, docx_text, read_sources, input_specs, usernames, skill_tokens)}
 ORACLE_SQL: dict[str, str] = {
     "csv_profiles": CSV_EXPECTED, "ats_profiles": ATS_EXPECTED, "github_profiles": GITHUB_EXPECTED, "resume_read": RESUME_EXPECTED, "docx_text": DOCX_EXPECTED,
-    "read_sources": READ_EXPECTED, "input_specs": SPECS_EXPECTED, "usernames": USERNAMES_EXPECTED, "skill_tokens": TOKENS_EXPECTED,
+    "resume_profiles": RESUME_PROFILES_EXPECTED, "read_sources": READ_EXPECTED, "input_specs": SPECS_EXPECTED, "usernames": USERNAMES_EXPECTED, "skill_tokens": TOKENS_EXPECTED,
 }
