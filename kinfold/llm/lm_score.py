@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import KEY, gives_back, slices, with_key
+from kinfold.llm.common import KEY, gives_back, release, slices, with_key
 from kinfold.scratch import Scratch
 
 #: Counts from BASE^(q-1) below BASE^q have the quantised count q.
@@ -36,8 +36,8 @@ FIRST_BITS, FIRST_PROBES, BLOCK_ERROR = 16, 8, 0.0045
 PRIOR = 300.0
 #: N-grams of a segment, about; n-gram hashes that a task holds before it sends them on.
 SEGMENT, HELD = 1_000_000, 3_000_000
-#: Bytes of filter and vocabulary that are broadcast at once; more are scored in several passes.
-SHARD_BYTES = 96 << 20
+#: Bytes of filter and vocabulary that pass through the driver at once, a shard, and shards that a pass over the texts broadcasts.
+SHARD_BYTES, PASS_SHARDS = 12 << 20, 8
 #: Words are dealt into so many groups by hash at least, a power of two; whole groups make up a shard.
 GROUPS = 64
 END = ""  # the token at a text's end, and the context of its first word
@@ -270,7 +270,7 @@ def fit(train: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> M
         raise ValueError("eight seeds each gave two words the same hash")
     n, blocks = n or 0, blocks_for(v)
     most = 12 * v + n * (FIRST_BITS * blocks + 2 * BITS) // 8  # bytes, should no pair repeat
-    groups = max(GROUPS, 1 << math.ceil(math.log2(max(1, 4 * most / SHARD_BYTES))))
+    groups = max(GROUPS, 1 << math.ceil(math.log2(max(1, 2 * most / SHARD_BYTES))))
     layout = groups, max(1, math.ceil(n / SEGMENT / groups)), blocks
     filters = scratch.save(_segments(texts, seed, layout), "filter")
     total = 12 * v + (filters.agg(F.sum(F.length("words"))).first()[0] or 0)
@@ -284,49 +284,57 @@ def fit(train: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> M
     return Model(n, v, seed, layout, [range(a, b) for a, b in zip(edges, edges[1:], strict=False)], filters, words.withColumn("group", group), values)
 
 
-def _scorer(model: Model, i: int, docs: DataFrame, rest: list[str]) -> tuple[DataFrame, object]:
-    """Shard i's part of the sums of each row of docs, and the broadcast that it needs."""
-    loaded = docs.sparkSession.sparkContext.broadcast(model.shard(i))
+def _scorer(model: Model, shards: range, docs: DataFrame, rest: list[str]) -> tuple[DataFrame, list]:
+    """These shards' part of the sums of each row of docs, and the broadcasts that it needs."""
+    loaded = []
+    for i in shards:  # one after the other: the driver holds one at a time
+        loaded.append(docs.sparkSession.sparkContext.broadcast(model.shard(i)))
+        release()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     n, v, seed, all_groups, per_group, values = model.n, model.v, model.seed, model.groups, model.per_group, model.values
 
     @gives_back
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, table, known, counts = loaded.value
         end = np.uint64(xxhash.xxh64_intdigest(END, seed))
         for batch in slices(batches, "text"):
             codes, sizes, hashes, _ = coded(batch["text"], seed)
-            group = hashes % np.uint64(all_groups)
-            mine = (group >= groups.start) & (group < groups.stop)
-            at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-            count = np.where(known[at] == hashes, counts[at].astype(np.int64), 0) if len(known) else np.zeros(len(hashes), np.int64)
+            group, word = hashes % np.uint64(all_groups), hashes[codes]
+            pair = pair_keys(contexts(word, sizes, end), word)
+            count, gained = np.zeros(len(hashes), np.int64), np.zeros(len(codes))
+            mine = np.zeros(len(hashes), bool)
+            for shard in loaded:
+                groups, table, known, counts = shard.value
+                own = (group >= groups.start) & (group < groups.stop)
+                mine |= own
+                at = np.minimum(np.searchsorted(known, hashes[own]), max(len(known) - 1, 0))
+                count[own] = np.where(known[at] == hashes[own], counts[at].astype(np.int64), 0) if len(known) else 0
+                here = np.flatnonzero(own[codes])
+                key = pair[here]
+                seen = values[table.counts(key, places_of(word[here], key, all_groups, per_group))]
+                gained[here] = np.log10(seen + (PRIOR * (count + 1) / (n + v + 1))[codes[here]])
             base = np.where(mine, np.log10((count + 1) / (n + v + 1)), 0)
-            prior = PRIOR * (count + 1) / (n + v + 1)
             context = np.where(mine, np.log10(count + PRIOR), 0)
-            owned = mine[codes]
-            word = hashes[codes]
-            key = pair_keys(contexts(word, sizes, end), word)[owned]
-            gained = np.zeros(len(codes))
-            gained[owned] = np.log10(values[table.counts(key, places_of(word[owned], key, all_groups, per_group))] + prior[codes[owned]])
             before = contexts(context[codes], sizes, context[hashes == end][0] if (hashes == end).any() else 0.0)
             starts = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for x in (base[codes], gained - before)]
-            seen = np.add.reduceat(((count > 0) & mine)[codes].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(sizes), pa.array(seen), pa.array(sums[0]), pa.array(sums[1])], [*rest, "n_tokens", "n_known", "base_score", "score"])
+            known_words = np.add.reduceat(((count > 0) & mine)[codes].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(sizes), pa.array(known_words), pa.array(sums[0]), pa.array(sums[1])], [*rest, "n_tokens", "n_known", "base_score", "score"])
 
     return docs.select(*rest, "text").mapInArrow(scored, f"{schema}, n_tokens long, n_known long, base_score double, score double"), loaded
 
 
 def score_texts(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of each row of docs, in as many passes as the model has shards."""
-    if len(model.shards) == 1:
-        return _scorer(model, 0, docs.select("doc_id", "text"), ["doc_id"])[0]
+    """doc_id, n_tokens, n_known, base_score, score of each row of docs, in a pass over the texts for every PASS_SHARDS shards."""
+    passes = [range(i, min(i + PASS_SHARDS, len(model.shards))) for i in range(0, len(model.shards), PASS_SHARDS)]
+    if len(passes) == 1:
+        return _scorer(model, passes[0], docs.select("doc_id", "text"), ["doc_id"])[0]
     keyed = with_key(docs.select("doc_id", "text"), scratch).select("doc_id", F.to_json(KEY).alias(KEY), "text")
     parts = None
-    for i in range(len(model.shards)):  # one shard is on its way at a time
-        part, loaded = _scorer(model, i, keyed, ["doc_id", KEY])
+    for i, shards in enumerate(passes):  # one pass's shards are on their way at a time
+        part, loaded = _scorer(model, shards, keyed, ["doc_id", KEY])
         part = scratch.save(part, f"part-{i}")
-        loaded.destroy()
+        for shard in loaded:
+            shard.destroy()
         parts = part if parts is None else parts.unionByName(part)
     return parts.groupBy("doc_id", KEY).agg(F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")).drop(KEY)
 
