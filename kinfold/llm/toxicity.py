@@ -9,6 +9,7 @@ on each vector as a whole) leaves those at zero that neither alone nor in pairs
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,16 +115,17 @@ class Averages:
 
 
 def train(rows: list[bytes], y: np.ndarray, reads: int = 60_000, batch: int = 64, positive: float = 2.0, sparse: float = 0.003, sparse_pairs: float = 0.005, rate: float = 3.0) -> Machine:
-    """A machine from packed rows of slots: logistic loss, label 1 counting ``positive`` times, in 6 to 20 rounds of about ``reads`` rows.
+    """A machine from packed rows of slots: logistic loss, label 1 counting ``positive`` times, in 6 to 100 rounds of about ``reads`` rows.
 
-    With labels of one kind the score is that label, without any 0.
+    With fewer than 3000 rows, whose means are noisier, the penalties grow as the noise does.  With labels of one kind the score is that label, without any 0.
     """
     weights, vectors = np.zeros(SLOTS, np.float32), np.zeros((SLOTS, FACTORS), np.float32)
     if len(set(y.tolist())) < 2:
         return Machine(40.0 if len(y) and y[0] else -40.0, weights, vectors)
     rng, bias = np.random.default_rng(7), float(np.log(y.mean() / (1 - y.mean())))
-    learnt = Averages(SLOTS, rng, sparse, sparse_pairs, rate)
-    for _ in range(max(6, min(20, reads // len(y)))):
+    few = max(1.0, math.sqrt(3000 / len(y)))
+    learnt = Averages(SLOTS, rng, sparse * few, sparse_pairs * few, rate)
+    for _ in range(max(6, min(100, reads // len(y)))):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             lists = [unpacked(rows[i]) for i in part]
             flat, row = np.concatenate(lists), np.repeat(np.arange(len(part)), [len(x) for x in lists])
