@@ -8,6 +8,7 @@ import gc
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -33,6 +34,20 @@ def words_of(text: str) -> list[str]:
     return [w for w in text.translate(TO_SPACE).split(" ") if w] if text else []
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of all words of the texts, one text after the other, the place in the different words; the texts' numbers of words; the different words.
+
+    Null texts have none.  Arrow's ASCII white space is space and U+0009 to U+000D.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.fill_null("")))
+    flat = lists.flatten()
+    filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+    sizes = np.diff(np.concatenate([[0], np.cumsum(filled)])[ends])
+    found = flat.filter(pa.array(filled)).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), sizes, found.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text (null: 0), without building them: the starts of words are counted."""
     flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "w")

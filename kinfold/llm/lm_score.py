@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import KEY, gives_back, release, slices, with_key
+from kinfold.llm.common import KEY, gives_back, release, slices, split_words, with_key
 from kinfold.scratch import Scratch
 
 #: Counts from BASE^(q-1) below BASE^q have the quantised count q.
@@ -66,15 +66,11 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 def coded(texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """The place of each token in the different tokens, numbers of tokens of the texts, the different tokens' hashes, and they.
 
-    Tokens are words, A-Z lower-cased, and the end.  Arrow's ASCII white space is space and U+0009 to U+000D.
+    Tokens are words, A-Z lower-cased, and the end.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null(""))))
-    flat = lists.flatten()
-    filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    sizes = np.diff(np.concatenate([[0], np.cumsum(filled)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)])
-    found = flat.filter(pa.array(filled)).dictionary_encode()
-    words = [*found.dictionary.to_numpy(zero_copy_only=False).tolist(), END]
-    codes = np.insert(found.indices.to_numpy().astype(np.int64), np.cumsum(sizes), len(words) - 1)
+    codes, sizes, words = split_words(pc.ascii_lower(texts))
+    words.append(END)
+    codes = np.insert(codes, np.cumsum(sizes), len(words) - 1)
     return codes, sizes + 1, np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)), words
 
 

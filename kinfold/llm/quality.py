@@ -15,13 +15,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import gives_back, slices, words_of
+from kinfold.llm.common import gives_back, slices, split_words, words_of
 from kinfold.llm.labelled import SAMPLE, held_out, sample
 from kinfold.scratch import Scratch
 
@@ -29,8 +29,8 @@ from kinfold.scratch import Scratch
 FREQUENCY, SHAPES = 1e-4, 2048
 #: Length of vectors, non-zero numbers of an index vector, rows of a piece of the table.
 WIDTH, ONES, PIECE = 64, 4, 64
-#: Different words that a task counts before it sends them on; words whose kind a worker remembers.
-HELD, CACHE_WORDS = 400_000, 200_000
+#: Different words that a task counts before it sends them on; shapes whose kind a worker remembers.
+HELD, CACHE_FORMS = 400_000, 50_000
 HIDDEN = 32
 RUNS = [(re.compile(p), to) for p, to in ((r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a"), (r"\d+", "0"))]
 
@@ -46,6 +46,10 @@ def index_vectors(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shape(word: str) -> str:
     """Runs of letters by their case, runs of digits as 0, everything else as it is."""
+    tail = "" if word.isalpha() or word[-1:].isalnum() else word[-1:]
+    letters = word[: len(word) - len(tail)]
+    if letters.isalpha():  # most words: one run, and a full stop or the like
+        return ("A" if letters.isupper() else "Aa" if letters[0].isupper() else "a") + tail
     for pattern, to in RUNS:
         word = pattern.sub(to, word)
     return word
@@ -61,12 +65,13 @@ def frequent(docs: DataFrame, scratch: Scratch) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(seen.values()), pa.int64())], ["hash", "count"])
 
         seen: Counter = Counter()
-        for batch in slices(batches, "text", 2_000_000):
-            for text in batch["text"].to_pylist():
-                seen.update(words_of(text))
-                if len(seen) > HELD:
-                    yield rows(seen)
-                    seen = Counter()
+        for batch in slices(batches, "text"):
+            codes, _, words = split_words(batch["text"])
+            for word, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
+                seen[word] += n
+            if len(seen) > HELD:
+                yield rows(seen)
+                seen = Counter()
         if seen:
             yield rows(seen)
 
@@ -82,38 +87,39 @@ class Reader:
     """Kinds of the words of texts: a frequent word's own, or its shape's, then repeated words, then words of repeated lines."""
 
     def __init__(self, words: np.ndarray):
-        self.own = {int(h): i for i, h in enumerate(words)}
-        self.again = len(words) + SHAPES
+        self.words, self.again = words, len(words) + SHAPES
         self.kinds = self.again + 2
-        self.known: dict[str, int] = {}
-
-    def kind(self, word: str) -> int:
-        own = self.own.get(xxhash.xxh64_intdigest(word))
-        return own if own is not None else len(self.own) + xxhash.xxh32_intdigest(shape(word), 1) % SHAPES
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.forms: dict[str, int] = {}
+
+    def form(self, word: str) -> int:
+        form = shape(word)
+        kind = self.forms.get(form)
+        if kind is None:
+            kind = len(self.words) + xxhash.xxh32_intdigest(form, 1) % SHAPES
+            if len(self.forms) < CACHE_FORMS and len(form) <= 40:
+                self.forms[form] = kind
+        return kind
+
+    def kinds_of(self, words: list[str]) -> np.ndarray:
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        kinds = np.searchsorted(self.words, hashes)
+        rare = self.words[np.minimum(kinds, len(self.words) - 1)] != hashes if len(self.words) else np.ones(len(words), bool)
+        kinds[rare] = [self.form(words[i]) for i in np.flatnonzero(rare).tolist()]
+        return kinds
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The kinds of all words of the texts, one text after the other, and the texts' numbers of words."""
-        lists = [words_of(t) for t in texts]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        ids, words = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        table = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            kind = self.known.get(w)
-            if kind is None:
-                kind = self.kind(w)
-                if len(w) <= 40:
-                    self.known[w] = kind
-            table[i] = kind
+        ids, sizes, words = split_words(texts)
+        table = self.kinds_of(words)
         kinds = table[ids] if len(ids) else np.empty(0, np.int64)
         starts = np.cumsum(sizes) - sizes
         same = np.zeros(len(ids), bool)
         same[1:] = ids[1:] == ids[:-1]
         same[starts[sizes > 0]] = False
         kinds[same] = self.again
-        for text, start in zip(texts, starts.tolist(), strict=True):
-            lines = (text or "").split("\n")
+        several = np.flatnonzero(pc.greater(pc.count_substring(texts.fill_null(""), "\n"), 0).to_numpy(zero_copy_only=False))
+        for start, text in zip(starts[several].tolist(), texts.take(pa.array(several)).to_pylist(), strict=True):
+            lines = text.split("\n")
             if len(set(lines)) < len(lines):
                 seen, at = set(), start
                 for line in lines:
@@ -134,8 +140,8 @@ def context_table(docs: DataFrame, words: np.ndarray) -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, total = Reader(words), np.zeros(rows * WIDTH)
         at, sign = index_vectors(np.arange(rows))
-        for batch in slices(batches, "text", 2_000_000):
-            kind, sizes = reader.read(batch["text"].to_pylist())
+        for batch in slices(batches, "text"):
+            kind, sizes = reader.read(batch["text"])
             ends = np.cumsum(sizes)
             joined = np.ones(max(len(kind) - 1, 0), bool)
             joined[ends[(ends > 0) & (ends < len(kind))] - 1] = False
@@ -159,15 +165,16 @@ def context_table(docs: DataFrame, words: np.ndarray) -> np.ndarray:
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(reader: Reader, table: np.ndarray, texts: list[str | None]) -> np.ndarray:
+def pooled(reader: Reader, table: np.ndarray, texts: pa.Array) -> np.ndarray:
     """The mean of the vectors of each text's words; zeros for a text without words."""
     kinds, sizes = reader.read(texts)
     out = np.zeros((len(texts), WIDTH), np.float32)
     start = 0
-    for i, n in enumerate(sizes):
-        if n:
-            found, count = np.unique(kinds[start : start + n], return_counts=True)
-            out[i] = count.astype(np.float32) @ table[found] / n
+    for i, n in enumerate(sizes.tolist()):
+        if n > 2 * len(table):
+            out[i] = np.bincount(kinds[start : start + n], minlength=len(table)).astype(np.float32) @ table / n
+        elif n:
+            out[i] = table[kinds[start : start + n]].sum(0) / n
         start += n
     return out
 
@@ -227,8 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, words: np.ndarray, table: np.ndarray
     @gives_back
     def pools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, vectors = Reader(sent.value[0]), sent.value[1]
-        for batch in slices(batches, "text", 2_000_000):
-            x = pooled(reader, vectors, batch["text"].to_pylist())
+        for batch in slices(batches, "text"):
+            x = pooled(reader, vectors, batch["text"])
             yield pa.RecordBatch.from_arrays([batch["label"].cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "pool"])
 
     found = sample(docs, labels, "quality", rows).select("text", "label").mapInArrow(pools, "label int, pool binary").toArrow()
@@ -252,8 +259,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: in
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, vectors, net = sent.value
         reader = Reader(words)
-        for batch in slices(batches, "text", 2_000_000):
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(net.score(pooled(reader, vectors, batch["text"].to_pylist())), pa.float64())], ["doc_id", "score"])
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(net.score(pooled(reader, vectors, batch["text"])), pa.float64())], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
     scores = docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,13 +198,17 @@ def test_temperature_is_fitted():
 def test_kinds_of_words():
     words = np.sort(np.array([quality.xxhash.xxh64_intdigest(w) for w in ("the", "sea")], np.uint64))
     reader = quality.Reader(words)
-    own = {w: reader.own[quality.xxhash.xxh64_intdigest(w)] for w in ("the", "sea")}
-    kinds, sizes = reader.read(["the sea the the\nXy1 Ab2\nthe sea the the", None, "", "the"])
+    own = dict(zip(("the", "sea"), reader.kinds_of(["the", "sea"]).tolist(), strict=True))
+    kinds, sizes = reader.read(pa.array(["the sea the the\nXy1 Ab2\nthe sea the the", None, "", "the"]))
     assert sizes.tolist() == [10, 0, 0, 1] and kinds[[0, 1, 2, 3, 10]].tolist() == [own["the"], own["sea"], own["the"], reader.again, own["the"]]
-    assert kinds[4] == kinds[5] == reader.kind("Zz9") and 2 <= kinds[4] < reader.again  # rare words of one shape
+    assert kinds[4] == kinds[5] == reader.kinds_of(["Zz9"])[0] and set(own.values()) == {0, 1} and 2 <= kinds[4] < reader.again  # rare words of one shape
     assert set(kinds[6:10].tolist()) == {reader.again + 1}  # a line that was there before
 
 
+def test_shapes():
+    assert [quality.shape(w) for w in ("sea", "Sea,", "SEA!!", "É.", "x9", "X-ray", "a_", "12.5", "!", "", "ßA", "iPhone4", "Ab²")] == ["a", "Aa,", "A!!", "A.", "a0", "A-a", "a_", "0.0", "!", "", "a", "a0", "Aa"]
+
+
 def test_vectors_and_pools_equal_brute_force(make, spark, monkeypatch):
     monkeypatch.setattr(quality, "FREQUENCY", 0.03)
     rng = random.Random(3)
@@ -216,7 +221,7 @@ def test_vectors_and_pools_equal_brute_force(make, spark, monkeypatch):
     reader = quality.Reader(words)
     at, sign = quality.index_vectors(np.arange(reader.kinds))
     sums = np.zeros((reader.kinds, quality.WIDTH))
-    lists = [reader.read([t])[0].tolist() for t in texts]
+    lists = [reader.read(pa.array([t], pa.string()))[0].tolist() for t in texts]
     for kinds in lists:
         for i, k in enumerate(kinds):
             for near in kinds[max(i - 1, 0) : i] + kinds[i + 1 : i + 2]:
@@ -224,5 +229,5 @@ def test_vectors_and_pools_equal_brute_force(make, spark, monkeypatch):
                     sums[k, place] += s
     wanted = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     assert np.allclose(table[: reader.kinds], wanted, atol=1e-6)
-    pools = quality.pooled(reader, table, texts)
+    pools = quality.pooled(reader, table, pa.array(texts))
     assert np.allclose(pools, [np.mean(table[k], axis=0) if k else np.zeros(quality.WIDTH) for k in lists], atol=1e-5)
