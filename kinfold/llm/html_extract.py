@@ -11,6 +11,7 @@ lines of menus, adverts and the like go although no neighbour happens to share t
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import OrderedDict, deque
 from collections.abc import Iterator
@@ -352,14 +353,17 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     edges = known.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(outer, edge).collect()
     scratch.drop("contents")
     starts = [tuple(e[c] for c in order) for e in sorted((e for e in edges if e["side"] == "start"), key=lambda e: e["range"])]
-    key_type = T.StructType(keys)
-    bounds = spark.createDataFrame([(starts,)], T.StructType([T.StructField("bounds", T.ArrayType(key_type))]))
-    place = F.greatest(F.lit(0), F.size(F.filter("bounds", lambda b: b <= F.struct(*order))) - 1)
+    # a page's range is sought among the first starts of runs of ranges, then within a run
+    run, keys_type = max(1, math.isqrt(len(starts))), T.ArrayType(T.StructType(keys))
+    runs = [starts[i : i + run] for i in range(0, len(starts), run)]
+    bounds = spark.createDataFrame([([r[0] for r in runs], runs)], T.StructType([T.StructField("firsts", keys_type), T.StructField("runs", T.ArrayType(keys_type))]))
+    at = lambda array: F.greatest(F.lit(0), F.size(F.filter(array, lambda b: b <= F.struct(*order))) - 1)
+    place = F.col("run") * run + F.when(F.size("runs") > 0, at(F.get("runs", F.col("run")))).otherwise(0)
     copies: dict[tuple, set[int]] = {}
     for e, target in halo(edges):
         copies.setdefault((e["page_id"], e["url"]), set()).add(target)
     sent = spark.createDataFrame([(*k, sorted(v)) for k, v in copies.items()], T.StructType([T.StructField("i", kinds["page_id"].dataType), T.StructField("u", T.StringType()), T.StructField("targets", T.ArrayType(T.IntegerType()))]))
-    placed = ranged.crossJoin(F.broadcast(bounds)).withColumn("home", place).drop("bounds")
+    placed = ranged.crossJoin(F.broadcast(bounds)).withColumn("run", at(F.col("firsts"))).withColumn("home", place).drop("firsts", "runs", "run")
     placed = placed.join(F.broadcast(sent), F.col("page_id").eqNullSafe(F.col("i")) & F.col("url").eqNullSafe(F.col("u")), "left")
     ways = F.concat(F.array("home"), F.coalesce(F.array_except("targets", F.array("home")), F.array().cast("array<int>")))
     placed = placed.withColumn("range", F.explode(ways)).select(*order, "html", "range", (F.col("range") == F.col("home")).alias("own"))
