@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import normalize
@@ -59,12 +59,13 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.merge(clustered, scratch)
 
 
-EDUCATION_TEXT = joined(F.transform("education", lambda e: F.concat_ws("|", F.trim(F.lower(e["institution"])), *(F.coalesce(e[c].cast("string"), F.lit("")) for c in ("degree", "field", "end_year")))))
+def education_text() -> Column:
+    return joined(F.transform("education", lambda e: F.concat_ws("|", F.trim(F.lower(e["institution"])), *(F.coalesce(e[c].cast("string"), F.lit("")) for c in ("degree", "field", "end_year")))))
 
 
 def merge_education(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Education of merged records: entries folded by school, repeats among them."""
-    return merged(spark, sf_dir).select("ord", EDUCATION_TEXT.alias("education"))
+    return merged(spark, sf_dir).select("ord", education_text().alias("education"))
 
 
 def merge_all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ def project_default_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = joined(F.transform("experience", lambda e: F.concat_ws("|", e["company"], e["title"], F.coalesce(e["start"], F.lit("")))))
     place = [F.col(f"location.{c}").alias(c) for c in ("city", "region", "country")]
     links = [F.col(f"links.{c}").alias(c) for c in ("linkedin", "github", "portfolio")]
-    return out.select("ord", "candidate_id", "full_name", joined(F.col("emails")).alias("emails"), joined(F.col("phones")).alias("phones"), *place, *links, "headline", "years_experience", joined(F.col("skills")).alias("skills"), jobs.alias("experience"), EDUCATION_TEXT.alias("education"), F.size("provenance").alias("sources"), "overall_confidence")
+    return out.select("ord", "candidate_id", "full_name", joined(F.col("emails")).alias("emails"), joined(F.col("phones")).alias("phones"), *place, *links, "headline", "years_experience", joined(F.col("skills")).alias("skills"), jobs.alias("experience"), education_text().alias("education"), F.size("provenance").alias("sources"), "overall_confidence")
 
 
 JSON_CONFIG = {

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -44,3 +46,9 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(ORACLE) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_is_importable_without_a_session():
+    code = "import sys; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 0)"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code, root], capture_output=True, text=True, timeout=120).stdout.strip() == "True"
