@@ -22,9 +22,10 @@ def text_or_null(s: Column) -> Column:
 
 
 def title(s: Column) -> Column:
-    """Runs of cased letters start with a capital: O'Brien, 3D Printing."""
+    """Runs of cased letters start with a capital: O'Brien, 3D Printing, Ss for ß."""
     runs = F.regexp_extract_all(F.lower(s), F.lit(_CASED), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), r.substr(F.lit(2), F.length(r)))), "")
+    first = lambda r: F.when(F.startswith(r, F.lit("ß")), "Ss").otherwise(F.upper(F.substring(r, 1, 1)))
+    return F.array_join(F.transform(runs, lambda r: F.concat(first(r), r.substr(F.lit(2), F.length(r)))), "")
 
 
 def collapse(s: Column) -> Column:

@@ -29,7 +29,7 @@ def _case(value: str, entries: dict[str, str]) -> str:
 
 #: Title case of a DuckDB expression: runs of letters, and what lies between them.
 def title_sql(value: str) -> str:
-    return f"array_to_string(list_transform(regexp_extract_all(lower({value}), '\\p{{L}}+|\\P{{L}}+'), lambda r: upper(r[1]) || r[2:]), '')"
+    return f"array_to_string(list_transform(regexp_extract_all(lower({value}), '\\p{{L}}+|\\P{{L}}+'), lambda r: CASE r[1] WHEN 'ß' THEN 'Ss' ELSE upper(r[1]) END || r[2:]), '')"
 
 
 EMAIL, PHONE = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", r"\+?\d[\d\s\-().]{7,}\d"

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import os
 import subprocess
 import sys
@@ -23,6 +24,17 @@ def duck():
     return connection
 
 
+@pytest.fixture(scope="module", autouse=True)
+def merged_once():
+    """Records are merged once for all queries that start from them."""
+    real = {module: module.merged for module in (driver_queries, merge_queries)}
+    for module, fn in real.items():
+        module.merged = functools.cache(fn)
+    yield
+    for module, fn in real.items():
+        module.merged = fn
+
+
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
