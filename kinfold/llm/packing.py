@@ -26,7 +26,7 @@ CAPACITY = 4096
 #: A pool is packed when it holds so many tokens; more make fuller windows and larger workers.
 POOL_TOKENS = 2_000_000
 #: Words whose ids a worker remembers (twice so many at most), and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 250_000, 48
+CACHE_WORDS, CACHE_CHARS = 100_000, 48
 
 #: Letters below this one, U+0250, stand alone in NFC, and lower-case without regard to their neighbours.
 LATIN = "\u0250"
