@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import exact_dedup, html_extract, lm_score, mixing, ngram_join, packing, quality, topk, toxicity, url_filter
+from kinfold.llm import conversation_repair, exact_dedup, html_extract, lm_score, mixing, ngram_join, packing, quality, topk, toxicity, url_filter
 from kinfold.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -76,4 +76,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_exact_dedup, op4_packing, op5_quality, op6_html_extract, op7_ngram_join, op8_url_filter, op9_toxicity, op10_topk)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, gone = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repaired(rows, conversation_repair.digest, conversation_repair.AUDITS, gone)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_exact_dedup, op4_packing, op5_quality, op6_html_extract, op7_ngram_join, op8_url_filter, op9_toxicity, op10_topk, op13_conversation_repair)}

@@ -70,3 +70,66 @@ WITH v AS (
 SELECT query_id, (row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
 FROM scored QUALIFY rank <= 20
 """
+
+ORACLE_SQL["op13_conversation_repair"] = r"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), fated AS (
+  SELECT *, xor(list_reduce(list_transform(range(length(k)), lambda i: ord(k[i + 1])::BIGINT),
+    lambda c, b: list_reduce(range(8), lambda x, n: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295) % 20 AS fate FROM hashed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM fated WHERE fate <> 0
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM damaged
+), faulty AS (
+  SELECT *, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY g, role, text ORDER BY n) > 1 AS seen,
+    role[1] AS i, lag(role[1]) OVER (PARTITION BY g ORDER BY n) AS i_before
+  FROM placed
+), judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM faulty
+), stats AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i_before IS NOT NULL AND i_before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS rows
+  FROM judged GROUP BY g
+), moves AS (
+  SELECT g, n, i, fault IN ('blank', 'duplicate') AS must_go, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM judged
+), states AS (
+  SELECT g, 0::BIGINT AS n, {'c': 0, 'a': ''} AS s0, NULL::STRUCT(c INT, a VARCHAR) AS s1, {'c': 5, 'a': 'I'} AS s2, {'c': 10, 'a': 'II'} AS s3 FROM stats
+  UNION ALL
+  SELECT g, n, s0, s1, m2, list_min([r3, CASE WHEN m2 IS NOT NULL THEN {'c': m2.c + 5, 'a': m2.a || 'I'} END])
+  FROM (
+    SELECT g, n, s0, s1, r3, list_min([r2, {'c': s0.c + 5, 'a': s0.a || 'I'}, CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + 5, 'a': s1.a || 'I'} END, CASE WHEN r3 IS NOT NULL THEN {'c': r3.c + 5, 'a': r3.a || 'I'} END]) AS m2
+    FROM (
+      SELECT s.g, m.n, {'c': s0.c + 2, 'a': s0.a || 'D'} AS s0,
+        list_min([CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + 2, 'a': s1.a || 'D'} END, CASE WHEN NOT must_go AND i = 's' THEN {'c': s0.c + extra, 'a': s0.a || 'K'} END]) AS s1,
+        list_min([CASE WHEN s2 IS NOT NULL THEN {'c': s2.c + 2, 'a': s2.a || 'D'} END,
+          CASE WHEN NOT must_go THEN list_min([{'c': s0.c + extra + (i <> 'u')::INT, 'a': s0.a || CASE WHEN i = 'u' THEN 'K' ELSE 'R' END},
+            CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + extra + (i <> 'u')::INT, 'a': s1.a || CASE WHEN i = 'u' THEN 'K' ELSE 'R' END} END,
+            CASE WHEN s3 IS NOT NULL THEN {'c': s3.c + extra + (i <> 'u')::INT, 'a': s3.a || CASE WHEN i = 'u' THEN 'K' ELSE 'R' END} END]) END]) AS r2,
+        list_min([CASE WHEN s3 IS NOT NULL THEN {'c': s3.c + 2, 'a': s3.a || 'D'} END,
+          CASE WHEN NOT must_go AND s2 IS NOT NULL THEN {'c': s2.c + extra + (i <> 'a')::INT, 'a': s2.a || CASE WHEN i = 'a' THEN 'K' ELSE 'R' END} END]) AS r3
+      FROM states s JOIN moves m ON m.g = s.g AND m.n = s.n + 1
+    )
+  )
+), best AS (
+  SELECT s.g, list_min([s0, s3]) AS b FROM states s JOIN stats t ON t.g = s.g AND t.rows = s.n
+), letters AS (
+  SELECT g, unnest(range(1, length(b.a) + 1)) AS p, b.a AS audit FROM best
+), edits AS (
+  SELECT g, p, audit[p] AS e, sum((audit[p] <> 'I')::INT) OVER w AS n, sum((audit[p] <> 'D')::INT) OVER w AS step FROM letters WINDOW w AS (PARTITION BY g ORDER BY p)
+), turns AS (
+  SELECT x.g, p, e, step, j.role, j.text, max((e = 'K' AND step = 1 AND j.i = 's')::INT) OVER (PARTITION BY x.g) AS led
+  FROM edits x LEFT JOIN judged j ON x.e <> 'I' AND j.g = x.g AND j.n = x.n
+), repaired AS (
+  SELECT g, string_agg(CASE WHEN e = 'K' THEN role WHEN (step - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS t FROM turns WHERE e <> 'D' GROUP BY g
+), told AS (
+  SELECT (SELECT any_value(conv_id) FROM judged j WHERE j.g = t.g) AS conv_id, t.*, b.b.c::BIGINT AS cost, b.b.a AS audit, sha256(coalesce(r.t, '')) AS repaired_sha256
+  FROM stats t JOIN best b USING (g) LEFT JOIN repaired r USING (g)
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
