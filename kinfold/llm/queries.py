@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import conversation_repair, exact_dedup, html_extract, lm_score, mixing, ngram_join, packing, quality, topk, toxicity, url_filter
+from kinfold.llm import conversation_repair, exact_dedup, html_extract, lm_score, mixing, ngram_join, packing, quality, token_alignment, topk, toxicity, url_filter
 from kinfold.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -26,10 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +76,13 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, gone = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
     return conversation_repair.repaired(rows, conversation_repair.digest, conversation_repair.AUDITS, gone)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_exact_dedup, op4_packing, op5_quality, op6_html_extract, op7_ngram_join, op8_url_filter, op9_toxicity, op10_topk, op13_conversation_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_lm_score, op3_exact_dedup, op4_packing, op5_quality, op6_html_extract, op7_ngram_join, op8_url_filter, op9_toxicity, op10_topk, op12_token_alignment, op13_conversation_repair)}
