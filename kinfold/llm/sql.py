@@ -133,3 +133,31 @@ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
   coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+ORACLE_SQL["op11_suffix_dedup"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), grams AS (
+  SELECT k, doc_id, p, b[p:p + 49] AS s FROM (SELECT k, doc_id, b, unnest(range(1, octet_length(b) - 48)) AS p FROM d)
+), first AS (
+  SELECT s, min(doc_id) AS least FROM grams GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT k, p FROM grams JOIN first USING (s) WHERE doc_id > least
+), ends AS (
+  SELECT k, p, coalesce(p > max(p + 50) OVER (PARTITION BY k ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM hits
+), numbered AS (
+  SELECT k, p, sum(new::INT) OVER (PARTITION BY k ORDER BY p) AS n FROM ends
+), spans AS (
+  SELECT k, n, min(p) AS a, max(p) + 49 AS z FROM numbered GROUP BY k, n
+), kept AS (
+  SELECT k, coalesce(lag(z) OVER (PARTITION BY k ORDER BY n), 0) + 1 AS a, a - 1 AS z, n FROM spans
+  UNION ALL SELECT k, max(z) + 1, 9000000000, max(n) + 1 FROM spans GROUP BY k
+), text AS (
+  SELECT k, string_agg(hex(b[a:z]), '' ORDER BY n) FILTER (z >= a) AS t FROM kept JOIN d USING (k) GROUP BY k
+), counts AS (
+  SELECT k, sum(z - a + 1)::BIGINT AS removed, count(*) AS n FROM spans GROUP BY k
+)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(CASE WHEN n IS NULL THEN b ELSE unhex(coalesce(t, '')) END) AS kept_sha256
+FROM d LEFT JOIN counts USING (k) LEFT JOIN text USING (k)
+"""
