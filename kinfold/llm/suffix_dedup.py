@@ -8,7 +8,7 @@ different fragments by external induced sorting, which also gives the prefix tha
 common.  Suffixes that share LENGTH bytes or more are one group, and its smallest doc_id decides for
 all of them.  What is to go returns to the fragments' documents as spans.
 
-A hash that very many different fragments have (around a line that very many documents repeat) would
+Documents with equal texts count once, by the row with the smallest doc_id; the others go whole.  A hash that very many different fragments have (around a line that very many documents repeat) would
 make one shard large: its fragments are cut into single strings, dealt by their own hashes.
 """
 
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import KEY, gives_back, slices, with_key
+from kinfold.llm.common import KEY, gives_back, slices, small_side, with_key
 from kinfold.llm.induced_sort import sorted_suffixes
 from kinfold.scratch import Scratch
 
@@ -199,7 +199,8 @@ def anchored(keyed: DataFrame, bits: np.ndarray, scratch: Scratch) -> tuple[Data
 
     seen = Observation()
     found = keyed.select(KEY, "doc_id", "text").mapInArrow(cut, ANCHORED).observe(seen, F.count("fid").alias("n"), F.sum(F.length("fragment")).alias("bytes"))
-    out = scratch.save(found, "anchored")
+    found = found.withColumn("kind", F.when(F.col("fid").isNull(), "places").otherwise("fragments"))
+    out = scratch.save(found, "anchored", "kind")
     table.unpersist()
     return out, seen.get["n"] or 0, seen.get["bytes"] or 0
 
@@ -257,7 +258,7 @@ def decided(keys: np.ndarray, low: np.ndarray, high: np.ndarray, parts: pa.Array
 def spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """f, r and gone of each row of keyed from which something goes: an array of struct(start, size) in bytes, unordered, overlapping."""
     found, n, size = anchored(keyed, shared_slots(keyed, scratch), scratch)
-    parts = found.filter(F.col("fid").isNotNull()).select("fid", "anchor", "fragment", "low", "high")
+    parts = found.filter("kind = 'fragments'").select("fid", "anchor", "fragment", "low", "high")
     hot = parts.groupBy("anchor").count().filter(F.col("count") > max(HOT_LEAST, n // HOT_SHARE)).select(F.col("anchor").alias("hot"))  # fewer than HOT_SHARE rows
     hot = scratch.save(hot, "hot")
     strings = F.sequence(F.lit(0), F.length("fragment") - LENGTH)
@@ -281,10 +282,12 @@ def spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (fid[some], base[some] + begin[at : at + 100_000], count[at : at + 100_000], least[at : at + 100_000])], ["fid", "begin", "count", "least"])
 
     gone = scratch.save(parts.mapInArrow(sort, "fid long, begin long, count long, least long"), "gone")
-    at = found.filter(F.col("row").isNotNull()).select("row", "doc_id", F.inline("at"))
+    scratch.drop("anchored/kind=fragments")
+    found = found.filter("kind = 'places'")
+    at = found.select("row", "doc_id", F.inline("at"))
     hits = gone.join(at, "fid").filter(F.col("least") < F.col("doc_id"))
     listed = hits.groupBy("row").agg(F.collect_list(F.struct((F.col("start") + F.col("begin")).alias("start"), (F.col("count") + LENGTH - 1).alias("size"))).alias("gone"))
-    places = found.filter(F.col("row").isNotNull()).select("row", "f", "r")
+    places = found.select("row", "f", "r")
     return scratch.save(places.join(listed, "row").select("f", "r", "gone"), "spans")
 
 
@@ -301,8 +304,15 @@ def removals(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     keyed = with_key(docs.select("doc_id", "text"), scratch)
-    gone = spans(keyed, scratch).select(F.struct("f", "r").alias("place"), "gone")
-    told = keyed.join(gone, F.col(KEY) == F.col("place"), "left").select("doc_id", "text", "gone")
+    same = keyed.withColumn("content", F.unhex(F.sha2("text", 256)))
+    copies = same.groupBy("content").agg(F.min(F.struct("doc_id", KEY)).alias("first"), F.count("*").alias("n")).filter("n > 1 AND content IS NOT NULL")
+    copies = scratch.save(copies.select("content", "first"), "copies")
+    same = same.join(small_side(copies, copies.count()), "content", "left").drop("content")
+    place = F.coalesce(F.col(f"first.{KEY}"), F.col(KEY))
+    gone = spans(same.filter(place == F.col(KEY)).select(KEY, "doc_id", "text"), scratch).select(F.struct("f", "r").alias("place"), "gone")
+    order = lambda c: F.coalesce(F.col(c), F.lit(NO_ID))
+    whole = F.col("first").isNotNull() & (order("doc_id") > order("first.doc_id")) & (F.octet_length("text") >= LENGTH)
+    told = same.withColumns({"at": place, "whole": whole}).join(gone, F.col("at") == F.col("place"), "left").select("doc_id", "text", "whole", F.when(~F.col("whole"), F.col("gone")).alias("gone"))
 
     @gives_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,8 +321,11 @@ def removals(docs: DataFrame) -> DataFrame:
             lists = batch["gone"]
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())]).astype(np.int64)
             starts, sizes = (pc.struct_field(lists.flatten(), c).to_numpy().astype(np.int64) for c in ("start", "size"))
-            for i, text in enumerate(texts.to_pylist()):
+            for i, (text, all_of_it) in enumerate(zip(texts.to_pylist(), batch["whole"].to_pylist(), strict=True)):
                 a, b = ends[i], ends[i + 1]
+                if all_of_it:
+                    rows.append((len(text), len(text), 1, [{"start": 0, "end": len(text)}], b""))
+                    continue
                 if a == b:
                     rows.append((len(text), 0, 0, [], text))
                     continue
