@@ -22,7 +22,8 @@ import numpy as np
 #: Bytes of a queue or of an order that stay in memory.
 MEMORY = 48 << 20
 #: Tuples whose range minima are taken at once, and tuples that a pass over a large alphabet orders at once.
-BLOCK, BATCH = 1 << 18, 1 << 16
+BLOCK, BATCH = 1 << 18, 1 << 15
+ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Runs of a queue before they are merged.
 RUNS = 256
 
@@ -101,7 +102,13 @@ def types(text: np.ndarray) -> np.ndarray:
 
 
 def stars(text: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(kind[:-1] & ~kind[1:]) + 1
+    return (np.flatnonzero(kind[:-1] & ~kind[1:]) + 1).astype(np.int32 if len(text) < 1 << 31 else np.int64)
+
+
+def words_of(text: np.ndarray, beyond: int = 8) -> np.ndarray:
+    """The eight bytes from each place on as a little-endian number; zeros follow the text."""
+    padded = np.concatenate([text, np.zeros(beyond + 8, np.uint8)])
+    return np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
 
 
 def names(text: np.ndarray, size: int, at: np.ndarray, ends_alike: bool) -> np.ndarray:
@@ -118,15 +125,22 @@ def names(text: np.ndarray, size: int, at: np.ndarray, ends_alike: bool) -> np.n
     zeros = int(first.sum())
     rank[first] = np.arange(zeros)[::-1]
     active, group = np.flatnonzero(~first), np.full(n - zeros, zeros, np.int64)
-    bits = int(size).bit_length()
-    together, offset = 63 // bits, 0
+    is_bytes, bits = text.dtype == np.uint8, int(size).bit_length()
+    together, offset = 8 if is_bytes else 63 // bits, 0
+    words = words_of(text) if is_bytes else None
     while len(active):
-        key = np.zeros(len(active), np.uint64)
-        for t in range(offset, offset + together):
-            inside = t < length[active]
-            here = np.full(len(active), size, np.uint64)
-            here[inside] = text[at[active[inside]] + t]
-            key = key << np.uint64(bits) | here
+        if is_bytes:  # eight at once, as a number; 255 stands for what is beyond a piece
+            left = np.clip(length[active] - offset, 0, 8).astype(np.uint64)
+            key = words[np.minimum(at[active] + offset, len(text))].byteswap() | np.where(left == 0, np.uint64(0), ONES >> (left * np.uint64(8) % np.uint64(64)))
+            key[left == 0] = ONES
+            key[left == 8] = words[at[active[left == 8]] + offset].byteswap()
+        else:
+            key = np.zeros(len(active), np.uint64)
+            for t in range(offset, offset + together):
+                inside = t < length[active]
+                here = np.full(len(active), size, np.uint64)
+                here[inside] = text[at[active[inside]] + t]
+                key = key << np.uint64(bits) | here
         order = np.lexsort((key, group)) if offset else np.argsort(key)
         active, group, key = active[order], group[order], key[order]
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
@@ -145,49 +159,45 @@ def names(text: np.ndarray, size: int, at: np.ndarray, ends_alike: bool) -> np.n
     return (np.cumsum(present) - 1)[rank]
 
 
-def _generations(text: np.ndarray, kind: np.ndarray, found: np.ndarray, flags: np.ndarray, base: int, size: int, mirrored: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of a batch of symbols below ``size`` (mirrored), with those that follow from them inside it, in order; and which of them are seeds.
+def _generations(symbols: np.ndarray, kind: np.ndarray, found: np.ndarray, seeds: int, base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a batch of symbols from base to below size, with those that follow from them inside it, in order; and which of them are seeds.
 
-    found has the tuples popped (flags False) and then the seeds (flags True), each in order.  What
-    follows from a suffix of the batch stands after the popped ones of its symbol and before the seeds,
-    in the order of the suffixes that it follows from, which settles one generation a round.
+    found has the tuples popped and then so many seeds, each in order.  What follows from a suffix of the
+    batch stands after the popped ones of its symbol and before the seeds, in the order of the suffixes
+    that it follows from, which settles one generation a round.
     """
-    symbol = lambda at: (mirrored_by - text[at].astype(np.int64)) if mirrored else text[at].astype(np.int64)
-    mirrored_by = size_of(text)
-    place, parent, stage = [found], [np.full(len(found), -1)], [np.where(flags, 2, 0)]
-    now, first = found, 0
+    stage = np.zeros(len(found), np.int64)
+    stage[len(found) - seeds :] = 2
+    place, parent, now, first = [found], [], found, 0
     while len(now):
-        before = now - 1
         ok = np.flatnonzero(now > 0)
-        ok = ok[kind[before[ok]]]
-        ok = ok[symbol(before[ok]) < size]
-        place.append(before[ok])
-        parent.append(first + ok)
-        stage.append(np.ones(len(ok), np.int64))
-        first, now = first + len(now), before[ok]
-    rounds = len(place) - 2
-    place, parent, stage = map(np.concatenate, (place, parent, stage))
-    key = ((symbol(place) - base) * 3 + stage) << 32
-    key[: len(found)] |= np.arange(len(found))
-    rank, follows = np.zeros(len(place), np.int64), parent >= 0
-    for _ in range(rounds + 1):
+        before = now[ok] - 1
+        inside = kind[before] & (symbols[before] < size)
+        place.append(before[inside])
+        parent.append(first + ok[inside])
+        first, now = first + len(now), place[-1]
+    rounds, parent = len(place) - 2, np.concatenate([np.zeros(0, np.int64), *parent])
+    if rounds:
+        found, stage = np.concatenate(place), np.concatenate([stage, np.ones(len(parent), np.int64)])
+    key = ((symbols[found] - np.int64(base)) * 3 + stage) << 32
+    n = len(found) - len(parent)
+    key[:n] |= np.arange(n)
+    rank = np.zeros(len(found), np.int64)
+    for left in range(rounds, -1, -1):
         full = key.copy()
-        full[follows] |= rank[parent[follows]]
+        full[n:] |= rank[parent]
         order = np.argsort(full, kind="stable")
-        rank[order] = np.arange(len(order))
-    return place[order], stage[order] == 2
-
-
-def size_of(text: np.ndarray) -> int:
-    return int(text.max(initial=0))
+        if left:
+            rank[order] = np.arange(len(order))
+    return found[order], stage[order] == 2
 
 
 def induced(text: np.ndarray, kind: np.ndarray, seeds: np.ndarray, mirrored: bool) -> np.ndarray:
     """All suffixes for which kind holds, in order, given the seeds in order; mirrored: both in descending order."""
     top = size_of(text)
-    symbol = lambda at: (top - text[at].astype(np.int64)) if mirrored else text[at].astype(np.int64)
-    counts = np.bincount(symbol(np.flatnonzero(kind)), minlength=top + 1)
-    seed_symbols = symbol(seeds)
+    symbols = (top - text if mirrored else text).astype(np.int32)
+    counts = np.bincount(symbols[kind], minlength=top + 1)
+    seed_symbols = symbols[seeds]
     counts += np.bincount(seed_symbols, minlength=top + 1)
     cuts = np.append(np.flatnonzero(np.diff(np.cumsum(counts) // BATCH)) + 1, top + 1)
     queue, out, low, taken = Queue(), Order(), 0, 0
@@ -196,18 +206,21 @@ def induced(text: np.ndarray, kind: np.ndarray, seeds: np.ndarray, mirrored: boo
         until = int(np.searchsorted(seed_symbols, high))
         mine = seeds[taken:until]
         found = mine if popped is None else np.concatenate([popped[1], mine])
-        flags = np.arange(len(found)) >= len(found) - len(mine)
         taken = until
         if len(found):
-            place, is_seed = _generations(text, kind, found, flags, low, high, mirrored)
+            place, is_seed = _generations(symbols, kind, found, len(mine), low, high)
             out.add(place[~is_seed])
             before = place[place > 0] - 1
             before = before[kind[before]]
-            to = symbol(before)
+            to = symbols[before]
             on = to >= high
             queue.push(to[on], before[on])
         low = high
-    return out.all(np.int64)
+    return out.all(seeds.dtype)
+
+
+def size_of(text: np.ndarray) -> int:
+    return int(text.max(initial=0))
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -216,7 +229,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     order = star_order(text, kind, False)
     large = induced(text, kind, order, False)
     small = induced(text, ~kind & (np.arange(len(text)) < len(text) - 1), large[::-1], True)
-    return _merged(text, large, np.append(small, len(text) - 1)[::-1])[0]
+    return _merged(text, large, np.append(small, small.dtype.type(len(text) - 1))[::-1])[0]
 
 
 def star_order(text: np.ndarray, kind: np.ndarray, ends_alike: bool) -> np.ndarray:
@@ -248,8 +261,7 @@ def _merged(text: np.ndarray, large: np.ndarray, small: np.ndarray, *values: tup
 
 def common(text: np.ndarray, left: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """The prefix, up to most bytes, that each suffix has in common with the one before it in order; left: bytes up to the next end."""
-    padded = np.concatenate([text, np.zeros(most + 8, np.uint8)])
-    words = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    words = words_of(text, most)
     out = np.minimum(left[order], most)
     out[1:] = np.minimum(out[1:], out[:-1])
     out[:1] = 0
@@ -311,7 +323,7 @@ def induced_common(text: np.ndarray, kind: np.ndarray, seeds: np.ndarray, shared
         popped = queue.pop(turn + 1)
         mine, mine_shared = (x[bounds[turn] : bounds[turn + 1]] for x in (seeds, shared))
         parts, values, generation = [], [], 0
-        now, value = popped[1:] if popped else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        now, value = popped[1:] if popped else (seeds[:0], np.zeros(0, np.uint8))
         while len(now):  # those that begin with one c, then with two, ...
             value = value.copy()
             value[0] = min(generation, most)
@@ -344,7 +356,7 @@ def induced_common(text: np.ndarray, kind: np.ndarray, seeds: np.ndarray, shared
             to = text[before]
             least = _minima(value, to, at, since)
             queue.push(255 - to if mirrored else to, before, np.minimum(least.astype(np.int64) + 1, most).astype(np.uint8))
-    return out.all(np.int64), commons.all(np.uint8)
+    return out.all(seeds.dtype), commons.all(np.uint8)
 
 
 def sorted_suffixes(text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +367,7 @@ def sorted_suffixes(text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     """
     kind = types(text)
     ends = np.flatnonzero(text == 0)
-    left = np.zeros(len(text), np.int64)
+    left = np.zeros(len(text), np.int32)
     left[1:] = np.repeat(ends[1:], np.diff(ends)) - np.arange(1, len(text))
     seeds = star_order(text, kind, True)
     large, large_common = induced_common(text, kind, seeds, common(text, left, seeds, most).astype(np.uint8), most, False)

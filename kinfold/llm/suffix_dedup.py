@@ -28,6 +28,8 @@ from kinfold.scratch import Scratch
 
 #: Bytes of a string that repeats, and of the grams that are hashed.
 LENGTH, GRAM = 50, 16
+#: Places that are hashed at once.
+STRETCH = 1 << 14
 #: The table of bits has 2**SLOTS of them (64 MB) in parts of 2**PART.
 SLOTS, PART = 29, 19
 #: Most strings of a fragment; bytes of fragments in a shard; share of all fragments beyond which a hash is cut into strings, if it has so many at least.
@@ -52,12 +54,15 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def least_hashes(data: np.ndarray) -> np.ndarray:
-    """The least hash of a gram in the LENGTH bytes from each place on."""
-    x, width, n = gram_hashes(data), LENGTH - GRAM + 1, 1
-    while 2 * n <= width:
-        x = np.minimum(x[:-n], x[n:])
-        n *= 2
-    return np.minimum(x[: len(x) - (width - n)], x[width - n :])
+    """The least hash of a gram in the LENGTH bytes from each place on; taken over stretches that stay in the processor's cache."""
+    out = np.empty(len(data) - LENGTH + 1, np.uint64)
+    for at in range(0, len(out), STRETCH):
+        x, width, n = gram_hashes(data[at : at + STRETCH + LENGTH - 1]), LENGTH - GRAM + 1, 1
+        while 2 * n <= width:
+            x = np.minimum(x[:-n], x[n:])
+            n *= 2
+        np.minimum(x[: len(x) - (width - n)], x[width - n :], out=out[at : at + STRETCH])
+    return out
 
 
 def fragments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,10 +118,11 @@ def shared_slots(docs: DataFrame, scratch: Scratch) -> np.ndarray:
 
         for batch in slices(batches, "text"):
             _, text, _, _, hashes, _ = fragments(batch["text"])
-            pair = np.unique(slot_of(hashes) << 24 | text)
-            slot, n = np.unique(pair >> 24, return_counts=True)
-            held.append(slot << 1 | (n > 1))
-            size += len(slot)
+            pair = np.sort(slot_of(hashes) << 24 | text)
+            pair = pair[np.diff(pair, prepend=-1) != 0] >> 24  # a slot for each of its documents
+            new = np.flatnonzero(np.diff(pair, prepend=-1))
+            held.append(pair[new] << 1 | (np.diff(new, append=len(pair)) > 1))
+            size += len(new)
             if size > 4_000_000:
                 yield dealt()
                 held, size = [], 0
