@@ -310,10 +310,11 @@ def removals(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     keyed = with_key(docs.select("doc_id", "text"), scratch)
-    same = keyed.withColumn("content", F.unhex(F.sha2("text", 256)))
-    copies = same.groupBy("content").agg(F.min(F.struct("doc_id", KEY)).alias("first"), F.count("*").alias("n")).filter("n > 1 AND content IS NOT NULL")
-    copies = scratch.save(copies.select("content", "first"), "copies")
-    same = same.join(small_side(copies, copies.count()), "content", "left").drop("content")
+    digest = F.unhex(F.sha2("text", 256))
+    copies = keyed.groupBy(digest.alias("content"), F.xxhash64("text").alias("short")).agg(F.min(F.struct("doc_id", KEY)).alias("first"), F.count("*").alias("n")).filter("n > 1 AND content IS NOT NULL")
+    copies = scratch.save(copies.select("content", "short", "first"), "copies")
+    # the short hash finds candidates; the long one, which takes longer, is only computed for those
+    same = keyed.join(small_side(copies, copies.count()), (F.xxhash64("text") == F.col("short")) & (digest == F.col("content")), "left").drop("content", "short")
     place = F.coalesce(F.col(f"first.{KEY}"), F.col(KEY))
     gone = spans(same.filter(place == F.col(KEY)).select(KEY, "doc_id", "text"), scratch).select(F.struct("f", "r").alias("place"), "gone")
     order = lambda c: F.coalesce(F.col(c), F.lit(NO_ID))
