@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
-import contextlib
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
+from kinfold.operators import project, rejects
 from kinfold.plans import config as configs
 from kinfold.plans import pipeline
 from kinfold.sources.inputs import Input, read_all
@@ -18,7 +19,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="kinfold", description="Merge records of the same people from several sources.")
     parser.add_argument("inputs", nargs="+", help="path or URL, with :kind where it does not tell")
     parser.add_argument("--config", default="default", help="default, custom or a JSON file")
-    parser.add_argument("--output", help="file for the JSON array; standard output otherwise")
+    parser.add_argument("--output", help="file for the indented JSON array; on standard output one record a line otherwise")
     parser.add_argument("--output-folder", help="folder for JSON lines, written by the workers")
     parser.add_argument("--as-of-year", type=int, help="year up to which resumes' experience counts")
     args = parser.parse_args(argv)
@@ -32,13 +33,18 @@ def main(argv: list[str] | None = None) -> int:
     records = pipeline.canonical(extracted.profiles)
     for path, reason in extracted.skipped:
         print(f"skipped {path}: {reason}", file=sys.stderr)
+    for what, rows in (("left out of the inputs", extracted.rejects), ("records left out", project.rejected(records, config))):
+        for row in rejects.counted(rows).orderBy("reason").collect():
+            print(f"{what}: {row['n']} ({row['reason']})", file=sys.stderr)
     if args.output_folder:
         pipeline.write_json(records, config, args.output_folder)
         return 0
-    with open(args.output, "w", encoding="utf-8") if args.output else contextlib.nullcontext(sys.stdout) as file:
-        for piece in pipeline.json_array(records, config):
-            file.write(piece)
-        file.write("\n")
+    if args.output:
+        pipeline.write_array(records, config, args.output if ":" in args.output else f"file://{os.path.abspath(args.output)}")
+        return 0
+    for piece in pipeline.json_array(records, config):
+        sys.stdout.write(piece)
+    sys.stdout.write("\n")
     return 0
 
 

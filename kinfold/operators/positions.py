@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kinfold.operators.components import counted_side
@@ -30,3 +30,16 @@ def with_ord(records: DataFrame, scratch: Scratch) -> DataFrame:
     starts = scratch.save(starts.select("input", "file", "start", (F.col("before") + F.col("inside") - F.col("low")).alias("first")), "starts")
     placed = records.withColumns({"file": F.col("at.file"), "start": F.col("at.start")}).join(counted_side(starts), order)
     return placed.withColumn("ord", F.col("first") + F.col("at.pos")).drop(*order, "first", "at")
+
+
+def unique(records: DataFrame, scratch: Scratch, name: str = "ordered") -> DataFrame:
+    """records, saved; an error if two of them have one ord: readers promise a place of its own to each.
+
+    Records with one ord meet in a task by their hash; only how many there are reaches the driver.
+    """
+    seen = Observation()
+    saved = scratch.save(records.observe(seen, F.count("*").alias("n"), F.count_if(F.col("ord").isNull()).alias("none")), name)
+    different = saved.select("ord").distinct().count()
+    if seen.get["none"] or different != seen.get["n"]:
+        raise ValueError(f"{seen.get['n']} records have {different} positions")
+    return saved

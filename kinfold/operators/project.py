@@ -116,30 +116,38 @@ def _columns(tree: dict) -> list[Column]:
 
 
 def _tree(config: dict, schema: T.StructType) -> tuple[dict, Column, set[str]]:
-    """Output values by nested name, the condition under which a record has all that it must have, and the paths of numbers."""
+    """Output values by nested name, why a record is left out (null if it has all that it must have), and the paths of numbers."""
     checked(config)
     tree: dict = {}
     numbers = {e["path"] for e in config["fields"] if e.get("type") == "number"}
-    keep = F.lit(True)
+    reasons = []
     for entry in config["fields"]:
         found = resolve(entry.get("from", entry["path"]), schema)
         value, kind = found if found is not None else (F.lit(None).cast("string"), T.StringType())
         value, kind = coerced(normalized(value, kind, entry.get("normalize")), kind, entry.get("type", "any"))
         missing = F.lit(True) if found is None else is_missing(value, kind)
-        if entry.get("required") or config.get("on_missing", "null") == "error":
-            keep = keep & ~missing
+        if entry.get("required"):
+            reasons.append(F.when(missing, f"required field '{entry['path']}' is missing"))
+        elif config.get("on_missing", "null") == "error":
+            reasons.append(F.when(missing, f"field '{entry['path']}' is missing"))
         _nest(tree, entry["path"], F.when(~missing, value))
     if config.get("include_confidence"):
         tree["overall_confidence"] = F.col("overall_confidence")
     if config.get("include_provenance"):
         tree["provenance"] = F.col("provenance")
-    return tree, keep, numbers
+    return tree, F.coalesce(*reasons, F.lit(None).cast("string")), numbers
 
 
 def compile_config(config: dict, schema: T.StructType = PROFILE) -> tuple[list[Column], Column]:
     """Output columns, and the condition under which a record has all that it must have."""
-    tree, keep, _ = _tree(config, schema)
-    return _columns(tree), keep
+    tree, why, _ = _tree(config, schema)
+    return _columns(tree), why.isNull()
+
+
+def rejected(canonical: DataFrame, config: dict) -> DataFrame:
+    """ord, candidate_id and reason of the records that project() leaves out: the first field, in the configuration's order, that one must have and has not."""
+    why = _tree(config, PROFILE)[1]
+    return canonical.select("ord", "candidate_id", why.alias("reason")).filter("reason IS NOT NULL")
 
 
 def _json(value: Column, whole: bool) -> Column:
@@ -152,7 +160,7 @@ def _json(value: Column, whole: bool) -> Column:
 
 def json_rows(canonical: DataFrame, config: dict) -> DataFrame:
     """ord and json, the text of each record in the shape of the configuration; keys of missing values are left out under "omit"."""
-    tree, keep, numbers = _tree(config, PROFILE)
+    tree, why, numbers = _tree(config, PROFILE)
     omit = config.get("on_missing") == "omit"
     configured = {e["path"] for e in config["fields"]}
 
@@ -166,7 +174,62 @@ def json_rows(canonical: DataFrame, config: dict) -> DataFrame:
         inner = F.concat_ws(", ", *members)
         return F.when((inner != "") | F.lit(not omit or not path), F.concat(F.lit("{"), inner, F.lit("}")))
 
-    return canonical.filter(keep).select("ord", rendered(tree, "").alias("json"))
+    return canonical.filter(why.isNull()).select("ord", rendered(tree, "").alias("json"))
+
+
+def records(canonical: DataFrame, config: dict) -> DataFrame:
+    """ord and record, a VARIANT object in the shape of the configuration, whose keys are left out where values are missing under "omit".
+
+    Unlike the columns of project(), objects can differ in their keys from record to record.
+    """
+    return json_rows(canonical, config).select("ord", F.parse_json("json").alias("record"))
+
+
+def indented(value: Column, kind: T.DataType, depth: int, whole: bool = False) -> Column:
+    """JSON text of a value over several lines, two spaces a level, as Python's json writes it; null as the word."""
+    pad, end = "\n" + "  " * (depth + 1), "\n" + "  " * depth
+    if isinstance(kind, T.StructType):
+        members = [F.concat(F.lit(json.dumps(f.name) + ": "), indented(value[f.name], f.dataType, depth + 1)) for f in kind.fields]
+        text = F.concat(F.lit("{" + pad), F.concat_ws("," + pad, *members), F.lit(end + "}"))
+    elif isinstance(kind, T.ArrayType):
+        inner = F.array_join(F.transform(value, lambda x: indented(x, kind.elementType, depth + 1)), "," + pad)
+        text = F.when(F.size(value) == 0, "[]").otherwise(F.concat(F.lit("[" + pad), inner, F.lit(end + "]")))
+    else:
+        text = _json(value, whole)
+    return F.when(value.isNull(), "null").otherwise(text)
+
+
+def indented_rows(canonical: DataFrame, config: dict, depth: int = 1) -> DataFrame:
+    """ord and json, the text of each record over several lines, as an element of an array; keys as in json_rows()."""
+    tree, why, numbers = _tree(config, PROFILE)
+    omit = config.get("on_missing") == "omit"
+    configured = {e["path"] for e in config["fields"]}
+    kept = canonical.filter(why.isNull())
+
+    def types_of(part: dict, path: str) -> dict[str, T.DataType]:
+        found = {}
+        for name, value in part.items():
+            here = f"{path}.{name}" if path else name
+            found |= types_of(value, here) if isinstance(value, dict) else {here: value}
+        return found
+
+    leaves = types_of(tree, "")
+    values = kept.select("ord", *(c.alias(f"__{i}") for i, c in enumerate(leaves.values())))
+    kinds = {path: values.schema[f"__{i}"].dataType for i, path in enumerate(leaves)}
+    places = {path: F.col(f"__{i}") for i, path in enumerate(leaves)}
+
+    def rendered(part: dict, path: str, level: int) -> Column:
+        pad, end, members = "\n" + "  " * (level + 1), "\n" + "  " * level, []
+        for name, value in part.items():
+            here = f"{path}.{name}" if path else name
+            text = rendered(value, here, level + 1) if isinstance(value, dict) else indented(places[here], kinds[here], level + 1, here in numbers)
+            gone = omit and not isinstance(value, dict) and here in configured
+            members.append(F.concat(F.lit(json.dumps(name) + ": "), F.when(places[here].isNotNull(), text) if gone else text))
+        inner = F.concat_ws("," + pad, *members)
+        text = F.concat(F.lit("{" + pad), inner, F.lit(end + "}"))
+        return F.when(inner != "", text).otherwise(None if omit and path else F.lit("{}"))
+
+    return values.select("ord", rendered(tree, "", depth).alias("json"))
 
 
 def project(canonical: DataFrame, config: dict) -> DataFrame:

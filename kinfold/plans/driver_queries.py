@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.functions import normalize, text
+from kinfold.functions import normalize, sql, text
 from kinfold.operators import matching, project, survivorship
 from kinfold.plans import merge_queries, reader_queries
 from kinfold.plans.config import PRESETS
@@ -85,13 +85,14 @@ def header_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two headers that mean the title, the first often blank."""
     first, second = F.when(F.col("c_custkey") % 2 == 0, "  ").otherwise(F.col("c_mktsegment")), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name"))
     rows = _table(spark, sf_dir, "customer").select("c_custkey", first.alias("Job Title"), second.alias("ROLE"))
-    return rows.select(F.col("c_custkey").alias("id"), text.text_or_null(F.col("Job Title")).alias("first_title"), csv.mapped(["Job Title", "ROLE"])["title"].alias("title"))
+    return rows.select(F.col("c_custkey").alias("id"), text.text_or_null(F.col("Job Title")).alias("first_title"), csv.mapped([(c, F.col(f"`{c}`")) for c in ("Job Title", "ROLE")])["title"].alias("title"))
 
 
 def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's first line as the header block, then the document under a section header."""
     body = F.concat_ws("\n", F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(" Work  Experience : "), "text")
-    split = _table(spark, sf_dir, "documents").select("doc_id", resume.sections(body).alias("s"))
+    split = resume.spread(_table(spark, sf_dir, "documents")).select("doc_id", resume.sections(body).alias("s"))
+    split = Scratch(spark, "query").save(split, "sections")
     return split.select("doc_id", *(resume.section(F.col("s"), n).alias(n) for n in ("header", "experience")))
 
 
@@ -141,7 +142,23 @@ def language_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.posexplode("langs").alias("place", "s")).select("user_id", "place", "s.name", F.format_number("s.confidence", 2).alias("confidence"))
 
 
+#: SQL functions by the query of the Column function that they equal, and the column that it returns.
+SQL_FUNCTIONS = {
+    "norm_phone": ("normalize_phone(raw)", "phone"), "norm_email": ("normalize_email(raw)", "email"), "norm_name": ("normalize_name(raw)", "name"), "norm_skill": ("normalize_skill(raw)", "skill"),
+    "norm_country": ("normalize_country(raw)", "country"), "norm_date": ("normalize_date(raw)", "date"), "parse_years": ("parse_years(raw)", "years"), "split_skills": ("array_join(split_skills(raw), '/')", "skills"),
+}
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalisers called from SQL text, over the same texts as the queries of the Column functions."""
+    sql.register(spark)
+    parts = [f"SELECT '{name}' AS function, {key} AS id, cast({call} AS string) AS value FROM (SELECT {key}, {RAW[name][2]} AS raw FROM {{{RAW[name][0]}}})" for name, (call, _) in SQL_FUNCTIONS.items() for key in [RAW[name][1]]]
+    tables = {RAW[name][0] for name in SQL_FUNCTIONS}
+    return spark.sql(" UNION ALL ".join(parts), **{t: _table(spark, sf_dir, t) for t in tables})
+
+
 QUERIES: dict[str, Query] = {
+    "sql_functions": sql_functions,
     "norm_phone": _scalar("norm_phone", "phone", normalize.phone),
     "norm_email": _scalar("norm_email", "email", normalize.email),
     "norm_name": _scalar("norm_name", "name", normalize.name),

@@ -145,3 +145,6 @@ ORACLE_SQL: dict[str, str] = {
       n AS (SELECT label, skill, max(skill_confidence) AS c FROM m GROUP BY ALL)
       SELECT n.label AS ord, any_value(l[2]) AS second_email, first(skill ORDER BY c DESC, skill) AS top_skill FROM n LEFT JOIN e ON n.label = e.label GROUP BY n.label""",
 }
+
+_NORMALIZED = {"norm_phone": "phone", "norm_email": "email", "norm_name": "name", "norm_skill": "skill", "norm_country": "country", "norm_date": "date", "parse_years": "years", "split_skills": "skills"}
+ORACLE_SQL["sql_functions"] = " UNION ALL ".join(f"SELECT '{name}' AS function, id, {column}::VARCHAR AS value FROM ({ORACLE_SQL[name]})" for name, column in _NORMALIZED.items())

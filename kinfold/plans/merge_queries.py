@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import normalize
-from kinfold.operators import matching, project, survivorship
+from kinfold.operators import matching, project, rejects, survivorship
 from kinfold.plans import config as configs
 from kinfold.plans import pipeline
 from kinfold.plans.driver_sql import CLUSTERED, title_sql
 from kinfold.plans.reader_queries import joined
 from kinfold.schema import EDUCATION, FIELDS, LINKS, PROVENANCE
 from kinfold.scratch import Scratch
+from kinfold.sources import json_parts
 from kinfold.sources.inputs import Extracted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +108,31 @@ def json_omit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.json_rows(merged(spark, sf_dir), JSON_CONFIG)
 
 
+def variant_omit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records as VARIANT objects, read back by path; their keys differ."""
+    found = project.records(merged(spark, sf_dir), JSON_CONFIG)
+    at = lambda path, kind="string": F.try_variant_get("record", path, kind)
+    return found.select("ord", at("$.who.name").alias("name"), at("$.who.mail").alias("mail"), at("$.place.city").alias("city"), at("$.years", "double").alias("years"), F.array_join(F.array_sort(F.json_object_keys(F.to_json("record"))), "/").alias("keys"))
+
+
+def array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records written as one indented array file, and read back from it in parts."""
+    scratch = Scratch(spark, "query")
+    pipeline.write_array(merged(spark, sf_dir), JSON_CONFIG, f"{scratch.root}/people.json")
+    found, bad = json_parts.records(spark, f"{scratch.root}/people.json", scratch, ())
+    at = lambda path: F.try_variant_get("v", path, "string")
+    return found.select("pos", at("$.who.name").alias("name"), at("$.who.mail").alias("mail"), at("$.spot").alias("spot"), F.lit(bad.count()).alias("bad"))
+
+
+REJECT_CONFIG = {"fields": [{"path": "mail", "from": "emails[0]", "required": True}, {"path": "phone", "from": "phones[0]"}, {"path": "headline"}], "on_missing": "error"}
+
+
+def project_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that a configuration leaves out, with the first reason, and how many share it."""
+    found = project.rejected(merged(spark, sf_dir), REJECT_CONFIG)
+    return found.join(F.broadcast(rejects.counted(found)), "reason").select("ord", "reason", "n")
+
+
 def project_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that have all of three fields, under on_missing "error"."""
     config = {"fields": [{"path": "phone", "from": "phones[0]"}, {"path": "headline"}, {"path": "github", "from": "links.github"}], "on_missing": "error"}
@@ -244,10 +270,18 @@ ORACLE_SQL: dict[str, str] = {
     "json_omit": f"""{_RICH}
       SELECT f.label AS ord, '{{' || array_to_string(list_filter(['"who": {{"name": "' || full_name || '"' || coalesce(', "mail": "' || first_email || '"', '') || '}}', '"place": {{"city": "' || city || '"}}', '"years": ' || years_experience::BIGINT,
         '"skills": ["' || array_to_string(names, '","') || '"]', '"spot": "{{' || replace('"city":' || coalesce('"' || city || '"', 'null') || ',"region":' || coalesce('"' || region || '"', 'null') || ',"country":' || coalesce('"' || country || '"', 'null'), '"', '\\"') || '}}"'], lambda x: x IS NOT NULL), ', ') || '}}' AS json {_PARTS}""",
+    "variant_omit": f"""{_RICH}
+      SELECT f.label AS ord, full_name AS name, first_email AS mail, city, years_experience::BIGINT::DOUBLE AS years,
+        array_to_string(list_filter([CASE WHEN city IS NOT NULL THEN 'place' END, CASE WHEN len(names) > 0 THEN 'skills' END, CASE WHEN city IS NOT NULL OR region IS NOT NULL OR country IS NOT NULL THEN 'spot' END, 'who', CASE WHEN years_experience IS NOT NULL THEN 'years' END], lambda x: x IS NOT NULL), '/') AS keys {_PARTS}""",
+    "array_file": f"""{_RICH}
+      SELECT row_number() OVER (ORDER BY f.label) - 1 AS pos, full_name AS name, first_email AS mail,
+        '{{' || '"city":' || coalesce('"' || city || '"', 'null') || ',"region":' || coalesce('"' || region || '"', 'null') || ',"country":' || coalesce('"' || country || '"', 'null') || '}}' AS spot, 0 AS bad {_PARTS}""",
+    "project_rejects": f"""{_RICH}, r AS (SELECT f.label AS ord, CASE WHEN first_email IS NULL THEN 'required field ''mail'' is missing' WHEN first_phone IS NULL THEN 'field ''phone'' is missing' WHEN headline IS NULL THEN 'field ''headline'' is missing' END AS reason {_PARTS})
+      SELECT ord, reason, count(*) OVER (PARTITION BY reason) AS n FROM r WHERE reason IS NOT NULL""",
     "project_error": f"{_RICH} SELECT f.label AS ord, first_phone AS phone, headline, github {_PARTS} WHERE first_phone IS NOT NULL AND headline IS NOT NULL AND github IS NOT NULL",
     "envelope": f"""{_RICH}, kept AS (SELECT full_name, first_email AS primary_email, first_phone AS phone {_PARTS} WHERE f.label < 40 AND first_email IS NOT NULL)
       SELECT count(*) OVER () AS count, 'custom' AS config, 'notes.txt' AS skipped, full_name, primary_email, phone FROM kept""",
     "config_problems": PROBLEMS_EXPECTED,
     "norm_skill_list": f"SELECT p_partkey AS id, 'JavaScript/' || {title_sql('p_brand')} AS skills FROM part",
 }
-QUERIES: dict[str, Query] = {f.__name__: f for f in (merge_education, merge_all_links, merge_skill_details, merge_provenance, project_default_text, json_omit, project_error, envelope, config_problems, norm_skill_list)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (merge_education, merge_all_links, merge_skill_details, merge_provenance, project_default_text, json_omit, variant_omit, array_file, project_rejects, project_error, envelope, config_problems, norm_skill_list)}

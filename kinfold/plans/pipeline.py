@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from kinfold.operators import matching, project, survivorship
 from kinfold.plans.config import checked
@@ -82,6 +83,43 @@ def write_json(canonical: DataFrame, config: dict, folder: str) -> None:
     lines.repartitionByRange("ord").sortWithinPartitions("ord").select("json").write.mode("errorifexists").text(folder)
 
 
+def write_array(canonical: DataFrame, config: dict, path: str) -> None:
+    """Records in the shape of the configuration as one indented JSON array in one file, byte by byte as Python's json writes it.
+
+    The workers write the parts of the array in order, each with the separators it needs; the parts are
+    then joined on the file system, as a stream of bytes that no process holds.
+    """
+    spark, scratch = canonical.sparkSession, Scratch(canonical.sparkSession, "array")
+    texts = scratch.save(project.indented_rows(canonical, config), "texts")
+    first = texts.agg(F.min("ord")).first()[0]
+    # a text file ends each of its rows with a line break: every record but the last one brings the comma before it
+    final = texts.agg(F.max("ord")).first()[0]
+    lines = texts.select("ord", F.concat(F.when(F.col("ord") == first, "[\n  ").otherwise("  "), "json", F.when(F.col("ord") == final, "\n]").otherwise(",")).alias("value"))
+    place = f"{scratch.root}/parts"
+    lines.repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.text(place)
+    join_parts(spark, place, path, "[]\n" if first is None else "")
+
+
+def join_parts(spark: SparkSession, folder: str, path: str, empty: str = "") -> None:
+    """The files that a job wrote to a folder as one file, in their order."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(folder), hadoop.fs.Path(path)
+    system, out_system = source.getFileSystem(conf), target.getFileSystem(conf)
+    parts = sorted((f.getPath() for f in system.listStatus(source) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda p: p.getName())
+    out = out_system.create(target, True)
+    try:
+        if empty:
+            out.write(bytearray(empty.encode()))
+        for part in parts:
+            read = system.open(part)
+            try:
+                hadoop.io.IOUtils.copyBytes(read, out, 1 << 20, False)
+            finally:
+                read.close()
+    finally:
+        out.close()
+
+
 def json_array(canonical: DataFrame, config: dict) -> Iterator[str]:
     """The pieces of one JSON array of all records, in order; one partition at a time reaches the driver."""
     before = "[\n  "

@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import xml.sax.saxutils
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def _present(*fields: tuple[str, str]) -> str:
 
 # Rows of delimited files: three files, cells with blanks, separators and surplus text, empty rows.
 CSV_ROWS = """
-SELECT c_custkey % 3 AS part, c_custkey AS k,
+SELECT CAST(c_custkey % 3 + 3 * floor(c_custkey / 30000) AS INT) AS part, c_custkey AS k,
   CASE WHEN c_custkey % 30 <> 0 AND c_custkey % 2 = 1 THEN 'c' || cast(c_custkey AS string) END AS id,
   CASE WHEN c_custkey % 30 <> 0 AND c_custkey % 5 <> 0 THEN '  ' || lower(c_name) END AS name,
   CASE WHEN c_custkey % 30 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'bad' ELSE ' U' || cast(c_custkey AS string) || '@Example.COM ' END AS email,
@@ -125,7 +126,7 @@ FROM kept
 
 # Records of nested exports: three files, other names for the same parts, items that are no objects.
 ATS_RECORDS = """
-SELECT s_suppkey % 3 AS part, s_suppkey AS k,
+SELECT CAST(s_suppkey % 3 + 3 * floor(s_suppkey / 30000) AS INT) AS part, s_suppkey AS k,
   CASE WHEN s_suppkey % 10 = 3 THEN '"no object"' ELSE
   '{"applicant": {' || CASE WHEN s_suppkey % 4 = 0 THEN '"firstName": " ann", "lastName": "' || lower(s_name) || '"' ELSE '"fullName": "' || lower(s_name) || '"' END
     || CASE s_suppkey % 3 WHEN 0 THEN ', "email": ["S' || cast(s_suppkey AS string) || '@x.ORG", "s' || cast(s_suppkey AS string) || '@x.org", "bad"]' WHEN 1 THEN ', "emailAddress": "t' || cast(s_suppkey AS string) || '@x.org"' ELSE ', "email": ""' END
@@ -142,11 +143,32 @@ FROM {supplier}
 """
 
 
+#: Exports as tools write them: an object with its list among other members, one record a line, and indented; every file has other lines before and after the records.
+ATS_FRAMES = {
+    0: ('{"meta": {"made": "2024", "tags": ["[", "}"]},\n "applicants": [', ']\n}\n'),
+    1: ('{"data": [', '], "next": null}'),
+    2: ("[", "\n]\n"),
+}
+
+
 def ats_folder(spark: SparkSession, sf_dir: str, scratch: Scratch) -> str:
-    rows = _made(spark, sf_dir, ATS_RECORDS).groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "record"))), lambda x: x["record"]).alias("list"))
-    wrapped = F.concat(F.when(F.col("part") == 0, '{"applicants": [').when(F.col("part") == 1, '{"data": [').otherwise("["), F.array_join("list", ", "), F.when(F.col("part") == 2, "]").otherwise("]}"))
+    """Exports of records in three shapes, line by line; and a damaged one, an empty one and one of a single record."""
+    rows = _made(spark, sf_dir, ATS_RECORDS)
+    indented = F.when(F.col("part") % 3 == 2, F.replace("record", F.lit(', "'), F.lit(',\n    "'))).otherwise(F.col("record"))
+    first = F.broadcast(rows.groupBy("part").agg(F.min("k").alias("first")))
+    lines = rows.join(first, "part").select("part", "k", F.concat(F.when(F.col("k") == F.col("first"), "").otherwise(","), indented).alias("value"))
+    shape = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in ATS_FRAMES.items() for x in (k, v[i]))), F.col("part") % 3)
+    ends = first.select("part", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("k"), shape(0).alias("value")), F.struct(F.lit(1 << 60).alias("k"), shape(1).alias("value")))).alias("x")).select("part", "x.*")
     place = f"{scratch.root}/ats"
-    rows.repartition("part").select("part", wrapped.alias("value")).write.partitionBy("part").text(place)
+    lines.unionByName(ends).repartition("part").sortWithinPartitions("part", "k").select("part", "value").write.partitionBy("part").text(place)
+    return place
+
+
+def bad_exports(spark: SparkSession, sf_dir: str, scratch: Scratch) -> str:
+    """Exports that give nothing: the second half of a file, lines of JSON, a number; one file for each supplier under 10."""
+    text = "CASE s_suppkey % 4 WHEN 0 THEN '[{}, {\"name\": \"x\"' WHEN 1 THEN '{}' || chr(10) || '{}' WHEN 2 THEN '7' ELSE '{\"name\": \"' || s_name || '\"}' END"
+    place = f"{scratch.root}/bad"
+    _made(spark, sf_dir, f"SELECT s_suppkey AS part, {text} AS value FROM {{supplier}} WHERE s_suppkey < 10").repartition("part").write.partitionBy("part").text(place)
     return place
 
 
@@ -157,7 +179,7 @@ def ats_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ATS = f"""
 WITH v AS (
-  SELECT s_suppkey % 3 AS part, s_suppkey AS k, row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey) - 1 AS i, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR END AS id,
+  SELECT s_suppkey % 3 AS part, s_suppkey AS k, row_number() OVER (PARTITION BY s_suppkey % 3 + 3 * floor(s_suppkey / 30000) ORDER BY s_suppkey) - 1 AS i, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR END AS id,
     {title_sql("CASE WHEN s_suppkey % 4 = 0 THEN 'ann ' ELSE '' END || s_name")} AS full_name,
     CASE s_suppkey % 3 WHEN 0 THEN 's' || s_suppkey || '@x.org' WHEN 1 THEN 't' || s_suppkey || '@x.org' END AS email, CASE WHEN s_suppkey % 6 < 3 THEN '+91' || (9800000000 + s_suppkey) END AS phone,
     s_suppkey % 2 = 0 AS placed, CASE WHEN s_suppkey % 5 = 0 THEN 'gh/' || s_suppkey END AS github, CASE WHEN s_suppkey % 7 = 0 THEN 'About ' || s_name END AS headline,
@@ -290,34 +312,66 @@ SELECT doc_id || CASE WHEN doc_id % 11 = 0 THEN '.doc' ELSE '.docx' END AS path,
 
 
 def read_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folders of three kinds read as one, in order; inputs that are missing or of no known kind are left out."""
-    scratch = Scratch(spark, "query")
-    items = [inputs.Input(csv_folder(spark, sf_dir, scratch), "csv"), inputs.Input("notes.txt"), inputs.Input(f"{scratch.root}/missing", "csv"), inputs.Input(payload_folder(spark, sf_dir, scratch), "github"), inputs.Input(ats_folder(spark, sf_dir, scratch), "ats_json")]
-    found = inputs.read_all(spark, items)
+    """Folders of four kinds read as one, in order; inputs that are missing or of no known kind are left out and named."""
+    found = _read(spark, sf_dir)
     ranked = found.profiles.select(F.regexp_replace("candidate_id", "^.*_(row|ats_)", "$1").alias("candidate_id"), "full_name", "ord")
-    before = ranked.select(F.col("ord").alias("o"))
-    last = before.agg(F.max("o").alias("last"), F.count_distinct("o").alias("different"), F.count("*").alias("n"))
+    last = ranked.agg(F.count_distinct("ord").alias("different"), F.count("*").alias("n"))
     return ranked.crossJoin(F.broadcast(last)).select("candidate_id", "full_name", (F.col("different") == F.col("n")).alias("unique_ord"), F.lit(len(found.skipped)).alias("skipped"))
 
 
+def _read(spark: SparkSession, sf_dir: str) -> inputs.Extracted:
+    scratch = Scratch(spark, "query")
+    items = [inputs.Input(csv_folder(spark, sf_dir, scratch), "csv"), inputs.Input("notes.txt"), inputs.Input(f"{scratch.root}/missing", "csv")]
+    items += [inputs.Input(payload_folder(spark, sf_dir, scratch), "github"), inputs.Input(ats_folder(spark, sf_dir, scratch), "ats_json"), inputs.Input(bad_exports(spark, sf_dir, scratch), "ats_json")]
+    return inputs.read_all(spark, items)
+
+
 READ_EXPECTED = f"""
-SELECT candidate_id, full_name, true AS unique_ord, 2 AS skipped FROM (
+SELECT candidate_id, full_name, true AS unique_ord, 4 AS skipped FROM (
   SELECT candidate_id, full_name FROM ({CSV_EXPECTED}) UNION ALL SELECT candidate_id, full_name FROM ({ATS_EXPECTED}) UNION ALL SELECT candidate_id, full_name FROM ({GITHUB_EXPECTED})
+  UNION ALL SELECT 'ats_0', {title_sql("s_name")} FROM supplier WHERE s_suppkey < 10 AND s_suppkey % 4 = 3
 )
 """
 
-SPECS = ["a.CSV", " b.json ", "https://github.com/x", "https://github.com/x:resume", "c.pdf", "d.docx:resume", "e.txt", "notes.txt:csv", "x:unknown", "f", "s3://bucket/g.csv"]
+
+def read_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the same inputs leave out, with the reasons: rows, items, payloads and whole files."""
+    told = F.col("reason") != "no user"  # payloads have places of no meaning of their own
+    found = _read(spark, sf_dir).rejects.select("input", "reason", F.when(told, F.col("pos")).alias("pos"), F.when(told, F.col("file")).alias("file"))
+    return found.groupBy("input", "reason").agg(F.count("*").alias("n"), F.coalesce(F.sum("pos").cast("long"), F.lit(-1)).alias("places"), F.count_distinct("file").alias("files"))
 
 
+REJECTS_EXPECTED = f"""
+WITH r AS ({_tables(CSV_ROWS)}),
+c AS (SELECT k, part, row_number() OVER (PARTITION BY part ORDER BY k) - 1 AS i FROM r),
+a AS (SELECT s_suppkey AS k, s_suppkey % 3 + 3 * floor(s_suppkey / 30000) AS part, row_number() OVER (PARTITION BY s_suppkey % 3 + 3 * floor(s_suppkey / 30000) ORDER BY s_suppkey) - 1 AS i FROM supplier)
+SELECT 0 AS input, 'no known value' AS reason, count(*) AS n, sum(i)::BIGINT AS places, count(DISTINCT part) AS files FROM c WHERE k % 30 = 0
+UNION ALL SELECT 3, 'no user', count(*), -1, 0 FROM a WHERE k % 9 = 8
+UNION ALL SELECT 4, 'item is no object', count(*), sum(i)::BIGINT, count(DISTINCT part) FROM a WHERE k % 10 = 3
+UNION ALL SELECT 5, CASE k % 4 WHEN 2 THEN 'neither a list nor an object' ELSE 'no valid JSON' END, count(*), -1, count(*) FROM a WHERE k < 10 AND k % 4 <> 3 GROUP BY ALL
+"""
+
 def input_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How input specifications are read."""
-    found = [inputs.Input.parse(s) for s in SPECS]
-    return spark.createDataFrame([(s, i.path, i.kind) for s, i in zip(SPECS, found, strict=True)], "spec string, path string, kind string")
+    """How input specifications are read: pages' URLs and file names in turn, with and without a kind."""
+    endings = F.array(*(F.lit(x) for x in SPEC_ENDINGS))
+    specs = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat("url", F.get(endings, (F.col("page_id") % len(SPEC_ENDINGS)).cast("int"))).alias("spec"))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [inputs.Input.parse(s) for s in batch["spec"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["spec"], pa.array([i.path for i in found], pa.string()), pa.array([i.kind for i in found], pa.string())], ["page_id", "spec", "path", "kind"])
+
+    return specs.filter("spec IS NOT NULL").mapInArrow(parsed, "page_id long, spec string, path string, kind string")
 
 
+SPEC_ENDINGS = (".CSV", " .json ", ":resume", ".pdf", ".docx:csv", ".txt", ":unknown", "", "/github.com/x", ".csv:github")
 SPECS_EXPECTED = """
-SELECT * FROM (VALUES ('a.CSV', 'a.CSV', 'csv'), (' b.json ', ' b.json ', 'ats_json'), ('https://github.com/x', 'https://github.com/x', 'github'), ('https://github.com/x:resume', 'https://github.com/x', 'resume'), ('c.pdf', 'c.pdf', 'resume'),
-  ('d.docx:resume', 'd.docx', 'resume'), ('e.txt', 'e.txt', NULL), ('notes.txt:csv', 'notes.txt', 'csv'), ('x:unknown', 'x:unknown', NULL), ('f', 'f', NULL), ('s3://bucket/g.csv', 's3://bucket/g.csv', 'csv')) AS t(spec, path, kind)
+WITH s AS (SELECT page_id, url || ['.CSV', ' .json ', ':resume', '.pdf', '.docx:csv', '.txt', ':unknown', '', '/github.com/x', '.csv:github'][page_id % 10 + 1] AS spec FROM pages WHERE url IS NOT NULL),
+p AS (SELECT *, regexp_extract(spec, ':(csv|ats_json|github|resume)$', 1) AS given FROM s),
+q AS (SELECT page_id, spec, given, CASE WHEN given <> '' THEN left(spec, length(spec) - length(given) - 1) ELSE spec END AS path FROM p)
+SELECT page_id, spec, path, CASE WHEN given <> '' THEN given WHEN contains(lower(path), 'github.com') THEN 'github'
+  WHEN regexp_matches(trim(path), '[^/]\\.(csv|CSV)$') THEN 'csv' WHEN regexp_matches(trim(path), '[^/]\\.json$') THEN 'ats_json' WHEN regexp_matches(trim(path), '[^/]\\.(pdf|docx)$') THEN 'resume' END AS kind
+FROM q
 """
 
 
@@ -366,8 +420,8 @@ SELECT 'resume_' || doc_id AS candidate_id, full_name, headline, coalesce(email,
 FROM p WHERE full_name IS NOT NULL OR email IS NOT NULL OR phone IS NOT NULL OR headline IS NOT NULL
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (csv_profiles, ats_profiles, github_profiles, resume_read, docx_text, read_sources, input_specs, usernames, skill_tokens)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (csv_profiles, ats_profiles, github_profiles, resume_read, docx_text, read_sources, read_rejects, input_specs, usernames, skill_tokens)}
 ORACLE_SQL: dict[str, str] = {
     "csv_profiles": CSV_EXPECTED, "ats_profiles": ATS_EXPECTED, "github_profiles": GITHUB_EXPECTED, "resume_read": RESUME_EXPECTED, "docx_text": DOCX_EXPECTED,
-    "resume_profiles": RESUME_PROFILES_EXPECTED, "read_sources": READ_EXPECTED, "input_specs": SPECS_EXPECTED, "usernames": USERNAMES_EXPECTED, "skill_tokens": TOKENS_EXPECTED,
+    "resume_profiles": RESUME_PROFILES_EXPECTED, "read_sources": READ_EXPECTED, "read_rejects": REJECTS_EXPECTED, "input_specs": SPECS_EXPECTED, "usernames": USERNAMES_EXPECTED, "skill_tokens": TOKENS_EXPECTED,
 }

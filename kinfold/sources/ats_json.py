@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import normalize, text
 from kinfold.operators.positions import AT
+from kinfold.operators.rejects import rejects
 from kinfold.schema import EDUCATION, EXPERIENCE, FIELDS, LINKS, LOCATION, empty, filled, provenance, share
-from kinfold.sources import files
+from kinfold.scratch import Scratch
+from kinfold.sources import files, json_parts
 
 # Paths of each value, tried in order; "firstName+lastName" joins the two.
 PATHS = {
@@ -160,6 +162,13 @@ def records(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Profiles of an export, or of all exports in a folder."""
-    texts = spark.read.options(wholetext=True, recursiveFileLookup=True).text(path)
-    return profiles(records(texts.select("value", F.col("_metadata.file_path").alias(files.FILE))))
+    """Profiles of an export, or of all exports in a folder, of any size."""
+    return read_noted(spark, path)[0]
+
+
+def read_noted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Profiles, and the rejects: exports that give no records, and items that are no objects."""
+    found, bad = json_parts.records(spark, path, Scratch(spark, "json"), WRAPPERS)
+    files_only = rejects(bad, F.col(files.FILE), F.lit(None), F.col("reason"))
+    items_only = rejects(found.filter(~is_object(F.col("v"))), F.col(files.FILE), F.col("pos"), F.lit("item is no object"))
+    return profiles(found), files_only.unionByName(items_only)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import normalize, text
 from kinfold.operators.positions import AT
+from kinfold.operators.rejects import rejects
 from kinfold.schema import FIELDS, LINKS, LOCATION, as_list, empty, filled, provenance, share
 from kinfold.scratch import Scratch
-from kinfold.sources import files
+from kinfold.sources import csv_parts, files
 
 # Columns, with the header spellings that mean each.
 HEADERS = {
@@ -42,18 +43,17 @@ def header_name(raw: str) -> str:
     return raw.strip().lower().replace(" ", "_").replace("-", "_")
 
 
-def mapped(columns: list[str]) -> dict[str, Column]:
+def mapped(columns: list[tuple[str, Column]]) -> dict[str, Column]:
     """For each canonical column the first non-empty value, in the header's order; null where no header means it."""
     known, values = normalize.meanings(HEADERS), {}
-    for column in columns:
-        if (canonical := known.get(header_name(column))) is not None:
-            values.setdefault(canonical, []).append(text.text_or_null(F.col(f"`{column}`")))
+    for name, value in columns:
+        if (canonical := known.get(header_name(name))) is not None:
+            values.setdefault(canonical, []).append(text.text_or_null(value))
     return {c: F.coalesce(*values[c]) if c in values else F.lit(None).cast("string") for c in dict.fromkeys(known.values())}
 
 
-def profiles(rows: DataFrame, index: str) -> DataFrame:
-    """One profile per row that has any known value, with at; ``index`` names the column with the row's number in its file (FILE)."""
-    m = mapped([c for c in rows.columns if c not in (index, files.FILE)])
+def profiles(rows: DataFrame, index: str, m: dict[str, Column]) -> DataFrame:
+    """One profile per row that has any known value, with at; ``index`` names the column with the row's number in its file (FILE), m are the mapped columns."""
     parts = F.transform(F.split(m["location"], ","), text.strip)
     code = lambda c: F.coalesce(normalize.country(c), c)
     city = F.coalesce(m["city"], F.get(parts, F.lit(0)))
@@ -89,17 +89,24 @@ def profiles(rows: DataFrame, index: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Profiles of a file, or of all files in a folder, whose headers have to agree.
+    """Profiles of a file, or of all files in a folder."""
+    return read_noted(spark, path)[0]
 
-    Rows with more cells than the header are left out, short rows are filled with nulls.  A quoted
-    cell may hold line breaks, so one task reads one file; many files are read in parallel.
+
+def read_noted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Profiles of a file, or of all files in a folder, whose headers have to agree; and the rejects.
+
+    Rows with more cells than the header and rows without a known value are rejects; short rows are
+    filled with nulls.  Of columns with one name the last counts.  Files of any size are read in parts.
     """
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "recursiveFileLookup": True}
-    head = spark.read.options(**options).csv(path)
-    raw = "__raw"
-    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in head.columns) + f", {raw} string"
-    rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=raw, enforceSchema=False).schema(schema).csv(path)
-    unquoted = F.regexp_replace(raw, r'"[^"]*+"', "")
-    cells = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","))) + 1
-    numbered = files.numbered(rows.select("*", F.col("_metadata.file_path").alias(files.FILE)), Scratch(spark, "csv"))
-    return profiles(numbered.filter(F.col(raw).isNull() | (cells <= len(head.columns))).drop(raw), "__index")
+    found = csv_parts.rows(spark, path, Scratch(spark, "csv"))
+    heads = found.filter("n = 0").select("cells").distinct().limit(2).collect()
+    if len(heads) > 1:
+        raise ValueError("the files' headers differ")
+    header = heads[0]["cells"] if heads else []
+    last = {name: i for i, name in enumerate(header)}
+    m = mapped([(name, F.get("cells", F.lit(i))) for name, i in last.items()])
+    rows = found.filter("n > 0").withColumn("__index", F.col("n") - 1)
+    fits, known = F.size("cells") <= len(header), F.coalesce(*m.values()).isNotNull()
+    why = F.when(~fits, "more cells than the header").when(~known, "no known value")
+    return profiles(rows.filter(fits), "__index", m), rejects(rows.filter(why.isNotNull()), F.col(files.FILE), F.col("__index"), why)

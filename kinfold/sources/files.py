@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.operators.components import counted_side
-from kinfold.scratch import Scratch
-
 FILE = "__file"
 
 
@@ -17,11 +14,14 @@ def stem(file: Column) -> Column:
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
-def numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows, which have FILE, with their index in their file as __index.
-
-    A task reads whole files one after the other; rows are saved so that their numbers stay as they are.
-    """
-    saved = scratch.save(rows.withColumn("__id", F.monotonically_increasing_id()), "rows")
-    first = saved.groupBy(FILE).agg(F.min("__id").alias("__first"))
-    return saved.join(counted_side(first), FILE).withColumn("__index", F.col("__id") - F.col("__first")).drop("__id", "__first")
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files below a path that have no bytes: no scan tells of them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, each = [], system.listFiles(place, True)
+    while each.hasNext():
+        file = each.next()
+        name = file.getPath().getName()
+        if file.getLen() == 0 and not name.startswith(("_", ".")):
+            found.append(file.getPath().toUri().toString())
+    return found

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import normalize, text
 from kinfold.operators.positions import AT
+from kinfold.operators.rejects import rejects
 from kinfold.schema import EDUCATION, EXPERIENCE, FIELDS, LINKS, LOCATION, SKILL, as_list, empty, filled, provenance, share
+from kinfold.scratch import Scratch
 
 SOURCE = "github"
 PAYLOAD = (
@@ -115,9 +117,16 @@ def profiles(payloads: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Profiles of files of captured payloads; a large file is read by several tasks."""
+    return read_noted(spark, path)[0]
+
+
+def read_noted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Profiles, and the rejects: payloads without a user."""
     rows = spark.read.schema(PAYLOAD).option("recursiveFileLookup", True).json(path)
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("pos"))
-    return profiles(rows.withColumn("at", place))
+    rows = Scratch(spark, "payloads").save(rows.withColumn("at", place), "payloads")
+    none = F.col("user").isNull() | F.col("username").isNull()
+    return profiles(rows), rejects(rows.filter(none), F.col("at.file"), F.col("at.pos"), F.lit("no user"))
 
 
 def http_get(url: str) -> str | None:

@@ -10,7 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.operators.positions import AT, with_ord
+from kinfold.operators.positions import AT, unique, with_ord
+from kinfold.operators.rejects import REJECT
 from kinfold.schema import FIELDS, ORDERED_PROFILE
 from kinfold.scratch import Scratch
 from kinfold.sources import ats_json, csv, github, resume
@@ -42,44 +43,55 @@ class Input:
 
 @dataclass
 class Extracted:
+    """All profiles; the inputs, or their files, that gave none; and what was left out inside them (REJECT and input)."""
+
     profiles: DataFrame
     skipped: list[tuple[str, str]] = field(default_factory=list)
+    rejects: DataFrame | None = None
 
 
-def read_one(spark: SparkSession, item: Input, as_of_year: int | None = None) -> DataFrame:
+def read_one(spark: SparkSession, item: Input, as_of_year: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Profiles, and what was left out."""
     if item.kind == "csv":
-        return csv.read(spark, item.path)
+        return csv.read_noted(spark, item.path)
     if item.kind == "ats_json":
-        return ats_json.read(spark, item.path)
+        return ats_json.read_noted(spark, item.path)
     if item.kind == "resume":
-        return resume.read(spark, item.path, as_of_year or datetime.date.today().year)
+        return resume.read_noted(spark, item.path, as_of_year or datetime.date.today().year)
     if "github.com" not in item.path.lower() and not re.fullmatch(r"[A-Za-z0-9-]+", item.path.strip()):
-        return github.read(spark, item.path)  # captured payloads
+        return github.read_noted(spark, item.path)  # captured payloads
     names = spark.createDataFrame([(item.path,)], "username string")
     place = F.struct(F.lit(item.path).alias("file"), F.lit(0).alias("start"), F.lit(0).alias("pos")).cast(AT)
-    return github.profiles(github.fetch(names).withColumn("at", place))
+    return github.profiles(github.fetch(names).withColumn("at", place)), None
 
 
 def read_all(spark: SparkSession, items: list[Input], as_of_year: int | None = None) -> Extracted:
     """All profiles, with ord: the inputs in the caller's order, a folder's files by name, records in each file's.
 
     Every input is read and saved before the next.  One of unknown kind, or that can't be opened or
-    read to its end, adds no rows and is named in ``skipped``.
+    read to its end, adds no rows and is named in ``skipped``; so are, by number and first name, the files
+    of an input that could be opened but hold nothing that can be read.  ``rejects`` has each of those files,
+    and each row, item and document that gave no profile, with its reason.
     """
     scratch = Scratch(spark, "inputs")
-    out, skipped = None, []
+    out, left, skipped = None, spark.createDataFrame([], f"input int, {REJECT}"), []
     for i, item in enumerate(items):
         if item.kind not in KINDS:
             skipped.append((item.path, "unknown kind"))
             continue
         try:
-            found = read_one(spark, item, as_of_year).withColumn("input", F.lit(i))
-            found = scratch.save(found.select(*FIELDS, "input", "at"), f"input-{i}")
+            found, rejected = read_one(spark, item, as_of_year)
+            found = scratch.save(found.withColumn("input", F.lit(i)).select(*FIELDS, "input", "at"), f"input-{i}")
+            if rejected is not None:
+                rejected = scratch.save(rejected.select(F.lit(i).alias("input"), "file", "pos", "reason"), f"rejects-{i}")
+                for row in rejected.filter("pos IS NULL").groupBy("reason").agg(F.count("*").alias("n"), F.min("file").alias("file")).orderBy("reason").collect():
+                    skipped.append((item.path, row["reason"] + (f": {row['file']}" if row["n"] == 1 else f": {row['n']} files, first {row['file']}")))
+                left = left.unionByName(rejected)
         except Exception as error:  # noqa: BLE001  one bad input does not stop the others
             scratch.drop(f"input-{i}")
             skipped.append((item.path, str(error).strip().splitlines()[0]))
             continue
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return Extracted(spark.createDataFrame([], ORDERED_PROFILE), skipped)
-    return Extracted(with_ord(out, scratch).select(*ORDERED_PROFILE.names), skipped)
+        return Extracted(spark.createDataFrame([], ORDERED_PROFILE), skipped, left)
+    return Extracted(unique(with_ord(out, scratch).select(*ORDERED_PROFILE.names), scratch), skipped, left)

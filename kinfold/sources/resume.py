@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import normalize, text
 from kinfold.operators.positions import AT
+from kinfold.operators.rejects import rejects
 from kinfold.schema import EDUCATION, EXPERIENCE, FIELDS, LINKS, LOCATION, as_list, empty, filled, provenance, share
+from kinfold.scratch import Scratch
 from kinfold.sources import files
 
 # Patterns of contact data, section headers, dates and separators.
@@ -49,11 +51,14 @@ def full_lines(s: Column) -> Column:
 def sections(body: Column) -> Column:
     """An array of struct(section, line): lines under the last header before them ("header" above the first), headers left out."""
 
+    names = list(HEADERS)
+    header = r"(?i)^\s*(?:" + "|".join(f"({p})" for p in HEADERS.values()) + r")\s*:?\s*$"
+
     def section_of(line: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for name, pattern in reversed(HEADERS.items()):
-            found = F.when(text.strip(line).rlike(rf"(?i)^\s*({pattern})\s*:?\s*$"), F.lit(name)).otherwise(found)
-        return found
+        # one pattern tells whether a line is a header; which one is asked only of those
+        bare = text.strip(line)
+        known = F.array_position(F.array(*(F.regexp_extract(bare, header, i + 1) != "" for i in range(len(names)))), True)
+        return F.when(bare.rlike(header), F.element_at(F.array(*map(F.lit, names)), known.cast("int")))
 
     each = lines(body)
     found = F.filter(F.transform(each, lambda line, i: F.struct((i + 1).alias("at"), section_of(line).alias("name"))), lambda x: x["name"].isNotNull())
@@ -153,14 +158,39 @@ def skills(block: Column) -> Column:
 
 
 def profiles(docs: DataFrame, as_of_year: int) -> DataFrame:
-    """One profile per row of docs (stem, text, at); texts with nothing usable give none.
+    """One profile per row of docs (stem, text, at); texts with nothing usable give none."""
+    return usable(read_texts(docs, as_of_year))
+
+
+def usable(found: DataFrame) -> DataFrame:
+    return found.filter(F.col("overall_confidence") > 0).select(*FIELDS, "at")
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs dealt to all tasks: a table's file may be one piece that one task reads, and texts take much longer to look through than to move."""
+    return docs.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
+
+
+def parted(docs: DataFrame) -> DataFrame:
+    """stem, text, at and the sections of each text that has any, saved: later steps read the sections, and don't find them again.
+
+    One pattern tells headers from other lines, and the texts are dealt to all tasks first.
+    """
+    scratch = Scratch(docs.sparkSession, "resume")
+    split = scratch.save(spread(docs.filter(text.strip(F.col("text")) != "")).withColumn("__s", sections(F.col("text"))), "sections")
+    return scratch.save(split.select("stem", "text", "at", *(section(F.col("__s"), n).alias(f"__{n}") for n in ("header", *HEADERS))), "parts")
+
+
+def read_texts(docs: DataFrame, as_of_year: int) -> DataFrame:
+    """What profiles() finds, saved, with rows for texts with nothing usable too (overall_confidence 0).
 
     Years of experience are counted from the earliest start to ``as_of_year``.
     """
-    split = docs.filter(text.strip(F.col("text")) != "").withColumn("__s", sections(F.col("text")))
-    parts = split.select("stem", "text", "at", *(section(F.col("__s"), n).alias(f"__{n}") for n in ("header", *HEADERS)))
+    parts = parted(docs)
     found = contacts(F.col("text"))
+    scratch = Scratch(docs.sparkSession, "resume")
     read = parts.select("stem", "at", name_line(F.col("__header")).alias("__name"), "__header", "__summary", *(c.alias(f"c_{n}") for n, c in found.items()), experience(F.col("__experience")).alias("experience"), education(F.col("__education")).alias("education"), skills(F.col("__skills")).alias("__raw"))
+    read = scratch.save(read, "read")
     names = F.filter(F.transform("__raw", normalize.skill), lambda s: s != "")
     starts = F.filter(F.transform("experience", lambda e: F.substring(e["start"], 1, 4).try_cast("int")), lambda y: y.isNotNull())
     linked = F.coalesce("c_linkedin", "c_github", "c_portfolio").isNotNull()
@@ -179,10 +209,10 @@ def profiles(docs: DataFrame, as_of_year: int) -> DataFrame:
         F.col("at").cast(AT).alias("at"),
     )
     has = {c: F.col(c).isNotNull() for c in ("full_name", "links", "headline", "years_experience")} | {c: filled(F.col(c)) for c in ("emails", "phones", "skills", "experience", "education")}
-    usable = [has[c] for c in ("full_name", "emails", "phones", "headline", "experience", "education", "skills")]
+    shares = [has[c] for c in ("full_name", "emails", "phones", "headline", "experience", "education", "skills")]
     entries = [("full_name", "direct"), ("emails", "direct"), ("phones", "normalized"), ("links", "direct"), ("headline", "direct"), ("experience", "normalized"), ("education", "normalized"), ("skills", "normalized"), ("years_experience", "inferred")]
-    out = out.withColumn("provenance", provenance(SOURCE, *((f, has[f], how) for f, how in entries))).withColumn("overall_confidence", share(usable))
-    return out.filter(F.col("overall_confidence") > 0).select(*FIELDS, "at")
+    out = out.withColumn("provenance", provenance(SOURCE, *((f, has[f], how) for f, how in entries))).withColumn("overall_confidence", share(shares))
+    return scratch.save(out.select(*FIELDS, "at"), "profiles")
 
 
 def docx_text(content: bytes) -> str | None:
@@ -230,6 +260,16 @@ def texts(documents: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, as_of_year: int) -> DataFrame:
     """Profiles of a document, or of all in a folder; those without text give none."""
-    found = texts(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+    return read_noted(spark, path, as_of_year)[0]
+
+
+def read_noted(spark: SparkSession, path: str, as_of_year: int) -> tuple[DataFrame, DataFrame]:
+    """Profiles, and the rejects: documents without a readable text, and those with nothing usable in it."""
+    scratch = Scratch(spark, "resume")
+    found = scratch.save(texts(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)), "texts")
     place = F.struct(F.col("path").alias("file"), F.lit(0).alias("start"), F.lit(0).alias("pos"))
-    return profiles(found.filter("text IS NOT NULL").select(files.stem(F.col("path")).alias("stem"), "text", place.alias("at")), as_of_year)
+    made = read_texts(found.filter("text IS NOT NULL").select(files.stem(F.col("path")).alias("stem"), "text", place.alias("at")), as_of_year)
+    none = F.col("text").isNull()
+    blank = ~none & (text.strip(F.col("text")) == "")
+    unread = rejects(found.filter(none | blank), F.col("path"), F.lit(None), F.when(none, "no readable text").otherwise("nothing usable"))
+    return usable(made), unread.unionByName(rejects(made.filter("overall_confidence = 0"), F.col("at.file"), F.lit(None), F.lit("nothing usable")))
