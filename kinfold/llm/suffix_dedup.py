@@ -33,7 +33,7 @@ STRETCH = 1 << 14
 #: The table of bits has 2**SLOTS of them (64 MB) in parts of 2**PART.
 SLOTS, PART = 29, 19
 #: Most strings of a fragment; bytes of fragments in a shard; share of all fragments beyond which a hash is cut into strings, if it has so many at least.
-LONGEST, SHARD_BYTES, HOT_SHARE, HOT_LEAST = 256, 2_000_000, 200, 20_000
+LONGEST, SHARD_BYTES, HOT_SHARE, HOT_LEAST = 256, 6_000_000, 200, 20_000
 #: The doc_id of documents that have none: below all others.
 NO_ID = -(1 << 63)
 MIX, ODD = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
