@@ -3,20 +3,19 @@
 
 from __future__ import annotations
 
-import json
-import re
-import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinfold.functions import normalize, text
 from kinfold.operators.positions import AT
 from kinfold.operators.rejects import rejects
 from kinfold.schema import EDUCATION, EXPERIENCE, FIELDS, LINKS, LOCATION, SKILL, as_list, empty, filled, provenance, share
 from kinfold.scratch import Scratch
+from kinfold.sources import github_live
 
 SOURCE = "github"
 PAYLOAD = (
@@ -24,9 +23,7 @@ PAYLOAD = (
     "repos array<struct<fork:boolean,language:string>>, social_accounts array<struct<provider:string,url:string>>, readme struct<content:string,encoding:string>"
 )
 README_CONFIDENCE = 0.8
-# What is fetched of a profile, and the patterns of skills in a readme.
-API = "https://api.github.com"
-CALLS = {"user": "/users/{0}", "repos": "/users/{0}/repos?per_page=100&sort=updated", "social_accounts": "/users/{0}/social_accounts", "readme": "/repos/{0}/{0}/readme"}
+# The patterns of skills in a readme.
 CODE_SPAN = r"`([^`\n]{2,30})`"
 BADGE_ALT = r"(?i)!\[([^\]]{1,40})\]\([^)]*shields\.io[^)]*\)"
 BADGE_LABEL = r"(?i)shields\.io/badge/([A-Za-z0-9_.\-+]{2,30})"
@@ -129,31 +126,28 @@ def read_noted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return profiles(rows), rejects(rows.filter(none), F.col("at.file"), F.col("at.pos"), F.lit("no user"))
 
 
-def http_get(url: str) -> str | None:
-    """The body of a reply, null on any failure."""
-    try:
-        with urllib.request.urlopen(urllib.request.Request(url, headers={"Accept": "application/vnd.github+json"}), timeout=10) as reply:
-            return reply.read().decode("utf-8")
-    except (OSError, ValueError):
-        return None
+def payloads_of(fetched: DataFrame) -> DataFrame:
+    """Payloads, and problem, from rows of live parts as JSON text."""
+    kinds = {f.name: f.dataType for f in T._parse_datatype_string(PAYLOAD).fields}
+    return fetched.select("username", *(F.from_json(part, kinds[part]).alias(part) for part in github_live.CALLS), "problem")
 
 
-def fetch(names: DataFrame, column: str = "username", get: Callable[[str], str | None] = http_get) -> DataFrame:
-    """Payloads of user names or profile URLs, fetched by the workers; a call that fails leaves its part out."""
+def live(spark: SparkSession, users: list[str], **options: object) -> DataFrame:
+    """Rows of github_live.SCHEMA for some users, fetched by the workers; see there for options and problems."""
+    spark.dataSource.register(github_live.CodeProfiles)
+    reader = spark.read.format("code_profiles").option("users", ",".join(users))
+    for key, value in options.items():
+        reader = reader.option(key, str(value))
+    return reader.load()
+
+
+def fetch(names: DataFrame, column: str = "username", client: github_live.Client | None = None) -> DataFrame:
+    """Payloads of a table of user names or profile URLs, fetched by the workers, with the problem where there is no user."""
+    own = client or github_live.Client()
 
     def calls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for name in frame["name"]:
-                row: dict = {"username": name}
-                for part, call in CALLS.items():
-                    body = get(API + call.format(name)) if part == "user" or "user" in row else None
-                    try:
-                        row |= {part: json.loads(body)} if body and re.match(r"\s*[\[{]", body) else {}
-                    except ValueError:
-                        continue
-                rows.append(json.dumps(row))
-            yield pd.DataFrame({"value": rows})
+            yield pd.DataFrame(list(own.payloads(iter(frame["name"]))), columns=[c.split(" ")[0] for c in github_live.SCHEMA.split(", ")])
 
     known = names.select(username(F.col(column)).alias("name")).filter("name IS NOT NULL")
-    return known.mapInPandas(calls, "value string").select(F.from_json("value", PAYLOAD).alias("p")).select("p.*")
+    return payloads_of(known.mapInPandas(calls, github_live.SCHEMA))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators.positions import AT, unique, with_ord
-from kinfold.operators.rejects import REJECT
+from kinfold.operators.rejects import REJECT, rejects
 from kinfold.schema import FIELDS, ORDERED_PROFILE
 from kinfold.scratch import Scratch
 from kinfold.sources import ats_json, csv, github, resume
@@ -60,9 +60,10 @@ def read_one(spark: SparkSession, item: Input, as_of_year: int | None = None) ->
         return resume.read_noted(spark, item.path, as_of_year or datetime.date.today().year)
     if "github.com" not in item.path.lower() and not re.fullmatch(r"[A-Za-z0-9-]+", item.path.strip()):
         return github.read_noted(spark, item.path)  # captured payloads
-    names = spark.createDataFrame([(item.path,)], "username string")
+    name = spark.createDataFrame([(item.path,)], "raw string").select(github.username(F.col("raw"))).first()[0]
     place = F.struct(F.lit(item.path).alias("file"), F.lit(0).alias("start"), F.lit(0).alias("pos")).cast(AT)
-    return github.profiles(github.fetch(names).withColumn("at", place)), None
+    fetched = Scratch(spark, "live").save(github.live(spark, [name] if name else []), "live")
+    return github.profiles(github.payloads_of(fetched).withColumn("at", place)), rejects(fetched.filter("problem IS NOT NULL"), F.lit(item.path), F.lit(None), F.col("problem"))
 
 
 def read_all(spark: SparkSession, items: list[Input], as_of_year: int | None = None) -> Extracted:

@@ -11,7 +11,7 @@ from kinfold.operators.project import project
 from kinfold.plans import config as configs
 from kinfold.plans import pipeline
 from kinfold.plans.pipeline import canonical
-from kinfold.sources import ats_json, csv, github, resume
+from kinfold.sources import ats_json, csv, github, github_live, resume
 from kinfold.sources.inputs import Input, detect, read_all
 
 
@@ -101,9 +101,74 @@ def test_github(spark, tmp_path):
     assert got.experience[0].company == "corp" and got.overall_confidence == 1.0
     names = spark.createDataFrame([("https://github.com/ann/",), ("bob",), ("not a name",)], "username string")
     assert sorted(r[0] for r in names.select(github.username(F.col("username"))).collect() if r[0]) == ["ann", "bob"]
-    replies = {github.API + "/users/bob": json.dumps(payload["user"]), github.API + "/users/bob/repos?per_page=100&sort=updated": "oops"}
-    fetched = github.fetch(names.filter("username = 'bob'"), get=replies.get).first()
-    assert fetched.user.name == "ann lee" and fetched.repos is None
+
+
+class FakeServer:
+    """Answers as an API of profiles does: failures first, limits, unknown users."""
+
+    def __init__(self):
+        import http.server
+        import threading
+
+        calls = self.calls = []
+        seen = {}
+        user = {"name": "ann lee", "email": "A@b.co"}
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def log_message(self, *args):
+                pass
+
+            def do_GET(self):
+                calls.append(self.path)
+                n = seen[self.path] = seen.get(self.path, 0) + 1
+                name = self.path.split("/")[2].split("?")[0]
+                status, body, headers = 200, None, {}
+                if name == "gone":
+                    status = 404
+                elif name == "limited":
+                    status, headers = 403, {"X-RateLimit-Remaining": "0", "X-RateLimit-Reset": "99999999999"}
+                elif name == "busy" and n == 1:
+                    status = 503
+                elif name == "soon" and n == 1:
+                    status, headers = 429, {"Retry-After": "0"}
+                elif name == "down":
+                    status = 500
+                elif "repos?" in self.path:
+                    body = [{"language": "Go"}] if name != "odd" else "oops"
+                elif "social" in self.path:
+                    status = 403
+                elif "readme" in self.path:
+                    status = 404
+                else:
+                    body = user
+                data = (body if isinstance(body, str) else json.dumps(body)).encode()
+                self.send_response(status)
+                for k, v in headers.items():
+                    self.send_header(k, v)
+                self.send_header("Content-Length", str(len(data)))
+                self.end_headers()
+                self.wfile.write(data)
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.base = f"http://127.0.0.1:{self.server.server_port}"
+
+
+def test_live_profiles(spark):
+    server = FakeServer()
+    try:
+        rows = {r.username: r for r in github.live(spark, ["ann", "busy", "soon", "odd", "gone", "down"], base=server.base, pause=0.01, partitions=3).collect()}
+        assert {n: r.problem for n, r in rows.items()} == {"ann": None, "busy": None, "soon": None, "odd": None, "gone": github_live.UNKNOWN, "down": github_live.FAILED}
+        assert rows["odd"].repos is None and json.loads(rows["busy"].repos) == [{"language": "Go"}] and rows["ann"].social_accounts is None
+        assert server.calls.count("/users/down") == 3 and server.calls.count("/users/gone") == 1 and not any("gone/repos" in c for c in server.calls)
+        # one partition: after a refusal the others are not called
+        rows = {r.username: r.problem for r in github.live(spark, ["limited", "zoe"], base=server.base, partitions=1).collect()}
+        assert rows == {"limited": github_live.REFUSED, "zoe": github_live.REFUSED} and "/users/zoe" not in server.calls
+        names = spark.createDataFrame([("https://github.com/ann/",), ("gone",), ("no name",)], "username string")
+        fetched = {r.username: r for r in github.fetch(names, client=github_live.Client(server.base, pause=0.01)).collect()}
+        assert fetched["ann"].user.name == "ann lee" and fetched["gone"].problem == github_live.UNKNOWN and len(fetched) == 2
+    finally:
+        server.server.shutdown()
 
 
 RESUME = """Rohan Mehta
