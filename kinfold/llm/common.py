@@ -72,8 +72,9 @@ def marked(keyed: DataFrame, keys: DataFrame, scratch: Scratch, name: str, keep:
     """Rows of keyed whose KEY is among keys (keep), or those whose KEY is not; no row of keyed is shuffled.
 
     The keys become bitmaps, one for each file and BITS successive rows, that are broadcast.  Should
-    they take more than BITMAP_BYTES, the files are dealt into slices, each with its own broadcast;
-    every file is still read once.
+    they take more than BITMAP_BYTES, the files are dealt into slices: each slice's rows are saved before
+    the next slice's bitmaps are broadcast, so that BITMAP_BYTES bounds what a process holds; every file
+    is still read once.
     """
     own, m = F.col(KEY), free("__marks", keyed)
     bucket, bit = F.shiftright(own["r"], 15), own["r"].bitwiseAND(BITS - 1)
@@ -88,6 +89,9 @@ def marked(keyed: DataFrame, keys: DataFrame, scratch: Scratch, name: str, keep:
         side = F.broadcast(bits.filter(mine(F.col("file"))).select(F.struct("file", "bucket", "bits").alias(m)))
         part = keyed.filter(mine(own["f"]))
         part = part.join(side, (own["f"] == F.col(f"{m}.file")) & (bucket == F.col(f"{m}.bucket")), "left").filter(hit if keep else ~hit).drop(m)
+        if slices > 1:
+            part = scratch.save(part, f"{name}-{i}")
+            gc.collect()  # the driver's references keep a broadcast alive
         out = part if out is None else out.unionByName(part)
     return out
 
