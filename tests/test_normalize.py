@@ -41,3 +41,25 @@ def test_lists(spark):
 def test_phone_is_idempotent(spark):
     df = spark.createDataFrame([("9876543210",), ("+44 7911 123456",)], "s string").select(normalize.phone(F.col("s")).alias("p"))
     assert all(r[0] == r[1] for r in df.select("p", normalize.phone(F.col("p"))).collect())
+
+
+def test_sql_functions_equal_the_column_functions(spark):
+    import random
+
+    from kinfold.functions import sql, text
+
+    rng = random.Random(4)
+    odd = ["", " ", None, "-", "Present", "2020-13", "Mar 2020", "2020, march", "Maybe 2020", "+91 98", "++123456789", "1 415 555 0000", "ß straße", "o'brien-smith 3d", "\u2003x\u2003", "\x1c a \x1f", "a@b@c.d", "A@B", "remote", "IN", "xy", "js; go|c", "a,b;c", "12.5.3 years", "K8S", "vue.js"]
+    texts = odd + ["".join(rng.choice("aZß é1 2+-./,;|@'\t") for _ in range(rng.randrange(14))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "raw string")
+    sql.register(spark)
+    columns = {
+        "py_strip": text.strip, "py_title": text.title, "normalize_phone": normalize.phone, "normalize_date": normalize.date, "normalize_skill": normalize.skill, "normalize_country": normalize.country,
+        "normalize_email": normalize.email, "normalize_name": normalize.name, "parse_years": normalize.years, "split_skills": text.split_list,
+    }
+    assert set(columns) == set(sql.definitions())
+    df.createOrReplaceTempView("texts")
+    for name, fn in columns.items():
+        wanted = df.select("raw", fn(df["raw"]).alias("v")).collect()
+        assert spark.sql(f"SELECT raw, {name}(raw) AS v FROM texts").collect() == wanted, name
+    assert spark.sql("SELECT normalize_phone('9811023456', '44')").first()[0] == "+449811023456"

@@ -8,6 +8,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from kinfold.operators.project import project
+from kinfold.operators.project import records as project_records
 from kinfold.plans import config as configs
 from kinfold.plans import pipeline
 from kinfold.plans.pipeline import canonical
@@ -279,4 +280,9 @@ def test_json_of_the_sink(spark, tmp_path):
         assert json.loads("".join(pipeline.json_array(people, config))) == wanted
         pipeline.write_json(people, config, f"file://{tmp_path}/{policy}")
         assert [json.loads(r.value) for r in spark.read.text(f"file://{tmp_path}/{policy}").collect()] == wanted
+        for n in (0, 1, 2):  # one file, byte by byte as json.dumps writes it
+            pipeline.write_array(people.orderBy("ord").limit(n), config, f"file://{tmp_path}/{policy}-{n}.json")
+            assert (tmp_path / f"{policy}-{n}.json").read_text() == json.dumps(wanted[:n], indent=2, ensure_ascii=False) + "\n"
+        records = [json.loads(r[0]) for r in project_records(people, config).orderBy("ord").selectExpr("to_json(record)").collect()]
+        assert records == wanted
     assert "".join(pipeline.json_array(people.filter("false"), config)) == "[]"
