@@ -270,7 +270,7 @@ def common(text: np.ndarray, left: np.ndarray, order: np.ndarray, most: int) ->
         x = words[order[pairs] + offset] ^ words[order[pairs - 1] + offset]
         differs = x != 0
         at, x = pairs[differs], x[differs]
-        equal = np.log2((x & (~x + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3
+        equal = (np.frexp((x & (~x + np.uint64(1))).astype(np.float64))[1] - 1) >> 3  # whole bytes below the lowest bit that differs
         out[at] = np.minimum(out[at], offset + equal)
         pairs = pairs[~differs]
         pairs = pairs[out[pairs] > offset + 8]
@@ -287,16 +287,15 @@ def _minima(values: np.ndarray, codes: np.ndarray, at: np.ndarray, since: np.nda
     fresh = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
     low = np.where(fresh, 0, np.roll(place, 1) + 1)
     width = place - low + 1
-    table, level = values, 0
     out = np.empty(len(place), values.dtype)
-    steps = np.frexp(width)[1] - 1
-    while len(place):
-        here = steps == level
-        out[here] = np.minimum(table[low[here]], table[place[here] + 1 - (1 << level)])
-        level += 1
-        if level > steps.max():
-            break
-        table = np.minimum(table[: -(1 << (level - 1))], table[1 << (level - 1) :])
+    if len(place):  # a table of the minima over 1, 2, 4, ... tuples: two of them cover any width
+        steps = (np.frexp(width)[1] - 1).astype(np.uint8)
+        by_step, table = np.argsort(steps, kind="stable"), values
+        bounds = np.searchsorted(steps[by_step], np.arange(int(steps.max()) + 2))
+        for level in range(len(bounds) - 1):
+            table = table if level == 0 else np.minimum(table[: -(1 << (level - 1))], table[1 << (level - 1) :])
+            here = by_step[bounds[level] : bounds[level + 1]]
+            out[here] = np.minimum(table[low[here]], table[place[here] + 1 - (1 << level)])
     out[fresh] = np.minimum(out[fresh], since[code[fresh]])
     after = np.minimum.accumulate(np.append(values, np.iinfo(values.dtype).max)[::-1])[::-1]
     since[:] = np.minimum(since, after[0])
