@@ -129,10 +129,13 @@ def merged_education(members: DataFrame) -> DataFrame:
     level = F.lower(F.get(F.split(F.trim(F.coalesce("e.degree", F.lit(""))), r"\s+"), F.lit(0)))
     rich = text_there(F.col("e.degree")).cast("int") + text_there(F.col("e.field")).cast("int") + F.coalesce(F.col("e.end_year") != 0, F.lit(False)).cast("int")
     one = one.withColumns({"level": level, "rich": rich, "at": F.struct("ord", "pos", "src")})
-    # Between the first entries of each richness a repeated entry changes nothing: slots change hands there only.
+    # Slots change hands only where an entry is richer than all before it: a slot without degree is as rich as any
+    # when it is made, so only such an entry can take it.  Between those places each level has one slot
+    # that it goes to, and there the first entry of each richness decides: others of its level and richness change nothing.
+    # So parts of a school's entries meet as minima, and at most twelve of each level are folded.
     marks = one.groupBy("label", "school").agg(*(F.min(F.when(F.col("rich") >= k, F.col("at"))).alias(f"from{k}") for k in (1, 2, 3)))
     epoch = sum(F.coalesce(F.col("at") >= F.col(f"from{k}"), F.lit(False)).cast("int") for k in (1, 2, 3))
-    items = one.join(marks, ["label", "school"]).groupBy("label", "school", "level", "rich", "e", epoch.alias("epoch")).agg(F.min("at").alias("at")).groupBy("label", "school").agg(F.array_sort(F.collect_list(F.struct("at", "level", "rich", "e"))).alias("items"))
+    items = one.join(marks, ["label", "school"]).groupBy("label", "school", "level", "rich", epoch.alias("epoch")).agg(F.min("at").alias("at"), F.min_by("e", "at").alias("e")).groupBy("label", "school").agg(F.array_sort(F.collect_list(F.struct("at", "level", "rich", "e"))).alias("items"))
     folded = items.select("label", F.get("items", F.lit(0))["at"].alias("first"), fold_school(F.col("items")).alias("kept"))
     listed = folded.groupBy("label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "kept"))), lambda s: s["kept"])).alias("l"))
     return listed.select("label", F.transform("l", lambda i: i["e"]).cast(f"array<{EDUCATION}>").alias("education"), entries("education", F.transform("l", lambda i: i["at"]["src"]), "merged").alias("p_education"))

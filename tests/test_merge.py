@@ -107,6 +107,8 @@ def test_education_fold(spark):
     cases = [[("S", rng.choice([None, "BSc", "MSc Hons", "bsc x"]), rng.choice([None, "F"]), rng.choice([None, 2001])) for _ in range(rng.randint(2, 6))] for _ in range(80)]
     repeats = [("S", "btech", None, None), ("S", "mtech", None, None), ("S", None, "F", 2001), ("S", "mtech", "F", 2002), ("S", "btech", None, None)]
     cases += [repeats, repeats + repeats, [x for x in repeats for _ in range(3)]] + [[rng.choice(repeats) for _ in range(12)] for _ in range(60)]
+    many = lambda: ("S", rng.choice([None, None, "a", "b", "c x", "d"]), rng.choice([None, "F", "G"]), rng.choice([None, 2001, 2002]))
+    cases += [[many() for _ in range(rng.randint(2, 14))] for _ in range(60)]
     rows = [person(100 * i + j, emails=[f"e{i}"], education=[x]) for i, case in enumerate(cases) for j, x in enumerate(case)]
     got = merged(spark, *rows)
     assert [[tuple(x) for x in r.education] for r in got] == [fold(c) for c in cases]
