@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,39 +142,45 @@ def project_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A service's reply about the records of the smallest ids."""
-    few = merged(spark, sf_dir).filter("ord < 40")
-    extracted = Extracted(few, [("notes.txt", "unknown kind")])
-    custom = configs.PRESETS["custom"]
-    reply = pipeline.envelope(project.project(few, custom), extracted, custom, "custom")
-    rows = [(reply["count"], reply["config_used"], reply["skipped_files"][0]["file"], c["full_name"], c["primary_email"], c["phone"]) for c in reply["candidates"]]
-    return spark.createDataFrame(rows, "count long, config string, skipped string, full_name string, primary_email string, phone string")
-
-
-BAD_CONFIGS = {
-    "list": [],
-    "no fields": {},
-    "empty": {"fields": []},
-    "not an object": {"fields": [3]},
-    "no path": {"fields": [{"path": ""}, {"from": "emails"}]},
-    "twice": {"fields": [{"path": "a"}, {"path": "a"}]},
-    "type": {"fields": [{"path": "a", "type": "list"}]},
-    "normalize": {"fields": [{"path": "a", "normalize": "x"}], "on_missing": "drop"},
-    "good": configs.PRESETS["default"],
-}
+    """A service's reply about all records, written as one file by the workers and read back in parts."""
+    scratch = Scratch(spark, "query")
+    people, place = merged(spark, sf_dir), f"{scratch.root}/reply.json"
+    pipeline.write_envelope(people, configs.PRESETS["custom"], "custom", Extracted(people, [("notes.txt", "unknown kind")]), place)
+    about = spark.read.text(place).filter(F.col("value").startswith("], ")).select(F.from_json(F.regexp_replace("value", r"^\], ", "{"), "count long, skipped_files array<struct<file:string>>, config_used string").alias("a"))
+    found, _ = json_parts.records(spark, place, scratch, ("candidates",))
+    at = lambda path: F.try_variant_get("v", f"$.{path}", "string").alias(path)
+    rows = found.select(at("full_name"), at("primary_email"), at("phone"))
+    told = about.select(F.col("a.count").alias("count"), F.col("a.config_used").alias("config"), F.col("a.skipped_files")[0]["file"].alias("skipped"))
+    return rows.crossJoin(F.broadcast(told))  # told is one row
+
+
+#: Configurations with problems of every kind, as JSON text; {k} is a key of the table, {n} another.
+CONFIG_TEXTS = (
+    "[]", "{}", '{"fields": []}', '{"fields": [{k}]}', '{"fields": [{"path": ""}, {"from": "emails"}]}', '{"fields": [{"path": "f{k}"}, {"path": "f{k}"}]}', '{"fields": [{"path": "f{k}", "type": "list{k}"}]}',
+    '{"fields": [{"path": "a", "normalize": "x{k}"}], "on_missing": "drop{k}"}', '{"fields": [{"path": "f{k}"}, {"path": "g{k}", "type": "string", "normalize": "ISO2"}]}',
+)
 
 
 def config_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is said about configurations that can't be used."""
-    rows = [(name, " / ".join(configs.problems(config))) for name, config in BAD_CONFIGS.items()]
-    return spark.createDataFrame(rows, "name string, problems string")
+    """What is said about configurations that can't be used, one for each part."""
+    texts = F.get(F.array(*map(F.lit, CONFIG_TEXTS)), (F.col("p_partkey") % len(CONFIG_TEXTS)).cast("int"))
+    made = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.replace(texts, F.lit("{k}"), F.col("p_partkey").cast("string")).alias("config"))
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [" / ".join(configs.problems(json.loads(c))) for c in batch["config"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(said, pa.string())], ["id", "problems"])
+
+    return made.mapInArrow(checked, "id long, problems string")
 
 
 PROBLEMS_EXPECTED = """
-SELECT * FROM (VALUES ('list', 'config must be a JSON object'), ('no fields', 'config.fields must be a non-empty list'), ('empty', 'config.fields must be a non-empty list'), ('not an object', 'fields[0] must be an object'),
-  ('no path', 'fields[0].path is required and must be a string / fields[1].path is required and must be a string'), ('twice', 'fields[1].path ''a'' is duplicated'),
-  ('type', 'fields[0].type ''list'' is not one of [''any'', ''boolean'', ''number'', ''object'', ''string'', ''string[]'']'),
-  ('normalize', 'fields[0].normalize ''x'' is not one of [''E164'', ''ISO2'', ''YYYY-MM'', ''canonical''] / on_missing ''drop'' is not one of [''error'', ''null'', ''omit'']'), ('good', '')) AS t(name, problems)
+SELECT p_partkey AS id, replace(CASE p_partkey % 9 WHEN 0 THEN 'config must be a JSON object' WHEN 3 THEN 'fields[0] must be an object'
+  WHEN 4 THEN 'fields[0].path is required and must be a string / fields[1].path is required and must be a string' WHEN 5 THEN 'fields[1].path ''f{k}'' is duplicated'
+  WHEN 6 THEN 'fields[0].type ''list{k}'' is not one of [''any'', ''boolean'', ''number'', ''object'', ''string'', ''string[]'']'
+  WHEN 7 THEN 'fields[0].normalize ''x{k}'' is not one of [''E164'', ''ISO2'', ''YYYY-MM'', ''canonical''] / on_missing ''drop{k}'' is not one of [''error'', ''null'', ''omit'']'
+  WHEN 8 THEN '' ELSE 'config.fields must be a non-empty list' END, '{k}', p_partkey::VARCHAR) AS problems
+FROM part
 """
 
 
@@ -279,7 +287,7 @@ ORACLE_SQL: dict[str, str] = {
     "project_rejects": f"""{_RICH}, r AS (SELECT f.label AS ord, CASE WHEN first_email IS NULL THEN 'required field ''mail'' is missing' WHEN first_phone IS NULL THEN 'field ''phone'' is missing' WHEN headline IS NULL THEN 'field ''headline'' is missing' END AS reason {_PARTS})
       SELECT ord, reason, count(*) OVER (PARTITION BY reason) AS n FROM r WHERE reason IS NOT NULL""",
     "project_error": f"{_RICH} SELECT f.label AS ord, first_phone AS phone, headline, github {_PARTS} WHERE first_phone IS NOT NULL AND headline IS NOT NULL AND github IS NOT NULL",
-    "envelope": f"""{_RICH}, kept AS (SELECT full_name, first_email AS primary_email, first_phone AS phone {_PARTS} WHERE f.label < 40 AND first_email IS NOT NULL)
+    "envelope": f"""{_RICH}, kept AS (SELECT full_name, first_email AS primary_email, first_phone AS phone {_PARTS} WHERE first_email IS NOT NULL)
       SELECT count(*) OVER () AS count, 'custom' AS config, 'notes.txt' AS skipped, full_name, primary_email, phone FROM kept""",
     "config_problems": PROBLEMS_EXPECTED,
     "norm_skill_list": f"SELECT p_partkey AS id, 'JavaScript/' || {title_sql('p_brand')} AS skills FROM part",

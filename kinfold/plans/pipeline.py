@@ -89,33 +89,48 @@ def write_array(canonical: DataFrame, config: dict, path: str) -> None:
     The workers write the parts of the array in order, each with the separators it needs; the parts are
     then joined on the file system, as a stream of bytes that no process holds.
     """
-    spark, scratch = canonical.sparkSession, Scratch(canonical.sparkSession, "array")
+    scratch = Scratch(canonical.sparkSession, "array")
     texts = scratch.save(project.indented_rows(canonical, config), "texts")
-    first = texts.agg(F.min("ord")).first()[0]
+    _write_list(texts.withColumn("json", F.concat(F.lit("  "), "json")), scratch, path, "[\n", "\n]\n", "[]\n")
+
+
+def write_envelope(canonical: DataFrame, config: dict, config_name: str, extracted: Extracted, path: str) -> None:
+    """A service's reply in one file: the records, one a line, their number, the inputs that were skipped and the configuration's name."""
+    scratch = Scratch(canonical.sparkSession, "envelope")
+    texts = scratch.save(project.json_rows(canonical, config), "texts")
+    skipped = [{"file": file, "reason": reason} for file, reason in extracted.skipped]
+    about = json.dumps({"count": texts.count(), "skipped_files": skipped, "config_used": config_name}, ensure_ascii=False)
+    head, tail = '{"candidates": [\n', "\n], " + about[1:] + "\n"
+    _write_list(texts, scratch, path, head, tail, head + tail)
+
+
+def _write_list(texts: DataFrame, scratch: Scratch, path: str, head: str, tail: str, empty: str) -> None:
+    """The texts (ord, json) with commas between them, in order, as one file with a head and a tail."""
+    first, last = texts.agg(F.min("ord"), F.max("ord")).first()
     # a text file ends each of its rows with a line break: every record but the last one brings the comma before it
-    final = texts.agg(F.max("ord")).first()[0]
-    lines = texts.select("ord", F.concat(F.when(F.col("ord") == first, "[\n  ").otherwise("  "), "json", F.when(F.col("ord") == final, "\n]").otherwise(",")).alias("value"))
+    lines = texts.select("ord", F.concat("json", F.when(F.col("ord") == last, "").otherwise(",")).alias("value"))
     place = f"{scratch.root}/parts"
     lines.repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.text(place)
-    join_parts(spark, place, path, "[]\n" if first is None else "")
+    # the last row's line break is the tail's first
+    join_parts(texts.sparkSession, place, path, empty if first is None else head, "" if first is None else tail.removeprefix("\n"))
 
 
-def join_parts(spark: SparkSession, folder: str, path: str, empty: str = "") -> None:
-    """The files that a job wrote to a folder as one file, in their order."""
+def join_parts(spark: SparkSession, folder: str, path: str, head: str = "", tail: str = "") -> None:
+    """The files that a job wrote to a folder as one file, in their order, between a head and a tail."""
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
     source, target = hadoop.fs.Path(folder), hadoop.fs.Path(path)
     system, out_system = source.getFileSystem(conf), target.getFileSystem(conf)
     parts = sorted((f.getPath() for f in system.listStatus(source) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda p: p.getName())
     out = out_system.create(target, True)
     try:
-        if empty:
-            out.write(bytearray(empty.encode()))
+        out.write(bytearray(head.encode()))
         for part in parts:
             read = system.open(part)
             try:
                 hadoop.io.IOUtils.copyBytes(read, out, 1 << 20, False)
             finally:
                 read.close()
+        out.write(bytearray(tail.encode()))
     finally:
         out.close()
 
