@@ -134,6 +134,20 @@ def json_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("event_id", F.coalesce(ats_json.as_text(ats_json.at(F.col("v"), "k")), F.lit("")).alias("k"))
 
 
+#: Objects in which an e-mail address stands in several places, or none that counts; {k} is a key.
+PROBED = (
+    '{"applicant": {"email": ""}, "contact": {"email": "c{k}"}, "email": "e{k}"}', '{"candidate": {"emailAddress": []}, "email_address": "a{k}"}', '{"applicant": {"email": null, "emailAddress": {k}}}',
+    '{"person": {"email": ["p{k}", "q"]}, "email": "e{k}"}', '{"applicant": "no object", "firstName": " f{k} ", "last_name": "L"}', '{"applicant": {"firstName": "F{k}"}, "lastName": "", "name": "n"}', '{"name": "n{k}"}',
+)
+
+
+def probe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first usable value along the paths of two fields: empty ones are passed over, a list is taken as it is, two names are joined."""
+    made = F.replace(F.get(F.array(*map(F.lit, PROBED)), (F.col("c_custkey") % len(PROBED)).cast("int")), F.lit("{k}"), F.col("c_custkey").cast("string"))
+    parsed = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.try_parse_json(made).alias("v"))
+    return parsed.select("id", *(F.to_json(ats_json.probe(F.col("v"), field)).alias(field) for field in ("email", "full_name")))
+
+
 def language_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types as languages of a user's repositories ("view" marks forks)."""
     own = _table(spark, sf_dir, "events").filter("event_type <> 'view'")
@@ -171,6 +185,7 @@ QUERIES: dict[str, Query] = {
     "doc_top_lines": doc_top_lines,
     "resume_profiles": resume_profiles,
     "json_probe": json_probe,
+    "probe_paths": probe_paths,
     "language_skills": language_skills,
     "union_sources": union_sources,
     "match_keys": match_keys,

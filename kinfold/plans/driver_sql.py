@@ -146,5 +146,12 @@ ORACLE_SQL: dict[str, str] = {
       SELECT n.label AS ord, any_value(l[2]) AS second_email, first(skill ORDER BY c DESC, skill) AS top_skill FROM n LEFT JOIN e ON n.label = e.label GROUP BY n.label""",
 }
 
+ORACLE_SQL["probe_paths"] = """
+SELECT c_custkey AS id,
+  CASE c_custkey % 7 WHEN 0 THEN '"c' || c_custkey || '"' WHEN 1 THEN '"a' || c_custkey || '"' WHEN 2 THEN c_custkey::VARCHAR WHEN 3 THEN '["p' || c_custkey || '","q"]' END AS email,
+  CASE c_custkey % 7 WHEN 4 THEN '"f' || c_custkey || ' L"' WHEN 5 THEN '"F' || c_custkey || '"' WHEN 6 THEN '"n' || c_custkey || '"' END AS full_name
+FROM customer
+"""
+
 _NORMALIZED = {"norm_phone": "phone", "norm_email": "email", "norm_name": "name", "norm_skill": "skill", "norm_country": "country", "norm_date": "date", "parse_years": "years", "split_skills": "skills"}
 ORACLE_SQL["sql_functions"] = " UNION ALL ".join(f"SELECT '{name}' AS function, id, {column}::VARCHAR AS value FROM ({ORACLE_SQL[name]})" for name, column in _NORMALIZED.items())

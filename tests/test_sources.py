@@ -161,6 +161,7 @@ def test_live_profiles(spark):
         rows = {r.username: r for r in github.live(spark, ["ann", "busy", "soon", "odd", "gone", "down"], base=server.base, pause=0.01, partitions=3).collect()}
         assert {n: r.problem for n, r in rows.items()} == {"ann": None, "busy": None, "soon": None, "odd": None, "gone": github_live.UNKNOWN, "down": github_live.FAILED}
         assert rows["odd"].repos is None and json.loads(rows["busy"].repos) == [{"language": "Go"}] and rows["ann"].social_accounts is None
+        assert "/users/ann/repos?per_page=100&sort=updated" in server.calls and not any("page=2" in c for c in server.calls)  # one page of 100
         assert server.calls.count("/users/down") == 3 and server.calls.count("/users/gone") == 1 and not any("gone/repos" in c for c in server.calls)
         # one partition: after a refusal the others are not called
         rows = {r.username: r.problem for r in github.live(spark, ["limited", "zoe"], base=server.base, partitions=1).collect()}
