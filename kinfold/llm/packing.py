@@ -28,6 +28,9 @@ POOL_TOKENS = 2_000_000
 #: Words whose ids a worker remembers (twice so many at most), and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 100_000, 48
 
+#: Bytes of texts that are encoded at once.
+SLICE = 2_000_000
+
 #: Letters below this one, U+0250, stand alone in NFC, and lower-case without regard to their neighbours.
 LATIN = "\u0250"
 #: What byte-level vocabularies write for bytes that do not print: the characters from U+0100 on, in turn.
@@ -254,7 +257,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = CAPACITY
         coder, packer = tokenizer_of(tokenizer, end), Packer(TaskContext.get().partitionId() << 40, capacity, pool_tokens)
 
         def pieces() -> Iterator[tuple]:
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", SLICE):
                 texts = batch["text"].fill_null("")
                 for doc_id, ids in zip(batch["doc_id"].to_pylist(), coder.ids(texts), strict=True):
                     yield from packer.add(doc_id, ids)
