@@ -74,7 +74,7 @@ EXPORTS = {
 }
 
 
-@pytest.mark.parametrize("size", [600, 1 << 20])
+@pytest.mark.parametrize("size", [2000, 1 << 20])
 def test_exports_in_parts(spark, split_at, tmp_path, size):
     for name, text in EXPORTS.items():
         (tmp_path / f"{name}.json").write_bytes(text.encode())
