@@ -26,10 +26,10 @@ CAPACITY = 4096
 #: A pool is packed when it holds so many tokens; more make fuller windows and larger workers.
 POOL_TOKENS = 2_000_000
 #: Words whose ids a worker remembers (twice so many at most), and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 100_000, 48
+CACHE_WORDS, CACHE_CHARS = 600_000, 48
 
 #: Bytes of texts that are encoded at once.
-SLICE = 2_000_000
+SLICE = 4_000_000
 
 #: Letters below this one, U+0250, stand alone in NFC, and lower-case without regard to their neighbours.
 LATIN = "\u0250"
@@ -52,10 +52,10 @@ class WordTokenizer:
     one, and parts that are met again move back, so that frequent words stay.
     """
 
-    def __init__(self, file: str, end: int):
+    def __init__(self, file: str, end: int, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.full, self.end = Tokenizer.from_file(file), np.array([end], np.int32).tobytes()
+        self.full, self.end, self.cache_words = Tokenizer.from_file(file), np.array([end], np.int32).tobytes(), cache_words
         self.plain = Tokenizer(self.full.model)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -84,7 +84,7 @@ class WordTokenizer:
 
     def encoded(self, words: list[str]) -> list[bytes]:
         """The ids of each of these different parts, as bytes."""
-        if len(self.young) > CACHE_WORDS:
+        if len(self.young) > self.cache_words:
             self.old, self.young = self.young, {}
         known, old, tails = self.young, self.old, self.tails
         blobs = list(map(known.get, words))
@@ -128,9 +128,9 @@ class WordTokenizer:
 
 
 @cache
-def tokenizer_of(file: str, end: int) -> WordTokenizer:
+def tokenizer_of(file: str, end: int, cache_words: int = CACHE_WORDS) -> WordTokenizer:
     """One for each worker process, so that its memory lasts from task to task."""
-    return WordTokenizer(file, end)
+    return WordTokenizer(file, end, cache_words)
 
 
 def best_pattern(lengths: dict[int, int], capacity: int, order: list[int]) -> dict[int, int]:
@@ -240,24 +240,25 @@ def with_crc(batch: pa.RecordBatch) -> pa.RecordBatch:
 CRC_PIECES = PIECES.replace("ids array<int>", "ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = CAPACITY, pool_tokens: int = POOL_TOKENS, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = CAPACITY, pool_tokens: int = POOL_TOKENS, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = PIECES, cache_words: int = CACHE_WORDS, slice_bytes: int = SLICE) -> DataFrame:
     """Rows of PIECES: every id of every document, with its end id, lies in exactly one piece.
 
     Needs doc_id and text.  A null or empty text is the end id alone; a null doc_id stays null; rows
     that repeat are packed each; long texts are cut every ``capacity`` ids; other columns are not
     read; an empty table gives no pieces.  Sequences hold ``capacity`` ids or a power of two.  Nothing
     is shuffled, and a task that is run again gives the same rows.  ``finish`` turns batches of pieces
-    into others, of ``schema``, before they leave the worker.
+    into others, of ``schema``, before they leave the worker.  ``cache_words`` and ``slice_bytes`` are what a
+    worker remembers and encodes at once: memory against time, with the same rows.
     """
 
     @gives_back
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, packer = tokenizer_of(tokenizer, end), Packer(TaskContext.get().partitionId() << 40, capacity, pool_tokens)
+        coder, packer = tokenizer_of(tokenizer, end, cache_words), Packer(TaskContext.get().partitionId() << 40, capacity, pool_tokens)
 
         def pieces() -> Iterator[tuple]:
-            for batch in slices(batches, "text", SLICE):
+            for batch in slices(batches, "text", slice_bytes):
                 texts = batch["text"].fill_null("")
                 for doc_id, ids in zip(batch["doc_id"].to_pylist(), coder.ids(texts), strict=True):
                     yield from packer.add(doc_id, ids)
