@@ -17,6 +17,8 @@ from kinfold.scratch import Scratch
 
 #: A document goes if its toxicity reaches this.
 TOXIC = 0.5
+#: What packing's workers remember and encode at once here, where earlier stages have left their memory behind: less than alone.
+PACKING_WORDS, PACKING_BYTES = 100_000, 2_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens; a repeated document has pieces for each copy."""
-    return packing.pack(docs, tokenizer_file(), finish=packing.with_crc, schema=packing.CRC_PIECES)
+    return packing.pack(docs, tokenizer_file(), finish=packing.with_crc, schema=packing.CRC_PIECES, cache_words=PACKING_WORDS, slice_bytes=PACKING_BYTES)
 
 
 STAGES = [
