@@ -41,6 +41,13 @@ def in_memory(array: np.ndarray) -> int:
     return 0 if isinstance(array, np.memmap) else array.nbytes
 
 
+def by_symbol(symbols: np.ndarray) -> np.ndarray:
+    """The stable order of symbols below 2^31; larger ones than bytes are sorted together with their places, which numpy does faster than by a stable sort."""
+    if symbols.dtype.itemsize <= 2:
+        return np.argsort(symbols, kind="stable")
+    return np.sort(symbols.astype(np.int64) << 32 | np.arange(len(symbols))) & 0xFFFFFFFF
+
+
 @dataclass
 class Queue:
     """Tuples by symbol and arrival; runs of them are sorted when they come and read from their fronts."""
@@ -49,12 +56,12 @@ class Queue:
 
     def push(self, symbols: np.ndarray, *columns: np.ndarray) -> None:
         if len(symbols):
-            order = np.argsort(symbols, kind="stable")
+            order = by_symbol(symbols)
             self._add([symbols[order], *(c[order] for c in columns)])
             if len(self.runs) > RUNS:
                 run = [np.concatenate(c) for c in zip(*self.runs, strict=True)]
                 self.runs = []
-                order = np.argsort(run[0], kind="stable")
+                order = by_symbol(run[0])
                 self._add([c[order] for c in run])
 
     def _add(self, run: list[np.ndarray]) -> None:
@@ -65,7 +72,8 @@ class Queue:
         """Symbols and columns of all tuples with smaller symbols, in order; they leave the queue."""
         found, left = [], []
         for run in self.runs:
-            n = int(np.searchsorted(run[0], below))
+            kind = run[0].dtype.type  # a wider number would have the whole run converted
+            n = len(run[0]) if below > np.iinfo(kind).max else int(run[0].searchsorted(kind(below)))
             if n:
                 found.append([np.asarray(c[:n]) for c in run])
             if n < len(run[0]):
@@ -74,7 +82,9 @@ class Queue:
         if not found:
             return None
         run = [np.concatenate(c) for c in zip(*found, strict=True)]
-        order = np.argsort(run[0], kind="stable")
+        if min(int(r[0][0]) for r in found) == max(int(r[0][-1]) for r in found):  # one symbol: they are in order of arrival
+            return run
+        order = by_symbol(run[0])
         return [c[order] for c in run]
 
 
@@ -95,10 +105,13 @@ class Order:
 
 def types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is of type L; the last one is S."""
-    step = np.sign(text[:-1].astype(np.int32) - text[1:].astype(np.int32)).astype(np.int8)
-    at = np.flatnonzero(step)
-    kind = np.repeat(step[at] > 0, np.diff(at, prepend=-1))
-    return np.concatenate([kind, np.zeros(len(text) - len(kind), bool)])
+    kind = np.zeros(len(text), bool)
+    np.greater(text[:-1], text[1:], out=kind[:-1])
+    same = np.flatnonzero(text[:-1] == text[1:])  # of the type of the suffix after the run
+    if len(same):
+        last = np.flatnonzero(np.append(np.diff(same) > 1, True))
+        kind[same] = np.repeat(kind[same[last] + 1], np.diff(last, prepend=-1))
+    return kind
 
 
 def stars(text: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -141,7 +154,9 @@ def names(text: np.ndarray, size: int, at: np.ndarray, ends_alike: bool) -> np.n
                 here = np.full(len(active), size, np.uint64)
                 here[inside] = text[at[active[inside]] + t]
                 key = key << np.uint64(bits) | here
-        order = np.lexsort((key, group)) if offset else np.argsort(key)
+        order = np.argsort(key)
+        if offset:
+            order = order[by_symbol(group[order])]
         active, group, key = active[order], group[order], key[order]
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
         opens = np.concatenate([[True], group[1:] != group[:-1]])
@@ -166,30 +181,39 @@ def _generations(symbols: np.ndarray, kind: np.ndarray, found: np.ndarray, seeds
     batch stands after the popped ones of its symbol and before the seeds, in the order of the suffixes
     that it follows from, which settles one generation a round.
     """
-    stage = np.zeros(len(found), np.int64)
-    stage[len(found) - seeds :] = 2
-    place, parent, now, first = [found], [], found, 0
+    n, stage = len(found), np.zeros(len(found), np.int64)
+    stage[n - seeds :] = 2
+    place, parent, now, first = [], [], found, 0
     while len(now):
         ok = np.flatnonzero(now > 0)
         before = now[ok] - 1
-        inside = kind[before] & (symbols[before] < size)
-        place.append(before[inside])
+        inside = np.flatnonzero(kind[before] & (symbols[before] < size))
         parent.append(first + ok[inside])
-        first, now = first + len(now), place[-1]
-    rounds, parent = len(place) - 2, np.concatenate([np.zeros(0, np.int64), *parent])
-    if rounds:
-        found, stage = np.concatenate(place), np.concatenate([stage, np.ones(len(parent), np.int64)])
-    key = ((symbols[found] - np.int64(base)) * 3 + stage) << 32
-    n = len(found) - len(parent)
-    key[:n] |= np.arange(n)
-    rank = np.zeros(len(found), np.int64)
-    for left in range(rounds, -1, -1):
-        full = key.copy()
-        full[n:] |= rank[parent]
-        order = np.argsort(full, kind="stable")
-        if left:
-            rank[order] = np.arange(len(order))
-    return found[order], stage[order] == 2
+        first, now = first + len(now), before[inside]
+        place.append(now)
+    key = (symbols[found] - np.int64(base)) * 3 + stage
+    order = np.argsort(key, kind="stable")  # of two ascending runs
+    if len(place) < 2:
+        return found[order], stage[order] == 2
+    # only what follows is ordered again each round: it is little, as a rule
+    follow, parent = np.concatenate(place), np.concatenate(parent)
+    own = (symbols[follow] - np.int64(base)) * 3 + 1
+    ascending, held = key[order], np.sort(own)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    from_found = np.flatnonzero(parent < n)
+    behind = np.zeros(len(follow), np.int64)
+    behind[from_found] = rank[parent[from_found]] + np.searchsorted(held, key[parent[from_found]])
+    chained = np.flatnonzero(parent >= n)
+    above, ahead, rank = parent[chained] - n, np.searchsorted(ascending, own), np.zeros(len(follow), np.int64)
+    for _ in place[1:]:
+        behind[chained] = ahead[above] + rank[above]
+        rank[np.argsort(own << 32 | behind, kind="stable")] = np.arange(len(follow))
+    out, is_seed = np.empty(n + len(follow), found.dtype), np.zeros(n + len(follow), bool)
+    at = np.arange(n) + np.searchsorted(held, ascending)
+    out[at], is_seed[at] = found[order], stage[order] == 2
+    out[ahead + rank] = follow
+    return out, is_seed
 
 
 def induced(text: np.ndarray, kind: np.ndarray, seeds: np.ndarray, mirrored: bool) -> np.ndarray:

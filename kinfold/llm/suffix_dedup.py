@@ -38,7 +38,7 @@ LONGEST, SHARD_BYTES, HOT_SHARE, HOT_LEAST = 256, 6_000_000, 200, 20_000
 NO_ID = -(1 << 63)
 MIX, ODD = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 
-ANCHORED = "fid long, anchor long, fragment binary, low long, high long, row long, f string, r long, doc_id long, at array<struct<fid:long,start:int>>"
+ANCHORED = "block long, fid long, anchor long, fragment binary, low long, high long, f string, r long, doc_id long, at array<struct<fid:long,start:int>>"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -77,14 +77,13 @@ def fragments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     least = least_hashes(data)
     n = np.maximum(0, np.diff(offsets) - LENGTH + 1)  # strings of each text
     some = np.flatnonzero(n)
-    change = np.concatenate([[True], least[1:] != least[:-1]])
+    change = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=change[1:])
     change[offsets[some]] = True
-    inside = np.zeros(len(least) + 1, np.int8)
-    np.add.at(inside, offsets[some], 1)
-    np.add.at(inside, offsets[some] + n[some], -1)
-    inside = np.cumsum(inside[:-1]).astype(bool)
-    start = np.flatnonzero(change & inside)
+    start = np.flatnonzero(change)
     text = np.searchsorted(offsets, start, "right") - 1
+    inside = start < offsets[text] + n[text]
+    start, text = start[inside], text[inside]
     stop = np.minimum(np.append(start[1:], len(least)), offsets[text] + n[text])
     runs = stop - start
     pieces = -(-runs // LONGEST)
@@ -156,7 +155,7 @@ def shared_slots(docs: DataFrame, scratch: Scratch) -> np.ndarray:
 
 
 def anchored(keyed: DataFrame, bits: np.ndarray, scratch: Scratch) -> tuple[DataFrame, int, int]:
-    """Rows of ANCHORED, saved, and the number and bytes of fragments: the different fragments of each batch of documents, and where documents have them."""
+    """Rows of ANCHORED, saved, and the number and bytes of fragments: the different fragments of each block (batch of documents), and where its documents have them."""
     table = keyed.sparkSession.sparkContext.broadcast(bits)
     columns = [c.split(" ")[0] for c in ANCHORED.replace("struct<fid:long,start:int>", "").split(", ")]
 
@@ -164,7 +163,7 @@ def anchored(keyed: DataFrame, bits: np.ndarray, scratch: Scratch) -> tuple[Data
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        fid = row = TaskContext.get().partitionId() << 40
+        fid = block = TaskContext.get().partitionId() << 40
         shared = table.value
         for batch in slices(batches, "text"):
             data, text, start, runs, hashes, offsets = fragments(batch["text"])
@@ -186,8 +185,8 @@ def anchored(keyed: DataFrame, bits: np.ndarray, scratch: Scratch) -> tuple[Data
             none = lambda kind, n: pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.array(x) for x in (fid + np.arange(n), hashes[order[opens]].view(np.int64))), coded.dictionary, pa.array(low), pa.array(high),
-                    none(pa.int64(), n), none(pa.string(), n), none(pa.int64(), n), none(pa.int64(), n), none(AT, n),
+                    *(pa.array(x) for x in (np.full(n, block), fid + np.arange(n), hashes[order[opens]].view(np.int64))), coded.dictionary, pa.array(low), pa.array(high),
+                    none(pa.string(), n), none(pa.int64(), n), none(pa.int64(), n), none(AT, n),
                 ],
                 columns,
             )
@@ -196,12 +195,12 @@ def anchored(keyed: DataFrame, bits: np.ndarray, scratch: Scratch) -> tuple[Data
             key, m = batch[KEY].take(pa.array(mine)), len(mine)
             yield pa.RecordBatch.from_arrays(
                 [
-                    none(pa.int64(), m), none(pa.int64(), m), none(pa.binary(), m), none(pa.int64(), m), none(pa.int64(), m),
-                    pa.array(row + np.arange(m)), pc.struct_field(key, "f"), pc.struct_field(key, "r"), pa.array(ids[mine]), lists,
+                    pa.array(np.full(m, block)), none(pa.int64(), m), none(pa.int64(), m), none(pa.binary(), m), none(pa.int64(), m), none(pa.int64(), m),
+                    pc.struct_field(key, "f"), pc.struct_field(key, "r"), pa.array(ids[mine]), lists,
                 ],
                 columns,
             )
-            fid, row = fid + n, row + m
+            fid, block = fid + n, block + 1
 
     seen = Observation()
     found = keyed.select(KEY, "doc_id", "text").mapInArrow(cut, ANCHORED).observe(seen, F.count("fid").alias("n"), F.sum(F.length("fragment")).alias("bytes"))
@@ -261,10 +260,36 @@ def decided(keys: np.ndarray, low: np.ndarray, high: np.ndarray, parts: pa.Array
     return row[goes], begin[span][goes], count[span][goes], value[span][goes]
 
 
+def returned(gone: pa.Table, places: pa.Table) -> pa.Table:
+    """f, r, gone of each document of a block from which something goes: the spans of its fragments' strings, in bytes, maximal and in order."""
+    fid = gone["fid"].to_numpy()
+    order = np.argsort(fid, kind="stable")
+    fid, begin, count, least = fid[order], *(gone[c].to_numpy()[order] for c in ("begin", "count", "least"))
+    lists = places["at"].combine_chunks()
+    doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    own, start = (pc.struct_field(lists.flatten(), c).to_numpy() for c in ("fid", "start"))
+    first = np.searchsorted(fid, own)
+    n = np.searchsorted(fid, own, "right") - first
+    stop = np.cumsum(n)
+    hit = np.repeat(first - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
+    doc, start = np.repeat(doc, n), np.repeat(start.astype(np.int64), n) + begin[hit]
+    goes = least[hit] < places["doc_id"].to_numpy()[doc]
+    doc, start, size = doc[goes], start[goes], count[hit][goes] + LENGTH - 1
+    order = np.argsort(doc << 32 | start)  # texts have less than 2^31 bytes
+    doc, start = doc[order], (doc << 32 | start)[order]
+    stop = np.maximum.accumulate(start + size[order])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > stop[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    start, size = start[new] & 0xFFFFFFFF, stop[np.append(new[1:], len(doc))[: len(new)] - 1] - start[new]
+    some, opens = np.unique(doc[new], return_index=True)
+    pairs = pa.StructArray.from_arrays([pa.array(start), pa.array(size)], ["start", "size"])
+    rows = places.select(["f", "r"]).take(pa.array(some))
+    return rows.append_column("gone", pa.ListArray.from_arrays(pa.array(np.append(opens, len(new)), pa.int32()), pairs))
+
+
 def spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """f, r and gone of each row of keyed from which something goes: an array of struct(start, size) in bytes, unordered, overlapping."""
+    """f, r and gone of each row of keyed from which something goes: an array of struct(start, size) in bytes, maximal and in order."""
     found, n, size = anchored(keyed, shared_slots(keyed, scratch), scratch)
-    parts = found.filter("kind = 'fragments'").select("fid", "anchor", "fragment", "low", "high")
+    parts = found.filter("kind = 'fragments'").select("block", "fid", "anchor", "fragment", "low", "high")
     hot = parts.groupBy("anchor").count().filter(F.col("count") > max(HOT_LEAST, n // HOT_SHARE)).select(F.col("anchor").alias("hot"))  # fewer than HOT_SHARE rows
     hot = scratch.save(hot, "hot")
     strings = F.sequence(F.lit(0), F.length("fragment") - LENGTH)
@@ -272,7 +297,7 @@ def spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     parts = parts.withColumn("base", F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(strings)))
     string = F.when(F.col("hot").isNull(), F.col("fragment")).otherwise(F.substring(F.col("fragment"), F.col("base") + 1, F.lit(LENGTH)))
     parts = parts.withColumn("fragment", string).withColumn("key", F.when(F.col("hot").isNull(), F.col("anchor")).otherwise(F.xxhash64("fragment")))
-    parts = parts.select("key", "fid", "base", "low", "high", "fragment").repartition(max(1, -(-size // SHARD_BYTES)), "key")
+    parts = parts.select("key", "block", "fid", "base", "low", "high", "fragment").repartition(max(1, -(-size // SHARD_BYTES)), "key")
 
     @gives_back
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,20 +306,17 @@ def spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
             return
         whole = pa.Table.from_batches(held)
         held.clear()
-        key, fid, base, low, high = (whole[c].to_numpy() for c in ("key", "fid", "base", "low", "high"))
+        key, block, fid, base, low, high = (whole[c].to_numpy() for c in ("key", "block", "fid", "base", "low", "high"))
         row, begin, count, least = decided(key, low, high, pa.concat_arrays(whole["fragment"].chunks))
         for at in range(0, len(row), 100_000):
             some = row[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (fid[some], base[some] + begin[at : at + 100_000], count[at : at + 100_000], least[at : at + 100_000])], ["fid", "begin", "count", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (block[some], fid[some], base[some] + begin[at : at + 100_000], count[at : at + 100_000], least[at : at + 100_000])], ["block", "fid", "begin", "count", "least"])
 
-    gone = scratch.save(parts.mapInArrow(sort, "fid long, begin long, count long, least long"), "gone")
+    gone = scratch.save(parts.mapInArrow(sort, "block long, fid long, begin long, count long, least long"), "gone")
     scratch.drop("anchored/kind=fragments")
-    found = found.filter("kind = 'places'")
-    at = found.select("row", "doc_id", F.inline("at"))
-    hits = gone.join(at, "fid").filter(F.col("least") < F.col("doc_id"))
-    listed = hits.groupBy("row").agg(F.collect_list(F.struct((F.col("start") + F.col("begin")).alias("start"), (F.col("count") + LENGTH - 1).alias("size"))).alias("gone"))
-    places = found.select("row", "f", "r")
-    return scratch.save(places.join(listed, "row").select("f", "r", "gone"), "spans")
+    places = found.filter("kind = 'places'").select("block", "f", "r", "doc_id", "at")
+    back = gone.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(returned, "f string, r long, gone array<struct<start:long,size:long>>")
+    return scratch.save(back, "spans")
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept binary"

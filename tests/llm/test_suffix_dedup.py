@@ -108,3 +108,14 @@ def test_query(spark, tables):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = queries.op11_suffix_dedup(spark, tables(documents=docs)).collect()
     assert sorted(map(tuple, got), key=repr) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_spans_come_back_maximal_and_in_order(make, spark):
+    rng = random.Random(3)
+    passages = [" ".join(str(rng.randrange(10**6)) for _ in range(n)) for n in (60, 9, 200)]
+    scratch = suffix_dedup.Scratch(spark, "t")
+    docs = make([(1, "; ".join(passages)), (2, f"é{passages[2]} - {passages[0]}, and {passages[1]}"), (3, "none of it")])
+    keyed = suffix_dedup.with_key(docs.select("doc_id", "text"), scratch)
+    got = [[(s.start, s.size) for s in r.gone] for r in suffix_dedup.spans(keyed, scratch).collect()]
+    a, b, c = (len(p) for p in passages)
+    assert got == [[(2, c), (2 + c + 3, a), (2 + c + 3 + a + 5, b + 1)]]
