@@ -9,9 +9,11 @@ stay open at the end of a task are cut at powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -35,19 +37,50 @@ SLICE = 4_000_000
 LATIN = "\u0250"
 #: What byte-level vocabularies write for bytes that do not print: the characters from U+0100 on, in turn.
 BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))}
+#: Of words of letters below LATIN, lower-cased: the bytes that can end one, and what stands for each of them at a word's end where symbols are single bytes.
+LAST = {b: bytes([b - 0x20]) for b in range(0x61, 0x7B)} | {b: bytes([b - 0x80]) for b in range(0x80, 0xC0)}
 #: A tokenizer is tried out on these words.
 PROBE = "The Mañana, straße. ÉTÉ naïveté, x don't e-mail 3.5 A, ÿ. Łódź ęàÀÞþ ?! antidisestablishmentarianism. b b"
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
+def letter_ranks(file: str) -> Callable[[bytes], list[int]] | None:
+    """An encoder by ranks for words of letters, their last byte as in LAST, if the file's ids allow it; else None.
+
+    A byte at a word's end is a symbol of its own in such files.  The letters' bytes, and these once more as last
+    ones, are fewer than 256 symbols, so that a library for bytes can merge them.
+    """
+    import tiktoken
+
+    with open(file, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end, names = model.get("end_of_word_suffix"), model.get("vocab")
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges") or ()]
+    if model.get("type") != "BPE" or not end or not merges or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
+        return None
+    made = [names.get(a + b) for a, b in merges]
+    if made[0] is None or made != list(range(made[0], made[0] + len(made))):
+        return None
+    chars = {chr(b): b for b in range(256) if b not in BYTES} | {chr(c): b for b, c in BYTES.items()}
+    inner = {b: bytes([b]) for b in (*range(0x61, 0x7B), *range(0x80, 0x100))}
+    ranks = {}
+    for name, i in names.items():
+        stem, last = (name.removesuffix(end), LAST) if name.endswith(end) else (name, inner)
+        symbols = [chars.get(c) for c in stem]
+        if symbols and symbols[-1] in last and all(b in inner for b in symbols[:-1]):
+            ranks[b"".join(inner[b] for b in symbols[:-1]) + last[symbols[-1]]] = i
+    return tiktoken.Encoding("letters", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizers file.
 
     Where the file's pre-tokenizer never joins across a space, texts are split at spaces, each
     different part is encoded once, and the ids are strung together.  Where it also lower-cases, and
     turns words of letters into the model's characters for bytes, such words skip its regular
-    expressions, apart from a full stop or comma at their end.  Both are tried out on PROBE first.
+    expressions, apart from a full stop or comma at their end; where each merge of the file also makes the
+    next id, ids are ranks, and the faster library for ranks encodes them.  All is tried out on PROBE first.
     Ids of parts are kept as bytes in two generations: when the young one is full it becomes the old
     one, and parts that are met again move back, so that frequent words stay.
     """
@@ -56,7 +89,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.full, self.end, self.cache_words = Tokenizer.from_file(file), np.array([end], np.int32).tobytes(), cache_words
-        self.plain = Tokenizer(self.full.model)
+        self.plain, self.ranks = Tokenizer(self.full.model), letter_ranks(file)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         exact = lambda text: self.full.encode(text, add_special_tokens=False).ids
@@ -67,6 +100,7 @@ class WordTokenizer:
         if not ready:
             self.tails = {}
             self.young = {}
+            self.ranks = None
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, and the end id."""
@@ -108,8 +142,7 @@ class WordTokenizer:
             blobs[i] = blob
         for i, ids in zip(others, self._batch(self.full, [words[i] for i in others]), strict=True):
             blobs[i] = ids
-        as_bytes = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTES) for w in letters]
-        coded = list(self._batch(self.plain, as_bytes))
+        coded = self._letters(letters)
         for i, at, tail in places:
             blobs[i] = coded[at] if tail is None else coded[at] + tail
         known.update(zip(fresh, [blobs[i] for i in missing], strict=True))
@@ -117,6 +150,13 @@ class WordTokenizer:
             del known[word]
         return blobs
 
+    def _letters(self, words: Iterable[str]) -> list[bytes]:
+        """The ids of words of letters below LATIN, lower-cased."""
+        if self.ranks:
+            encoded = (w.encode() for w in words)
+            return [array("i", self.ranks(w[:-1] + LAST[w[-1]])).tobytes() for w in encoded]
+        return list(self._batch(self.plain, [w if w.isascii() else w.encode().decode("latin-1").translate(BYTES) for w in words]))
+
     def _batch(self, tokenizer: object, words: list[str]) -> Iterator[bytes]:
         for at in range(0, len(words), 5_000):
             some = words[at : at + 5_000]

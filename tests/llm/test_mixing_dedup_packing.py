@@ -172,3 +172,15 @@ def test_best_pattern_is_closest_to_capacity():
         best = max(s for mask in range(1 << len(rest)) if (s := first + sum(x for i, x in enumerate(rest) if mask >> i & 1)) <= capacity)
         assert all(0 < c <= counts[n] for n, c in found.items()) and found[first] >= 1
         assert sum(n * c for n, c in found.items()) == best
+
+
+def test_words_of_letters_are_encoded_by_ranks_as_by_the_tokenizer():
+    coder = packing.WordTokenizer(queries.tokenizer_file(), 2)
+    assert coder.ranks is not None
+    rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyzaeioutnsréßäöüñøłŵǆɏªº"
+    words = ["a" * n for n in range(1, 40)] + ["é" * n for n in range(1, 20)]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    got = [np.frombuffer(x, np.int32).tolist() for x in coder._letters(words)]
+    assert got == [coder.full.encode(w, add_special_tokens=False).ids for w in words]
+    file = queries.tokenizer_file("byte_bpe_50k.json")
+    assert packing.letter_ranks(file) is None and packing.WordTokenizer(file, 2).ranks is None  # it has no symbols for a word's end
