@@ -50,6 +50,21 @@ def test_lm_shards_give_the_same_scores(make, corpus):
     assert lm_score.lm_scores(make([]).filter("doc_id < 0")).count() == 0
 
 
+def test_lm_reads_the_texts_twice_whatever_the_filters_size(make, corpus, monkeypatch):
+    passes = []
+    frame, mapped = type(make([(1, "x")])), type(make([(1, "x")])).mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, *given: passes.append("text" in df.columns) or mapped(df, *given))
+    monkeypatch.setattr(lm_score, "PASS_SHARDS", 1)
+    lm_score.lm_scores(make(corpus), 400)  # some 1000 shards of 400 bytes, once a pass over the texts each
+    assert sum(passes) == 2
+
+
+def test_lm_keeps_the_type_of_ids(make, corpus):
+    docs = make(corpus[:50]).withColumn("doc_id", F.col("doc_id").cast("string"))
+    one, many = (sorted((r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm_score.lm_scores(docs, limit).collect()) for limit in (1 << 27, 400))
+    assert one == many and len(one) == 50
+
+
 @pytest.mark.parametrize("blocks", [2, 3])
 def test_filter_returns_quantised_counts(blocks):
     rng = np.random.default_rng(3)
