@@ -1,9 +1,11 @@
 """Removal of byte strings that stand in an earlier document, by sorted suffixes.
 
 A string of LENGTH bytes belongs to the least hash among its grams, so equal strings belong to equal
-hashes wherever they stand.  Successive strings of one hash are a fragment.  A table of bits, of one
-size whatever the corpus, tells which hashes more than one document may have; the other fragments
-can't hold anything shared.  Fragments are dealt by hash to shards; a shard sorts the suffixes of its
+hashes wherever they stand.  Successive strings of one hash are a fragment.  Texts are saved in blocks.
+Each string also has WIDTH of its bytes on one side of its least gram; the hashes of these, which equal
+strings share too, go to parts of a block's own, and one bit for each returns: whether several
+documents have it.  Fragments without such a hash can't hold anything shared and are not moved, however
+large the corpus is.  The others are dealt by hash to shards; a shard sorts the suffixes of its
 different fragments by external induced sorting, which also gives the prefix that neighbours have in
 common.  Suffixes that share LENGTH bytes or more are one group, and its smallest doc_id decides for
 all of them.  What is to go returns to the fragments' documents as spans.
@@ -14,6 +16,7 @@ make one shard large: its fragments are cut into single strings, dealt by their
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,22 +25,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import KEY, gives_back, slices, small_side, with_key
-from kinfold.llm.induced_sort import sorted_suffixes
+from kinfold.llm.common import KEY, gives_back, marked, slices, small_side, with_key
+from kinfold.llm.induced_sort import sorted_suffixes, words_of
 from kinfold.scratch import Scratch
 
-#: Bytes of a string that repeats, and of the grams that are hashed.
+#: Bytes of a string that repeats, of the grams that are hashed, and of a gram with what follows or precedes it: each string has either.
 LENGTH, GRAM = 50, 16
-#: Places that are hashed at once.
-STRETCH = 1 << 14
-#: The table of bits has 2**SLOTS of them (64 MB) in parts of 2**PART.
-SLOTS, PART = 29, 19
+WIDTH = (LENGTH + GRAM) // 2
+#: Places that are hashed at once; bits that tell them apart.
+STRETCH, PLACE = 1 << 14, np.uint64(15)
+#: Bits of a hash that a part compares; bytes of text for a part, and the least and most parts, as powers of two.
+LOW, PART_BYTES, PARTS = 31, 48_000_000, (6, 13)
+#: Bytes of bits that are broadcast at once.
+BIT_BYTES = 32 << 20
 #: Most strings of a fragment; bytes of fragments in a shard; share of all fragments beyond which a hash is cut into strings, if it has so many at least.
 LONGEST, SHARD_BYTES, HOT_SHARE, HOT_LEAST = 256, 6_000_000, 200, 20_000
 #: The doc_id of documents that have none: below all others.
 NO_ID = -(1 << 63)
 MIX, ODD = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 
+BLOCK = "block long, text binary, size array<int>, f array<string>, r array<long>, doc_id array<long>"
 ANCHORED = "block long, fid long, anchor long, fragment binary, low long, high long, f string, r long, doc_id long, at array<struct<fid:long,start:int>>"
 
 
@@ -54,10 +61,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def least_hashes(data: np.ndarray) -> np.ndarray:
-    """The least hash of a gram in the LENGTH bytes from each place on; taken over stretches that stay in the processor's cache."""
+    """The least hash of a gram in the LENGTH bytes from each place on, and in the lowest PLACE bits where it first stands in its stretch; taken over stretches that stay in the processor's cache."""
     out = np.empty(len(data) - LENGTH + 1, np.uint64)
+    places, above = np.arange(STRETCH + LENGTH - GRAM, dtype=np.uint64), ~np.uint64((1 << int(PLACE)) - 1)
     for at in range(0, len(out), STRETCH):
         x, width, n = gram_hashes(data[at : at + STRETCH + LENGTH - 1]), LENGTH - GRAM + 1, 1
+        x &= above
+        x |= places[: len(x)]
         while 2 * n <= width:
             x = np.minimum(x[:-n], x[n:])
             n *= 2
@@ -65,15 +75,21 @@ def least_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def fragments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all texts, and of each run of strings with one least hash: text, start in the bytes, number of strings, hash; the texts' starts."""
-    texts = texts.fill_null("").cast(pa.large_binary())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
+def side_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the WIDTH bytes from each of these places on."""
+    words, x = words_of(data), np.zeros(len(at), np.uint64)
+    for skip in (*range(0, WIDTH - 8, 8), WIDTH - 8):
+        x ^= words[at + skip]
+        x *= MIX
+        x ^= x >> np.uint64(32)
+    return x
+
+
+def fragments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of strings with one least hash: text, start in the bytes, number of strings, hash; and all hashes of sides, with the runs that have them.  offsets: the texts' starts, and the end."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return data, none, none, none, none.astype(np.uint64), offsets
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     least = least_hashes(data)
     n = np.maximum(0, np.diff(offsets) - LENGTH + 1)  # strings of each text
     some = np.flatnonzero(n)
@@ -85,129 +101,201 @@ def fragments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     inside = start < offsets[text] + n[text]
     start, text = start[inside], text[inside]
     stop = np.minimum(np.append(start[1:], len(least)), offsets[text] + n[text])
-    runs = stop - start
-    pieces = -(-runs // LONGEST)
-    first = np.repeat(np.cumsum(pieces) - pieces, pieces)
-    skip = (np.arange(len(first)) - first) * LONGEST
-    start, text, runs = np.repeat(start, pieces) + skip, np.repeat(text, pieces), np.minimum(np.repeat(runs, pieces) - skip, LONGEST)
-    return data, text, start, runs, least[start], offsets
+    gram = start - start % STRETCH + (least[start] & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
+    hashes = least[start] >> PLACE
+    opened = np.ones(len(start), bool)  # a gram that repeats gives several pieces of one run
+    np.logical_or(text[1:] != text[:-1], hashes[1:] != hashes[:-1], out=opened[1:])
+    opens, reach = np.flatnonzero(opened), WIDTH - GRAM
+    left, right = np.flatnonzero(gram - start >= reach), np.flatnonzero(gram - stop + 1 < reach)
+    sides = side_hashes(data, np.concatenate([gram[left] - reach, gram[right]]))
+    run = (np.cumsum(opened) - 1)[np.concatenate([left, right])]
+    return text[opens], start[opens], np.add.reduceat(stop - start, opens) if len(opens) else none, hashes[opens], sides, run
 
 
-def slot_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes * MIX >> np.uint64(64 - SLOTS)).astype(np.int64)
+def pieces(start: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings in pieces of LONGEST at most: the run, start and number of strings of each."""
+    n = -(-runs // LONGEST)
+    of = np.repeat(np.arange(len(runs)), n)
+    skip = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * LONGEST
+    return of, start[of] + skip, np.minimum(runs[of] - skip, LONGEST)
 
 
-def shared_slots(docs: DataFrame, scratch: Scratch) -> np.ndarray:
-    """Bits of the slots that hashes of more than one document fall into."""
+def blocks_of(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Rows of BLOCK, saved: the texts of a few MB each that have a string at all; and all their bytes."""
+    columns = [c.split(" ")[0] for c in BLOCK.split(", ")]
 
     @gives_back
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def dealt() -> pa.RecordBatch:
-            code = np.sort(np.concatenate(held))  # slot, and whether several documents have it
-            slot = code >> 1
-            new = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-            many = (np.diff(np.append(new, len(slot))) > 1) | (code[new] & 1 > 0)
-            slot = slot[new]
-            low, part = (slot & ((1 << PART) - 1)) << 1 | many, slot >> PART
-            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            blobs = [low[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "slots"])
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        block = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
-            _, text, _, _, hashes, _ = fragments(batch["text"])
-            pair = np.sort(slot_of(hashes) << 24 | text)
-            pair = pair[np.diff(pair, prepend=-1) != 0] >> 24  # a slot for each of its documents
-            new = np.flatnonzero(np.diff(pair, prepend=-1))
-            held.append(pair[new] << 1 | (np.diff(new, append=len(pair)) > 1))
-            size += len(new)
-            if size > 4_000_000:
-                yield dealt()
-                held, size = [], 0
-        if size:
-            yield dealt()
+            texts = batch["text"].cast(pa.large_binary())
+            batch = batch.filter(pc.greater_equal(pc.binary_length(texts), LENGTH))  # null: no
+            if not batch.num_rows:
+                continue
+            texts, key = batch["text"].cast(pa.large_binary()), batch[KEY]
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            blob = texts.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0])
+            text = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(blob)], np.int32)), blob])
+            ids = batch["doc_id"].cast(pa.int64()).fill_null(NO_ID)
+            lists = (pa.array(np.diff(offsets).astype(np.int32)), pc.struct_field(key, "f"), pc.struct_field(key, "r"), ids)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), text, *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], columns)
+            block += 1
+
+    seen = Observation()
+    rows = keyed.select(KEY, "doc_id", "text").mapInArrow(packed, BLOCK).observe(seen, F.sum(F.length("text")).alias("bytes"))
+    blocks = scratch.save(rows, "blocks", large_rows=True)
+    return blocks, seen.get["bytes"] or 0
+
+
+def bytes_of(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a block, and its texts' starts and end."""
+    return np.frombuffer(batch["text"][i].as_buffer(), np.uint8), np.concatenate([[0], np.cumsum(batch["size"][i].values.to_numpy())]).astype(np.int64)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def shared_bits(blocks: DataFrame, power: int, scratch: Scratch) -> DataFrame:
+    """block, and as bits for each of 2**power parts, whether other documents too have the block's different hashes of sides, in ascending order; parts and blocks without any are left out."""
+    low, drop = np.uint64((1 << LOW) - 1), np.uint64(64 - LOW - power)
 
     @gives_back
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, once, twice = None, None, None
-        packed = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["part", "bits"])
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, blob in zip(batch["part"].to_pylist(), batch["slots"].to_pylist(), strict=True):
+            for i, block in enumerate(batch["block"].to_pylist()):
+                text, _, _, _, sides, run = fragments(*bytes_of(batch, i))
+                if not len(sides):
+                    continue
+                pair = distinct(sides >> drop << np.uint64(20) | text[run].astype(np.uint64)) >> np.uint64(20)  # a code for each of its documents, of which a block has fewer than 2**20
+                new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+                code = pair[new]
+                sent = ((code & low) << np.uint64(1) | (np.diff(np.append(new, len(pair))) > 1)).astype(np.uint32)
+                part = (code >> np.uint64(LOW)).astype(np.int32)
+                cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                blobs = [sent[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block)), pa.array(part[cut]), pa.array(blobs, pa.binary())], ["block", "part", "codes"])
+
+    @gives_back
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def told() -> pa.RecordBatch:
+            stop = np.cumsum([len(x) for _, x in held]) // 4
+            code = np.frombuffer(b"".join(x for _, x in held), np.uint32).astype(np.uint64)
+            code = np.sort(code << np.uint64(32) | np.arange(len(code), dtype=np.uint64))
+            own, several = code >> np.uint64(33), code >> np.uint64(32) & np.uint64(1) > 0
+            same = own[1:] == own[:-1]
+            several[1:] |= same
+            several[:-1] |= same
+            bits = np.zeros(len(code), bool)
+            bits[(code & np.uint64(0xFFFFFFFF)).astype(np.int64)] = several
+            rows = [(block, np.packbits(bits[a:b]).tobytes()) for (block, _), a, b in zip(held, np.concatenate([[0], stop[:-1]]), stop, strict=True) if bits[a:b].any()]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([now] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["block", "part", "bits"])
+
+        for batch in batches:
+            for block, part, codes in zip(*(batch[c].to_pylist() for c in ("block", "part", "codes")), strict=True):
                 if part != now:
-                    if now is not None:
-                        yield packed()
-                    now, once, twice = part, np.zeros(1 << PART, bool), np.zeros(1 << PART, bool)
-                code = np.frombuffer(blob, np.uint32)
-                slot = code >> 1
-                twice[slot] |= once[slot] | (code & 1 > 0)
-                once[slot] = True
-        if now is not None:
-            yield packed()
-
-    dealt = docs.select("text").mapInArrow(seen, "part int, slots binary").repartition("part").sortWithinPartitions("part")
-    bits = scratch.save(dealt.mapInArrow(joined, "part int, bits binary"), "bits")
-    table = np.zeros((1 << (SLOTS - PART), 1 << (PART - 3)), np.uint8)
-    for part in range(0, len(table), 64):  # 4 MB at a time
-        for row in bits.filter(F.col("part").between(part, part + 63)).toLocalIterator():
-            table[row["part"]] = np.frombuffer(row["bits"], np.uint8)
-    return table.ravel()
-
-
-def anchored(keyed: DataFrame, bits: np.ndarray, scratch: Scratch) -> tuple[DataFrame, int, int]:
-    """Rows of ANCHORED, saved, and the number and bytes of fragments: the different fragments of each block (batch of documents), and where its documents have them."""
-    table = keyed.sparkSession.sparkContext.broadcast(bits)
+                    if held:
+                        yield told()
+                    now, held = part, []
+                held.append((block, codes))
+        if held:
+            yield told()
+
+    dealt = blocks.select("block", "text", "size").mapInArrow(asked, "block long, part int, codes binary").repartition("part").sortWithinPartitions("part")
+    bits = scratch.save(dealt.mapInArrow(answered, "block long, part int, bits binary"), "bits")
+    return scratch.save(bits.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("bits")), "told")
+
+
+def ranges(told: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of blocks (first, last), of which each has BIT_BYTES of bits or those of one task's blocks."""
+    size = F.aggregate("bits", F.lit(0).cast("long"), lambda x, y: x + F.length(y["bits"]) + 16)
+    found, held = [], 0
+    for row in told.groupBy(F.shiftright("block", 40).alias("task")).agg(F.sum(size).alias("size")).orderBy("task").toLocalIterator():
+        first, last = row["task"] << 40, (row["task"] + 1 << 40) - 1
+        if found and held + row["size"] <= BIT_BYTES:
+            found[-1] = found[-1][0], last
+            held += row["size"]
+        else:
+            found.append((first, last))
+            held = row["size"]
+    return found
+
+
+def anchored(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, list[str], int, int]:
+    """Rows of ANCHORED, saved, their tables, and the number and bytes of fragments: the different fragments of each block, and where its documents have them."""
     columns = [c.split(" ")[0] for c in ANCHORED.replace("struct<fid:long,start:int>", "").split(", ")]
+    blocks, size = blocks_of(keyed, scratch)
+    power = min(max(PARTS[0], (size // PART_BYTES).bit_length()), PARTS[1])
+    drop = np.uint64(64 - LOW - power)
 
     @gives_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        fid = block = TaskContext.get().partitionId() << 40
-        shared = table.value
-        for batch in slices(batches, "text"):
-            data, text, start, runs, hashes, offsets = fragments(batch["text"])
-            slot = slot_of(hashes)
-            keep = np.flatnonzero(shared[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
-            if not len(keep):
-                continue
-            text, start, size, hashes = text[keep], start[keep], runs[keep] + LENGTH - 1, hashes[keep]
-            stop = np.cumsum(size)
-            flat = data[np.repeat(start - (stop - size), size) + np.arange(stop[-1])]
-            coded = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], stop]).astype(np.int32)), pa.py_buffer(flat)]).dictionary_encode()
-            code = coded.indices.to_numpy().astype(np.int64)
-            ids = batch["doc_id"].cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            order = np.argsort(code, kind="stable")
-            opens = np.flatnonzero(np.diff(code[order], prepend=-1))
-            owner = ids[text[order]]
-            n = len(opens)
-            low, high = np.minimum.reduceat(owner, opens), np.maximum.reduceat(owner, opens)
-            none = lambda kind, n: pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array(x) for x in (np.full(n, block), fid + np.arange(n), hashes[order[opens]].view(np.int64))), coded.dictionary, pa.array(low), pa.array(high),
-                    none(pa.string(), n), none(pa.int64(), n), none(pa.int64(), n), none(AT, n),
-                ],
-                columns,
-            )
-            mine, opens = np.unique(text, return_index=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(opens, len(text)), pa.int32()), pa.StructArray.from_arrays([pa.array(fid + code), pa.array((start - offsets[text]).astype(np.int32))], ["fid", "start"]))
-            key, m = batch[KEY].take(pa.array(mine)), len(mine)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(m, block)), none(pa.int64(), m), none(pa.int64(), m), none(pa.binary(), m), none(pa.int64(), m), none(pa.int64(), m),
-                    pc.struct_field(key, "f"), pc.struct_field(key, "r"), pa.array(ids[mine]), lists,
-                ],
-                columns,
-            )
-            fid, block = fid + n, block + 1
-
-    seen = Observation()
-    found = keyed.select(KEY, "doc_id", "text").mapInArrow(cut, ANCHORED).observe(seen, F.count("fid").alias("n"), F.sum(F.length("fragment")).alias("bytes"))
-    found = found.withColumn("kind", F.when(F.col("fid").isNull(), "places").otherwise("fragments"))
-    out = scratch.save(found, "anchored", "kind")
-    table.unpersist()
-    return out, seen.get["n"] or 0, seen.get["bytes"] or 0
+        for batch in batches:
+            for i, block in enumerate(batch["block"].to_pylist()):
+                data, offsets = bytes_of(batch, i)
+                text, start, runs, hashes, sides, run = fragments(data, offsets)
+                sides >>= drop
+                codes = distinct(sides)
+                bounds = np.searchsorted(codes, np.arange((1 << power) + 1, dtype=np.uint64) << np.uint64(LOW))
+                several = np.zeros(len(codes), bool)
+                for told in batch["bits"][i].as_py():
+                    a, b = bounds[told["part"]], bounds[told["part"] + 1]
+                    several[a:b] = np.unpackbits(np.frombuffer(told["bits"], np.uint8), count=b - a)
+                codes = codes[several]
+                held = codes[np.minimum(np.searchsorted(codes, sides), len(codes) - 1)] == sides
+                kept = np.zeros(len(runs), bool)
+                kept[run[held]] = True
+                keep = np.flatnonzero(kept)
+                of, start, strings = pieces(start[keep], runs[keep])
+                text, hashes, size = text[keep][of], hashes[keep][of], strings + LENGTH - 1
+                stop = np.cumsum(size)
+                flat = data[np.repeat(start - (stop - size), size) + np.arange(stop[-1])]
+                coded = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], stop]).astype(np.int32)), pa.py_buffer(flat)]).dictionary_encode()
+                code = coded.indices.to_numpy().astype(np.int64)
+                ids = batch["doc_id"][i].values.to_numpy()
+                order = np.argsort(code, kind="stable")
+                opens = np.flatnonzero(np.diff(code[order], prepend=-1))
+                owner = ids[text[order]]
+                n = len(opens)
+                low, high = np.minimum.reduceat(owner, opens), np.maximum.reduceat(owner, opens)
+                none = lambda kind, n: pa.nulls(n, kind)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(x) for x in (np.full(n, block), np.arange(n), hashes[order[opens]].view(np.int64))), coded.dictionary, pa.array(low), pa.array(high),
+                        none(pa.string(), n), none(pa.int64(), n), none(pa.int64(), n), none(AT, n),
+                    ],
+                    columns,
+                )
+                mine, opens = np.unique(text, return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(opens, len(text)), pa.int32()), pa.StructArray.from_arrays([pa.array(code), pa.array((start - offsets[text]).astype(np.int32))], ["fid", "start"]))
+                m = len(mine)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(m, block)), none(pa.int64(), m), none(pa.int64(), m), none(pa.binary(), m), none(pa.int64(), m), none(pa.int64(), m),
+                        batch["f"][i].values.take(pa.array(mine)), batch["r"][i].values.take(pa.array(mine)), pa.array(ids[mine]), lists,
+                    ],
+                    columns,
+                )
+
+    told = shared_bits(blocks, power, scratch)
+    out, names, n, size = None, [], 0, 0
+    for first, last in ranges(told):  # each range is saved before the next one's bits are broadcast
+        own, seen = F.col("block").between(first, last), Observation()
+        found = blocks.filter(own).join(F.broadcast(told.filter(own)), "block").mapInArrow(cut, ANCHORED)
+        found = found.observe(seen, F.count("fid").alias("n"), F.sum(F.length("fragment")).alias("bytes"))
+        names.append(f"anchored-{len(names)}")
+        part = scratch.save(found.withColumn("kind", F.when(F.col("fid").isNull(), "places").otherwise("fragments")), names[-1], "kind")
+        n, size = n + (seen.get["n"] or 0), size + (seen.get["bytes"] or 0)
+        out = part if out is None else out.unionByName(part)
+        del found
+        gc.collect()  # the driver's references keep a broadcast alive
+    scratch.drop("blocks")
+    return out, names, n, size
 
 
 AT = pa.list_(pa.struct([("fid", pa.int64()), ("start", pa.int32())]))
@@ -286,9 +374,14 @@ def returned(gone: pa.Table, places: pa.Table) -> pa.Table:
     return rows.append_column("gone", pa.ListArray.from_arrays(pa.array(np.append(opens, len(new)), pa.int32()), pairs))
 
 
+SPANS = "f string, r long, gone array<struct<start:long,size:long>>"
+
+
 def spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """f, r and gone of each row of keyed from which something goes: an array of struct(start, size) in bytes, maximal and in order."""
-    found, n, size = anchored(keyed, shared_slots(keyed, scratch), scratch)
+    found, names, n, size = anchored(keyed, scratch)
+    if found is None:
+        return keyed.sparkSession.createDataFrame([], SPANS)
     parts = found.filter("kind = 'fragments'").select("block", "fid", "anchor", "fragment", "low", "high")
     hot = parts.groupBy("anchor").count().filter(F.col("count") > max(HOT_LEAST, n // HOT_SHARE)).select(F.col("anchor").alias("hot"))  # fewer than HOT_SHARE rows
     hot = scratch.save(hot, "hot")
@@ -313,9 +406,9 @@ def spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (block[some], fid[some], base[some] + begin[at : at + 100_000], count[at : at + 100_000], least[at : at + 100_000])], ["block", "fid", "begin", "count", "least"])
 
     gone = scratch.save(parts.mapInArrow(sort, "block long, fid long, begin long, count long, least long"), "gone")
-    scratch.drop("anchored/kind=fragments")
+    scratch.drop(*(f"{x}/kind=fragments" for x in names))
     places = found.filter("kind = 'places'").select("block", "f", "r", "doc_id", "at")
-    back = gone.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(returned, "f string, r long, gone array<struct<start:long,size:long>>")
+    back = gone.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(returned, SPANS)
     return scratch.save(back, "spans")
 
 
@@ -332,16 +425,20 @@ def removals(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     keyed = with_key(docs.select("doc_id", "text"), scratch)
-    digest = F.unhex(F.sha2("text", 256))
-    copies = keyed.groupBy(digest.alias("content"), F.xxhash64("text").alias("short")).agg(F.min(F.struct("doc_id", KEY)).alias("first"), F.count("*").alias("n")).filter("n > 1 AND content IS NOT NULL")
-    copies = scratch.save(copies.select("content", "short", "first"), "copies")
-    # the short hash finds candidates; the long one, which takes longer, is only computed for those
-    same = keyed.join(small_side(copies, copies.count()), (F.xxhash64("text") == F.col("short")) & (digest == F.col("content")), "left").drop("content", "short")
-    place = F.coalesce(F.col(f"first.{KEY}"), F.col(KEY))
-    gone = spans(same.filter(place == F.col(KEY)).select(KEY, "doc_id", "text"), scratch).select(F.struct("f", "r").alias("place"), "gone")
+    # copies are told apart by what is known of them without their texts, which no join on content moves
+    digests = scratch.save(keyed.filter(F.octet_length("text") >= LENGTH).select(KEY, "doc_id", F.unhex(F.sha2("text", 256)).alias("content")), "digests")
+    copies = digests.groupBy("content").agg(F.min(F.struct("doc_id", KEY)).alias("first"), F.count("*").alias("n")).filter("n > 1").select("content", "first")
+    copies = scratch.save(copies, "copies")
+    others = digests.join(small_side(copies, copies.count()), "content").filter(F.col(KEY) != F.col(f"first.{KEY}"))
     order = lambda c: F.coalesce(F.col(c), F.lit(NO_ID))
-    whole = F.col("first").isNotNull() & (order("doc_id") > order("first.doc_id")) & (F.octet_length("text") >= LENGTH)
-    told = same.withColumns({"at": place, "whole": whole}).join(gone, F.col("at") == F.col("place"), "left").select("doc_id", "text", "whole", F.when(~F.col("whole"), F.col("gone")).alias("gone"))
+    others = scratch.save(others.select(KEY, F.col(f"first.{KEY}").alias("place"), (order("doc_id") > order("first.doc_id")).alias("whole")), "others")
+    gone = spans(marked(keyed, others, scratch, "copies-marks", keep=False), scratch).select(F.struct("f", "r").alias("place"), "gone")
+    same = others.filter("NOT whole").join(gone, "place").select(KEY, "whole", "gone")  # copies with the first one's doc_id
+    none = F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")
+    fate = gone.select(F.col("place").alias(KEY), F.lit(False).alias("whole"), "gone").unionByName(others.filter("whole").select(KEY, "whole", none)).unionByName(same)
+    fate = fate.select(F.xxhash64(f"{KEY}.f").alias("h"), F.col(f"{KEY}.f").alias("f"), F.col(f"{KEY}.r").alias("r"), "whole", "gone")
+    own = (F.xxhash64(f"{KEY}.f") == F.col("h")) & (F.col(f"{KEY}.r") == F.col("r")) & (F.col(f"{KEY}.f") == F.col("f"))  # numbers are sorted first
+    told = keyed.join(fate, own, "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "gone")
 
     @gives_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,13 +35,15 @@ class Scratch:
         files.mkdirs(path)
         files.deleteOnExit(path)
 
-    def save(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *folders: str, large_rows: bool = False) -> DataFrame:
         """Write df and return a DataFrame that reads it back (a short lineage, exact sizes).
 
         folders: columns whose values get folders of their own, name/column=value, that can be dropped alone.
+        large_rows: rows have MBs, so row groups, which are read and written whole, are bounded after every row instead of after 100.
         """
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
+        bounds = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"} if large_rows else {}
+        df.write.options(compression="zstd", **bounds).partitionBy(*folders).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

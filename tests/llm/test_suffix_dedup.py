@@ -119,3 +119,48 @@ def test_spans_come_back_maximal_and_in_order(make, spark):
     got = [[(s.start, s.size) for s in r.gone] for r in suffix_dedup.spans(keyed, scratch).collect()]
     a, b, c = (len(p) for p in passages)
     assert got == [[(2, c), (2 + c + 3, a), (2 + c + 3 + a + 5, b + 1)]]
+
+
+def test_bits_in_ranges_and_copies_by_a_join(make, monkeypatch):
+    from kinfold.llm import common
+
+    monkeypatch.setattr(suffix_dedup, "BIT_BYTES", 1)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 100)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = documents()
+    found = suffix_dedup.removals(make(rows).repartition(5)).collect()
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found), key=repr)
+    assert got == brute(rows)
+
+
+def test_fragments_that_share_a_gram_only_are_not_moved(make, monkeypatch):
+    moved, save = [], suffix_dedup.Scratch.save
+
+    def spied(self, df, *names, **more):
+        out = save(self, df, *names, **more)
+        if "fragment" in out.columns:
+            moved.append(out.filter("fragment IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup.Scratch, "save", spied)
+    rng = random.Random(5)
+    apart = lambda: "".join(rng.choice("bcdfghjklm") for _ in range(30))
+    phrases = ["nopqrstuvwxyz nopqrs", "z y x w v u t s r q ", "0123456789 987654321"]
+    rows = [(i, "".join(apart() + p for p in phrases) + apart()) for i in range(300)]  # 20 bytes are shared, never 33
+    found = suffix_dedup.removals(make(rows)).collect()
+    assert sum(r.n_removed for r in found) == 0
+    assert sum(moved) == 0
+    moved.clear()
+    rows += [(1000 + i, f"{apart()}{'AB'[i]}{rows[0][1][:60]}") for i in range(2)]
+    assert sum(r.n_removed for r in suffix_dedup.removals(make(rows)).collect()) == 120
+    assert 0 < sum(moved) < 60
+
+
+def test_hashes_of_sides_are_shared_by_equal_strings():
+    rng = random.Random(9)
+    same = bytes(rng.randrange(97, 123) for _ in range(suffix_dedup.LENGTH))
+    for _ in range(200):
+        texts = [bytes(rng.randrange(97, 123) for _ in range(rng.randrange(60))) + same + bytes(rng.randrange(97, 123) for _ in range(rng.randrange(60))) for _ in range(2)]
+        text, _, _, _, sides, run = suffix_dedup.fragments(np.frombuffer(b"".join(texts), np.uint8), np.array([0, len(texts[0]), len(texts[0]) + len(texts[1])]))
+        one, two = (set(sides[text[run] == i].tolist()) for i in range(2))
+        assert one & two
